@@ -1,0 +1 @@
+"""Left empty on purpose: every operation this library covers is a batch query."""

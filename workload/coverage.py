@@ -1,0 +1,321 @@
+"""Coverage, presence and reconciliation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crivo.operators import coverage, keys, reconcile
+from crivo.sources import keylist
+
+from .base import pct_sql, pedidos, query, table
+
+# A pasted list per customer: padded code, code with a decimal tail, blank, header, junk.
+LINES_SQL = """SELECT trim(unnest(string_split(replace(t, chr(13), ''), chr(10)))) AS v, c_custkey FROM (
+    SELECT c_custkey, concat_ws(chr(13) || chr(10), lpad(CAST(c_custkey AS VARCHAR), 10, '0'), CAST(c_custkey AS VARCHAR) || '.0',
+        '', 'Chave', 'C' || c_custkey, ' ' || c_custkey || 'A ') AS t FROM customer)"""
+LIST_NORM = "coalesce(nullif(ltrim(regexp_replace(trim({0}), '\\.0+$', ''), '0'), ''), '0')"
+LIST_SQL = f"""SELECT DISTINCT v AS chave_original, {LIST_NORM.format('v')} AS chave FROM linhas
+    WHERE v <> '' AND lower(v) <> 'chave' AND regexp_matches(v, '^[0-9]+(\\.0+)?$')"""
+LIST_CTES = f"WITH linhas AS ({LINES_SQL}), lista AS ({LIST_SQL})"
+TABLE_CTE = f"dl AS (SELECT *, {LIST_NORM.format('cod_cliente')} AS chave FROM pedidos)"
+
+
+def lines(spark, d):
+    c = table(spark, d, "customer")
+    code = c.c_custkey.cast("string")
+    text = F.concat_ws(
+        "\r\n", F.lpad(code, 10, "0"), F.concat(code, F.lit(".0")), F.lit(""), F.lit("Chave"),
+        F.concat(F.lit("C"), code), F.concat(F.lit(" "), code, F.lit("A ")),
+    )
+    return keylist.split_lines(c.select("c_custkey", text.alias("texto")), "texto", ["c_custkey"])
+
+
+def key_list(spark, d):
+    return keylist.accepted_keys(lines(spark, d))
+
+
+@query(
+    f"""WITH linhas AS ({LINES_SQL}) SELECT c_custkey, v AS valor_original FROM linhas"""
+)
+def parse_key_list(spark, d):
+    return lines(spark, d).select("c_custkey", "valor_original")
+
+
+@query(
+    """SELECT doc_id, count(*) AS linhas, max(n) AS ultima_linha, CAST(sum(length(trim(v))) AS BIGINT) AS caracteres FROM (
+        SELECT doc_id, unnest(l) AS v, unnest(range(1, len(l) + 1)) AS n FROM (
+            SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS l FROM documents)) GROUP BY 1"""
+)
+def parse_text_lines(spark, d):
+    x = keylist.split_lines(table(spark, d, "documents"), "text", ["doc_id"])
+    return x.groupBy("doc_id").agg(
+        F.count("*").alias("linhas"), F.max("numero_linha").alias("ultima_linha"),
+        F.sum(F.length("valor_original")).alias("caracteres"),
+    )
+
+
+@query(f"{LIST_CTES} SELECT * FROM lista")
+def accepted_keys(spark, d):
+    return key_list(spark, d)
+
+
+@query(
+    f"""WITH linhas AS ({LINES_SQL}) SELECT c_custkey, v AS valor_original FROM linhas
+        WHERE v <> '' AND lower(v) <> 'chave' AND NOT regexp_matches(v, '^[0-9]+(\\.0+)?$')"""
+)
+def quarantine(spark, d):
+    return keylist.rejected_lines(lines(spark, d)).select("c_custkey", "valor_original")
+
+
+@query(
+    f"""WITH linhas AS ({LINES_SQL}) SELECT count(*) AS linhas_lidas,
+        count(DISTINCT v) FILTER (WHERE v <> '' AND lower(v) <> 'chave' AND regexp_matches(v, '^[0-9]+(\\.0+)?$')) AS chaves_validas_distintas,
+        count(*) FILTER (WHERE v <> '' AND lower(v) <> 'chave' AND NOT regexp_matches(v, '^[0-9]+(\\.0+)?$')) AS linhas_rejeitadas FROM linhas"""
+)
+def input_control(spark, d):
+    return keylist.input_control(lines(spark, d))
+
+
+@query(
+    f"""{LIST_CTES}, {TABLE_CTE}, g AS (SELECT chave, count(*) AS n FROM dl GROUP BY 1)
+        SELECT count(*) AS chaves_lista, count(n) AS encontradas, count(*) - count(n) AS ausentes, CAST(coalesce(sum(n), 0) AS BIGINT) AS linhas_tabela,
+            count(*) FILTER (WHERE n > 1) AS chaves_repetidas, coalesce(max(n), 0) AS max_linhas_por_chave,
+            {pct_sql('count(n)', 'count(*)')} AS cobertura_percentual FROM lista LEFT JOIN g USING (chave)""",
+    ("pedidos",),
+)
+def list_coverage(spark, d):
+    return coverage.coverage(key_list(spark, d), pedidos(spark, d), "cod_cliente")
+
+
+@query(
+    f"""{LIST_CTES}, {TABLE_CTE}, i AS (SELECT *, CASE st_pedido WHEN 'F' THEN 3 WHEN 'O' THEN 1 END AS qt FROM dl),
+        g AS (SELECT chave, count(*) AS n FROM dl GROUP BY 1), r AS (SELECT * FROM i WHERE chave IN (SELECT chave FROM lista))
+        SELECT count(*) AS chaves_lista, count(n) AS encontradas, count(*) - count(n) AS ausentes, CAST(coalesce(sum(n), 0) AS BIGINT) AS linhas_tabela,
+            count(*) FILTER (WHERE n > 1) AS chaves_repetidas, {pct_sql('count(n)', 'count(*)')} AS cobertura_percentual,
+            (SELECT CAST(sum(greatest(coalesce(qt, 0) - 1, 0)) AS BIGINT) FROM r) AS itens_adicionais,
+            (SELECT max(dt_carga) FROM r) AS ultima_carga FROM lista LEFT JOIN g USING (chave)""",
+    ("pedidos",),
+)
+def list_coverage_summary(spark, d):
+    p = pedidos(spark, d)
+    p = p.withColumn("qt", F.when(p.st_pedido == "F", 3).when(p.st_pedido == "O", 1))
+    return coverage.coverage_summary(key_list(spark, d), p, "cod_cliente", "qt", {"ultima_carga": "dt_carga"})
+
+
+@query(
+    f"{LIST_CTES}, {TABLE_CTE} SELECT * FROM lista WHERE chave NOT IN (SELECT chave FROM dl)", ("pedidos",)
+)
+def missing_keys(spark, d):
+    return coverage.missing_keys(key_list(spark, d), pedidos(spark, d), "cod_cliente")
+
+
+@query(
+    f"""{LIST_CTES}, {TABLE_CTE}, f AS (SELECT * FROM lista WHERE chave NOT IN (SELECT chave FROM dl WHERE st_pedido = 'O'))
+        SELECT chave_original, r.v AS valor_tabela, CASE WHEN r.v IS NULL THEN 'AUSENTE_MESMO_NA_COMPARACAO_DIRETA'
+            ELSE 'ENCONTRADA_NA_COMPARACAO_DIRETA' END AS resultado_teste_direto
+        FROM f LEFT JOIN (SELECT DISTINCT trim(cod_cliente) AS v FROM pedidos WHERE cod_cliente IS NOT NULL) r ON trim(f.chave_original) = r.v""",
+    ("pedidos",),
+)
+def challenge_missing(spark, d):
+    p = pedidos(spark, d)
+    gone = coverage.missing_keys(key_list(spark, d), p.where(p.st_pedido == "O"), "cod_cliente")
+    return coverage.challenge_missing(gone, "chave_original", p, "cod_cliente")
+
+
+@query(
+    f"""{LIST_CTES}, {TABLE_CTE} SELECT chave, num_pedido, st_pedido, vl_total FROM dl WHERE chave IN (SELECT chave FROM lista)""",
+    ("pedidos",),
+)
+def restrict_to_list(spark, d):
+    return coverage.restrict_to_list(pedidos(spark, d), key_list(spark, d), "cod_cliente").select(
+        "chave", "num_pedido", "st_pedido", "vl_total"
+    )
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT ltrim(trim(cod_cliente), '0') AS k FROM pedidos WHERE trim(coalesce(cod_cliente, '')) <> ''),
+        r AS (SELECT DISTINCT ltrim(CAST(s_suppkey AS VARCHAR), '0') AS k FROM supplier)
+        SELECT count(*) AS codigos_distintos_aqui, count(*) FILTER (WHERE k NOT IN (SELECT k FROM r)) AS sem_correspondencia,
+            {pct_sql('count(*) FILTER (WHERE k NOT IN (SELECT k FROM r))', 'count(*)')} AS pct_orfao FROM a""",
+    ("pedidos",),
+)
+def referential_integrity(spark, d):
+    return coverage.referential_integrity(pedidos(spark, d), "cod_cliente", table(spark, d, "supplier"), "s_suppkey")
+
+
+@query(
+    """SELECT CAST(l_partkey AS VARCHAR) AS codigo, count(*) AS linhas FROM lineitem WHERE l_partkey <> 0
+        AND l_partkey NOT IN (SELECT ps FROM (SELECT s_suppkey AS ps FROM supplier)) GROUP BY 1
+        UNION ALL SELECT '' AS codigo, count(*) FROM lineitem WHERE l_partkey = 0 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = 0) HAVING count(*) > 0"""
+)
+def orphan_codes(spark, d):
+    return coverage.orphan_codes(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "supplier"), "s_suppkey")
+
+
+PRESENCE = """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'),
+    c AS (SELECT DISTINCT s_suppkey AS k FROM supplier), u AS (SELECT k FROM a UNION SELECT k FROM b UNION SELECT k FROM c),
+    x AS (SELECT concat_ws(' ', CASE WHEN k IN (SELECT k FROM a) THEN 'PED' ELSE '--' END, CASE WHEN k IN (SELECT k FROM b) THEN 'CLI' ELSE '--' END,
+        CASE WHEN k IN (SELECT k FROM c) THEN 'FOR' ELSE '--' END) AS presenca FROM u)"""
+
+
+@query(f"{PRESENCE} SELECT presenca, count(*) AS chaves, {pct_sql('count(*)', '(SELECT count(*) FROM x)')} AS pct FROM x GROUP BY 1")
+def presence_matrix(spark, d):
+    c = table(spark, d, "customer")
+    return coverage.presence_matrix({
+        "PED": table(spark, d, "orders").select(F.col("o_custkey").alias("k")),
+        "CLI": c.where(c.c_mktsegment == "BUILDING").select(F.col("c_custkey").alias("k")),
+        "FOR": table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")),
+    }, ["k"])
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
+        SELECT count(*) AS chaves_uniao, count(*) FILTER (WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS em_ambas,
+            count(*) FILTER (WHERE b.doc_id IS NULL) AS apenas_primeira, count(*) FILTER (WHERE a.doc_id IS NULL) AS apenas_segunda
+        FROM a FULL OUTER JOIN b ON a.doc_id IS NOT DISTINCT FROM b.doc_id"""
+)
+def two_way_coverage(spark, d):
+    return coverage.two_way_coverage(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+        b AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_linenumber > 3 THEN 'R' ELSE l_returnflag END AS f, l_linestatus AS s FROM lineitem),
+        j AS (SELECT a.f AS f1, b.f AS f2, a.s AS s1, b.s AS s2 FROM a JOIN b ON a.k = b.k)
+        SELECT 'A x B' AS par, 'f' AS coluna, count(*) AS em_comum, count(*) FILTER (WHERE f1 <> f2) AS diverge FROM j
+        UNION ALL SELECT 'A x B', 's', count(*), count(*) FILTER (WHERE s1 <> s2) FROM j"""
+)
+def attribute_agreement(spark, d):
+    li = table(spark, d, "lineitem")
+    a = li.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"))
+    flag = F.when(li.l_linenumber > 3, "R").otherwise(li.l_returnflag)
+    b = li.select(F.col("l_orderkey").alias("k"), flag.alias("f"), F.col("l_linestatus").alias("s"))
+    return coverage.attribute_agreement(a, b, ["k"], ["f", "s"])
+
+
+@query(
+    """SELECT 'base' AS fonte, count(*) AS linhas, count(DISTINCT tp_prioridade) AS codigos FROM pedidos
+        UNION ALL SELECT 'view', count(*), count(DISTINCT try_cast(cod_cliente AS BIGINT)) FROM pedidos""",
+    ("pedidos",),
+)
+def compare_tables(spark, d):
+    p = pedidos(spark, d)
+    return coverage.compare_tables({
+        "base": (p, {"codigos": F.countDistinct("tp_prioridade")}),
+        "view": (p, {"codigos": F.countDistinct(p.cod_cliente.try_cast("bigint"))}),
+    })
+
+
+# --- reconciliation ---------------------------------------------------------------
+# The other system's extract: some orders gone, some extra, amounts off by less or
+# more than the tolerance, dates in another format, identical repeats and versions.
+
+SPEC = reconcile.CompareSpec(
+    keys=["num"], columns=["cliente", "data", "preco", "prioridade"],
+    kinds={"cliente": "code", "data": "date", "preco": "double", "prioridade": "text"},
+)
+
+
+def _lake(spark, d):
+    o = table(spark, d, "orders")
+    o = o.where(~((o.o_orderstatus == "F") & (o.o_orderpriority == "5-LOW")))
+    return o.select(
+        F.lpad(o.o_orderkey.cast("string"), 12, "0").alias("num"), F.lpad(o.o_custkey.cast("string"), 10, "0").alias("cliente"),
+        F.date_format(o.o_orderdate, "yyyyMMdd").alias("data"), o.o_totalprice.alias("preco"), o.o_orderpriority.alias("prioridade"),
+    )
+
+
+def _erp(spark, d):
+    o = table(spark, d, "orders")
+    st, pr = o.o_orderstatus, o.o_orderpriority
+    o = o.where(~((st == "P") & (pr == "5-LOW")))
+    shift = F.when((st == "F") & (pr == "1-URGENT"), 0.004).when((st == "O") & (pr == "1-URGENT"), 0.006).otherwise(0.0)
+    base = o.select(
+        o.o_orderkey.cast("string").alias("num"),
+        F.when((st == "O") & (pr == "4-NOT SPECIFIED"), "").otherwise(o.o_custkey.cast("string")).alias("cliente"),
+        F.date_format(o.o_orderdate, "dd/MM/yyyy").alias("data"), (o.o_totalprice + shift).alias("preco"),
+        F.concat(F.lit(" "), pr).alias("prioridade"), st.alias("st"), pr.alias("pr"),
+    )
+    repeats = base.where((base.st == "F") & (base.pr == "2-HIGH"))
+    versions = base.where((base.st == "O") & (base.pr == "3-MEDIUM")).withColumn("preco", F.col("preco") + 1)
+    return base.unionByName(repeats).unionByName(versions).drop("st", "pr")
+
+
+BASE_B = """SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_custkey END AS cliente,
+    strftime(o_orderdate, '%Y%m%d') AS data, o_totalprice + CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 0.004
+        WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 0.006 ELSE 0.0 END AS preco, o_orderpriority AS prioridade, o_orderstatus AS st
+    FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"""
+RECON = f"""WITH a AS (SELECT o_orderkey AS k, o_custkey AS cliente, strftime(o_orderdate, '%Y%m%d') AS data, o_totalprice AS preco, o_orderpriority AS prioridade
+        FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW')),
+    b0 AS ({BASE_B}),
+    b AS (SELECT k, cliente, data, preco, prioridade FROM b0
+        UNION ALL SELECT k, cliente, data, preco, prioridade FROM b0 WHERE st = 'F' AND prioridade = '2-HIGH'
+        UNION ALL SELECT k, cliente, data, preco + 1, prioridade FROM b0 WHERE st = 'O' AND prioridade = '3-MEDIUM'),
+    ka AS (SELECT k, count(*) AS n, count(DISTINCT (cliente, data, preco, prioridade)) AS v FROM a GROUP BY 1),
+    kb AS (SELECT k, count(*) AS n, count(DISTINCT (cliente, data, preco, prioridade)) AS v FROM b GROUP BY 1),
+    ks AS (SELECT coalesce(ka.k, kb.k) AS k, coalesce(ka.n, 0) AS na, coalesce(kb.n, 0) AS nb,
+        CASE WHEN kb.k IS NULL THEN 'SOMENTE A' WHEN ka.k IS NULL THEN 'SOMENTE B' WHEN ka.v > 1 OR kb.v > 1 THEN 'CHAVE COM VERSOES' ELSE 'EM AMBAS' END AS situacao
+        FROM ka FULL OUTER JOIN kb ON ka.k = kb.k),
+    j AS (SELECT ks.k, a.cliente AS c1, b.cliente AS c2, a.data AS d1, b.data AS d2, a.preco AS p1, b.preco AS p2, a.prioridade AS r1, b.prioridade AS r2
+        FROM ks JOIN a ON a.k = ks.k JOIN (SELECT DISTINCT * FROM b) b ON b.k = ks.k WHERE situacao = 'EM AMBAS')"""
+
+
+@query(
+    f"""{RECON} SELECT situacao, count(*) AS chaves, CAST(sum(na) AS BIGINT) AS linhas_a, CAST(sum(nb) AS BIGINT) AS linhas_b,
+        CAST(sum(CASE WHEN na > 1 THEN na - 1 ELSE 0 END) AS BIGINT) AS repeticoes_a, CAST(sum(CASE WHEN nb > 1 THEN nb - 1 ELSE 0 END) AS BIGINT) AS repeticoes_b
+        FROM ks GROUP BY 1"""
+)
+def reconcile_keys(spark, d):
+    return reconcile.reconcile_keys(_lake(spark, d), _erp(spark, d), SPEC)
+
+
+def _cell_row(c: str, rule: str, x: str, y: str, norm: str = "{0}") -> str:
+    x, y = norm.format(x), norm.format(y)
+    same = f"{x} IS NOT DISTINCT FROM {y}"
+    bad = f"(CASE WHEN {x} IS NULL OR {y} IS NULL THEN NOT ({same}) ELSE abs({x} - {y}) > 0.005 END)" if rule == "double" else f"NOT ({same})"
+    ok = f"count(*) FILTER (WHERE {same})"
+    near = f"count(*) FILTER (WHERE NOT ({same}) AND NOT {bad})"
+    return f"""SELECT '{c}' AS coluna, '{rule}' AS regra, count(*) AS comparadas, {ok} AS identicas, {near} AS dentro_da_tolerancia,
+        count(*) FILTER (WHERE {bad} AND {x} IS NOT NULL AND {y} IS NOT NULL) AS divergentes,
+        count(*) FILTER (WHERE {x} IS NULL AND {y} IS NOT NULL) AS vazio_so_em_a, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NULL) AS vazio_so_em_b,
+        {pct_sql(f'{ok} + {near}', 'count(*)')} AS pct_conforme FROM j"""
+
+
+@query(
+    RECON + " " + " UNION ALL ".join([
+        # a code of zeros only has nothing left once stripped
+        _cell_row("cliente", "code", "c1", "c2", "nullif({0}, 0)"), _cell_row("data", "date", "d1", "d2"),
+        _cell_row("preco", "double", "p1", "p2"), _cell_row("prioridade", "text", "r1", "r2"),
+    ])
+)
+def reconcile_columns(spark, d):
+    return reconcile.reconcile_columns(_lake(spark, d), _erp(spark, d), SPEC)
+
+
+@query(
+    f"""{RECON} SELECT ltrim(CAST(k AS VARCHAR), '0') AS num, 'preco' AS coluna, round(p1, 2) AS valor_a, round(p2, 3) AS valor_b FROM j WHERE abs(p1 - p2) > 0.005
+        UNION ALL SELECT ltrim(CAST(k AS VARCHAR), '0'), 'cliente', CAST(c1 AS DOUBLE), CAST(c2 AS DOUBLE) FROM j WHERE nullif(c1, 0) IS DISTINCT FROM nullif(c2, 0)"""
+)
+def reconcile_cells(spark, d):
+    x = reconcile.reconcile_cells(_lake(spark, d), _erp(spark, d), SPEC)
+    # amounts as numbers again: the text of a double differs between engines
+    return x.select(
+        "num", "coluna", F.round(F.col("valor_a").cast("double"), 2).alias("valor_a"),
+        F.round(F.col("valor_b").cast("double"), 3).alias("valor_b"),
+    )
+
+
+@query(
+    f"""{RECON} SELECT ltrim(CAST(k AS VARCHAR), '0') AS num, situacao, na AS linhas_a, nb AS linhas_b FROM ks WHERE situacao <> 'EM AMBAS'"""
+)
+def reconcile_unmatched(spark, d):
+    return reconcile.reconcile_unmatched(_lake(spark, d), _erp(spark, d), SPEC)
+
+
+@query(
+    f"""{LIST_CTES}, {TABLE_CTE} SELECT cod_cliente, count(*) AS qtd FROM dl WHERE chave IN (SELECT chave FROM lista) GROUP BY 1 HAVING count(*) > 1""",
+    ("pedidos",),
+)
+def list_repeated_keys(spark, d):
+    found = coverage.restrict_to_list(pedidos(spark, d), key_list(spark, d), "cod_cliente")
+    return keys.duplicate_keys(found, ["cod_cliente"], None)

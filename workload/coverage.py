@@ -186,7 +186,7 @@ def two_way_coverage(spark, d):
         UNION ALL SELECT 'A x B', 's', count(*), count(*) FILTER (WHERE s1 <> s2) FROM j"""
 )
 def attribute_agreement(spark, d):
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem", spread=True)
     a = li.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"))
     flag = F.when(li.l_linenumber > 3, "R").otherwise(li.l_returnflag)
     b = li.select(F.col("l_orderkey").alias("k"), flag.alias("f"), F.col("l_linestatus").alias("s"))

@@ -98,7 +98,7 @@ def _dev2_part(c: str, tipo: str) -> str:
 
 @query(" UNION ALL ".join(_dev2_part(c, t) for c, t in PEDIDO_COLS.items()), ("pedidos",))
 def fill_scan_dev2(spark, d):
-    return columns.fill_scan(pedidos(spark, d), mode="dev2")
+    return columns.fill_scan(pedidos(spark, d, spread=True), mode="dev2")
 
 
 @query(
@@ -153,7 +153,7 @@ CARD_LADDER = """CASE WHEN distintos <= 1 THEN '1. CONSTANTE (1 valor)'
         {CARD_LADDER} AS classificacao FROM c"""
 )
 def cardinality_exact(spark, d):
-    return columns.cardinality(table(spark, d, "lineitem"), exact=True)
+    return columns.cardinality(table(spark, d, "lineitem", spread=True), exact=True)
 
 
 @query(None)
@@ -184,7 +184,7 @@ def cardinality_f3(spark, d):
     )
 )
 def distinct_values(spark, d):
-    return volume.distinct_values(table(spark, d, "documents"), ["lang", "source", "text"])
+    return volume.distinct_values(table(spark, d, "documents", spread=True), ["lang", "source", "text"])
 
 
 def _domain_sql(src: str, cols, k: int) -> str:
@@ -581,12 +581,12 @@ def _code_sql(src: str, c: str, tipo: str) -> str:
     ("pedidos",),
 )
 def code_format(spark, d):
-    return codes.code_format(pedidos(spark, d), ["cod_cliente", "num_pedido", "ind_aberto"])
+    return codes.code_format(pedidos(spark, d, spread=True), ["cod_cliente", "num_pedido", "ind_aberto"])
 
 
 @query(_code_sql("lineitem", "l_partkey", "bigint") + " UNION ALL " + _code_sql("lineitem", "l_linenumber", "int"))
 def code_format_numeric(spark, d):
-    return codes.code_format(table(spark, d, "lineitem"), ["l_partkey", "l_linenumber"])
+    return codes.code_format(table(spark, d, "lineitem", spread=True), ["l_partkey", "l_linenumber"])
 
 
 @query(
@@ -643,7 +643,7 @@ def literal_lengths(spark, d):
     ("itens",),
 )
 def normalized_keys(spark, d):
-    return codes.normalized_keys(itens(spark, d), ["num_pedido", "cod_material"])
+    return codes.normalized_keys(itens(spark, d, spread=True), ["num_pedido", "cod_material"])
 
 
 @query(
@@ -681,7 +681,7 @@ def numeric_string_format(spark, d):
     ("itens",),
 )
 def volumetry(spark, d):
-    return volume.volumetry(itens(spark, d), {
+    return volume.volumetry(itens(spark, d, spread=True), {
         "pedidos_distintos": "num_pedido", "itens_distintos": ["num_pedido", "num_item"],
         "materiais": "cod_material", "fornecedores": "cod_fornecedor",
     })
@@ -760,7 +760,7 @@ def _search_part(c: str) -> str:
     ("pedidos",),
 )
 def value_search(spark, d):
-    return volume.value_search(pedidos(spark, d), "1")
+    return volume.value_search(pedidos(spark, d, spread=True), "1")
 
 
 @query(

@@ -385,7 +385,7 @@ def _replication_sql(c: str) -> str:
     ("itens", "pedidos"),
 )
 def header_replication(spark, d):
-    j = itens(spark, d).join(pedidos(spark, d).select("num_pedido", "cod_cliente", "tp_prioridade"), "num_pedido")
+    j = itens(spark, d, spread=True).join(pedidos(spark, d, spread=True).select("num_pedido", "cod_cliente", "tp_prioridade"), "num_pedido")
     return rules.header_replication(j, "num_pedido", ["cod_cliente", "tp_prioridade", "ind_devolucao", "cod_fornecedor"])
 
 
@@ -581,7 +581,7 @@ def rows_per_person(spark, d):
 def hierarchy_counts(spark, d):
     from crivo.operators import volume
 
-    return volume.volumetry(table(spark, d, "lineitem"), {
+    return volume.volumetry(table(spark, d, "lineitem", spread=True), {
         "pedidos": "l_orderkey", "itens": ["l_orderkey", "l_linenumber"],
         "divisoes": ["l_orderkey", "l_linenumber", "l_partkey"], "fornecedores": "l_suppkey",
     })

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import stack_rows, total_rows, type_name, unpivot_text
+from ._shape import semi_null_safe, stack_rows, total_rows, type_name, unpivot_text
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -166,18 +166,23 @@ def declared_domain(
     ).orderBy(F.desc("linhas"), column)
 
 
-def code_description_map(df: DataFrame, code: str, description: str) -> DataFrame:
+def code_description_map(df: DataFrame, code: str, description: str, as_list: bool = True) -> DataFrame:
     """Codes with more than one description.
 
     Descriptions are counted per (code, description) first; the list that is
-    put together per code holds distinct descriptions only.
+    put together per code holds distinct descriptions only. ``as_list=False``
+    gives the pairs of the ambiguous codes as rows, for codes that turn out to
+    carry free text.
     """
-    pairs = df.groupBy(df[code], df[description].cast("string").alias("d")).agg(F.count("*").alias("n"))
+    pairs = df.groupBy(df[code], df[description].cast("string").alias("descricao")).agg(F.count("*").alias("n"))
+    if not as_list:
+        bad = pairs.groupBy(code).agg(F.count("descricao").alias("q")).where("q > 1")
+        return semi_null_safe(pairs, bad, [code]).withColumnRenamed("n", "linhas").orderBy(code, "descricao")
     return (
         pairs.groupBy(code)
         .agg(
-            F.count("d").alias("qtd_descricoes"),
-            F.concat_ws(" | ", F.sort_array(F.collect_set("d"))).alias("descricoes"),
+            F.count("descricao").alias("qtd_descricoes"),
+            F.concat_ws(" | ", F.sort_array(F.collect_set("descricao"))).alias("descricoes"),
             F.sum("n").alias("linhas"),
         )
         .withColumn("veredito", F.when(F.col("qtd_descricoes") > 1, L.DESCRIPTION_ERROR).otherwise(L.OK))

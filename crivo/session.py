@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # call-site capture per Column call doubles the time to build wide reports
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

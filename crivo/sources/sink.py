@@ -21,7 +21,9 @@ def extract(
     """Full rows of a scope for comparison elsewhere.
 
     Personal columns leave as a short hash, or not at all. ``order`` sorts
-    globally by range partitioning, so the files come out in key order.
+    globally by range partitioning, so the files come out in key order. A hash
+    of the row sorts last: it lets Spark cut between rows of one key, so a key
+    with very many rows is written by several tasks.
     """
     if scope is not None:
         df = df.where(scope)
@@ -32,7 +34,12 @@ def extract(
         elif not drop_pii:
             cols.append(N.mask(df[c]).alias(f"{c}_hash"))
     out = df.select(*cols)
-    return out.orderBy(*order) if order else out
+    if not order:
+        return out
+    # map columns cannot be hashed; without one of the others there is nothing to cut by
+    types = dict(out.dtypes)
+    rest = [c for c in out.columns if c not in order and "map<" not in types[c]]
+    return out.orderBy(*order, F.xxhash64(*rest)) if rest else out.orderBy(*order)
 
 
 def extract_renamed(df: DataFrame, names: Mapping[str, str], trim: bool = True) -> DataFrame:

@@ -253,6 +253,14 @@ def collapse_members(spark, d):
     return keys.collapse_members(table(spark, d, "lineitem"), ["l_suppkey"], "l_returnflag")
 
 
+@query(
+    """SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem WHERE l_orderkey IN (
+        SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)"""
+)
+def collapse_member_rows(spark, d):
+    return keys.collapse_members(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag", None, as_list=False)
+
+
 @query(
     """SELECT l_orderkey, l_partkey, count(DISTINCT l_linenumber) AS itens FROM lineitem GROUP BY 1, 2
         HAVING count(DISTINCT l_linenumber) > 1 ORDER BY itens DESC, l_orderkey, l_partkey LIMIT 20"""

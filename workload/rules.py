@@ -168,6 +168,14 @@ def code_description_map(spark, d):
     return rules.code_description_map(table(spark, d, "part"), "p_brand", "p_type")
 
 
+@query(
+    """SELECT source, lang AS descricao, count(*) AS linhas FROM documents
+        WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1) GROUP BY 1, 2"""
+)
+def code_description_pairs(spark, d):
+    return rules.code_description_map(table(spark, d, "documents"), "source", "lang", as_list=False)
+
+
 @query(
     """SELECT st_pedido, count(*) AS linhas, count(*) FILTER (WHERE trim(coalesce(ind_aberto, '')) = '') AS sem_descricao
         FROM pedidos GROUP BY 1 HAVING count(*) FILTER (WHERE trim(coalesce(ind_aberto, '')) = '') > 0""",

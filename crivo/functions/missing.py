@@ -19,9 +19,15 @@ ZERO_LITERALS = ("0", "0.0", "0.00", "0.000", "000", "0000")
 NULL, BLANK, ZERO, USEFUL = 0, 1, 2, 3
 
 
+def _is_token(trimmed: Column, tokens) -> Column:
+    # the size test spares lower-casing whole documents to compare with short words
+    longest = max(len(t) for t in tokens)
+    return (F.octet_length(trimmed) <= longest) & F.lower(trimmed).isin(*tokens)
+
+
 def is_blank(c: Column, tokens=BLANK_TOKENS_8) -> Column:
     """Non-null text that stands for "nothing"."""
-    return c.isNotNull() & F.lower(F.trim(c)).isin(*tokens)
+    return c.isNotNull() & _is_token(F.trim(c), tokens)
 
 
 def is_zero_text(c: Column) -> Column:
@@ -53,7 +59,7 @@ def value_class(c: Column, dtype: T.DataType, tokens=BLANK_TOKENS_8) -> Column:
     """
     out = F.when(c.isNull(), F.lit(NULL))
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        out = out.when(F.lower(F.trim(c)).isin(*tokens), F.lit(BLANK)).when(is_zero_text(c), F.lit(ZERO))
+        out = out.when(_is_token(F.trim(c), tokens), F.lit(BLANK)).when(is_zero_text(c), F.lit(ZERO))
     elif isinstance(dtype, T.NumericType):
         out = out.when(c == 0, F.lit(ZERO))
     return out.otherwise(F.lit(USEFUL)).cast("tinyint")
@@ -67,7 +73,7 @@ def text_class(c: Column, tokens=BLANK_TOKENS_6) -> Column:
     """
     t = F.trim(c.cast("string"))
     return (
-        F.when(c.isNull() | F.lower(t).isin(*tokens), F.lit(NULL))
+        F.when(c.isNull() | _is_token(t, tokens), F.lit(NULL))
         .when(t.isin(*ZERO_LITERALS), F.lit(ZERO))
         .otherwise(F.lit(USEFUL))
         .cast("tinyint")

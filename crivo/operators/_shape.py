@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
@@ -22,6 +23,37 @@ def stack_rows(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame
     return df.agg(F.array(*structs).alias("linhas_relatorio")).select(F.inline("linhas_relatorio"))
 
 
+@dataclass(frozen=True)
+class Section:
+    """A column report as parts, so that several can share one pass.
+
+    ``extra`` are cells worked out once per row, ``rows`` the report rows as
+    aggregates over them and the table, ``finish`` turns those into the report.
+    """
+
+    rows: Sequence[Mapping[str, Column]]
+    finish: Callable[[DataFrame], DataFrame]
+    extra: Sequence[Column] = field(default=())
+
+    def report(self, df: DataFrame) -> DataFrame:
+        return self.finish(stack_rows(df.select("*", *self.extra) if self.extra else df, self.rows))
+
+
+def one_pass(df: DataFrame, sections: Mapping[str, Section]) -> DataFrame:
+    """One row holding the raw rows of every section, from a single scan."""
+    cells = [c for s in sections.values() for c in s.extra]
+    arrays = [
+        F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in s.rows]).alias(name)
+        for name, s in sections.items()
+    ]
+    return df.select("*", *cells).agg(*arrays)
+
+
+def section_report(row: DataFrame, name: str, section: Section) -> DataFrame:
+    """Report of one section from the shared row."""
+    return section.finish(row.select(F.inline(name)))
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """Column as text; -0.0 and 0.0 are one value, as they are for DISTINCT."""
     c = df[name]

@@ -26,7 +26,11 @@ def _weighted(p: Column) -> Column:
 
 def code_format(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Blank, length range, leading zeros, spaces and collisions of code columns."""
-    freq = value_counts(df, columns)
+    return code_format_of(value_counts(df, columns), {c: type_name(df, c) for c in columns})
+
+
+def code_format_of(freq: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """``code_format`` from value frequencies already at hand."""
     v = F.col("valor")
     t = F.trim(v)
     per = freq.groupBy("coluna").agg(
@@ -38,8 +42,8 @@ def code_format(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.countDistinct(t).alias("distintos_bruto"),
         F.countDistinct(N.strip_zeros(v)).alias("distintos_sem_zeros"),
     )
-    types = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(type_name(df, c)))])
-    out = per.withColumn("tipo", types[F.col("coluna")]).withColumn(
+    names = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    out = per.withColumn("tipo", names[F.col("coluna")]).withColumn(
         "colisoes_ao_remover_zeros", F.col("distintos_bruto") - F.col("distintos_sem_zeros")
     )
     alerts = F.concat_ws(

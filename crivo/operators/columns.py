@@ -12,6 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions.ratios import count_if, pct
 from ._shape import (
+    Section,
     numeric_columns,
     stack_rows,
     top_k_per_group,
@@ -40,14 +41,18 @@ def fill_scan(
         return _fill_simple(df, names)
     if mode == "dev2":
         return _fill_dev2(df, names, tokens or M.BLANK_TOKENS_6)
+    return fill_section(df, names, mode, tokens).report(df)
+
+
+def fill_section(df: DataFrame, names: Sequence[str], mode: str = "f1", tokens=None) -> Section:
     tokens = tokens or (M.BLANK_TOKENS_6 if mode == "f3" else M.BLANK_TOKENS_8)
-    # each cell is classified once; the aggregate below only counts classes
-    classes = df.select(
-        *[M.value_class(df[c], df.schema[c].dataType, tokens).alias(f"k{i}") for i, c in enumerate(names)]
-    )
+    # each cell is classified once; the aggregate only counts classes
+    cells = [
+        M.value_class(df[c], df.schema[c].dataType, tokens).alias(f"classe_{i}") for i, c in enumerate(names)
+    ]
     rows = []
     for i, c in enumerate(names):
-        k = F.col(f"k{i}")
+        k = F.col(f"classe_{i}")
         rows.append({
             "coluna": F.lit(c),
             "tipo": F.lit(type_name(df, c)),
@@ -56,21 +61,27 @@ def fill_scan(
             "vazios": count_if(k == M.BLANK),
             "zeros": count_if(k == M.ZERO),
         })
-    out = stack_rows(classes, rows)
-    n, v, z, t = (F.col(x) for x in ("nulos", "vazios", "zeros", "total"))
-    if mode == "f3":
-        verdict = (
-            F.when(t == 0, L.FILL3_NO_ROWS)
-            .when(n == t, L.FILL3_ALL_NULL)
-            .when(n + v == t, L.FILL3_NO_USEFUL)
-            .otherwise(L.FILL3_OK)
-        )
-        return out.select(
-            "coluna", "tipo", "total", "nulos", "vazios", "zeros",
-            (t - n - v).alias("preenchidos_nao_vazios"), verdict.alias("veredito"),
-        ).orderBy("coluna")
-    if mode != "f1":
+    if mode not in ("f1", "f3"):
         raise ValueError(f"unknown fill mode {mode!r}")
+    return Section(rows, _fill_f3 if mode == "f3" else _fill_f1, cells)
+
+
+def _fill_f3(out: DataFrame) -> DataFrame:
+    n, v, t = (F.col(x) for x in ("nulos", "vazios", "total"))
+    verdict = (
+        F.when(t == 0, L.FILL3_NO_ROWS)
+        .when(n == t, L.FILL3_ALL_NULL)
+        .when(n + v == t, L.FILL3_NO_USEFUL)
+        .otherwise(L.FILL3_OK)
+    )
+    return out.select(
+        "coluna", "tipo", "total", "nulos", "vazios", "zeros",
+        (t - n - v).alias("preenchidos_nao_vazios"), verdict.alias("veredito"),
+    ).orderBy("coluna")
+
+
+def _fill_f1(out: DataFrame) -> DataFrame:
+    n, v, z, t = (F.col(x) for x in ("nulos", "vazios", "zeros", "total"))
     useful = t - n - v - z
     verdict = (
         F.when(n == t, L.FILL_ALL_NULL)
@@ -121,6 +132,10 @@ def null_pct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def declared_empty(df: DataFrame, columns: Sequence[str], tokens=M.BLANK_TOKENS_6) -> DataFrame:
     """Are the columns documented as having no source still empty?"""
+    return declared_empty_section(df, columns, tokens).report(df)
+
+
+def declared_empty_section(df: DataFrame, columns: Sequence[str], tokens=M.BLANK_TOKENS_6) -> Section:
     rows = []
     for c in columns:
         filled = count_if(M.text_class(df[c], tokens) != M.NULL)
@@ -128,7 +143,7 @@ def declared_empty(df: DataFrame, columns: Sequence[str], tokens=M.BLANK_TOKENS_
             "coluna": F.lit(c), "total": F.count("*"), "nulos": count_if(df[c].isNull()), "preenchidos": filled,
         })
     verdict = F.when(F.col("preenchidos") == 0, L.DECLARED_ALL_NULL).otherwise(L.DECLARED_DIVERGES)
-    return stack_rows(df, rows).withColumn("veredito", verdict).orderBy("coluna")
+    return Section(rows, lambda out: out.withColumn("veredito", verdict).orderBy("coluna"))
 
 
 def cardinality(
@@ -140,31 +155,42 @@ def cardinality(
     counts over the value frequencies, which spread by value over the cluster.
     """
     names = _names(df, columns)
-    if exact:
-        per = (
-            value_counts(df, names)
-            .groupBy("coluna")
-            .agg(F.count("valor").alias("distintos"), F.sum("linhas").alias("total"))
-        )
-        types = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(type_name(df, c)))])
-        out = per.withColumn("tipo", types[F.col("coluna")])
-    else:
-        out = stack_rows(df, [
-            {
-                "coluna": F.lit(c), "tipo": F.lit(type_name(df, c)),
-                "distintos": F.approx_count_distinct(df[c]), "total": F.count("*"),
-            }
-            for c in names
-        ])
+    if not exact:
+        return cardinality_section(df, names, mode).report(df)
+    per = (
+        value_counts(df, names)
+        .groupBy("coluna")
+        .agg(F.count("valor").alias("distintos"), F.sum("linhas").alias("total"))
+    )
+    types = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(type_name(df, c)))])
+    out = per.withColumn("tipo", types[F.col("coluna")])
+    return _cardinality_f3(out) if mode == "f3" else _cardinality_f1(out)
+
+
+def cardinality_section(df: DataFrame, names: Sequence[str], mode: str = "f1") -> Section:
+    rows = [
+        {
+            "coluna": F.lit(c), "tipo": F.lit(type_name(df, c)),
+            "distintos": F.approx_count_distinct(df[c]), "total": F.count("*"),
+        }
+        for c in names
+    ]
+    return Section(rows, _cardinality_f3 if mode == "f3" else _cardinality_f1)
+
+
+def _cardinality_f3(out: DataFrame) -> DataFrame:
+    d, t = F.col("distintos"), F.col("total")
+    profile = (
+        F.when(d <= 1, L.CARD3_CONSTANT)
+        .when(d <= 20, L.CARD3_LOW)
+        .when(d * 10 >= t * 9, L.CARD3_IDENTIFIER)
+        .otherwise(L.CARD3_NORMAL)
+    )
+    return out.select("coluna", "distintos", "total", profile.alias("perfil")).orderBy("coluna")
+
+
+def _cardinality_f1(out: DataFrame) -> DataFrame:
     d, t = F.col("distintos"), F.col("total")
-    if mode == "f3":
-        profile = (
-            F.when(d <= 1, L.CARD3_CONSTANT)
-            .when(d <= 20, L.CARD3_LOW)
-            .when(d * 10 >= t * 9, L.CARD3_IDENTIFIER)
-            .otherwise(L.CARD3_NORMAL)
-        )
-        return out.select("coluna", "distintos", "total", profile.alias("perfil")).orderBy("coluna")
     ladder = (
         F.when(d <= 1, L.CARD_CONSTANT)
         .when(d <= 3, L.CARD_VERY_LOW)
@@ -178,10 +204,14 @@ def cardinality(
 
 def domain(df: DataFrame, columns: Sequence[str], k: int = 8) -> DataFrame:
     """Most frequent values of every column, all columns from one scan."""
-    freq = value_counts(df, columns)
+    return domain_of(value_counts(df, columns), total_rows(df), k)
+
+
+def domain_of(freq: DataFrame, total: Column, k: int = 8) -> DataFrame:
+    """``domain`` from value frequencies already at hand."""
     top = top_k_per_group(freq, ["coluna"], [F.desc("linhas"), F.asc_nulls_first("valor")], k)
     return top.select(
-        "coluna", "valor", F.col("linhas").alias("qtd"), pct(F.col("linhas"), total_rows(df)).alias("pct")
+        "coluna", "valor", F.col("linhas").alias("qtd"), pct(F.col("linhas"), total).alias("pct")
     ).orderBy("coluna", F.desc("qtd"), "valor")
 
 
@@ -189,6 +219,10 @@ def flag_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """True / false / null of the boolean columns."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
+    return flag_section(df, columns).report(df)
+
+
+def flag_section(df: DataFrame, columns: Sequence[str]) -> Section:
     rows = [
         {
             "flag": F.lit(c), "verdadeiro": count_if(df[c]), "falso": count_if(~df[c]),
@@ -196,7 +230,7 @@ def flag_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         }
         for c in columns
     ]
-    return stack_rows(df, rows).orderBy("flag")
+    return Section(rows, lambda out: out.orderBy("flag"))
 
 
 def string_flag_domain(
@@ -222,6 +256,12 @@ def numeric_profile(
     ``mode='sum'`` is the variant with sum and positives and no percentiles.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
+    return numeric_section(df, names, accuracy, places, mode).report(df)
+
+
+def numeric_section(
+    df: DataFrame, names: Sequence[str], accuracy: int = 10000, places: int = 4, mode: str = "f1"
+) -> Section:
     rows = []
     for c in names:
         x = df[c]
@@ -240,7 +280,7 @@ def numeric_profile(
         row["negativos"] = count_if(x < 0)
         row["zeros"] = count_if(x == 0)
         rows.append(row)
-    return stack_rows(df, rows).orderBy("coluna")
+    return Section(rows, lambda out: out.orderBy("coluna"))
 
 
 def totals(
@@ -274,6 +314,10 @@ def totals(
             for c in names
         ]
         return stack_rows(df, rows).orderBy("coluna")
+    return totals_section(df, names, places).report(df)
+
+
+def totals_section(df: DataFrame, names: Sequence[str], places: int = 2) -> Section:
     rows = [
         {
             "coluna": F.lit(c),
@@ -282,12 +326,10 @@ def totals(
         }
         for c in names
     ]
-    return stack_rows(df, rows).select(
-        "coluna",
-        "total_numerico",
-        F.round(F.col("total_numerico"), places).alias("total_arredondado"),
-        "linhas_preenchidas",
-    ).orderBy("coluna")
+    rounded = F.round(F.col("total_numerico"), places).alias("total_arredondado")
+    return Section(
+        rows, lambda out: out.select("coluna", "total_numerico", rounded, "linhas_preenchidas").orderBy("coluna")
+    )
 
 
 def dedup_total(df: DataFrame, key: Sequence[str], columns: Sequence[str], places: int = 2) -> DataFrame:

@@ -20,8 +20,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Checked size: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Checked size; 0 skips the check and answers no."""
+    return max_rows > 0 and df.limit(max_rows + 1).count() <= max_rows
 
 
 def tag_union(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:

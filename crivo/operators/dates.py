@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import dates as D
 from ..functions import missing as M
 from ..functions.ratios import count_if, pct
-from ._shape import stack_rows, value_counts
+from ._shape import Section, value_counts
 
 
 def _date(df: DataFrame, c: str) -> Column:
@@ -21,16 +21,16 @@ def _date(df: DataFrame, c: str) -> Column:
 
 def string_date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Formats in use in text dates; more than one format in a column alerts."""
-    # text and format are worked out once per cell, then only counted
-    cells = df.select(*[
-        x
-        for i, c in enumerate(columns)
-        for x in (df[c].alias(f"v{i}"), F.trim(df[c]).alias(f"t{i}"), D.date_format_of(df[c]).alias(f"f{i}"))
-    ])
+    return string_date_section(df, columns).report(df)
+
+
+def string_date_section(df: DataFrame, columns: Sequence[str]) -> Section:
+    # the format is worked out once per cell, then only counted
+    cells = [D.date_format_of(df[c]).alias(f"formato_{i}") for i, c in enumerate(columns)]
     rows = []
     for i, c in enumerate(columns):
-        v, t, f = F.col(f"v{i}"), F.col(f"t{i}"), F.col(f"f{i}")
-        dated = F.when(~t.isin("", "00000000"), v)
+        t, f = F.trim(df[c]), F.col(f"formato_{i}")
+        dated = F.when(~t.isin("", "00000000"), df[c])
         rows.append({
             "coluna": F.lit(c),
             "total": F.count("*"),
@@ -42,14 +42,13 @@ def string_date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "minimo": F.min(dated),
             "maximo": F.max(dated),
         })
-    out = stack_rows(cells, rows)
     used = [F.when(F.col(x) > 0, 1).otherwise(0) for x in ("fmt_aaaammdd", "fmt_iso", "fmt_br")]
     unknown = F.col("total") - F.col("vazios") - F.col("fmt_aaaammdd") - F.col("fmt_iso") - F.col("fmt_br")
-    return out.select(
+    verdict = F.when(used[0] + used[1] + used[2] > 1, L.DATE_MIXED).otherwise(L.DATE_SINGLE)
+    return Section(rows, lambda out: out.select(
         "coluna", "vazios", "fmt_aaaammdd", "fmt_iso", "fmt_br", "data_zero",
-        unknown.alias("nao_reconhecido"), "minimo", "maximo",
-        F.when(used[0] + used[1] + used[2] > 1, L.DATE_MIXED).otherwise(L.DATE_SINGLE).alias("veredito"),
-    ).orderBy("coluna")
+        unknown.alias("nao_reconhecido"), "minimo", "maximo", verdict.alias("veredito"),
+    ).orderBy("coluna"), cells)
 
 
 def date_format_classes(df: DataFrame, column: str) -> DataFrame:
@@ -74,13 +73,14 @@ def date_format_classes(df: DataFrame, column: str) -> DataFrame:
 
 def valid_date_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Real date range of text dates, empty or zero ones and impossible ones."""
-    cells = df.select(*[
-        x for i, c in enumerate(columns)
-        for x in (F.trim(df[c].cast("string")).alias(f"t{i}"), D.compact_date(df[c]).alias(f"d{i}"))
-    ])
+    return valid_range_section(df, columns).report(df)
+
+
+def valid_range_section(df: DataFrame, columns: Sequence[str]) -> Section:
+    cells = [D.compact_date(df[c]).alias(f"data_{i}") for i, c in enumerate(columns)]
     rows = []
     for i, c in enumerate(columns):
-        t, d = F.col(f"t{i}"), F.col(f"d{i}")
+        t, d = F.trim(df[c].cast("string")), F.col(f"data_{i}")
         empty = t.isNull() | t.isin("", "00000000")
         rows.append({
             "coluna": F.lit(c),
@@ -89,7 +89,12 @@ def valid_date_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "vazia_ou_zerada": count_if(empty),
             "invalida": count_if(~empty & d.isNull()),
         })
-    return stack_rows(cells, rows).orderBy("coluna")
+    return Section(rows, lambda out: out.orderBy("coluna"), cells)
+
+
+def _day_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Frequencies of days, as day numbers: their extremes stay in a hash aggregate."""
+    return value_counts(df, {c: F.unix_date(df[c].cast("date")) for c in columns})
 
 
 def native_date_profile(df: DataFrame, columns: Sequence[str], as_of: str | None = None) -> DataFrame:
@@ -97,17 +102,21 @@ def native_date_profile(df: DataFrame, columns: Sequence[str], as_of: str | None
 
     The reference day is a parameter so that a run can be repeated.
     """
-    today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    freq = value_counts(df, {c: df[c].cast("date").cast("string") for c in columns})
+    return native_date_profile_of(_day_counts(df, columns), as_of)
+
+
+def native_date_profile_of(days: DataFrame, as_of: str | None = None) -> DataFrame:
+    """``native_date_profile`` from day-number frequencies already at hand."""
+    today = F.unix_date(F.current_date() if as_of is None else F.lit(as_of).cast("date"))
     v, n = F.col("valor"), F.col("linhas")
     return (
-        freq.groupBy("coluna")
+        days.groupBy("coluna")
         .agg(
             F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulos"),
-            F.min(v).alias("minimo"),
-            F.max(v).alias("maximo"),
+            F.date_from_unix_date(F.min(v)).cast("string").alias("minimo"),
+            F.date_from_unix_date(F.max(v)).cast("string").alias("maximo"),
             F.count(v).alias("distintas"),
-            F.sum(F.when(v.cast("date") > today, n).otherwise(0)).alias("futuras"),
+            F.sum(F.when(v > today, n).otherwise(0)).alias("futuras"),
         )
         .orderBy("coluna")
     )
@@ -115,15 +124,15 @@ def native_date_profile(df: DataFrame, columns: Sequence[str], as_of: str | None
 
 def timestamp_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls, range and distinct instants of timestamp columns."""
-    cols = {c: F.date_format(df[c], "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in columns}
     v, n = F.col("valor"), F.col("linhas")
+    shown = lambda x: F.date_format(F.timestamp_micros(x), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return (
-        value_counts(df, cols)
+        value_counts(df, {c: F.unix_micros(df[c].cast("timestamp")) for c in columns})
         .groupBy("coluna")
         .agg(
             F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulos"),
-            F.min(v).alias("minimo"),
-            F.max(v).alias("maximo"),
+            shown(F.min(v)).alias("minimo"),
+            shown(F.max(v)).alias("maximo"),
             F.count(v).alias("distintos"),
         )
         .orderBy("coluna")
@@ -149,17 +158,22 @@ def time_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def freshness(df: DataFrame, columns: Sequence[str], as_of: str | None = None) -> DataFrame:
     """Latest load, days since and distinct load days of each audit column."""
+    return freshness_of(_day_counts(df, columns), as_of)
+
+
+def freshness_of(days: DataFrame, as_of: str | None = None) -> DataFrame:
+    """``freshness`` from day-number frequencies already at hand."""
     now = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    freq = value_counts(df, {c: df[c].cast("date").cast("string") for c in columns})
-    d = F.col("valor").cast("date")
+    v = F.col("valor")
+    last = F.date_from_unix_date(F.max(v))
     return (
-        freq.groupBy("coluna")
+        days.groupBy("coluna")
         .agg(
             F.sum("linhas").alias("linhas"),
-            F.min(d).alias("primeira_carga"),
-            F.max(d).alias("ultima_carga"),
-            F.datediff(now, F.max(d)).alias("dias_desde_carga"),
-            F.count(d).alias("dias_distintos_carga"),
+            F.date_from_unix_date(F.min(v)).alias("primeira_carga"),
+            last.alias("ultima_carga"),
+            F.datediff(now, last).alias("dias_desde_carga"),
+            F.count(v).alias("dias_distintos_carga"),
         )
         .orderBy("coluna")
     )
@@ -210,17 +224,22 @@ def temporal_coverage(df: DataFrame, column: str) -> DataFrame:
 
 def date_order(df: DataFrame, rules: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Rules of the form "first date is not after the second", all in one pass."""
+    return date_order_section(df, rules).report(df)
+
+
+def date_order_section(df: DataFrame, rules: Mapping[str, tuple[str, str]]) -> Section:
     cols = list(dict.fromkeys(c for pair in rules.values() for c in pair))
-    parsed = df.select(*[_date(df, c).alias(c) for c in cols])
+    name = {c: f"ordem_{i}" for i, c in enumerate(cols)}
     rows = []
-    for name, (a, b) in rules.items():
-        x, y = F.col(a), F.col(b)
+    for rule, (a, b) in rules.items():
+        x, y = F.col(name[a]), F.col(name[b])
         rows.append({
-            "regra": F.lit(name),
+            "regra": F.lit(rule),
             "avaliadas": count_if(x.isNotNull() & y.isNotNull()),
             "violacoes": count_if(x > y),
         })
-    return stack_rows(parsed, rows).orderBy(F.desc("violacoes"), "regra")
+    cells = [_date(df, c).alias(name[c]) for c in cols]
+    return Section(rows, lambda out: out.orderBy(F.desc("violacoes"), "regra"), cells)
 
 
 def day_lag(

@@ -13,38 +13,54 @@ from ..functions.ratios import count_if, pct, ratio
 from ._shape import join_names, semi_null_safe, stack_rows, unpivot_text
 
 
-def _key_groups(df: DataFrame, keys: Sequence[Sequence[str]]) -> tuple[DataFrame, list[int]]:
-    """Row count of every combination of every candidate key, from one scan.
+def key_ids(keys: Sequence[Sequence[str]]) -> list[int]:
+    """Grouping id of each candidate key within ``key_histogram``."""
+    cols = list(dict.fromkeys(c for k in keys for c in k))
+    return [sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in k) for k in keys]
+
+
+def key_histogram(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
+    """(gid, qtd, chaves): how many keys of each candidate occur ``qtd`` times.
 
     GROUPING SETS feeds all candidates from one read and one shuffle with
     map-side counts. Nulls are ordinary key values here: the grouping id tells
-    a null of the data from a column outside the candidate.
+    a null of the data from a column outside the candidate. The result is tiny
+    and answers every question about grain and repetition.
     """
     cols = list(dict.fromkeys(c for k in keys for c in k))
-    ids = [sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in k) for k in keys]
     sets = list({frozenset(k): list(k) for k in keys}.values())
     groups = (
         df.select(*cols)
         .groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols])
         .agg(F.grouping_id().alias("gid"), F.count("*").alias("qtd"))
     )
-    return groups.select("gid", "qtd"), ids
+    return groups.groupBy("gid", "qtd").agg(F.count("*").alias("chaves"))
+
+
+def _sum_where(p: Column, x: Column) -> Column:
+    return F.coalesce(F.sum(F.when(p, x)), F.lit(0))
+
+
+def key_sizes(gid: int) -> tuple[Column, Column]:
+    """Rows and distinct keys of one candidate, as aggregates over the histogram."""
+    mine = F.col("gid") == gid
+    return _sum_where(mine, F.col("qtd") * F.col("chaves")), _sum_where(mine, F.col("chaves"))
 
 
 def grain(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     """Rows per distinct key of every candidate; 1.0 means the key is unique."""
-    groups, ids = _key_groups(df, keys)
+    return grain_of(key_histogram(df, keys), keys)
+
+
+def grain_of(hist: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
+    """``grain`` from a key histogram already at hand."""
     rows = []
-    for key, gid in zip(keys, ids):
-        mine = F.col("gid") == gid
-        rows.append({
-            "chave": F.lit(join_names(key)),
-            "linhas": F.coalesce(F.sum(F.when(mine, F.col("qtd"))), F.lit(0)),
-            "combinacoes_distintas": count_if(mine),
-        })
+    for key, gid in zip(keys, key_ids(keys)):
+        n, d = key_sizes(gid)
+        rows.append({"chave": F.lit(join_names(key)), "linhas": n, "combinacoes_distintas": d})
     n, d = F.col("linhas"), F.col("combinacoes_distintas")
     return (
-        stack_rows(groups, rows)
+        stack_rows(hist, rows)
         .withColumn("linhas_por_chave", ratio(n, d))
         .withColumn("veredito", F.when(n == d, L.KEY_UNIQUE).otherwise(L.KEY_NOT_UNIQUE))
         .orderBy("linhas_por_chave", "chave")
@@ -60,17 +76,22 @@ def suggest_key(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
 
 def duplicate_summary(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     """Repeated combinations, excess rows and worst case of every candidate."""
-    groups, ids = _key_groups(df, keys)
+    return duplicate_summary_of(key_histogram(df, keys), keys)
+
+
+def duplicate_summary_of(hist: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
+    """``duplicate_summary`` from a key histogram already at hand."""
+    n, k = F.col("qtd"), F.col("chaves")
     rows = []
-    for key, gid in zip(keys, ids):
-        dup = (F.col("gid") == gid) & (F.col("qtd") > 1)
+    for key, gid in zip(keys, key_ids(keys)):
+        dup = (F.col("gid") == gid) & (n > 1)
         rows.append({
             "chave": F.lit(join_names(key)),
-            "chaves_repetidas": count_if(dup),
-            "linhas_excedentes": F.sum(F.when(dup, F.col("qtd") - 1)),
-            "pior_caso": F.max(F.when(dup, F.col("qtd"))),
+            "chaves_repetidas": _sum_where(dup, k),
+            "linhas_excedentes": F.sum(F.when(dup, (n - 1) * k)),
+            "pior_caso": F.max(F.when(dup, n)),
         })
-    return stack_rows(groups, rows).orderBy(F.desc("chaves_repetidas"), "chave")
+    return stack_rows(hist, rows).orderBy(F.desc("chaves_repetidas"), "chave")
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str], k: int | None = 20) -> DataFrame:
@@ -120,26 +141,38 @@ def varying_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
     )
 
 
-def _versions(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None, mode: str) -> DataFrame:
-    """(key, linhas, versoes): rows are first counted per (key, content)."""
+def version_histogram(
+    df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "json"
+) -> DataFrame:
+    """(linhas, versoes, chaves): keys by row count and number of differing contents.
+
+    Rows are counted per (key, content) first, so a hot key spreads over tasks
+    by its contents before its versions are counted.
+    """
     h = df.select(*key, row_hash(columns or df.columns, mode).alias("hash_linha"))
     content = h.groupBy(*key, "hash_linha").agg(F.count("*").alias("n"))
-    return content.groupBy(*key).agg(F.sum("n").alias("linhas"), F.count("*").alias("versoes"))
+    per_key = content.groupBy(*key).agg(F.sum("n").alias("linhas"), F.count("*").alias("versoes"))
+    return per_key.groupBy("linhas", "versoes").agg(F.count("*").alias("chaves"))
 
 
 def pure_vs_version(
     df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "json"
 ) -> DataFrame:
     """Splits repeated keys into identical rows and differing versions."""
-    n, v = F.col("linhas"), F.col("versoes")
-    zero = F.lit(0)
-    return _versions(df, key, columns, mode).agg(
-        F.count("*").alias("chaves"),
-        F.coalesce(F.sum(n), zero).alias("linhas"),
-        count_if(n > 1).alias("chaves_duplicadas"),
-        F.coalesce(F.sum(n - v), zero).alias("linhas_duplicata_pura"),
-        count_if(v > 1).alias("chaves_com_mais_de_uma_versao"),
-        F.coalesce(F.sum(F.when(v > 1, v - 1).otherwise(0)), zero).alias("linhas_versao_excedente"),
+    return pure_vs_version_of(version_histogram(df, key, columns, mode))
+
+
+def pure_vs_version_of(hist: DataFrame) -> DataFrame:
+    """``pure_vs_version`` from a version histogram already at hand."""
+    n, v, k = F.col("linhas"), F.col("versoes"), F.col("chaves")
+    every = F.lit(True)
+    return hist.agg(
+        _sum_where(every, k).alias("chaves"),
+        _sum_where(every, n * k).alias("linhas"),
+        _sum_where(n > 1, k).alias("chaves_duplicadas"),
+        _sum_where(every, (n - v) * k).alias("linhas_duplicata_pura"),
+        _sum_where(v > 1, k).alias("chaves_com_mais_de_uma_versao"),
+        _sum_where(v > 1, (v - 1) * k).alias("linhas_versao_excedente"),
     )
 
 
@@ -147,11 +180,11 @@ def repeated_versions(
     df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "json"
 ) -> DataFrame:
     """The short form: repeated keys, identical repetitions, keys with versions."""
-    n, v = F.col("linhas"), F.col("versoes")
-    return _versions(df, key, columns, mode).where(n > 1).agg(
-        F.count("*").alias("chaves_repetidas"),
-        F.coalesce(F.sum(n - v), F.lit(0)).alias("repeticoes_identicas"),
-        count_if(v > 1).alias("chaves_com_versoes"),
+    n, v, k = F.col("linhas"), F.col("versoes"), F.col("chaves")
+    return version_histogram(df, key, columns, mode).agg(
+        _sum_where(n > 1, k).alias("chaves_repetidas"),
+        _sum_where(n > 1, (n - v) * k).alias("repeticoes_identicas"),
+        _sum_where(v > 1, k).alias("chaves_com_versoes"),
     )
 
 
@@ -159,10 +192,20 @@ def row_checksum(df: DataFrame, columns: Sequence[str] | None = None, mode: str
     """Rows, distinct fingerprints and fully identical rows of a table."""
     h = df.select(row_hash(columns or df.columns, mode).alias("hash_linha"))
     per = h.groupBy("hash_linha").agg(F.count("*").alias("n"))
-    n, d = F.coalesce(F.sum("n"), F.lit(0)), F.count("*")
-    return per.agg(n.alias("linhas"), d.alias("linhas_unicas"), (n - d).alias("linhas_identicas")).withColumn(
-        "veredito", F.when(F.col("linhas_identicas") == 0, L.ROWS_DISTINCT).otherwise(L.ROWS_IDENTICAL)
-    )
+    return _checksum(per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"), F.count("*").alias("linhas_unicas")))
+
+
+def row_checksum_of(hist: DataFrame) -> DataFrame:
+    """``row_checksum`` from a version histogram whose contents include the key."""
+    n, v, k = F.col("linhas"), F.col("versoes"), F.col("chaves")
+    every = F.lit(True)
+    return _checksum(hist.agg(_sum_where(every, n * k).alias("linhas"), _sum_where(every, v * k).alias("linhas_unicas")))
+
+
+def _checksum(totals: DataFrame) -> DataFrame:
+    same = F.col("linhas") - F.col("linhas_unicas")
+    verdict = F.when(F.col("linhas_identicas") == 0, L.ROWS_DISTINCT).otherwise(L.ROWS_IDENTICAL)
+    return totals.withColumn("linhas_identicas", same).withColumn("veredito", verdict)
 
 
 def content_hash_check(df: DataFrame, column: str) -> DataFrame:

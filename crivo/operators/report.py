@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import labels as L
 from ..functions.ratios import count_if, ratio
 from ._shape import join_names, stack_rows
-from .keys import _key_groups
+from .keys import key_histogram, key_ids, key_sizes
 
 
 def _entry(block: str, item: str, value, verdict="") -> dict:
@@ -23,52 +23,57 @@ def summary(df: DataFrame, keys: Sequence[Sequence[str]], clustering: Sequence[s
 
     Everything comes from one grouping-sets pass over the candidate keys.
     """
-    groups, ids = _key_groups(df, keys)
-    n = lambda gid: F.coalesce(F.sum(F.when(F.col("gid") == gid, F.col("qtd"))), F.lit(0))
-    d = lambda gid: count_if(F.col("gid") == gid)
+    return summary_of(key_histogram(df, keys), keys, len(df.columns), clustering)
+
+
+def summary_of(
+    hist: DataFrame, keys: Sequence[Sequence[str]], columns: int, clustering: Sequence[str] = ()
+) -> DataFrame:
+    """``summary`` from a key histogram already at hand."""
+    ids = key_ids(keys)
     rows = [
-        _entry("VOLUMETRIA", "linhas na base", n(ids[0]).cast("string")),
-        _entry("VOLUMETRIA", "colunas", str(len(df.columns))),
+        _entry("VOLUMETRIA", "linhas na base", key_sizes(ids[0])[0].cast("string")),
+        _entry("VOLUMETRIA", "colunas", str(columns)),
     ]
     if clustering:
         rows.append(_entry("VOLUMETRIA", "clustering declarado", ", ".join(clustering)))
     for key, gid in zip(keys, ids):
+        n, d = key_sizes(gid)
         rows.append(_entry(
-            "GRANULARIDADE", join_names(key),
-            F.format_string("%.4f", ratio(n(gid), d(gid))),
-            F.when(n(gid) == d(gid), L.KEY_UNIQUE).otherwise(L.KEY_NOT_UNIQUE_SHORT),
+            "GRANULARIDADE", join_names(key), F.format_string("%.4f", ratio(n, d)),
+            F.when(n == d, L.KEY_UNIQUE).otherwise(L.KEY_NOT_UNIQUE_SHORT),
         ))
-    return stack_rows(groups, rows).orderBy("bloco", "item")
+    return stack_rows(hist, rows).orderBy("bloco", "item")
 
 
 def scenario_summary(df: DataFrame, keys: Sequence[Sequence[str]], facts: Mapping[str, str]) -> DataFrame:
     """Scenario facts, grain lines and the suggested key, as block / item / value."""
-    groups, ids = _key_groups(df, keys)
-    n = lambda gid: F.coalesce(F.sum(F.when(F.col("gid") == gid, F.col("qtd"))), F.lit(0))
-    d = lambda gid: count_if(F.col("gid") == gid)
-    plain = {k: F.lit(v) for k, v in facts.items()}
-    rows = [{"bloco": F.lit("CENARIO"), "item": F.lit(k), "valor": v} for k, v in plain.items()]
-    rows.append({
-        "bloco": F.lit("CENARIO"), "item": F.lit("linhas no cenario"), "valor": F.format_number(n(ids[0]), 0),
-    })
-    rows.append({"bloco": F.lit("CENARIO"), "item": F.lit("colunas"), "valor": F.lit(str(len(df.columns)))})
+    return scenario_summary_of(key_histogram(df, keys), keys, len(df.columns), facts)
+
+
+def scenario_summary_of(
+    hist: DataFrame, keys: Sequence[Sequence[str]], columns: int, facts: Mapping[str, str]
+) -> DataFrame:
+    """``scenario_summary`` from a key histogram already at hand."""
+    ids = key_ids(keys)
+    entry = lambda block, item, value: {
+        "bloco": F.lit(block), "item": F.lit(item), "valor": F.lit(value) if isinstance(value, str) else value,
+    }
+    rows = [entry("CENARIO", k, v) for k, v in facts.items()]
+    rows.append(entry("CENARIO", "linhas no cenario", F.format_number(key_sizes(ids[0])[0], 0)))
+    rows.append(entry("CENARIO", "colunas", str(columns)))
     unique = []
     for key, gid in zip(keys, ids):
-        is_key = n(gid) == d(gid)
-        unique.append(F.when(is_key, F.lit(join_names(key))))
-        rows.append({
-            "bloco": F.lit("GRANULARIDADE"), "item": F.lit(join_names(key)),
-            "valor": F.concat(
-                F.format_number(d(gid), 0), F.lit(" distintos | "),
-                F.format_string("%.4f", ratio(n(gid), d(gid))), F.lit(" linhas/chave | "),
-                F.when(is_key, L.KEY_UNIQUE).otherwise(L.KEY_NOT_UNIQUE_SHORT),
-            ),
-        })
+        n, d = key_sizes(gid)
+        unique.append(F.when(n == d, F.lit(join_names(key))))
+        rows.append(entry("GRANULARIDADE", join_names(key), F.concat(
+            F.format_number(d, 0), F.lit(" distintos | "),
+            F.format_string("%.4f", ratio(n, d)), F.lit(" linhas/chave | "),
+            F.when(n == d, L.KEY_UNIQUE).otherwise(L.KEY_NOT_UNIQUE_SHORT),
+        )))
     first = F.array_min(F.array(*unique))
-    rows.append({
-        "bloco": F.lit("CHAVE REAL"), "item": F.lit("sugerida"), "valor": F.coalesce(first, F.lit(L.KEY_NONE)),
-    })
-    return stack_rows(groups, rows).orderBy("bloco", "item")
+    rows.append(entry("CHAVE REAL", "sugerida", F.coalesce(first, F.lit(L.KEY_NONE))))
+    return stack_rows(hist, rows).orderBy("bloco", "item")
 
 
 def canary_summary(df: DataFrame, key: Sequence[str], name: str, expected: int | None, scenario: str) -> DataFrame:

@@ -12,13 +12,17 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import semi_null_safe, stack_rows, total_rows, type_name, unpivot_text
+from ._shape import Section, semi_null_safe, stack_rows, total_rows, type_name, unpivot_text
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Rows that satisfy each named predicate (suspicious combinations)."""
+    return rule_section(rules).report(df)
+
+
+def rule_section(rules: Mapping[str, Column]) -> Section:
     rows = [{"situacao": F.lit(n), "linhas": count_if(p)} for n, p in rules.items()]
-    return stack_rows(df, rows).orderBy(F.desc("linhas"), "situacao")
+    return Section(rows, lambda out: out.orderBy(F.desc("linhas"), "situacao"))
 
 
 suspicious_combinations = rule_counts

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import stack_rows, total_rows, unpivot_text, value_counts
+from ._shape import stack_rows, total_rows, value_counts
 
 
 def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> DataFrame:
@@ -116,21 +116,20 @@ def value_search(df: DataFrame, value: str, columns: Sequence[str] | None = None
     """In which text columns does a value occur: exact, zero-padded or partial."""
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    v = F.col("valor")
-    t = F.trim(v)
-    bare = N.strip_zeros(v)
-    return (
-        unpivot_text(df, columns)
-        .where(v.contains(value))
-        .groupBy("coluna")
-        .agg(
-            count_if(t == value).alias("correspondencias_exatas"),
-            count_if((t != value) & (bare == value)).alias("correspondencias_com_zeros_esquerda"),
-            count_if(bare != value).alias("correspondencias_parciais"),
-            F.min(v).alias("exemplo"),
-        )
-        .orderBy("coluna")
-    )
+    # 0 exact, 1 zero-padded, 2 partial, null no hit: one test per cell
+    kinds, rows = [], []
+    for i, c in enumerate(columns):
+        t, k = F.trim(df[c]), F.col(f"acerto_{i}")
+        hit = F.when(t == value, 0).when(N.strip_zeros(df[c]) == value, 1).otherwise(2)
+        kinds.append(F.when(df[c].contains(value), hit).alias(f"acerto_{i}"))
+        rows.append({
+            "coluna": F.lit(c),
+            "correspondencias_exatas": count_if(k == 0),
+            "correspondencias_com_zeros_esquerda": count_if(k == 1),
+            "correspondencias_parciais": count_if(k == 2),
+            "exemplo": F.min(F.when(k.isNotNull(), df[c])),
+        })
+    return stack_rows(df.select("*", *kinds), rows).where(F.col("exemplo").isNotNull()).orderBy("coluna")
 
 
 def funnel(

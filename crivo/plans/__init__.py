@@ -2,7 +2,8 @@
 
 from .canary import canary
 from .explore import explore
+from .fused import fused
 from .keylist import validate_key_list
 from .scenario import scenario
 
-__all__ = ["canary", "explore", "scenario", "validate_key_list"]
+__all__ = ["canary", "explore", "fused", "scenario", "validate_key_list"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Timestamps compare with other engines in UTC; AQE coalesces small shuffles
@@ -24,3 +27,17 @@ def build_session(app: str = "crivo", master: str | None = None, **conf: str) ->
     for k, v in {**DEFAULTS, **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """New folder name for intermediate tables, under the cluster's shared folder.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting falls back to a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass work_dir")
+        root = tempfile.mkdtemp(prefix="crivo-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -141,3 +141,38 @@ def test_key_list_profile(spark, sf, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/missing").count() == cov.ausentes
     for name, report in out.items():
         report.write.format("noop").mode("overwrite").save()
+
+
+def test_fused_profile_agrees_with_the_lazy_one(spark, sf, tmp_path):
+    """Few shared passes give the reports the separate sections give."""
+    from dataclasses import replace
+
+    df = pedidos(spark, sf)
+    spec = replace(SPEC, rules={"aberto": F.col("ind_aberto") == "X"}, keys=[["st_pedido", "dt_pedido"], ["num_pedido"]])
+    lazy = plans.explore(df, spec, as_of="2002-01-01")
+    done = plans.fused(df, spec, work_dir=str(tmp_path), as_of="2002-01-01")
+    same = set(lazy) & set(done) - {"sample"}
+    assert {"fill", "cardinality", "domain", "codes", "grain", "duplicates", "summary", "varying_columns", "rules",
+            "string_dates", "native_dates", "freshness", "date_order", "declared_empty", "flags"} <= same
+    for name in sorted(same):
+        a, b = lazy[name].collect(), done[name].collect()
+        assert sorted(map(repr, a)) == sorted(map(repr, b)), name
+    from crivo.operators import keys
+
+    assert done["checksum"].collect() == keys.row_checksum(df).collect()
+    assert done["versions"].collect() == keys.pure_vs_version(df, spec.key).collect()
+
+
+def test_shared_dir_follows_the_cluster_setting(tmp_path):
+    from types import SimpleNamespace
+
+    from crivo.session import shared_dir
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda key, default=None: folder if key == "spark.checkpoint.dir" else default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("spark://host:7077", str(tmp_path)), "x").startswith(f"{tmp_path}/x-")
+    assert "crivo-" in shared_dir(session("local[2]", None), "x")
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077", None), "x")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crivo.functions.missing import display_bucket, has_value, no_value
+from crivo.functions.dates import compact_date
+from crivo.functions.missing import no_value
 from crivo.functions.ratios import count_if
 from crivo.operators import codes, columns, dates, volume
 
@@ -789,19 +790,19 @@ def volume_check(spark, d):
     """SELECT st_pedido, count(*) AS linhas, count(DISTINCT cod_cliente) AS clientes,
         count(*) FILTER (WHERE dt_pedido IS NULL OR trim(dt_pedido) IN ('', '00000000')) AS data_invalida,
         count(*) FILTER (WHERE tp_prioridade IS NULL OR trim(tp_prioridade) = '') AS prioridade_vazia,
-        min(dt_pedido) FILTER (WHERE regexp_matches(dt_pedido, '^[0-9]{8}$') AND dt_pedido <> '00000000') AS menor_data,
-        max(dt_pedido) FILTER (WHERE regexp_matches(dt_pedido, '^[0-9]{8}$') AND dt_pedido <> '00000000') AS maior_data
+        min(CAST(try_strptime(dt_pedido, '%Y%m%d') AS DATE)) FILTER (WHERE regexp_matches(dt_pedido, '^[0-9]{8}$') AND dt_pedido <> '00000000') AS menor_data,
+        max(CAST(try_strptime(dt_pedido, '%Y%m%d') AS DATE)) FILTER (WHERE regexp_matches(dt_pedido, '^[0-9]{8}$') AND dt_pedido <> '00000000') AS maior_data
         FROM pedidos GROUP BY 1""",
     ("pedidos",),
 )
 def group_metrics(spark, d):
     p = pedidos(spark, d)
-    compact = F.when(p.dt_pedido.rlike("^[0-9]{8}$") & (p.dt_pedido != "00000000"), p.dt_pedido)
+    day = compact_date(p.dt_pedido)
     return volume.group_metrics(p, ["st_pedido"], {
         "clientes": F.countDistinct("cod_cliente"),
         "data_invalida": count_if(no_value(p.dt_pedido) | (p.dt_pedido == "00000000")),
         "prioridade_vazia": count_if(no_value(p.tp_prioridade)),
-        "menor_data": F.min(compact), "maior_data": F.max(compact),
+        "menor_data": F.min(day), "maior_data": F.max(day),
     })
 
 

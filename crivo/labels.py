@@ -52,8 +52,8 @@ ALERT_NUMERIC_TYPE = "TIPO NUMERICO - zeros a esquerda JA perdidos"
 SNAPSHOT = "SNAPSHOT - substitui a cada carga; chave NAO precisa da data"
 HISTORY = "HISTORICO - acumula; a chave DEVE incluir {}"
 
-EQUATION_OK = "OK - equacao fecha em todas as linhas"
-EQUATION_ERROR = "ERRO - investigar antes de comparar"
+EQUATION_OK = "OK - equacao fecha"
+EQUATION_ERROR = "ERRO - investigar"
 
 REDUNDANT = "REDUNDANCIA CONFIRMADA"
 NOT_REDUNDANT = "colunas divergem"

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 # Spark prunes `row_number() <= k` before the shuffle only up to this k
 # (default of spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
-TOP_K_SALTS = 64
 
 
 def stack_rows(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
@@ -101,22 +100,34 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     """First ``k`` rows of each group.
 
     Up to GROUP_LIMIT Spark keeps only ``k`` rows per group and task before the
-    shuffle. Beyond it a salted first pass does the same, so one huge group is
-    never sorted whole in one task.
+    shuffle. Beyond it a first pass ranks the rows of each input task apart, so
+    one huge group is never sorted whole in one task.
     """
     if k > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(TOP_K_SALTS))
-        w = Window.partitionBy(*group, salt).orderBy(*order)
-        df = df.withColumn("rn_sal", F.row_number().over(w)).where(F.col("rn_sal") <= k).drop("rn_sal")
+        w = Window.partitionBy(*group, "parte").orderBy(*order)
+        ranked = df.withColumn("parte", F.spark_partition_id()).withColumn("rn", F.row_number().over(w))
+        df = ranked.where(F.col("rn") <= k).drop("rn", "parte")
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
 def total_rows(df: DataFrame) -> Column:
-    """Row count of ``df`` as a scalar subquery (reads no column of its own)."""
+    """Row count of ``df`` as a scalar subquery.
+
+    On a plain scan the count reads no column at all, only file footers.
+    """
     return df.agg(F.count("*")).scalar()
 
 
+def total_of(groups: DataFrame, rows: str = "linhas") -> Column:
+    """Row count as a scalar subquery over groups that carry their counts.
+
+    Spark reuses the shuffle of the groups for it, so the table, or the join
+    behind it, is read once.
+    """
+    return groups.agg(F.sum(rows)).scalar()
+
+
 def type_name(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -16,6 +16,7 @@ from ._shape import (
     numeric_columns,
     stack_rows,
     top_k_per_group,
+    total_of,
     total_rows,
     type_name,
     value_counts,
@@ -372,6 +373,7 @@ def distribution(
     keys = [M.display_bucket(df[c], label).alias(c) if bucket else df[c] for c in dims]
     aggs = [a.alias(n) for n, a in (metrics or {}).items()]
     out = df.groupBy(*keys).agg(F.count("*").alias("linhas"), *aggs)
-    out = out.withColumn("pct", pct(F.col("linhas"), total_rows(df)))
+    # with metrics the groups hold more than counts, and counting rows anew is cheaper
+    out = out.withColumn("pct", pct(F.col("linhas"), total_rows(df) if aggs else total_of(out)))
     out = out.orderBy(F.desc("linhas"), *dims)
     return out if k is None else out.limit(k)

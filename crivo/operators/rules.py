@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import Section, semi_null_safe, stack_rows, total_rows, type_name, unpivot_text
+from ._shape import Section, semi_null_safe, stack_rows, total_of, total_rows, type_name, unpivot_text
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -415,22 +415,14 @@ def classify_first_match(df: DataFrame, classes: Mapping[str, str | Column]) ->
     first = F.coalesce(*[
         F.when(M.has_value(df[c]) if isinstance(c, str) else c, F.lit(name)) for name, c in classes.items()
     ], F.lit(L.UNCLASSIFIED))
-    return (
-        df.groupBy(first.alias("classificacao"))
-        .agg(F.count("*").alias("linhas"))
-        .withColumn("pct", pct(F.col("linhas"), total_rows(df)))
-        .orderBy(F.desc("linhas"), "classificacao")
-    )
+    groups = df.groupBy(first.alias("classificacao")).agg(F.count("*").alias("linhas"))
+    return groups.withColumn("pct", pct(F.col("linhas"), total_of(groups))).orderBy(F.desc("linhas"), "classificacao")
 
 
 def status_matrix(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Rows and share of every combination of states."""
-    return (
-        df.groupBy(*dims)
-        .agg(F.count("*").alias("linhas"))
-        .withColumn("pct", pct(F.col("linhas"), total_rows(df)))
-        .orderBy(F.desc("linhas"), *dims)
-    )
+    groups = df.groupBy(*dims).agg(F.count("*").alias("linhas"))
+    return groups.withColumn("pct", pct(F.col("linhas"), total_of(groups))).orderBy(F.desc("linhas"), *dims)
 
 
 def decimal_precision_use(df: DataFrame, column: str, places: int = 2, shown: int = 6) -> DataFrame:
@@ -486,12 +478,10 @@ def masked_distribution(df: DataFrame, column: str, k: int | None = 30) -> DataF
     Grouping is by the person, not by the hash, so two people whose short
     hashes agree stay two rows.
     """
-    out = (
-        df.groupBy(df[column].alias("pessoa"))
-        .agg(F.count("*").alias("linhas"))
-        .select(N.mask(F.col("pessoa")).alias(f"{column}_hash"), "linhas", pct(F.col("linhas"), total_rows(df)).alias("pct"))
-        .orderBy(F.desc("linhas"), f"{column}_hash")
-    )
+    groups = df.groupBy(df[column].alias("pessoa")).agg(F.count("*").alias("linhas"))
+    share = pct(F.col("linhas"), total_of(groups)).alias("pct")
+    out = groups.select(N.mask(F.col("pessoa")).alias(f"{column}_hash"), "linhas", share)
+    out = out.orderBy(F.desc("linhas"), f"{column}_hash")
     return out if k is None else out.limit(k)
 
 

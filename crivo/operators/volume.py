@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import stack_rows, total_rows, value_counts
+from ._shape import stack_rows, total_of, total_rows, value_counts
 
 
 def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> DataFrame:
@@ -52,10 +52,9 @@ def scenario_candidates(
     if entity is not None:
         aggs.append(F.countDistinct(entity).alias("entidades"))
     n = F.col("linhas")
+    groups = df.groupBy(key).agg(*aggs)
     out = (
-        df.groupBy(key)
-        .agg(*aggs)
-        .withColumn("pct", pct(n, total_rows(df)))
+        groups.withColumn("pct", pct(n, total_rows(df) if entity is not None else total_of(groups)))
         .withColumn("sugestao", F.when(n.between(low, high), L.SCENARIO_CANDIDATE).otherwise(""))
         .orderBy(F.desc("linhas"), column)
     )

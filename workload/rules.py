@@ -26,8 +26,8 @@ def _net(spark, d):
         y AS (SELECT count(*) AS linhas, count(*) FILTER (WHERE dif <= 0.005) AS equacao_ok,
             count(*) FILTER (WHERE dif > 0.005) AS divergentes, {pct_sql('count(*) FILTER (WHERE dif > 0.005)', 'count(*)', 4)} AS pct_divergente,
             round(max(dif), 6) AS maior_diferenca, count(*) FILTER (WHERE falta OR dif IS NULL) AS com_campo_nulo FROM x)
-        SELECT *, CASE WHEN divergentes = 0 THEN 'OK - equacao fecha em todas as linhas'
-            ELSE 'ERRO - investigar antes de comparar' END AS veredito FROM y"""
+        SELECT *, CASE WHEN divergentes = 0 THEN 'OK - equacao fecha'
+            ELSE 'ERRO - investigar' END AS veredito FROM y"""
 )
 def equation_check(spark, d):
     df, net = _net(spark, d)
@@ -38,7 +38,7 @@ def equation_check(spark, d):
     """WITH y AS (SELECT count(*) AS linhas, count(*) FILTER (WHERE abs(l_quantity + l_linenumber - l_linenumber - l_quantity) <= 0.001) AS equacao_ok,
             count(*) FILTER (WHERE abs(l_quantity + l_linenumber - l_linenumber - l_quantity) > 0.001) AS divergentes FROM lineitem)
         SELECT linhas, equacao_ok, divergentes, CAST(0 AS DOUBLE) AS pct_divergente, CAST(0 AS DOUBLE) AS maior_diferenca,
-            CAST(0 AS BIGINT) AS com_campo_nulo, 'OK - equacao fecha em todas as linhas' AS veredito FROM y"""
+            CAST(0 AS BIGINT) AS com_campo_nulo, 'OK - equacao fecha' AS veredito FROM y"""
 )
 def equation_check_closed(spark, d):
     li = table(spark, d, "lineitem")

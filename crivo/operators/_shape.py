@@ -128,6 +128,21 @@ def total_of(groups: DataFrame, rows: str = "linhas") -> Column:
     return groups.agg(F.sum(rows)).scalar()
 
 
+def extremes(c: Column, dtype: T.DataType) -> list[Column]:
+    """Aggregates in (smallest, largest) pairs; some pair differs when ``c`` has several values.
+
+    Texts enter as two independent 64-bit hashes: their own extremes would make
+    Spark sort the rows, fixed-width ones stay in a hash aggregate.
+    """
+    if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        return [F.min(c), F.max(c)]
+    out = []
+    for seed in (1, 2):
+        h = F.when(c.isNotNull(), F.xxhash64(F.lit(seed), c))
+        out += [F.min(h), F.max(h)]
+    return out
+
+
 def type_name(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels as L
-from ..functions.hashing import row_hash
+from ..functions.hashing import fingerprint
 from ..functions.ratios import count_if, pct, ratio
 from ._shape import join_names, semi_null_safe, stack_rows, unpivot_text
 
@@ -142,21 +142,21 @@ def varying_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
 
 
 def version_histogram(
-    df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "json"
+    df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "pair"
 ) -> DataFrame:
     """(linhas, versoes, chaves): keys by row count and number of differing contents.
 
     Rows are counted per (key, content) first, so a hot key spreads over tasks
     by its contents before its versions are counted.
     """
-    h = df.select(*key, row_hash(columns or df.columns, mode).alias("hash_linha"))
+    h = df.select(*key, fingerprint(df, columns or df.columns, mode).alias("hash_linha"))
     content = h.groupBy(*key, "hash_linha").agg(F.count("*").alias("n"))
     per_key = content.groupBy(*key).agg(F.sum("n").alias("linhas"), F.count("*").alias("versoes"))
     return per_key.groupBy("linhas", "versoes").agg(F.count("*").alias("chaves"))
 
 
 def pure_vs_version(
-    df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "json"
+    df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "pair"
 ) -> DataFrame:
     """Splits repeated keys into identical rows and differing versions."""
     return pure_vs_version_of(version_histogram(df, key, columns, mode))
@@ -177,7 +177,7 @@ def pure_vs_version_of(hist: DataFrame) -> DataFrame:
 
 
 def repeated_versions(
-    df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "json"
+    df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "pair"
 ) -> DataFrame:
     """The short form: repeated keys, identical repetitions, keys with versions."""
     n, v, k = F.col("linhas"), F.col("versoes"), F.col("chaves")
@@ -188,9 +188,9 @@ def repeated_versions(
     )
 
 
-def row_checksum(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "json") -> DataFrame:
+def row_checksum(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "pair") -> DataFrame:
     """Rows, distinct fingerprints and fully identical rows of a table."""
-    h = df.select(row_hash(columns or df.columns, mode).alias("hash_linha"))
+    h = df.select(fingerprint(df, columns or df.columns, mode).alias("hash_linha"))
     per = h.groupBy("hash_linha").agg(F.count("*").alias("n"))
     return _checksum(per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"), F.count("*").alias("linhas_unicas")))
 

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import Section, semi_null_safe, stack_rows, total_of, total_rows, type_name, unpivot_text
+from ._shape import Section, extremes, semi_null_safe, stack_rows, total_of, total_rows, type_name
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -311,27 +311,27 @@ def flattening_histogram(df: DataFrame, stored_items: str, k: int | None = 40) -
 def header_replication(df: DataFrame, parent: str, fields: Sequence[str]) -> DataFrame:
     """Header fields repeated on items: is there one value per parent?
 
-    Cells are made distinct by (parent, field, value) before counting, which
-    keeps a parent with very many items off a single task.
+    Only "one value or more" is asked, so the smallest and largest value of each
+    parent decide, and items are combined per parent before the shuffle.
     """
-    cells = unpivot_text(df, {c: df[c].cast("string") for c in fields}, ids=[parent])
-    distinct = cells.where(M.has_value(F.col("valor"))).distinct()
-    per = distinct.groupBy("id_0", "coluna").agg(F.count("*").alias("valores"))
-    out = per.groupBy("coluna").agg(
-        F.count("*").alias("com_valor"), count_if(F.col("valores") > 1).alias("com_mais_de_um_valor")
-    )
-    rows = [
-        {
+    per = df.groupBy(parent).agg(*[
+        x.alias(f"f{i}_{j}")
+        for i, c in enumerate(fields)
+        for j, x in enumerate(extremes(F.when(M.has_value(df[c]), df[c]), df.schema[c].dataType))
+    ])
+    rows = []
+    for i, c in enumerate(fields):
+        pairs = [F.col(x) for x in per.columns if x.startswith(f"f{i}_")]
+        several = F.lit(False)
+        for lo, hi in zip(pairs[::2], pairs[1::2]):
+            several = several | (lo != hi)
+        rows.append({
             "campo": F.lit(c),
-            "pais_com_valor": F.coalesce(F.max(F.when(F.col("coluna") == c, F.col("com_valor"))), F.lit(0)),
-            "pais_com_mais_de_um_valor": F.coalesce(
-                F.max(F.when(F.col("coluna") == c, F.col("com_mais_de_um_valor"))), F.lit(0)
-            ),
-        }
-        for c in fields
-    ]
+            "pais_com_valor": F.count(pairs[0]),
+            "pais_com_mais_de_um_valor": count_if(several),
+        })
     verdict = F.when(F.col("pais_com_mais_de_um_valor") == 0, L.REPLICATED).otherwise(L.NOT_REPLICATED)
-    return stack_rows(out, rows).withColumn("veredito", verdict).orderBy("campo")
+    return stack_rows(per, rows).withColumn("veredito", verdict).orderBy("campo")
 
 
 def orphan_items(df: DataFrame, header: Sequence[str], parent: str, also: str | None = None) -> DataFrame:

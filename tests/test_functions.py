@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from crivo.functions import dates as D
 from crivo.functions import missing as M
 from crivo.functions import normalize as N
-from crivo.functions.hashing import row_hash
+from crivo.functions.hashing import fingerprint, row_hash
 from crivo.functions.ratios import pct, ratio
 
 BLANKS = [None, "", "  ", "null", "NaN", "None", "#", "-", "NA", "n/a"]
@@ -73,6 +73,14 @@ def test_hash_modes_see_null_and_blank_differently(spark):
     assert (distinct("json"), distinct("concat"), distinct("sha256")) == (2, 1, 2)
 
 
+def test_fingerprint_tells_nulls_apart(spark):
+    data = [("a", None, [None, 1]), (None, "a", [None, 1]), ("a", "", [None, 1]), ("a", None, [1, None]), ("a", None, [1]),
+            ("a", None, [None, 1])]
+    df = spark.createDataFrame(data, "x string, y string, z array<int>")
+    for mode in ("pair", "json"):
+        assert df.select(fingerprint(df, df.columns, mode).alias("f")).distinct().count() == 5
+
+
 def test_mask_is_short_and_stable(spark):
     a, b = column(spark, ["Ana", "Ana"], N.mask)
     assert a == b and len(a) == 8 and "Ana" not in a

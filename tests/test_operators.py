@@ -212,6 +212,20 @@ def test_equation_needs_no_verdict_for_nulls(spark):
     assert (r["equacao_ok"], r["divergentes"], r["com_campo_nulo"], r["maior_diferenca"]) == (1, 1, 1, 0.5)
 
 
+def test_header_replication_by_hand(spark):
+    rnd = random.Random(9)
+    data = [(f"p{rnd.randrange(30)}", rnd.choice(["a", "b", "", None]), rnd.choice([1, 2, None])) for _ in range(200)]
+    df = spark.createDataFrame(data, "p string, t string, n int")
+    got = by(rules.header_replication(df, "p", ["t", "n"]), "campo")
+    for i, c in ((1, "t"), (2, "n")):
+        per = {}
+        for r in data:
+            if r[i] not in (None, ""):
+                per.setdefault(r[0], set()).add(r[i])
+        assert got[c]["pais_com_valor"] == len(per)
+        assert got[c]["pais_com_mais_de_um_valor"] == sum(len(v) > 1 for v in per.values())
+
+
 def test_funnel_is_monotone(spark, sf):
     p = pedidos(spark, sf)
     r = rows(volume.funnel(p, {"1": F.lit(True), "2": p.ind_aberto == "X", "3": p.vl_total > 1}, "cod_cliente"))

@@ -189,6 +189,16 @@ def row_checksum(spark, d):
     return keys.row_checksum(table(spark, d, "lineitem", spread=True))
 
 
+@query(_checksum_sql("s", "customer"))
+def row_checksum_json(spark, d):
+    return keys.row_checksum(table(spark, d, "customer"), mode="json")
+
+
+@query(_checksum_sql("(embedding, label)", "embeddings"))
+def row_checksum_nested(spark, d):
+    return keys.row_checksum(table(spark, d, "embeddings"), ["embedding", "label"])
+
+
 @query(_checksum_sql("md5(text)", "documents"))
 def row_checksum_text(spark, d):
     return keys.row_checksum(table(spark, d, "documents", spread=True), ["text"], mode="sha256")

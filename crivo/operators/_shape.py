@@ -84,10 +84,6 @@ def value_counts(df: DataFrame, cols: Mapping[str, Column] | Sequence[str]) -> D
     return unpivot_text(df, cols).groupBy("coluna", "valor").agg(F.count("*").alias("linhas"))
 
 
-def null_safe_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def semi_null_safe(df: DataFrame, keys_df: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is (or is not) in ``keys_df``; null equals null."""
     alias = {k: f"chave_{i}" for i, k in enumerate(keys)}

@@ -8,8 +8,9 @@ from crivo.functions.dates import compact_date
 from crivo.functions.missing import no_value
 from crivo.functions.ratios import count_if
 from crivo.operators import codes, columns, dates, volume
+from crivo.sources import scan
 
-from .base import eventos, itens, pct_sql, pedidos, query, ratio_sql, table
+from .base import eventos, itens, pct_sql, pedidos, query, table
 
 TOK8 = "('', 'null', 'nan', 'none', '#', '-', 'na', 'n/a')"
 TOK6 = "('', 'null', 'nan', 'none', '#', '-')"
@@ -722,8 +723,6 @@ def known_scenarios(spark, d):
         FROM customer WHERE trim(c_mktsegment) = 'BUILDING'"""
 )
 def scenario_gate(spark, d):
-    from crivo.sources import scan
-
     c = table(spark, d, "customer")
     return volume.scenario_gate(c.where(scan.trimmed_equals(c, "c_mktsegment", "BUILDING")), "c_mktsegment")
 

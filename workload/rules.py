@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crivo.functions.missing import has_value
-from crivo.operators import rules
+from crivo.functions.ratios import count_if
+from crivo.operators import columns, keys, rules, volume
 
 from .base import itens, pct_sql, pedidos, query, table
 
@@ -536,8 +537,6 @@ def enrichment_coverage(spark, d):
         (SELECT count(*) AS campos FROM conversations GROUP BY conv_id) GROUP BY 1 ORDER BY 1 LIMIT 40"""
 )
 def audit_changes_per_document(spark, d):
-    from crivo.operators import keys
-
     return keys.items_per_parent(table(spark, d, "conversations"), ["conv_id"], k=40)
 
 
@@ -546,8 +545,6 @@ def audit_changes_per_document(spark, d):
         FROM events GROUP BY 1 ORDER BY linhas DESC, event_type LIMIT 20"""
 )
 def audit_most_changed(spark, d):
-    from crivo.operators import columns
-
     return columns.distribution(
         table(spark, d, "events"), ["event_type"], 20, {"documentos": F.countDistinct("user_id")}
     )
@@ -587,8 +584,6 @@ def rows_per_person(spark, d):
         count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS divisoes, count(DISTINCT l_suppkey) AS fornecedores FROM lineitem"""
 )
 def hierarchy_counts(spark, d):
-    from crivo.operators import volume
-
     return volume.volumetry(table(spark, d, "lineitem", spread=True), {
         "pedidos": "l_orderkey", "itens": ["l_orderkey", "l_linenumber"],
         "divisoes": ["l_orderkey", "l_linenumber", "l_partkey"], "fornecedores": "l_suppkey",
@@ -667,8 +662,6 @@ def required_keys(spark, d):
     ("itens",),
 )
 def revision_split(spark, d):
-    from crivo.operators import columns
-
     return columns.distribution(
         itens(spark, d), ["ind_devolucao"], 40, {"custo_total": F.round(F.sum(F.coalesce("vl_bruto", F.lit(0))), 2)}
     )
@@ -682,9 +675,6 @@ def revision_split(spark, d):
     ("pedidos",),
 )
 def master_data_metrics(spark, d):
-    from crivo.functions.ratios import count_if
-    from crivo.operators import volume
-
     p = pedidos(spark, d)
     return volume.group_metrics(p, ["st_pedido", "ind_faturado"], {
         "clientes": F.countDistinct("cod_cliente"),

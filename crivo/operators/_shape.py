@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 # (default of spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
+# Texts above this many bytes are counted by length and md5.
+SHORT_TEXT = 40
+
 
 def stack_rows(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
     """One report row per mapping, all from a single aggregation pass over ``df``."""
@@ -61,19 +64,40 @@ def as_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def short_text(c: Column) -> Column:
+    """Stand-in of bounded size for counting distinct texts.
+
+    Long texts go as length and md5 of the whole text, so whole documents are
+    not shuffled to be counted. Padded blanks stay as they are.
+    """
+    digest = F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.md5(c))
+    return F.when(F.octet_length(F.trim(c)) > SHORT_TEXT, digest).otherwise(c)
+
+
 def unpivot_text(
-    df: DataFrame, cols: Mapping[str, Column] | Sequence[str], ids: Sequence[str] = ()
+    df: DataFrame, cols: Mapping[str, Column] | Sequence[str], ids: Sequence[str] = (), shorten: bool = False
 ) -> DataFrame:
-    """(ids…, coluna, valor): one row per cell of the chosen columns."""
+    """(ids…, coluna, valor): one row per cell of the chosen columns.
+
+    ``shorten`` is for callers that only count values and never show them.
+    """
     if not isinstance(cols, Mapping):
-        cols = {c: as_text(df, c) for c in cols}
+        cols = {
+            c: short_text(as_text(df, c)) if shorten and _may_be_long(df, c) else as_text(df, c) for c in cols
+        }
     # ids get neutral names, so a column may be an id and a profiled one at once
     keys = {f"id_{i}": n for i, n in enumerate(ids)}
     wide = df.select(*[df[n].alias(a) for a, n in keys.items()], *[c.alias(n) for n, c in cols.items()])
     return wide.unpivot(list(keys), [F.col(f"`{n}`") for n in cols], "coluna", "valor")
 
 
-def value_counts(df: DataFrame, cols: Mapping[str, Column] | Sequence[str]) -> DataFrame:
+def _may_be_long(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType))
+
+
+def value_counts(
+    df: DataFrame, cols: Mapping[str, Column] | Sequence[str], shorten: bool = False
+) -> DataFrame:
     """(coluna, valor, linhas) for all columns from one scan and one shuffle.
 
     Map-side aggregation leaves at most one row per task and value, so a value
@@ -81,7 +105,8 @@ def value_counts(df: DataFrame, cols: Mapping[str, Column] | Sequence[str]) -> D
     derived from a value (pattern, length, stripped code) is worked out on this
     result once per distinct value instead of once per row.
     """
-    return unpivot_text(df, cols).groupBy("coluna", "valor").agg(F.count("*").alias("linhas"))
+    cells = unpivot_text(df, cols, shorten=shorten)
+    return cells.groupBy("coluna", "valor").agg(F.count("*").alias("linhas"))
 
 
 def semi_null_safe(df: DataFrame, keys_df: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:

@@ -107,7 +107,7 @@ def _fill_simple(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def _fill_dev2(df: DataFrame, names: Sequence[str], tokens) -> DataFrame:
     # the exact distinct count needs the value frequencies anyway, so the
     # classes are counted from them instead of from a second pass over the rows
-    freq = value_counts(df, names)
+    freq = value_counts(df, names, shorten=True)
     k, n = M.text_class(F.col("valor"), tokens), F.col("linhas")
     per = freq.groupBy("coluna").agg(
         F.sum(n).alias("total"),
@@ -159,7 +159,7 @@ def cardinality(
     if not exact:
         return cardinality_section(df, names, mode).report(df)
     per = (
-        value_counts(df, names)
+        value_counts(df, names, shorten=True)
         .groupBy("coluna")
         .agg(F.count("valor").alias("distintos"), F.sum("linhas").alias("total"))
     )

@@ -123,7 +123,7 @@ def varying_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
     names = [c for c in (columns or df.columns) if c not in key]
     dup = duplicate_rows(df.select(*dict.fromkeys([*key, *names])), key)
     ids = [f"id_{i}" for i in range(len(key))]
-    cells = unpivot_text(dup, names, ids=key).where(F.col("valor").isNotNull()).distinct()
+    cells = unpivot_text(dup, names, ids=key, shorten=True).where(F.col("valor").isNotNull()).distinct()
     per_key = cells.groupBy(*ids, "coluna").agg(F.count("*").alias("n"))
     worst = per_key.groupBy("coluna").agg(F.max("n").alias("n"))
     rows = [

@@ -191,4 +191,5 @@ def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact distinct count per column, as rows."""
-    return value_counts(df, columns).groupBy("coluna").agg(F.count("valor").alias("distintos")).orderBy("coluna")
+    per = value_counts(df, columns, shorten=True).groupBy("coluna")
+    return per.agg(F.count("valor").alias("distintos")).orderBy("coluna")

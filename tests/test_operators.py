@@ -113,6 +113,16 @@ def test_exact_cardinality_never_exceeds_rows_and_ignores_zero_sign(spark):
     assert r["distintos"] == 2
 
 
+def test_long_texts_are_counted_whole(spark):
+    base = "x" * 5000
+    data = [(1, base + "a"), (1, base + "b"), (1, base + "a"), (1, " " * 90), (1, ""), (1, None), (2, base)]
+    df = spark.createDataFrame(data, "k int, t string")
+    assert by(columns.cardinality(df, exact=True), "coluna")["t"]["distintos"] == 5
+    r = by(columns.fill_scan(df, mode="dev2"), "coluna")["t"]
+    assert (r["nulos"], r["uteis"], r["distintos"]) == (3, 4, 5)
+    assert rows(keys.varying_columns(df, ["k"]))[0]["max_valores_distintos"] == 4
+
+
 def test_top_k_beyond_the_group_limit(spark):
     df = spark.range(5000).select((F.col("id") > 1000).alias("g"), F.col("id").alias("n"))
     k = S.GROUP_LIMIT + 200

@@ -6,18 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, simhash
+from . import bpe, chat, mixing, pii, quality, simhash, substring
 from .common import read
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+#: For these queries alone; a real corpus takes a key of its own.
+PII_KEY = b"surrogates of the registered queries"
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY, count="n_replaced")
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +48,18 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring.repeated_passages(docs).select(
+        "k", F.col("id").alias("id_"), F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("removed"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+    same = F.col("id").eqNullSafe(F.col("id_"))
+    return substring.whole_words(docs).join(cut.withColumnRenamed("k", "k_"), (F.col("k") == F.col("k_")) & same, "left").select(
+        F.col("id").alias("doc_id"), "n_words", F.coalesce("removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"))
+
+
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))

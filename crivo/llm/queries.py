@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, pii, quality, simhash, substring
+from . import bpe, chat, graph, hamming, html, mixing, pii, quality, simhash, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -60,6 +60,34 @@ def op5_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"))
 
 
+@query
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit(spark)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return hamming.nearest_codes(vectors, hamming.sign_code(F.col("embedding"))).withColumnRenamed("score", "distance")
+
+
+ORACLE["op7_hamming_topk"] = """
+    WITH codes AS (
+        SELECT vec_id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN 1::UBIGINT << (i - 1) ELSE 0::UBIGINT END), lambda a, b: a | b) AS code
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 AND vec_id IS NOT NULL),
+    near AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id) AS rank
+        FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM near WHERE rank <= 10"""
+
+
+@query
+def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))

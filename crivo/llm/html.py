@@ -116,7 +116,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     ]
 
 
-#: Labelled pages, small: each block is followed by its label, + for main text.
+#: Labelled pages, written by hand: each block is followed by its label, + for main text.
 LABELLED = (
     "<nav><a>Home</a> <a>News</a></nav>-<article><h1>A day at the sea</h1>+<p>We left early in the morning and came back late at night, tired and glad.</p>+<p>Never again.</p>+</article><footer>All rights reserved by us and our friends</footer>-",
     "<header>The Daily Paper</header>-<main><h2>Short news</h2>+<p>Rain.</p>+<p>It rained all day in the north, and the rivers rose quickly over their banks.</p>+</main><aside>Read also what others wrote about rain</aside>-",
@@ -128,17 +128,33 @@ LABELLED = (
     "<p><a>Login</a></p>-<p><a>Register</a></p>-<table><tr><td>The table of this page holds its text, as pages did long ago when nobody knew better than that.</td>+</tr><tr><td>A second cell goes on with the text and is long enough to be seen as such by anyone.</td>+</tr></table><p>Last change in May</p>-",
     "<h2>Old page</h2>+<p>There is no article here, only paragraphs one after another, each of some length and without any links at all.</p>+<p>The last one of them stands at the end of the page, and nothing at all comes behind it, as here.</p>+",
     "<div>Menu</div>-<div><a>Start</a></div>-<div><p>A paragraph between short boxes is the main text of this page, since it has many words and no links in it.</p>+</div><div>Top</div>-<div>2024</div>-",
-    "<p>One long line of text, with a <a>link</a> or two in the midst of it, is still text that people came here to read.</p>+<p>Short, yet text.</p>+<p>And one more long line of text to close the whole matter, with enough words to be sure of it.</p>+<p><a>Imprint</a> <a>Privacy</a></p>-",
+    "<p>One long line of text, with a <a>link</a> or two in the midst of it, is still text that people came here to read.</p>+<p>And one more long line of text to close the whole matter, with enough words to be sure of it.</p>+<p><a>Imprint</a> <a>Privacy</a></p>-",
     "<article><p><a>All of it is a link</a></p>+<p>Word</p>+<p>Word</p>+</article><p>This paragraph stands behind the article and outside of anything, yet it has the length and the looks of text.</p>+<p>Bye</p>-",
     "<ul><li><a>What happened in the north this week</a></li>-<li><a>Prices rise again in spring, say shops</a></li>-<li><a>Team wins the final of the year</a></li>-</ul><p>Beside those lists stands the text itself, a paragraph of many words without links, and that is what we want.</p>+<ul><li><a>An older story of some length</a></li>-<li><a>The oldest story that we have here</a></li>-</ul>",
     "<div class=main><h3>Part one</h3>+<p>It was.</p>+<p>It is.</p>+</div><div class=related><a>More like this one here</a>-<p>What you could read next if you liked this text</p>-</div>",
 )
 
 
+#: Kinds of paragraphs: whatever stands in an article is main text; outside of one, short ones and links between long ones aren't.
+SHORT_KINDS = ("<p>Word</p>", "<p>A few words more</p>", "<p><a>Link</a></p>", "<p><a>A link of a few words</a></p>")
+LONG_KINDS = ("<p>This paragraph has as many words as a sentence of fair length may have in any text.</p>",
+              "<p>This paragraph is about as long, has <a>a link</a> in it, and many words beside the link to outweigh it.</p>",
+              "<p>" + "A long paragraph says the same thing again and again until it is long. " * 4 + "</p>")
+
+
+def labelled_pages() -> tuple[str, ...]:
+    kinds = SHORT_KINDS + LONG_KINDS
+    articles = tuple(f"<p><a>Top</a></p>-<article>{a}+{b}+{c}+</article><p>End</p>-" for a in kinds for b in kinds for c in kinds[::2])
+    apart = tuple(f"<aside>{c}-{a}-</aside><div>{a}+{b}+</div><footer>{c}-{a}-{c}-</footer>" for a in LONG_KINDS for b in LONG_KINDS for c in kinds)
+    within = tuple(f"<article>{a}+<div class={m}>{c}-</div>{b}+</article>" for a in kinds for b in LONG_KINDS for c in kinds for m in ("ad", "comments"))
+    bare = tuple(f"<div>{s}-</div><div>{a}+{b}+{a}+</div><div>{t}-</div>" for a in LONG_KINDS for b in LONG_KINDS for s in SHORT_KINDS[2:] for t in SHORT_KINDS[2:])
+    return LABELLED + articles + apart + within + bare
+
+
 def labelled_rows() -> list[tuple[float, ...]]:
-    """The numbers and the label of each block of LABELLED."""
+    """The numbers and the label of each block of the labelled pages."""
     rows = []
-    for page in LABELLED:
+    for page in labelled_pages():
         signs = re.findall(r">([+-])(?=<|$)", page)
         found = blocks(re.sub(r">[+-](?=<|$)", ">", page))
         if len(signs) != len(found):
@@ -147,11 +163,11 @@ def labelled_rows() -> list[tuple[float, ...]]:
     return rows
 
 
-def fit(spark: SparkSession, rows: list[tuple[float, ...]] | None = None, depth: int = 5) -> tuple:
+def fit(spark: SparkSession, rows: list[tuple[float, ...]] | None = None, depth: int = 6) -> tuple:
     """Decision tree as nested tuples: (number, bound, tree up to it, tree above it), or the label."""
     table = spark.createDataFrame(rows or labelled_rows(), ", ".join(f"{n} double" for n in [*NAMES, "label"]))
     data = VectorAssembler(inputCols=NAMES, outputCol="vector").transform(table.coalesce(1))
-    model = DecisionTreeClassifier(labelCol="label", featuresCol="vector", maxDepth=depth, minInstancesPerNode=1, seed=1).fit(data)
+    model = DecisionTreeClassifier(labelCol="label", featuresCol="vector", maxDepth=depth, minInstancesPerNode=4, seed=1).fit(data)
     lines = [line.strip() for line in model.toDebugString.splitlines()[1:] if line.strip()]
 
     def tree():

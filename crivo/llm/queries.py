@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,26 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col(name["target"]).alias("target"), (size * F.col(name["copies"])).alias("taken"))
 
 
+ORACLE["op9_source_mix"] = r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS BIGINT) AS most FROM d GROUP BY source),
+    w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM s),
+    l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source IS NULL, source
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                 sum(weight) OVER (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+    f AS (SELECT *, CAST(rest * weight AS DOUBLE) / weights >= most AS at_most FROM l),
+    first AS (SELECT rest AS first_rest, weights AS first_weights FROM f WHERE NOT at_most ORDER BY most / weight, source IS NULL, source LIMIT 1),
+    goals AS (SELECT source, source_size,
+                     CASE WHEN at_most THEN CAST(most AS DOUBLE) ELSE CAST(first_rest * weight AS DOUBLE) / first_weights END AS target,
+                     CAST(('0x' || substr(md5('1:' || coalesce(source, chr(0))), 1, 5)) AS INTEGER) / 1048576.0 AS moved
+              FROM f LEFT JOIN first ON true),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, md5(coalesce(CAST(doc_id AS VARCHAR), ''))) AS n FROM d),
+    each AS (SELECT r.doc_id, r.size, g.source_size, g.target, r.n, g.moved, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times
+             FROM ranked r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+           CAST(size * least(floor(times * n + moved) - floor(times * (n - 1) + moved), 3) AS BIGINT) AS taken FROM each"""
+
+
 @query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
@@ -104,3 +125,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
     return chat.digests(chat.format_conversations(rows))
+
+
+ORACLE["op10_chat_format"] = r"""
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+    shown AS (
+        SELECT *, regexp_replace(regexp_replace(x, '<(\\*)/turn>', '<\\\1/turn>', 'g'), '(\\*)###', '\\\1###', 'g') AS text_shown,
+               regexp_replace(regexp_replace(regexp_replace(r, '<(\\*)/turn>', '<\\\1/turn>', 'g'), '(\\*)###', '\\\1###', 'g'), ':(\\*) ', ':\\\1 ', 'g') AS role_shown
+        FROM said)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+           CAST(sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(4 + length(role_shown) + 2 + length(text_shown) + 8) AS BIGINT) AS formatted_chars
+    FROM shown GROUP BY conv_id"""
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

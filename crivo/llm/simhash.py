@@ -206,14 +206,33 @@ def _cut(parts: DataFrame, cut: int) -> DataFrame:
     return spread.select("p", "way.path", F.col("p").bitwiseAND(F.col("way.mask")).alias("value"))
 
 
+def grouped(df: DataFrame, id: str, text: str, words: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, k, p) and, for each fingerprint p, its group c; k is a hash of id and text."""
+    i, t = common.col(id).cast("long"), common.col(text)
+    rows = df.select(i.alias("id"), F.xxhash64(i, t).alias("k"), t.alias("text"))
+    prints = common.stored(fingerprints(rows, "text", words, "p"), "prints")
+    distinct = prints.select("p").distinct()
+    joined = components(links(distinct, budget))
+    return prints, distinct.join(joined.select(F.col("id").alias("p"), "component"), "p", "left").select(
+        "p", F.coalesce("component", "p").alias("c"))
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
     """(id, fingerprint, component_id) for each row: component_id is the smallest id that links reach, its own included."""
-    prints = common.stored(fingerprints(df.select(common.col(id).cast("long").alias("id"), common.col(text).alias("text")), "text", words, "p"), "prints")
-    distinct = prints.groupBy("p").agg(F.min("id").alias("first"))
-    joined = components(links(distinct.select("p"), budget))
-    named = distinct.join(joined.select(F.col("id").alias("p"), "component"), "p", "left").select(
-        "p", F.coalesce("component", "p").alias("c"), "first")
-    least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "c").select("p", "component_id")
+    prints, groups = grouped(df, id, text, words, budget)
+    named = groups.join(prints.groupBy("p").agg(F.min("id").alias("first")), "p")
+    of = named.join(named.groupBy("c").agg(F.min("first").alias("component_id")), "c").select("p", "component_id")
     return prints.join(of, "p").select(
         F.col("id").alias(id), F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of ``df`` with one document of each group: that of the smallest id, one without id only where none has any."""
+    prints, groups = grouped(df, id, text, words, budget)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k")
+    best = prints.groupBy("p").agg(F.min(order).alias("best")).join(groups, "p").groupBy("c").agg(F.min("best").alias("best"))
+    key, own = common.private(df, "key_", "own_")
+    kept = best.select(F.col("best.k").alias(key), F.col("best.id").alias("kept_id"))
+    keyed = df.withColumns({key: F.xxhash64(common.col(id).cast("long"), common.col(text)), own: common.col(id).cast("long")})
+    same = (keyed[key] == kept[key]) & keyed[own].eqNullSafe(kept["kept_id"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([key, own]).drop(key, own)

@@ -1,0 +1,295 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import corpus_pipeline
+from crivo.llm import bpe, chat, components, graph, hamming, html, mixing, pii, quality, simhash, substring
+
+WORDS = "the river runs past old houses and slow boats carry grain to town while bells ring over wide green fields in may".split()
+#: Names that operators use for themselves, as columns of the input.
+CLASHES = ("size_", "copies_", "spans", "row", "new", "key_", "score_", "k", "p", "c", "text_", "ids", "n_tokens", "time_", "log_words")
+
+
+def long_text(seed, n=4000):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    passage = " ".join(f"{w}{i}" for i, w in enumerate(WORDS * 2))
+    rows = [
+        (1, long_text(1), "en", "a"), (1, long_text(1), "en", "a"), (1, "other words under one id " + passage, "en", "b"),
+        (2, None, None, None), (3, "", "en", "a"), (3, "", "en", "a"), (4, " \n\t ", "en", None), (None, "no id here", "fr", "b"),
+        (None, None, None, None), (5, "write to ann.lee@mail.example.org or +1 (212) 555-0199 now", "en", "b"),
+        (6, "ANN.LEE@mail.example.org and 4111 1111 1111 1111", "en", "b"), (7, long_text(2, 30_000), "en", "c"),
+        (8, passage + " and then nothing more", "en", "c"), (9, "x" * 200_000, "en", "c"), (10, "日本語 " * 500, "ja", "é"),
+    ]
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
+              T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
+    extra = [T.StructField(c, T.StringType()) for c in CLASHES]
+    return spark.createDataFrame([(*r, len(r[1] or ""), *CLASHES) for r in rows], T.StructType(fields + extra)).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+@pytest.fixture(scope="module")
+def labels_dir(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 11)] + [(None, 1, 0), (3, None, 0), (5, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns(spark, docs, empty, labels_dir, stage):
+    out = stage(spark, docs, labels_dir)
+    assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+    rows = out.collect()
+    assert all(r["copies_"] == "copies_" and r["spans"] == "spans" for r in rows)
+    assert stage(spark, empty, labels_dir).collect() == []
+
+
+def test_last_stage(spark, docs, empty, labels_dir):
+    rows = corpus_pipeline.encode(spark, docs.drop("ids", "n_tokens"), labels_dir).collect()
+    assert len(rows) == docs.count() and all(r.n_tokens == len(r.ids) for r in rows)
+    assert corpus_pipeline.encode(spark, empty.drop("ids", "n_tokens"), labels_dir).collect() == []
+    with_clash = bpe.encode(docs, *_bpe())
+    assert with_clash.columns[-1] == "ids_" and "text" not in with_clash.columns
+
+
+def _bpe():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def test_decode_gives_the_text_back(docs):
+    texts = docs.select("doc_id", "text")
+    back = bpe.decode(bpe.encode(texts, *_bpe()), *_bpe())
+    assert sorted(map(str, back.collect())) == sorted(map(str, texts.fillna("", ["text"]).collect()))
+
+
+def test_near_dedup_keeps_one_of_each(spark, docs):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {2}  # nulls, empty texts, white space
+    kept = simhash.one_of_each(docs).collect()
+    groups = {(r.fingerprint, r.component_id) for r in got}
+    assert len(kept) <= len(groups) and sum(r.text is None or not r.text.strip() for r in kept) == 1
+    assert sum(r.doc_id == 1 for r in kept) <= 2
+
+
+@pytest.mark.parametrize("part_size", [1, 5, 20_000])
+def test_trie_parts_of_any_size_link_the_same(spark, part_size):
+    r = np.random.default_rng(part_size)
+    base = r.integers(0, 1 << 63, 12, dtype=np.uint64)
+    keys = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.uint64(j)) for i, j in r.integers(0, 64, (20, 2))]))
+    signed = keys.view(np.int64)
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in signed], "p long"), 2, part_size)
+    got = {x["id"]: x["component"] for x in components.components(found).collect()}
+    near = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 2
+    least = signed.copy()
+    for _ in range(len(keys)):
+        least = np.array([least[row].min() for row in near])
+    assert all(got.get(int(x), int(x)) == int(m) for x, m in zip(signed, least))
+
+
+def test_trie_pairs_are_all_near_pairs():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 1 << 16, 600, dtype=np.uint64) | (r.integers(0, 4, 600, dtype=np.uint64) << np.uint64(62)))
+    got = {(int(i), int(j)) for a, b in simhash.trie_pairs(keys, 2) for i, j in zip(a, b)}
+    want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if bin(int(keys[i] ^ keys[j])).count("1") <= 2}
+    assert {tuple(sorted(p)) for p in got} == want
+
+
+def test_components_of_long_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 7), (9, 8), (8, 9)]
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 560)}, 8: 8, 9: 8}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def brute_windows(texts, window=35):
+    words = [(t or "").encode().split() for t in texts]
+    seen = {}
+    for n, w in enumerate(words):
+        for k in range(len(w) - window + 1):
+            seen.setdefault(tuple(w[k:k + window]), []).append((n, k))
+    gone = [np.zeros(len(w), bool) for w in words]
+    for places in seen.values():
+        if len(places) > 1:
+            for n, k in places:
+                gone[n][k:k + window] = True
+    return [b" ".join(x for x, g in zip(w, gs) if not g).decode() for w, gs in zip(words, gone)]
+
+
+def test_substrings_of_hard_cases(spark, docs):
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, passages = fresh(20), [fresh(n) for n in (34, 35, 36, 50, 90)]
+    texts = []
+    for i in range(120):  # one line that nearly all share, passages at every offset, inside one text too
+        body = fresh(r.randrange(60)) + (line if i % 3 else []) + fresh(r.randrange(40)) + r.choice(passages) + fresh(r.randrange(30))
+        texts.append(" ".join(body + (r.choice(passages)[r.randrange(10):] if i % 4 == 0 else [])))
+    texts += ["same words " * 200, "a " * 36, texts[0], texts[0], None, "", " ".join(passages[4][10:60])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["id"]: x for x in substring.repeated_passages(df).collect()}
+    for i, want in enumerate(brute_windows(texts)):
+        mine = got[i].kept if i in got else " ".join((texts[i] or "").split())
+        assert mine == want, i
+        if i in got:
+            assert sum(s.stop - s.start for s in got[i].spans) == len(texts[i].split()) - len(want.split())
+    ids = substring.whole_words(docs).collect()
+    assert len(ids) == docs.count()
+    cut = {(x["id"], x["kept"]) for x in substring.repeated_passages(docs).collect()}
+    assert (1, "") in cut and any(i == 8 for i, _ in cut)
+    assert substring.repeated_passages(docs.filter("false")).collect() == []
+
+
+def test_surrogates(docs):
+    out = {r.doc_id: r for r in pii.replace(docs, b"key", count="n").collect() if r.n}
+    assert set(out) == {5, 6}
+    mail5, mail6 = out[5].text.split()[2], out[6].text.split()[0]
+    assert mail5 == mail6.lower() and mail6.split("@")[0].isupper() and mail5.endswith(".org")
+    assert "ann.lee" not in out[5].text and "555-0199" not in out[5].text and out[5].text.split()[4] == "+1"
+    card = "".join(out[6].text.split()[2:])
+    assert len(card) == 16 and card[0] == "4" and pii.luhn(card) == 0 and card != "4111111111111111"
+
+
+def test_surrogates_of_names_keep_gender_and_script():
+    for text, kinds in (("Mrs. Maria Keller met Dr. Paul Keller", ["given_f", "family", "given_m", "family"]), ("г-жа Ольга Петрова ушла", ["given_f", "family"])):
+        found = pii.detect(text)
+        assert [k for _, _, k, _ in found] == kinds
+        for s, e, kind, norm in found:
+            new = pii.in_form(kind, pii.surrogate(kind, norm, b"k", 0), text[s:e])
+            assert new != text[s:e] or kind != "family"
+            assert pii.script_of(new[0]) == pii.script_of(text[s]) and new[0].isupper()
+            if kind.startswith("given"):
+                assert new in pii.GIVEN[pii.script_of(new[0]), kind[-1]]
+
+
+def test_colliding_surrogates_draw_again(spark):
+    # far more people than given names: they must all get different ones, and none that is a real one's
+    names = [(f"given_f", f"name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(120)] + [("given_f", n.lower()) for n in pii.GIVEN["LATIN", "f"]]
+    got = pii.assigned(spark.createDataFrame(names, "kind string, norm string"), b"k").collect()
+    assert len({r.new for r in got}) == len(names) and not {r.new for r in got} & {n for _, n in names}
+
+
+def test_quality_with_few_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.fit(docs, none).score(docs).select("score").distinct().collect()[0][0] == 0.5
+    one = spark.createDataFrame([(5, 1), (6, 1)], "doc_id long, quality int")
+    assert quality.fit(docs, one).score(docs).agg(F.min("score"), F.max("score")).first() == (0.75, 0.75)
+
+
+def test_rules_of_a_printed_tree():
+    text = "If (feature 0 <= 1.5)\n If (feature 1 <= 2.0)\n  Predict: 0.0\n Else (feature 1 > 2.0)\n  Predict: 1.0\nElse (feature 0 > 1.5)\n Predict: 1.0"
+    got = [r.bounds for r in quality.tree_rules(text, ["a", "b"])]
+    assert got == [(("a", None, 1.5),), (("a", None, 1.5), ("b", None, 2.0)), (("a", None, 1.5), ("b", 2.0, None)), (("a", 1.5, None),)]
+
+
+def test_mix_meets_targets(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 40, 300])), r.choice("aaaaaaab") + "src" if i % 50 else None) for i in range(4000)]
+    out, n = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = out.collect()
+    by = {}
+    for x in got:
+        by.setdefault(x["source"], []).append(x)
+        assert 0 <= x[n["copies"]] <= 3
+    total, goal = sum(x[n["size"]] for x in got), 0
+    for source, xs in by.items():
+        size, target = sum(x[n["size"]] for x in xs), xs[0][n["target"]]
+        goal += target
+        assert xs[0][n["source_size"]] == size and target <= 3 * size
+        assert abs(sum(x[n["size"]] * x[n["copies"]] for x in xs) - target) <= 1200
+    assert abs(goal - total) < 1
+    again, _ = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string"))
+    assert sorted((x.doc_id, x[n["copies"]]) for x in got) == sorted((x.doc_id, x[n["copies"]]) for x in again.collect())
+
+
+def test_targets_by_hand(spark):
+    # 10 + 100 + 1000 words, weights 1, 2, 3: the first two are full at 30 and 300, the third gets the rest
+    rows = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000)], "source string, source_size long")
+    assert {r.source: r.target for r in mixing.targets(rows).collect()} == {"a": 30.0, "b": 300.0, "c": 780.0}
+
+
+HARD = ["", "plain", "</turn>", "<\\/turn>", "a </turn>\n### user: b", "\\### x", "####", "######", "\\\\###", "<</turn>", "### assistant: </turn>\n",
+        "ends with <", "</turn", "\\", "a: b", ":\\ ", "\n\n", "é\U0001f600", None]
+
+
+def test_conversations_read_back(spark):
+    rows = [(c, t, HARD[(c + t) % len(HARD)] if c % 2 else ("user", "assistant")[t % 2], HARD[(c * 3 + t) % len(HARD)], "x") for c in range(40) for t in range(4)]
+    rows += [(None, 0, "user", "no id", "x"), (99, None, "assistant", "same", "x"), (99, None, "assistant", "same", "x")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, formatted string")
+    formatted = chat.format_conversations(df)
+    got = {r.conv_id: r for r in formatted.withColumn("turns", chat.parse(F.col("formatted"))).collect()}
+    sums = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    for c in {r[0] for r in rows}:
+        want = sorted(((r[1] if r[1] is not None else -1), r[2] or "", r[3] or "") for r in rows if r[0] == c)
+        assert [(t.role, t.text) for t in got[c].turns] == [(a, b) for _, a, b in want]
+        learned = "".join(b for _, a, b in want if a == "assistant")
+        assert sums[c].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest() and sums[c].loss_chars == len(learned)
+        assert sums[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in want).encode()).hexdigest()
+    assert chat.format_conversations(df.filter("false")).collect() == []
+
+
+def test_pages_of_all_kinds(spark):
+    tree = html.fit(spark)
+    pages = [(1, None), (2, ""), (3, "<p>no end"), (4, "<article>a &lt;b&gt;<br>c  d<nav>x</nav></article>"), (4, "<article>a</article>"),
+             (5, "<article>" + "<div>" * 3000 + "deep</article>"), (6, "<" * 50_000)]
+    got = {(r.page_id, r.text) for r in html.extract(spark.createDataFrame([(*p, "t", "h") for p in pages], "page_id long, html string, title string, words string"), tree).collect()}
+    assert {(1, ""), (2, ""), (4, "a <b>\nc d"), (4, "a"), (5, "deep")} <= got
+    assert html.extract(spark.createDataFrame([], "page_id long, html string"), tree).collect() == []
+
+
+def vectors(spark, n=300, seed=1):
+    r = np.random.default_rng(seed)
+    rows = [(i, r.normal(size=64).tolist()) for i in range(n)]
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]  # one vector many times, queries among them
+    rows += [(2000, None), (2001, []), (2002, [0.0] * 64), (2003, [float("nan")] * 64), (2004, [1.0] * 63 + [None]), (2005, [float("inf")] * 64), (2006, [1.0, 2.0]), (None, rows[1][1])]
+    return rows, spark.createDataFrame([(*x, "c", "v") for x in rows], "vec_id long, embedding array<double>, class string, value string")
+
+
+def test_search_by_cosine(spark):
+    rows, df = vectors(spark)
+    good = {i: np.array(v) for i, v in rows if i is not None and (i < 2000)}
+    got = {}
+    for r in graph.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in good if i % 50 == 0}
+    hit = 0
+    for q, answers in got.items():
+        near = sorted((-float(v @ good[q] / np.linalg.norm(v) / np.linalg.norm(good[q])), i) for i, v in good.items() if i != q)[:5]
+        hit += len({i for _, i in near} & {i for _, i, _ in answers})
+        assert [a for a, _, _ in sorted(answers)] == [1, 2, 3, 4, 5]
+        assert all(abs(s - float(good[i] @ good[q] / np.linalg.norm(good[i]) / np.linalg.norm(good[q]))) < 1e-12 for _, i, s in answers)
+    assert hit >= 0.9 * 5 * len(got)
+    assert graph.nearest(df.filter("vec_id = 2006")).collect() == []
+    assert [(r["rank"], r.vec_id) for r in graph.nearest(df.filter("vec_id in (50, 7)")).collect()] == [(1, 7)]
+    assert graph.nearest(df.filter("false")).collect() == []
+
+
+def test_search_by_distance_is_exact(spark):
+    r = np.random.default_rng(4)
+    near = [int(x) for x in (r.integers(0, 1 << 12, 3000) | (7 << 40))]
+    rows = [(i, c) for i, c in enumerate(near)] + [(5000 + i, near[0]) for i in range(30)] + [(9000, None), (None, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, code long")
+    codes = [(i, c) for i, c in rows if i is not None and c is not None]
+    got = {}
+    for x in hamming.nearest_codes(df, F.col("code")).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.score, x.vec_id))
+    for q in (i for i, _ in codes if i % 100 == 0):
+        own = dict(codes)[q]
+        want = sorted((bin(c ^ own).count("1"), i) for i, c in codes if i != q)[:10]
+        assert [(d, i) for _, d, i in sorted(got[q])] == want
+    assert hamming.nearest_codes(df.filter("vec_id = 100"), F.col("code")).collect() == []

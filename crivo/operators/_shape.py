@@ -11,13 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Spark prunes `row_number() <= k` before the shuffle only up to this k
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-
-# Texts above this many bytes are counted by length and md5.
-SHORT_TEXT = 40
-
 
 def stack_rows(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
     """One report row per mapping, all from a single aggregation pass over ``df``."""
@@ -58,46 +51,74 @@ def section_report(row: DataFrame, name: str, section: Section) -> DataFrame:
 
 def as_text(df: DataFrame, name: str) -> Column:
     """Column as text; -0.0 and 0.0 are one value, as they are for DISTINCT."""
-    c = df[name]
+    c = df[quoted(name)]
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         c = c + F.lit(0.0)
     return c.cast("string")
 
 
-def short_text(c: Column) -> Column:
-    """Stand-in of bounded size for counting distinct texts.
+def private_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """Column name as Spark reads it whatever it holds, dots too."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hash_pair(df: DataFrame, name: str) -> list[Column]:
+    """Two independent 64-bit hashes of the typed value, both null for null: 16 bytes stand for any value."""
+    c, dtype = df[quoted(name)], df.schema[name].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        c = c + F.lit(0.0)
+    if "map<" in dtype.simpleString():
+        c = c.cast("string")
+    return [F.when(c.isNotNull(), F.xxhash64(F.lit(seed), c)) for seed in (1, 2)]
+
+
+def hashed_counts(df: DataFrame, names: Sequence[str], classes: Mapping[str, Column] | None = None) -> DataFrame:
+    """(coluna, h1, h2, classe, linhas): frequencies of values that are only counted, never shown.
 
-    Long texts go as length and md5 of the whole text, so whole documents are
-    not shuffled to be counted. Padded blanks stay as they are.
+    ``classes`` gives a class per column that depends on the value alone.
     """
-    digest = F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.md5(c))
-    return F.when(F.octet_length(F.trim(c)) > SHORT_TEXT, digest).otherwise(c)
+    cells = [
+        F.struct(F.lit(i).alias("i"), *[h.alias(f"h{j}") for j, h in enumerate(hash_pair(df, c), 1)],
+                 (classes[c] if classes else F.lit(None).cast("tinyint")).alias("classe"))
+        for i, c in enumerate(names)
+    ]
+    freq = df.select(F.inline(F.array(*cells))).groupBy("i", "h1", "h2", "classe").agg(F.count("*").alias("linhas"))
+    names_of = F.array(*map(F.lit, names))
+    return freq.select(names_of[F.col("i")].alias("coluna"), "h1", "h2", "classe", "linhas")
 
 
 def unpivot_text(
-    df: DataFrame, cols: Mapping[str, Column] | Sequence[str], ids: Sequence[str] = (), shorten: bool = False
+    df: DataFrame, cols: Mapping[str, Column] | Sequence[str], ids: Sequence[str] = (), hashed: bool = False
 ) -> DataFrame:
     """(ids…, coluna, valor): one row per cell of the chosen columns.
 
-    ``shorten`` is for callers that only count values and never show them.
+    ``hashed`` is for callers that only compare values and never show them.
     """
     if not isinstance(cols, Mapping):
-        cols = {
-            c: short_text(as_text(df, c)) if shorten and _may_be_long(df, c) else as_text(df, c) for c in cols
-        }
+        cols = {c: _pair_text(df, c) if hashed else as_text(df, c) for c in cols}
     # ids get neutral names, so a column may be an id and a profiled one at once
     keys = {f"id_{i}": n for i, n in enumerate(ids)}
-    wide = df.select(*[df[n].alias(a) for a, n in keys.items()], *[c.alias(n) for n, c in cols.items()])
+    wide = df.select(*[df[quoted(n)].alias(a) for a, n in keys.items()], *[c.alias(n) for n, c in cols.items()])
     return wide.unpivot(list(keys), [F.col(f"`{n}`") for n in cols], "coluna", "valor")
 
 
-def _may_be_long(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType))
+def _pair_text(df: DataFrame, name: str) -> Column:
+    one, two = hash_pair(df, name)
+    return F.concat(F.hex(one), F.lit(":"), F.hex(two))
 
 
-def value_counts(
-    df: DataFrame, cols: Mapping[str, Column] | Sequence[str], shorten: bool = False
-) -> DataFrame:
+def value_counts(df: DataFrame, cols: Mapping[str, Column] | Sequence[str]) -> DataFrame:
     """(coluna, valor, linhas) for all columns from one scan and one shuffle.
 
     Map-side aggregation leaves at most one row per task and value, so a value
@@ -105,7 +126,7 @@ def value_counts(
     derived from a value (pattern, length, stripped code) is worked out on this
     result once per distinct value instead of once per row.
     """
-    cells = unpivot_text(df, cols, shorten=shorten)
+    cells = unpivot_text(df, cols)
     return cells.groupBy("coluna", "valor").agg(F.count("*").alias("linhas"))
 
 
@@ -120,24 +141,15 @@ def semi_null_safe(df: DataFrame, keys_df: DataFrame, keys: Sequence[str], how:
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows of each group.
 
-    Up to GROUP_LIMIT Spark keeps only ``k`` rows per group and task before the
-    shuffle. Beyond it a first pass ranks the rows of each input task apart, so
-    one huge group is never sorted whole in one task.
+    The rows of each input task are ranked apart first, so one huge group is
+    never sorted whole in one task.
     """
-    if k > GROUP_LIMIT:
-        w = Window.partitionBy(*group, "parte").orderBy(*order)
-        ranked = df.withColumn("parte", F.spark_partition_id()).withColumn("rn", F.row_number().over(w))
-        df = ranked.where(F.col("rn") <= k).drop("rn", "parte")
+    part, rank = private_names(df, "parte", "posicao")
+    apart = Window.partitionBy(*group, part).orderBy(*order)
+    best = df.withColumn(part, F.spark_partition_id()).withColumn(rank, F.row_number().over(apart))
+    best = best.where(F.col(rank) <= k).drop(rank, part)
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
-
-
-def total_rows(df: DataFrame) -> Column:
-    """Row count of ``df`` as a scalar subquery.
-
-    On a plain scan the count reads no column at all, only file footers.
-    """
-    return df.agg(F.count("*")).scalar()
+    return best.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).drop(rank)
 
 
 def total_of(groups: DataFrame, rows: str = "linhas") -> Column:

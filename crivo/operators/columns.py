@@ -13,11 +13,12 @@ from ..functions import missing as M
 from ..functions.ratios import count_if, pct
 from ._shape import (
     Section,
+    as_text,
+    hashed_counts,
     numeric_columns,
     stack_rows,
     top_k_per_group,
     total_of,
-    total_rows,
     type_name,
     value_counts,
 )
@@ -107,14 +108,14 @@ def _fill_simple(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def _fill_dev2(df: DataFrame, names: Sequence[str], tokens) -> DataFrame:
     # the exact distinct count needs the value frequencies anyway, so the
     # classes are counted from them instead of from a second pass over the rows
-    freq = value_counts(df, names, shorten=True)
-    k, n = M.text_class(F.col("valor"), tokens), F.col("linhas")
+    freq = hashed_counts(df, names, {c: M.text_class(as_text(df, c), tokens) for c in names})
+    k, n = F.col("classe"), F.col("linhas")
     per = freq.groupBy("coluna").agg(
         F.sum(n).alias("total"),
         F.sum(F.when(k == M.NULL, n).otherwise(0)).alias("nulos"),
         F.sum(F.when(k == M.ZERO, n).otherwise(0)).alias("zeros"),
         F.sum(F.when(k == M.USEFUL, n).otherwise(0)).alias("uteis"),
-        F.count("valor").alias("distintos"),
+        F.count("h1").alias("distintos"),
     )
     types = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(type_name(df, c)))])
     return per.select(
@@ -159,9 +160,9 @@ def cardinality(
     if not exact:
         return cardinality_section(df, names, mode).report(df)
     per = (
-        value_counts(df, names, shorten=True)
+        hashed_counts(df, names)
         .groupBy("coluna")
-        .agg(F.count("valor").alias("distintos"), F.sum("linhas").alias("total"))
+        .agg(F.count("h1").alias("distintos"), F.sum("linhas").alias("total"))
     )
     types = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(type_name(df, c)))])
     out = per.withColumn("tipo", types[F.col("coluna")])
@@ -203,14 +204,17 @@ def _cardinality_f1(out: DataFrame) -> DataFrame:
     ).orderBy("distintos", "coluna")
 
 
-def domain(df: DataFrame, columns: Sequence[str], k: int = 8) -> DataFrame:
+def domain(df: DataFrame, columns: Sequence[str], k: int | None = None) -> DataFrame:
     """Most frequent values of every column, all columns from one scan."""
-    return domain_of(value_counts(df, columns), total_rows(df), k)
+    return domain_of(value_counts(df, columns), k)
 
 
-def domain_of(freq: DataFrame, total: Column, k: int = 8) -> DataFrame:
-    """``domain`` from value frequencies already at hand."""
-    top = top_k_per_group(freq, ["coluna"], [F.desc("linhas"), F.asc_nulls_first("valor")], k)
+def domain_of(freq: DataFrame, k: int | None = None) -> DataFrame:
+    """``domain`` from value frequencies already at hand; those of any one column add up to the table."""
+    total = freq.groupBy("coluna").agg(F.sum("linhas").alias("n")).agg(F.max("n")).scalar()
+    top = freq
+    if k is not None:
+        top = top_k_per_group(freq, ["coluna"], [F.desc("linhas"), F.asc_nulls_first("valor")], k)
     return top.select(
         "coluna", "valor", F.col("linhas").alias("qtd"), pct(F.col("linhas"), total).alias("pct")
     ).orderBy("coluna", F.desc("qtd"), "valor")
@@ -360,7 +364,7 @@ def dedup_total(df: DataFrame, key: Sequence[str], columns: Sequence[str], place
 def distribution(
     df: DataFrame,
     dims: Sequence[str],
-    k: int | None = 40,
+    k: int | None = None,
     metrics: Mapping[str, Column] | None = None,
     bucket: bool = True,
     label: str = L.BUCKET_BLANK,
@@ -373,7 +377,6 @@ def distribution(
     keys = [M.display_bucket(df[c], label).alias(c) if bucket else df[c] for c in dims]
     aggs = [a.alias(n) for n, a in (metrics or {}).items()]
     out = df.groupBy(*keys).agg(F.count("*").alias("linhas"), *aggs)
-    # with metrics the groups hold more than counts, and counting rows anew is cheaper
-    out = out.withColumn("pct", pct(F.col("linhas"), total_rows(df) if aggs else total_of(out)))
+    out = out.withColumn("pct", pct(F.col("linhas"), total_of(out)))
     out = out.orderBy(F.desc("linhas"), *dims)
     return out if k is None else out.limit(k)

@@ -12,17 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import unpivot_text
-
-# Key lists up to this many rows are sent to every executor to filter the table
-# before its shuffle; longer ones meet the table in a shuffle instead.
-BROADCAST_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Checked size; 0 skips the check and answers no."""
-    return max_rows > 0 and df.limit(max_rows + 1).count() <= max_rows
-
+from ._shape import private_names, quoted, unpivot_text
 
 def tag_union(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """One row per key with a 0/1 column per table, from a single shuffle."""
@@ -38,42 +28,39 @@ def tag_union(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame
 
 def restrict_to_list(
     df: DataFrame, key_list: DataFrame, column: str, list_key: str = "chave", mode: str = "list",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Rows whose normalised code is in the list, with the code as ``list_key``."""
-    keys = key_list.select(list_key).distinct()
-    rows = df.withColumn(list_key, N.strip_zeros(df[column], mode))
-    return rows.join(F.broadcast(keys) if is_small(keys, max_rows) else keys, list_key, "left_semi")
+    """Rows whose normalised code is in the list, with the code as ``list_key``.
+
+    A column of the table that already has that name stays; the code then takes
+    the next free name. Spark picks the join by the size it finds at run time.
+    """
+    code, = private_names(df, list_key)
+    keys = key_list.select(F.col(list_key).alias(code)).distinct()
+    return df.withColumn(code, N.strip_zeros(df[column], mode)).join(keys, code, "left_semi").select(*map(quoted, df.columns), code)
 
 
 def _list_match(
-    key_list: DataFrame, df: DataFrame, column: str, list_key: str, mode: str,
-    extra: Mapping[str, Column], max_rows: int,
+    key_list: DataFrame, df: DataFrame, column: str, list_key: str, mode: str, extra: Mapping[str, Column],
 ) -> DataFrame:
     """The list with row count (and extras) of its keys in the table.
 
     The table is aggregated per key before it meets the list, so a key that
     holds a large part of the table is one row by then.
     """
-    code = N.strip_zeros(df[column], mode).alias(list_key)
-    rows = df.select(code, *[c for c in df.columns if c != list_key])
-    keys = key_list.select(list_key).distinct()
-    if is_small(keys, max_rows):
-        rows = rows.join(F.broadcast(keys), list_key, "left_semi")
-    per_key = rows.groupBy(list_key).agg(
+    code, = private_names(df, "codigo_da_lista")
+    per_key = df.withColumn(code, N.strip_zeros(df[column], mode)).groupBy(code).agg(
         F.count("*").alias("qtd_linhas"), *[a.alias(n) for n, a in extra.items()]
     )
-    return key_list.join(per_key, list_key, "left")
+    return key_list.join(per_key.withColumnRenamed(code, list_key), list_key, "left")
 
 
 def coverage(
     key_list: DataFrame, df: DataFrame, column: str, list_key: str = "chave", mode: str = "list",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Found and missing keys of a list, rows returned, repeated keys, coverage."""
     n = F.col("qtd_linhas")
     found = count_if(n.isNotNull())
-    return _list_match(key_list, df, column, list_key, mode, {}, max_rows).agg(
+    return _list_match(key_list, df, column, list_key, mode, {}).agg(
         F.count("*").alias("chaves_lista"),
         found.alias("encontradas"),
         count_if(n.isNull()).alias("ausentes"),
@@ -86,12 +73,12 @@ def coverage(
 
 def coverage_summary(
     key_list: DataFrame, df: DataFrame, column: str, items: str, latest: Mapping[str, str],
-    list_key: str = "chave", mode: str = "list", max_rows: int = BROADCAST_ROWS,
+    list_key: str = "chave", mode: str = "list",
 ) -> DataFrame:
     """Executive summary: coverage, items not kept as rows, latest loads found."""
     extra = {"adicionais": F.sum(F.greatest(F.coalesce(F.col(items), F.lit(0)) - 1, F.lit(0)))}
     extra.update({name: F.max(c) for name, c in latest.items()})
-    m = _list_match(key_list, df, column, list_key, mode, extra, max_rows)
+    m = _list_match(key_list, df, column, list_key, mode, extra)
     # several spellings of one code share its rows: reduce to codes before adding up
     per = m.groupBy(list_key).agg(
         F.count("*").alias("entradas"), *[F.max(c).alias(c) for c in ("qtd_linhas", *extra)]

@@ -180,7 +180,7 @@ def freshness_of(days: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def freshness_by_day(
-    df: DataFrame, column: str, metrics: Mapping[str, Column] | None = None, k: int | None = 30
+    df: DataFrame, column: str, metrics: Mapping[str, Column] | None = None, k: int | None = None
 ) -> DataFrame:
     """Rows per load day, latest first."""
     aggs = [a.alias(n) for n, a in (metrics or {}).items()]
@@ -281,7 +281,7 @@ def sentinel_share(df: DataFrame, column: str, start: str | None = None, sentine
 
 
 def period_windows(
-    df: DataFrame, period: str | Column, entity: str, date: str, k: int | None = 40
+    df: DataFrame, period: str | Column, entity: str, date: str, k: int | None = None
 ) -> DataFrame:
     """Rows, entities and date range per period, latest period first."""
     p = df[period] if isinstance(period, str) else period

@@ -94,7 +94,7 @@ def duplicate_summary_of(hist: DataFrame, keys: Sequence[Sequence[str]]) -> Data
     return stack_rows(hist, rows).orderBy(F.desc("chaves_repetidas"), "chave")
 
 
-def duplicate_keys(df: DataFrame, key: Sequence[str], k: int | None = 20) -> DataFrame:
+def duplicate_keys(df: DataFrame, key: Sequence[str], k: int | None = None) -> DataFrame:
     """Most repeated combinations of one key."""
     out = (
         df.groupBy(*key).agg(F.count("*").alias("qtd")).where("qtd > 1").orderBy(F.desc("qtd"), *key)
@@ -123,7 +123,7 @@ def varying_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
     names = [c for c in (columns or df.columns) if c not in key]
     dup = duplicate_rows(df.select(*dict.fromkeys([*key, *names])), key)
     ids = [f"id_{i}" for i in range(len(key))]
-    cells = unpivot_text(dup, names, ids=key, shorten=True).where(F.col("valor").isNotNull()).distinct()
+    cells = unpivot_text(dup, names, ids=key, hashed=True).where(F.col("valor").isNotNull()).distinct()
     per_key = cells.groupBy(*ids, "coluna").agg(F.count("*").alias("n"))
     worst = per_key.groupBy("coluna").agg(F.max("n").alias("n"))
     rows = [
@@ -243,13 +243,13 @@ def collapse_measure(df: DataFrame, parent: Sequence[str], child: str) -> DataFr
 
 
 def collapse_members(
-    df: DataFrame, parent: Sequence[str], child: str, k: int | None = 25, as_list: bool = True
+    df: DataFrame, parent: Sequence[str], child: str, k: int | None = None, as_list: bool = False
 ) -> DataFrame:
     """Parents with several children and who the children are.
 
     Pairs are made distinct first, and only the reported parents get members.
-    ``as_list`` gives one sorted text per parent, meant for categories; with
-    ``as_list=False`` every member is a row, whatever its parent's size.
+    Every member is a row, whatever its parent's size; ``as_list`` gives one
+    sorted text per parent instead, meant for categories.
     """
     pairs = df.select(*parent, child).distinct()
     sizes = pairs.groupBy(*parent).agg(F.count(child).alias("itens")).where("itens > 1")
@@ -269,7 +269,7 @@ def collapse_members(
     )
 
 
-def repeated_child(df: DataFrame, parent: Sequence[str], child: str, item: str, k: int | None = 20) -> DataFrame:
+def repeated_child(df: DataFrame, parent: Sequence[str], child: str, item: str, k: int | None = None) -> DataFrame:
     """The same child more than once inside one parent."""
     out = (
         df.groupBy(*parent, child)

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import Section, extremes, semi_null_safe, stack_rows, total_of, total_rows, type_name
+from ._shape import Section, extremes, semi_null_safe, stack_rows, total_of, type_name
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -73,11 +73,11 @@ def equation_check(
 
 def worst_divergences(
     df: DataFrame, expr: Column, target: str, keys: Sequence[str], tolerance: float = 0.001,
-    k: int = 20, places: int = 6,
+    k: int | None = None, places: int = 6,
 ) -> DataFrame:
     """Rows where the equation fails most."""
     diff = F.round(_difference(df, expr, target).cast("double"), places)
-    return (
+    out = (
         df.select(
             *keys, F.round(expr.cast("double"), places).alias("calculado"), df[target].alias("informado"),
             diff.alias("diferenca"), _difference(df, expr, target).alias("dif"),
@@ -85,8 +85,8 @@ def worst_divergences(
         .where(F.col("dif") > tolerance)
         .drop("dif")
         .orderBy(F.desc("diferenca"), *keys)
-        .limit(k)
     )
+    return out if k is None else out.limit(k)
 
 
 def tax_check(
@@ -170,25 +170,26 @@ def declared_domain(
     ).orderBy(F.desc("linhas"), column)
 
 
-def code_description_map(df: DataFrame, code: str, description: str, as_list: bool = True) -> DataFrame:
+def code_description_map(df: DataFrame, code: str, description: str, as_list: bool = False) -> DataFrame:
     """Codes with more than one description.
 
-    Descriptions are counted per (code, description) first; the list that is
-    put together per code holds distinct descriptions only. ``as_list=False``
-    gives the pairs of the ambiguous codes as rows, for codes that turn out to
-    carry free text.
+    Descriptions are counted per (code, description) first. The pairs of the
+    ambiguous codes come as rows, whatever number a code has. ``as_list`` gives
+    all codes with a verdict and one text per code, put together for the
+    ambiguous ones only; it is meant for codes with few descriptions each.
     """
     pairs = df.groupBy(df[code], df[description].cast("string").alias("descricao")).agg(F.count("*").alias("n"))
     if not as_list:
         bad = pairs.groupBy(code).agg(F.count("descricao").alias("q")).where("q > 1")
         return semi_null_safe(pairs, bad, [code]).withColumnRenamed("n", "linhas").orderBy(code, "descricao")
+    per = pairs.groupBy(code).agg(
+        F.count("descricao").alias("qtd_descricoes"), F.coalesce(F.min("descricao"), F.lit("")).alias("unica"), F.sum("n").alias("linhas"),
+    )
+    listed = semi_null_safe(pairs, per.where("qtd_descricoes > 1"), [code]).groupBy(F.col(code).alias("codigo_lista")).agg(
+        F.concat_ws(" | ", F.sort_array(F.collect_set("descricao"))).alias("lista"))
     return (
-        pairs.groupBy(code)
-        .agg(
-            F.count("descricao").alias("qtd_descricoes"),
-            F.concat_ws(" | ", F.sort_array(F.collect_set("descricao"))).alias("descricoes"),
-            F.sum("n").alias("linhas"),
-        )
+        per.join(listed, F.col(code).eqNullSafe(F.col("codigo_lista")), "left")
+        .select(code, "qtd_descricoes", F.coalesce("lista", "unica").alias("descricoes"), "linhas")
         .withColumn("veredito", F.when(F.col("qtd_descricoes") > 1, L.DESCRIPTION_ERROR).otherwise(L.OK))
         .orderBy(F.desc("qtd_descricoes"), F.desc("linhas"), code)
     )
@@ -239,7 +240,7 @@ def key_projection(
 
 
 def key_projection_examples(
-    df: DataFrame, composite: str, parts: Mapping[str, tuple[int, int]], k: int = 20
+    df: DataFrame, composite: str, parts: Mapping[str, tuple[int, int]], k: int | None = None
 ) -> DataFrame:
     """Rows where a slice of the key differs from its column."""
     t = F.trim(df[composite])
@@ -249,7 +250,8 @@ def key_projection_examples(
         raw = F.substring(t, pos, n)
         bad = bad | (N.strip_zeros(raw) != N.text(df[c]))
         cols += [raw.alias(f"{c}_bruto"), N.strip_zeros(raw).alias(f"{c}_sem_zeros"), df[c]]
-    return df.where(bad).select(*cols).orderBy(composite, *parts).limit(k)
+    out = df.where(bad).select(*cols).orderBy(composite, *parts)
+    return out if k is None else out.limit(k)
 
 
 def quantity_value_coherence(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -296,7 +298,7 @@ def flattening_loss(df: DataFrame, stored_items: str) -> DataFrame:
     )
 
 
-def flattening_histogram(df: DataFrame, stored_items: str, k: int | None = 40) -> DataFrame:
+def flattening_histogram(df: DataFrame, stored_items: str, k: int | None = None) -> DataFrame:
     """Rows and lost items per stored item count."""
     n = F.col("itens")
     out = (
@@ -363,7 +365,7 @@ def filter_impact(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def filter_impact_profile(
-    df: DataFrame, column: str, dim: str, filled: Sequence[str], k: int | None = 20
+    df: DataFrame, column: str, dim: str, filled: Sequence[str], k: int | None = None
 ) -> DataFrame:
     """What the rows with a blank filter column have in common."""
     out = (
@@ -472,7 +474,7 @@ def pii_aggregate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def masked_distribution(df: DataFrame, column: str, k: int | None = 30) -> DataFrame:
+def masked_distribution(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     """Rows per person under a short hash.
 
     Grouping is by the person, not by the hash, so two people whose short
@@ -554,7 +556,7 @@ def null_share_by(df: DataFrame, by: str, columns: Sequence[str], places: int =
 
 
 def dimension_ranking(
-    df: DataFrame, dim: str, document: str, value: str, k: int | None = 50, places: int = 2
+    df: DataFrame, dim: str, document: str, value: str, k: int | None = None, places: int = 2
 ) -> DataFrame:
     """Largest values of a dimension with documents, amount and share."""
     out = (
@@ -564,9 +566,8 @@ def dimension_ranking(
             F.countDistinct(document).alias("documentos"),
             F.round(F.sum(F.coalesce(df[value], F.lit(0))).cast("double"), places).alias("valor_total"),
         )
-        .withColumn("pct", pct(F.col("linhas"), total_rows(df)))
-        .orderBy(F.desc("linhas"), dim)
     )
+    out = out.withColumn("pct", pct(F.col("linhas"), total_of(out))).orderBy(F.desc("linhas"), dim)
     return out if k is None else out.limit(k)
 
 

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import stack_rows, total_of, total_rows, value_counts
+from ._shape import hashed_counts, stack_rows, total_of
 
 
 def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> DataFrame:
@@ -44,9 +44,12 @@ def scenario_share(df: DataFrame, column: str, value) -> DataFrame:
 
 def scenario_candidates(
     df: DataFrame, column: str, low: int = 10_000, high: int = 300_000,
-    entity: str | None = None, k: int | None = 40,
+    entity: str | None = None, k: int | None = None,
 ) -> DataFrame:
-    """Rows and share per value; sizes in the preferred band are candidates."""
+    """Rows and share per value; sizes in the preferred band are candidates.
+
+    ``k`` keeps the largest candidates and drops the values that are none.
+    """
     key = M.display_bucket(df[column]).alias(column)
     aggs = [F.count("*").alias("linhas")]
     if entity is not None:
@@ -54,11 +57,11 @@ def scenario_candidates(
     n = F.col("linhas")
     groups = df.groupBy(key).agg(*aggs)
     out = (
-        groups.withColumn("pct", pct(n, total_rows(df) if entity is not None else total_of(groups)))
+        groups.withColumn("pct", pct(n, total_of(groups)))
         .withColumn("sugestao", F.when(n.between(low, high), L.SCENARIO_CANDIDATE).otherwise(""))
         .orderBy(F.desc("linhas"), column)
     )
-    return out if k is None else out.limit(k)
+    return out if k is None else out.where(n.between(low, high)).limit(k)
 
 
 def known_scenarios(df: DataFrame, column: str, values: Sequence[str], zeros: bool = False) -> DataFrame:
@@ -97,7 +100,7 @@ def filter_completeness(df: DataFrame, column: str, value: str) -> DataFrame:
     )
 
 
-def filter_column_discovery(df: DataFrame, column: str, value: str, k: int | None = 50) -> DataFrame:
+def filter_column_discovery(df: DataFrame, column: str, value: str, k: int | None = None) -> DataFrame:
     """Values of a column related to ``value``: equal, prefixed, or containing it."""
     t = N.text(df[column])
     kind = F.when(t == value, "exato").when(t.startswith(value), "prefixo").otherwise("contem")
@@ -191,5 +194,4 @@ def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact distinct count per column, as rows."""
-    per = value_counts(df, columns, shorten=True).groupBy("coluna")
-    return per.agg(F.count("valor").alias("distintos")).orderBy("coluna")
+    return hashed_counts(df, columns).groupBy("coluna").agg(F.count("h1").alias("distintos")).orderBy("coluna")

@@ -77,8 +77,7 @@ def fused(
         freq = keep("frequencias", value_counts(base, cells))
         if c["categories"]:
             mine = freq.where(F.col("coluna").isin(*c["categories"]))
-            total = row.select(F.element_at("fill", 1)["total"]).scalar()
-            out["domain"] = columns.domain_of(mine, total)
+            out["domain"] = columns.domain_of(mine)
         if c["codes"]:
             mine = freq.where(F.col("coluna").isin(*c["codes"]))
             out["codes"] = codes.code_format_of(mine, {x: type_name(base, x) for x in c["codes"]})

@@ -19,18 +19,6 @@ def read_table(spark: SparkSession, source: str, fmt: str | None = None, **optio
     return spark.read.options(**options).format(fmt).load(source)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan over all cores when its files give fewer splits than that.
-
-    For tables kept in one or few files, ahead of an operator that multiplies or
-    fingerprints rows. A scan with enough splits, as any large table has, comes
-    back as it is. Meant for a plain scan: asking a plan with shuffles for its
-    partitions would run them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def optional_filters(df: DataFrame, params: Mapping[str, object | None]) -> DataFrame:
     """Equality per non-empty parameter; an empty one adds no predicate at all.
 

@@ -39,14 +39,6 @@ def test_text_file_lines_are_numbered_over_all_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-def test_spread_leaves_large_scans_alone(spark, sf):
-    df = spark.read.parquet(f"{sf}/lineitem.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    assert scan.spread(df).rdd.getNumPartitions() == max(cores, df.rdd.getNumPartitions())
-    many = spark.range(0, 1000, 1, cores * 2)
-    assert scan.spread(many) is many
-
-
 def test_extract_masks_orders_and_writes(spark, sf, tmp_path):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     out = sink.extract(c, pii=["c_name"], order=["c_custkey"])

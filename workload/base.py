@@ -34,9 +34,8 @@ def _continue(sql: str) -> str:
     return ", " + body[len("WITH "):] if body.upper().startswith("WITH ") else body
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    df = scan.read_table(spark, f"{sf_dir}/{name}.parquet", "parquet")
-    return scan.spread(df) if spread else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return scan.read_table(spark, f"{sf_dir}/{name}.parquet", "parquet")
 
 
 # --- SQL helpers ----------------------------------------------------------
@@ -99,9 +98,9 @@ VIEW_SQL = {
 }
 
 
-def itens(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+def itens(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
-    return table(spark, d, "lineitem", spread).select(
+    return table(spark, d, "lineitem").select(
         F.lpad(text("l_orderkey"), 10, "0").alias("num_pedido"),
         F.lpad(text("l_linenumber"), 5, "0").alias("num_item"),
         F.lpad(text("l_partkey"), 18, "0").alias("cod_material"),
@@ -114,11 +113,11 @@ def itens(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
     )
 
 
-def pedidos(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+def pedidos(spark: SparkSession, d: str) -> DataFrame:
     status, prio, day = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderdate")
     cust = F.col("o_custkey").cast("string")
     money = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    return table(spark, d, "orders", spread).select(
+    return table(spark, d, "orders").select(
         F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("num_pedido"),
         F.when(status == "F", F.lpad(cust, 10, "0")).when(status != "P", cust).alias("cod_cliente"),
         F.when(prio == "1-URGENT", F.date_format(day, "yyyyMMdd"))
@@ -140,9 +139,9 @@ def pedidos(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
     )
 
 
-def eventos(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+def eventos(spark: SparkSession, d: str) -> DataFrame:
     kind, ts = F.col("event_type"), F.col("ts")
-    return table(spark, d, "events", spread).select(
+    return table(spark, d, "events").select(
         "event_id", "user_id", "event_type", "ts", "value",
         F.when(kind == "click", F.date_format(ts, "HHmmss"))
         .when(kind == "view", F.date_format(ts, "HH:mm:ss"))

@@ -33,7 +33,7 @@ def _grain_sql(src: str, cand) -> str:
 
 @query(_grain_sql("itens", ITEM_KEYS), ("itens",))
 def grain(spark, d):
-    return keys.grain(itens(spark, d, spread=True), ITEM_KEYS)
+    return keys.grain(itens(spark, d), ITEM_KEYS)
 
 
 PEDIDO_KEYS = [["cod_cliente"], ["cod_cliente", "dt_pedido"], ["num_pedido"]]
@@ -41,7 +41,7 @@ PEDIDO_KEYS = [["cod_cliente"], ["cod_cliente", "dt_pedido"], ["num_pedido"]]
 
 @query(_grain_sql("pedidos", PEDIDO_KEYS), ("pedidos",))
 def grain_null_keys(spark, d):
-    return keys.grain(pedidos(spark, d, spread=True), PEDIDO_KEYS)
+    return keys.grain(pedidos(spark, d), PEDIDO_KEYS)
 
 
 HUNT = [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_suppkey"],
@@ -51,7 +51,7 @@ HUNT = [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_suppke
 
 @query(_grain_sql("lineitem", HUNT))
 def key_hunt(spark, d):
-    return keys.grain(table(spark, d, "lineitem", spread=True), HUNT)
+    return keys.grain(table(spark, d, "lineitem"), HUNT)
 
 
 DECLARED = [["conv_id"], ["conv_id", "turn"]]
@@ -68,7 +68,7 @@ def declared_key_vs_clustering(spark, d):
     ("itens",),
 )
 def suggest_key(spark, d):
-    return keys.suggest_key(itens(spark, d, spread=True), ITEM_KEYS)
+    return keys.suggest_key(itens(spark, d), ITEM_KEYS)
 
 
 @query(
@@ -90,12 +90,12 @@ def _dup_sql(src: str, cand) -> str:
 
 @query(_dup_sql("itens", ITEM_KEYS), ("itens",))
 def duplicate_summary(spark, d):
-    return keys.duplicate_summary(itens(spark, d, spread=True), ITEM_KEYS)
+    return keys.duplicate_summary(itens(spark, d), ITEM_KEYS)
 
 
 @query(_dup_sql("pedidos", PEDIDO_KEYS), ("pedidos",))
 def duplicate_summary_null_keys(spark, d):
-    return keys.duplicate_summary(pedidos(spark, d, spread=True), PEDIDO_KEYS)
+    return keys.duplicate_summary(pedidos(spark, d), PEDIDO_KEYS)
 
 
 @query(
@@ -104,7 +104,7 @@ def duplicate_summary_null_keys(spark, d):
     ("itens",),
 )
 def duplicate_keys(spark, d):
-    return keys.duplicate_keys(itens(spark, d), ["num_pedido", "num_item"])
+    return keys.duplicate_keys(itens(spark, d), ["num_pedido", "num_item"], k=20)
 
 
 @query(
@@ -113,7 +113,7 @@ def duplicate_keys(spark, d):
     ("itens",),
 )
 def duplicate_rows(spark, d):
-    return keys.duplicate_rows(itens(spark, d, spread=True), ["num_pedido", "num_item"])
+    return keys.duplicate_rows(itens(spark, d), ["num_pedido", "num_item"])
 
 
 @query(
@@ -143,13 +143,13 @@ def _varying_sql(src: str, key, cols) -> str:
 
 @query(_varying_sql("itens", ["num_pedido", "num_item"], VARYING), ("itens",))
 def varying_columns(spark, d):
-    return keys.varying_columns(itens(spark, d, spread=True), ["num_pedido", "num_item"], VARYING)
+    return keys.varying_columns(itens(spark, d), ["num_pedido", "num_item"], VARYING)
 
 
 @query(_varying_sql("pedidos", ["cod_cliente"], ("dt_pedido", "st_pedido", "ind_faturado", "cod_obsoleto")), ("pedidos",))
 def varying_columns_null_key(spark, d):
     return keys.varying_columns(
-        pedidos(spark, d, spread=True), ["cod_cliente"], ["dt_pedido", "st_pedido", "ind_faturado", "cod_obsoleto"]
+        pedidos(spark, d), ["cod_cliente"], ["dt_pedido", "st_pedido", "ind_faturado", "cod_obsoleto"]
     )
 
 
@@ -164,7 +164,7 @@ STATUS_COLS = "num_pedido, ind_devolucao, st_item"
     ("itens",),
 )
 def pure_vs_version(spark, d):
-    return keys.pure_vs_version(itens(spark, d, spread=True), ["num_pedido"], ["num_pedido", "ind_devolucao", "st_item"])
+    return keys.pure_vs_version(itens(spark, d), ["num_pedido"], ["num_pedido", "ind_devolucao", "st_item"])
 
 
 @query(
@@ -174,7 +174,7 @@ def pure_vs_version(spark, d):
     ("itens",),
 )
 def repeated_versions(spark, d):
-    return keys.repeated_versions(itens(spark, d, spread=True), ["num_pedido", "num_item"])
+    return keys.repeated_versions(itens(spark, d), ["num_pedido", "num_item"])
 
 
 def _checksum_sql(distinct: str, src: str) -> str:
@@ -186,7 +186,7 @@ def _checksum_sql(distinct: str, src: str) -> str:
 
 @query(_checksum_sql("s", "lineitem"))
 def row_checksum(spark, d):
-    return keys.row_checksum(table(spark, d, "lineitem", spread=True))
+    return keys.row_checksum(table(spark, d, "lineitem"))
 
 
 @query(_checksum_sql("s", "customer"))
@@ -201,7 +201,7 @@ def row_checksum_nested(spark, d):
 
 @query(_checksum_sql("md5(text)", "documents"))
 def row_checksum_text(spark, d):
-    return keys.row_checksum(table(spark, d, "documents", spread=True), ["text"], mode="sha256")
+    return keys.row_checksum(table(spark, d, "documents"), ["text"], mode="sha256")
 
 
 PEDIDO_TEXTS = ["cod_cliente", "tp_prioridade", "ind_aberto", "st_pedido", "cod_obsoleto"]
@@ -212,7 +212,7 @@ PEDIDO_TEXTS = ["cod_cliente", "tp_prioridade", "ind_aberto", "st_pedido", "cod_
     ("pedidos",),
 )
 def row_checksum_concat(spark, d):
-    return keys.row_checksum(pedidos(spark, d, spread=True), PEDIDO_TEXTS, mode="concat")
+    return keys.row_checksum(pedidos(spark, d), PEDIDO_TEXTS, mode="concat")
 
 
 @query(
@@ -242,7 +242,7 @@ def items_per_parent(spark, d):
         FROM (SELECT count(DISTINCT l_suppkey) AS itens, count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY 1"""
 )
 def children_per_parent(spark, d):
-    return keys.items_per_parent(table(spark, d, "lineitem", spread=True), ["l_orderkey"], "l_suppkey")
+    return keys.items_per_parent(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey")
 
 
 @query(
@@ -260,7 +260,7 @@ def collapse_measure(spark, d):
         FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1 ORDER BY itens DESC, l_suppkey LIMIT 25"""
 )
 def collapse_members(spark, d):
-    return keys.collapse_members(table(spark, d, "lineitem"), ["l_suppkey"], "l_returnflag")
+    return keys.collapse_members(table(spark, d, "lineitem"), ["l_suppkey"], "l_returnflag", k=25, as_list=True)
 
 
 @query(
@@ -268,7 +268,7 @@ def collapse_members(spark, d):
         SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)"""
 )
 def collapse_member_rows(spark, d):
-    return keys.collapse_members(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag", None, as_list=False)
+    return keys.collapse_members(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag")
 
 
 @query(
@@ -276,7 +276,7 @@ def collapse_member_rows(spark, d):
         HAVING count(DISTINCT l_linenumber) > 1 ORDER BY itens DESC, l_orderkey, l_partkey LIMIT 20"""
 )
 def repeated_child(spark, d):
-    return keys.repeated_child(table(spark, d, "lineitem", spread=True), ["l_orderkey"], "l_partkey", "l_linenumber")
+    return keys.repeated_child(table(spark, d, "lineitem"), ["l_orderkey"], "l_partkey", "l_linenumber", k=20)
 
 
 @query(
@@ -288,7 +288,7 @@ def repeated_child(spark, d):
         FROM k"""
 )
 def multiplicity(spark, d):
-    return keys.multiplicity(table(spark, d, "orders", spread=True), ["o_custkey"])
+    return keys.multiplicity(table(spark, d, "orders"), ["o_custkey"])
 
 
 @query(
@@ -297,7 +297,7 @@ def multiplicity(spark, d):
             max(v) AS maximo_versoes, {pct_sql('count(*) FILTER (WHERE v > 1)', 'count(*)')} AS pct_com_versoes FROM k"""
 )
 def attribute_versions(spark, d):
-    return keys.attribute_versions(table(spark, d, "lineitem", spread=True), ["l_orderkey"], ["l_returnflag", "l_linestatus"])
+    return keys.attribute_versions(table(spark, d, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"])
 
 
 @query(
@@ -306,7 +306,7 @@ def attribute_versions(spark, d):
 )
 def split_dimensions(spark, d):
     return keys.split_dimensions(
-        table(spark, d, "lineitem", spread=True), ["l_orderkey", "l_linenumber"], ["l_suppkey", "l_returnflag"]
+        table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_suppkey", "l_returnflag"]
     )
 
 
@@ -342,7 +342,7 @@ def _fmt4(n: str, d: str) -> str:
     ("itens",),
 )
 def summary(spark, d):
-    return report.summary(itens(spark, d, spread=True), ITEM_KEYS, ["num_pedido", "num_item"])
+    return report.summary(itens(spark, d), ITEM_KEYS, ["num_pedido", "num_item"])
 
 
 SCEN_KEYS = [["c_nationkey"], ["c_custkey"]]

@@ -100,7 +100,7 @@ def _dev2_part(c: str, tipo: str) -> str:
 
 @query(" UNION ALL ".join(_dev2_part(c, t) for c, t in PEDIDO_COLS.items()), ("pedidos",))
 def fill_scan_dev2(spark, d):
-    return columns.fill_scan(pedidos(spark, d, spread=True), mode="dev2")
+    return columns.fill_scan(pedidos(spark, d), mode="dev2")
 
 
 @query(
@@ -155,7 +155,7 @@ CARD_LADDER = """CASE WHEN distintos <= 1 THEN '1. CONSTANTE (1 valor)'
         {CARD_LADDER} AS classificacao FROM c"""
 )
 def cardinality_exact(spark, d):
-    return columns.cardinality(table(spark, d, "lineitem", spread=True), exact=True)
+    return columns.cardinality(table(spark, d, "lineitem"), exact=True)
 
 
 @query(None)
@@ -186,7 +186,7 @@ def cardinality_f3(spark, d):
     )
 )
 def distinct_values(spark, d):
-    return volume.distinct_values(table(spark, d, "documents", spread=True), ["lang", "source", "text"])
+    return volume.distinct_values(table(spark, d, "documents"), ["lang", "source", "text"])
 
 
 def _domain_sql(src: str, cols, k: int) -> str:
@@ -200,7 +200,7 @@ def _domain_sql(src: str, cols, k: int) -> str:
 
 @query(_domain_sql("pedidos", ("tp_prioridade", "st_pedido", "ind_aberto", "cod_cliente"), 8), ("pedidos",))
 def domain(spark, d):
-    return columns.domain(pedidos(spark, d), ["tp_prioridade", "st_pedido", "ind_aberto", "cod_cliente"])
+    return columns.domain(pedidos(spark, d), ["tp_prioridade", "st_pedido", "ind_aberto", "cod_cliente"], k=8)
 
 
 @query(_domain_sql("documents", ("lang", "source"), 20))
@@ -344,7 +344,7 @@ def _distribution_sql(src: str, dims, k: int) -> str:
 
 @query(_distribution_sql("pedidos", ("tp_prioridade",), 40), ("pedidos",))
 def distribution(spark, d):
-    return columns.distribution(pedidos(spark, d), ["tp_prioridade"])
+    return columns.distribution(pedidos(spark, d), ["tp_prioridade"], k=40)
 
 
 @query(_distribution_sql("documents", ("lang", "source"), 25))
@@ -447,7 +447,7 @@ def freshness(spark, d):
 
 @query(
     """SELECT CAST(ts AS DATE) AS data_carga, count(*) AS linhas, count(DISTINCT user_id) AS usuarios
-        FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 30"""
+        FROM events GROUP BY 1"""
 )
 def freshness_by_day(spark, d):
     return dates.freshness_by_day(table(spark, d, "events"), "ts", {"usuarios": F.countDistinct("user_id")})
@@ -536,7 +536,7 @@ def sentinel_share(spark, d):
 @query(
     """SELECT strftime(o_orderdate, '%Y%m') AS periodo, count(*) AS linhas, count(DISTINCT o_custkey) AS entidades,
         CAST(min(o_orderdate) AS DATE) AS data_min, CAST(max(o_orderdate) AS DATE) AS data_max
-        FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 40"""
+        FROM orders GROUP BY 1"""
 )
 def period_windows(spark, d):
     o = table(spark, d, "orders").withColumn("dia", F.col("o_orderdate").cast("date"))
@@ -583,12 +583,12 @@ def _code_sql(src: str, c: str, tipo: str) -> str:
     ("pedidos",),
 )
 def code_format(spark, d):
-    return codes.code_format(pedidos(spark, d, spread=True), ["cod_cliente", "num_pedido", "ind_aberto"])
+    return codes.code_format(pedidos(spark, d), ["cod_cliente", "num_pedido", "ind_aberto"])
 
 
 @query(_code_sql("lineitem", "l_partkey", "bigint") + " UNION ALL " + _code_sql("lineitem", "l_linenumber", "int"))
 def code_format_numeric(spark, d):
-    return codes.code_format(table(spark, d, "lineitem", spread=True), ["l_partkey", "l_linenumber"])
+    return codes.code_format(table(spark, d, "lineitem"), ["l_partkey", "l_linenumber"])
 
 
 @query(
@@ -645,7 +645,7 @@ def literal_lengths(spark, d):
     ("itens",),
 )
 def normalized_keys(spark, d):
-    return codes.normalized_keys(itens(spark, d, spread=True), ["num_pedido", "cod_material"])
+    return codes.normalized_keys(itens(spark, d), ["num_pedido", "cod_material"])
 
 
 @query(
@@ -683,7 +683,7 @@ def numeric_string_format(spark, d):
     ("itens",),
 )
 def volumetry(spark, d):
-    return volume.volumetry(itens(spark, d, spread=True), {
+    return volume.volumetry(itens(spark, d), {
         "pedidos_distintos": "num_pedido", "itens_distintos": ["num_pedido", "num_item"],
         "materiais": "cod_material", "fornecedores": "cod_fornecedor",
     })
@@ -739,7 +739,7 @@ def filter_completeness(spark, d):
 @query(
     """SELECT source AS valor, CASE WHEN trim(source) = 'src1' THEN 'exato' WHEN trim(source) LIKE 'src1%' THEN 'prefixo'
             ELSE 'contem' END AS relacao, count(*) AS linhas, CAST(length(source) AS INTEGER) AS comprimento
-        FROM documents WHERE contains(trim(source), 'src1') GROUP BY ALL ORDER BY linhas DESC, valor LIMIT 50"""
+        FROM documents WHERE contains(trim(source), 'src1') GROUP BY ALL"""
 )
 def filter_column_discovery(spark, d):
     return volume.filter_column_discovery(table(spark, d, "documents"), "source", "src1")
@@ -760,7 +760,7 @@ def _search_part(c: str) -> str:
     ("pedidos",),
 )
 def value_search(spark, d):
-    return volume.value_search(pedidos(spark, d, spread=True), "1")
+    return volume.value_search(pedidos(spark, d), "1")
 
 
 @query(

@@ -54,7 +54,7 @@ def equation_check_closed(spark, d):
 def worst_divergences(spark, d):
     df, net = _net(spark, d)
     return rules.worst_divergences(
-        df, net, "vl_liquido", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 0.005
+        df, net, "vl_liquido", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 0.005, k=20
     )
 
 
@@ -166,7 +166,7 @@ def declared_domain_pattern(spark, d):
         FROM part GROUP BY 1"""
 )
 def code_description_map(spark, d):
-    return rules.code_description_map(table(spark, d, "part"), "p_brand", "p_type")
+    return rules.code_description_map(table(spark, d, "part"), "p_brand", "p_type", as_list=True)
 
 
 @query(
@@ -174,7 +174,7 @@ def code_description_map(spark, d):
         WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1) GROUP BY 1, 2"""
 )
 def code_description_pairs(spark, d):
-    return rules.code_description_map(table(spark, d, "documents"), "source", "lang", as_list=False)
+    return rules.code_description_map(table(spark, d, "documents"), "source", "lang")
 
 
 @query(
@@ -237,7 +237,7 @@ def key_projection(spark, d):
     ("itens",),
 )
 def key_projection_examples(spark, d):
-    return rules.key_projection_examples(_composite(spark, d), "cod_chave", {"num_pedido": (4, 10), "num_item": (14, 5)})
+    return rules.key_projection_examples(_composite(spark, d), "cod_chave", {"num_pedido": (4, 10), "num_item": (14, 5)}, k=20)
 
 
 PERIOD = "strftime(o_orderdate, '%Y/%m')"
@@ -375,7 +375,7 @@ def flattening_loss(spark, d):
 
 @query(
     f"""WITH x AS ({FLAT}) SELECT CAST(qt_itens AS BIGINT) AS itens, count(*) AS linhas,
-        CAST(qt_itens * count(*) - count(*) AS BIGINT) AS itens_perdidos FROM x GROUP BY qt_itens ORDER BY 1 LIMIT 40"""
+        CAST(qt_itens * count(*) - count(*) AS BIGINT) AS itens_perdidos FROM x GROUP BY qt_itens"""
 )
 def flattening_histogram(spark, d):
     return rules.flattening_histogram(_flat(spark, d), "qt_itens")
@@ -394,7 +394,7 @@ def _replication_sql(c: str) -> str:
     ("itens", "pedidos"),
 )
 def header_replication(spark, d):
-    j = itens(spark, d, spread=True).join(pedidos(spark, d, spread=True).select("num_pedido", "cod_cliente", "tp_prioridade"), "num_pedido")
+    j = itens(spark, d).join(pedidos(spark, d).select("num_pedido", "cod_cliente", "tp_prioridade"), "num_pedido")
     return rules.header_replication(j, "num_pedido", ["cod_cliente", "tp_prioridade", "ind_devolucao", "cod_fornecedor"])
 
 
@@ -534,10 +534,10 @@ def enrichment_coverage(spark, d):
 
 @query(
     """SELECT campos AS itens, count(*) AS pais, CAST(sum(campos - 1) AS BIGINT) AS linhas_excedentes FROM
-        (SELECT count(*) AS campos FROM conversations GROUP BY conv_id) GROUP BY 1 ORDER BY 1 LIMIT 40"""
+        (SELECT count(*) AS campos FROM conversations GROUP BY conv_id) GROUP BY 1"""
 )
 def audit_changes_per_document(spark, d):
-    return keys.items_per_parent(table(spark, d, "conversations"), ["conv_id"], k=40)
+    return keys.items_per_parent(table(spark, d, "conversations"), ["conv_id"])
 
 
 @query(
@@ -566,7 +566,7 @@ def pii_aggregate(spark, d):
 )
 def masked_distribution(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return rules.masked_distribution(o.join(c, o.o_custkey == c.c_custkey), "c_name")
+    return rules.masked_distribution(o.join(c, o.o_custkey == c.c_custkey), "c_name", k=30)
 
 
 @query(
@@ -584,7 +584,7 @@ def rows_per_person(spark, d):
         count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS divisoes, count(DISTINCT l_suppkey) AS fornecedores FROM lineitem"""
 )
 def hierarchy_counts(spark, d):
-    return volume.volumetry(table(spark, d, "lineitem", spread=True), {
+    return volume.volumetry(table(spark, d, "lineitem"), {
         "pedidos": "l_orderkey", "itens": ["l_orderkey", "l_linenumber"],
         "divisoes": ["l_orderkey", "l_linenumber", "l_partkey"], "fornecedores": "l_suppkey",
     })
@@ -642,7 +642,7 @@ def null_share_by(spark, d):
         FROM lineitem GROUP BY lineitem.l_suppkey ORDER BY linhas DESC, CAST(lineitem.l_suppkey AS VARCHAR) LIMIT 50"""
 )
 def dimension_ranking(spark, d):
-    return rules.dimension_ranking(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "l_extendedprice")
+    return rules.dimension_ranking(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "l_extendedprice", k=50)
 
 
 @query(

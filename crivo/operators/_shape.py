@@ -12,10 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Report rows whose aggregates share one pass. More would outgrow what the JVM
+# compiles as one method; on a columnar table each batch reads its own columns.
+BATCH_ROWS = 30
+
+
+def batches(rows: Sequence, size: int = BATCH_ROWS) -> list[Sequence]:
+    return [rows[i:i + size] for i in range(0, len(rows), size)]
+
+
+def _row_structs(rows: Sequence[Mapping[str, Column]]) -> Column:
+    return F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows])
+
+
 def stack_rows(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
-    """One report row per mapping, all from a single aggregation pass over ``df``."""
-    structs = [F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows]
-    return df.agg(F.array(*structs).alias("linhas_relatorio")).select(F.inline("linhas_relatorio"))
+    """One report row per mapping, from one aggregation pass over ``df`` per batch of rows."""
+    parts = [df.agg(_row_structs(part).alias("linhas_relatorio")).select(F.inline("linhas_relatorio")) for part in batches(rows)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass(frozen=True)
@@ -34,19 +47,23 @@ class Section:
         return self.finish(stack_rows(df.select("*", *self.extra) if self.extra else df, self.rows))
 
 
-def one_pass(df: DataFrame, sections: Mapping[str, Section]) -> DataFrame:
-    """One row holding the raw rows of every section, from a single scan."""
+def shared_passes(df: DataFrame, sections: Mapping[str, Section]) -> list[DataFrame]:
+    """The raw rows of all sections: one row with an array per section from each pass, a pass for each batch."""
     cells = [c for s in sections.values() for c in s.extra]
-    arrays = [
-        F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in s.rows]).alias(name)
-        for name, s in sections.items()
-    ]
-    return df.select("*", *cells).agg(*arrays)
+    wide = df.select("*", *cells)
+    out = []
+    for part in batches([(name, r) for name, s in sections.items() for r in s.rows]):
+        own: dict[str, list] = {}
+        for name, r in part:
+            own.setdefault(name, []).append(r)
+        out.append(wide.agg(*[_row_structs(rows).alias(name) for name, rows in own.items()]))
+    return out
 
 
-def section_report(row: DataFrame, name: str, section: Section) -> DataFrame:
-    """Report of one section from the shared row."""
-    return section.finish(row.select(F.inline(name)))
+def section_report(passes: Sequence[DataFrame], name: str, section: Section) -> DataFrame:
+    """Report of one section from the shared passes."""
+    parts = [p.select(F.inline(name)) for p in passes if name in p.columns]
+    return section.finish(reduce(DataFrame.unionByName, parts))
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -176,6 +193,11 @@ def extremes(c: Column, dtype: T.DataType) -> list[Column]:
     return out
 
 
+def wide_sum(c: Column, dtype: T.DataType) -> Column:
+    """Sum that no number of rows takes out of range: whole numbers add up as decimals."""
+    return F.sum(c.cast("decimal(38,0)")) if isinstance(dtype, T.IntegralType) else F.sum(c)
+
+
 def type_name(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

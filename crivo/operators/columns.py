@@ -16,11 +16,14 @@ from ._shape import (
     as_text,
     hashed_counts,
     numeric_columns,
+    private_names,
+    quoted,
     stack_rows,
     top_k_per_group,
     total_of,
     type_name,
     value_counts,
+    wide_sum,
 )
 
 
@@ -49,12 +52,10 @@ def fill_scan(
 def fill_section(df: DataFrame, names: Sequence[str], mode: str = "f1", tokens=None) -> Section:
     tokens = tokens or (M.BLANK_TOKENS_6 if mode == "f3" else M.BLANK_TOKENS_8)
     # each cell is classified once; the aggregate only counts classes
-    cells = [
-        M.value_class(df[c], df.schema[c].dataType, tokens).alias(f"classe_{i}") for i, c in enumerate(names)
-    ]
+    classes = private_names(df, *[f"classe_{i}" for i in range(len(names))])
+    cells = [M.value_class(df[quoted(c)], df.schema[c].dataType, tokens).alias(k) for c, k in zip(names, classes)]
     rows = []
-    for i, c in enumerate(names):
-        k = F.col(f"classe_{i}")
+    for c, k in zip(names, map(F.col, classes)):
         rows.append({
             "coluna": F.lit(c),
             "tipo": F.lit(type_name(df, c)),
@@ -99,7 +100,7 @@ def _fill_f1(out: DataFrame) -> DataFrame:
 
 def _fill_simple(df: DataFrame, names: Sequence[str]) -> DataFrame:
     rows = [
-        {"coluna": F.lit(c), "nulos": count_if(df[c].isNull()), "preenchidos": F.count(df[c])} for c in names
+        {"coluna": F.lit(c), "nulos": count_if(df[quoted(c)].isNull()), "preenchidos": F.count(df[quoted(c)])} for c in names
     ]
     filled, null = F.col("preenchidos"), F.col("nulos")
     return stack_rows(df, rows).withColumn("pct_preenchido", pct(filled, filled + null)).orderBy("coluna")
@@ -128,7 +129,7 @@ def null_pct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null percentage of critical columns, one wide row."""
     t = F.count("*")
     return df.agg(
-        t.alias("total_linhas"), *[pct(count_if(df[c].isNull()), t).alias(f"pct_null_{c}") for c in columns]
+        t.alias("total_linhas"), *[pct(count_if(df[quoted(c)].isNull()), t).alias(f"pct_null_{c}") for c in columns]
     )
 
 
@@ -140,9 +141,9 @@ def declared_empty(df: DataFrame, columns: Sequence[str], tokens=M.BLANK_TOKENS_
 def declared_empty_section(df: DataFrame, columns: Sequence[str], tokens=M.BLANK_TOKENS_6) -> Section:
     rows = []
     for c in columns:
-        filled = count_if(M.text_class(df[c], tokens) != M.NULL)
+        filled = count_if(M.text_class(df[quoted(c)], tokens) != M.NULL)
         rows.append({
-            "coluna": F.lit(c), "total": F.count("*"), "nulos": count_if(df[c].isNull()), "preenchidos": filled,
+            "coluna": F.lit(c), "total": F.count("*"), "nulos": count_if(df[quoted(c)].isNull()), "preenchidos": filled,
         })
     verdict = F.when(F.col("preenchidos") == 0, L.DECLARED_ALL_NULL).otherwise(L.DECLARED_DIVERGES)
     return Section(rows, lambda out: out.withColumn("veredito", verdict).orderBy("coluna"))
@@ -173,7 +174,7 @@ def cardinality_section(df: DataFrame, names: Sequence[str], mode: str = "f1") -
     rows = [
         {
             "coluna": F.lit(c), "tipo": F.lit(type_name(df, c)),
-            "distintos": F.approx_count_distinct(df[c]), "total": F.count("*"),
+            "distintos": F.approx_count_distinct(df[quoted(c)]), "total": F.count("*"),
         }
         for c in names
     ]
@@ -230,8 +231,8 @@ def flag_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def flag_section(df: DataFrame, columns: Sequence[str]) -> Section:
     rows = [
         {
-            "flag": F.lit(c), "verdadeiro": count_if(df[c]), "falso": count_if(~df[c]),
-            "nulo": count_if(df[c].isNull()), "pct_verdadeiro": pct(count_if(df[c]), F.count("*")),
+            "flag": F.lit(c), "verdadeiro": count_if(df[quoted(c)]), "falso": count_if(~df[quoted(c)]),
+            "nulo": count_if(df[quoted(c)].isNull()), "pct_verdadeiro": pct(count_if(df[quoted(c)]), F.count("*")),
         }
         for c in columns
     ]
@@ -243,9 +244,9 @@ def string_flag_domain(
 ) -> DataFrame:
     """States of text flags: one list per flag, or their combinations."""
     if combine:
-        keys = [M.display_bucket(df[c], label).alias(c) for c in columns]
+        keys = [M.display_bucket(df[quoted(c)], label).alias(c) for c in columns]
         return df.groupBy(*keys).agg(F.count("*").alias("qtd")).orderBy(F.desc("qtd"), *columns)
-    freq = value_counts(df, {c: M.display_bucket(df[c], label) for c in columns})
+    freq = value_counts(df, {c: M.display_bucket(df[quoted(c)], label) for c in columns})
     return freq.orderBy("coluna", F.desc("linhas"), "valor")
 
 
@@ -269,14 +270,14 @@ def numeric_section(
 ) -> Section:
     rows = []
     for c in names:
-        x = df[c]
+        x = df[quoted(c)]
         row = {
             "coluna": F.lit(c), "tipo": F.lit(type_name(df, c)), "preenchidos": F.count(x),
             "minimo": F.min(x).cast("double"), "maximo": F.max(x).cast("double"),
             "media": F.round(F.avg(x).cast("double"), places),
         }
         if mode == "sum":
-            row["soma"] = F.round(F.sum(x).cast("double"), places)
+            row["soma"] = F.round(wide_sum(x, df.schema[c].dataType).cast("double"), places)
             row["positivos"] = count_if(x > 0)
         else:
             q = F.percentile_approx(x, [0.5, 0.95], accuracy)
@@ -306,7 +307,7 @@ def totals(
     if by is not None:
         aggs = [F.count("*").alias("linhas")]
         for c in names:
-            aggs.append(F.round(F.sum(c).cast("double"), places).alias(f"soma_{c}"))
+            aggs.append(F.round(wide_sum(df[quoted(c)], df.schema[c].dataType).cast("double"), places).alias(f"soma_{c}"))
             if decimal:
                 aggs.append(F.sum(F.col(c).cast("decimal(38,3)")).cast("double").alias(f"soma_decimal_{c}"))
         return df.groupBy(*by).agg(*aggs)
@@ -314,7 +315,7 @@ def totals(
         rows = [
             {
                 "coluna": F.lit(c),
-                **{f"total_{s}": F.round(F.sum(F.when(p, df[c])).cast("double"), places) for s, p in scopes.items()},
+                **{f"total_{s}": F.round(wide_sum(F.when(p, df[quoted(c)]), df.schema[c].dataType).cast("double"), places) for s, p in scopes.items()},
             }
             for c in names
         ]
@@ -326,8 +327,8 @@ def totals_section(df: DataFrame, names: Sequence[str], places: int = 2) -> Sect
     rows = [
         {
             "coluna": F.lit(c),
-            "total_numerico": F.sum(df[c]).cast("double"),
-            "linhas_preenchidas": F.count(df[c]),
+            "total_numerico": wide_sum(df[quoted(c)], df.schema[c].dataType).cast("double"),
+            "linhas_preenchidas": F.count(df[quoted(c)]),
         }
         for c in names
     ]
@@ -344,13 +345,13 @@ def dedup_total(df: DataFrame, key: Sequence[str], columns: Sequence[str], place
     sums come from the same pass: the plain one adds up the per-key sums.
     """
     per_key = df.groupBy(*key).agg(
-        *[x for i, c in enumerate(columns) for x in (F.sum(c).alias(f"s{i}"), F.max(c).alias(f"m{i}"))]
+        *[x for i, c in enumerate(columns) for x in (wide_sum(df[quoted(c)], df.schema[c].dataType).alias(f"s{i}"), F.max(c).alias(f"m{i}"))]
     )
     rows = [
         {
             "coluna": F.lit(c),
             "soma_ingenua": F.round(F.sum(f"s{i}").cast("double"), places),
-            "soma_dedup": F.round(F.sum(f"m{i}").cast("double"), places),
+            "soma_dedup": F.round(wide_sum(F.col(f"m{i}"), df.schema[c].dataType).cast("double"), places),
         }
         for i, c in enumerate(columns)
     ]
@@ -374,7 +375,7 @@ def distribution(
     ``metrics`` adds aggregates per group; ``k`` keeps the largest groups, as a
     top-k report does, and ``None`` keeps all of them.
     """
-    keys = [M.display_bucket(df[c], label).alias(c) if bucket else df[c] for c in dims]
+    keys = [M.display_bucket(df[quoted(c)], label).alias(c) if bucket else df[quoted(c)] for c in dims]
     aggs = [a.alias(n) for n, a in (metrics or {}).items()]
     out = df.groupBy(*keys).agg(F.count("*").alias("linhas"), *aggs)
     out = out.withColumn("pct", pct(F.col("linhas"), total_of(out)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,10 +139,25 @@ def orphan_codes(df: DataFrame, column: str, ref: DataFrame, ref_column: str, mo
     return codes.join(_codes(ref, ref_column, mode).distinct(), "codigo", "left_anti")
 
 
-def presence_matrix(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """In which of the tables does each key occur? Keys and share per pattern."""
+def _check_null_keys(null_keys: str) -> None:
+    if null_keys not in ("unmatched", "equal"):
+        raise ValueError(f"unknown rule for null keys {null_keys!r}")
+
+
+def _whole_key(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])
+
+
+def presence_matrix(tables: Mapping[str, DataFrame], keys: Sequence[str], null_keys: str = "unmatched") -> DataFrame:
+    """In which of the tables does each key occur? Keys and share per pattern.
+
+    A key with a null part is found in no table, as ``=`` has it; with
+    ``null_keys="equal"`` null is a value like any other.
+    """
+    _check_null_keys(null_keys)
     per = tag_union(tables, keys)
-    marks = [F.when(F.col(f"em_{n}") == 1, n).otherwise("--") for n in tables]
+    known = F.lit(True) if null_keys == "equal" else _whole_key(keys)
+    marks = [F.when(known & (F.col(f"em_{n}") == 1), n).otherwise("--") for n in tables]
     out = per.groupBy(F.concat_ws(" ", *marks).alias("presenca")).agg(F.count("*").alias("chaves"))
     # at most 2^n patterns reach this window
     total = F.sum("chaves").over(Window.partitionBy())
@@ -161,14 +177,21 @@ def two_way_coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def attribute_agreement(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], attributes: Sequence[str], pair: str = "A x B"
+    a: DataFrame, b: DataFrame, keys: Sequence[str], attributes: Sequence[str], pair: str = "A x B",
+    null_keys: str = "unmatched",
 ) -> DataFrame:
     """Do two tables agree on attributes of their common keys?
 
+    Keys with a null part have no counterpart, as ``=`` has it; with
+    ``null_keys="equal"`` null is a value like any other.
+
     A key with several versions on a side stands for all version pairs. They
     are counted, not built: pairs are the product of the sizes, agreeing pairs
     the products per value.
     """
+    _check_null_keys(null_keys)
+    if null_keys == "unmatched":
+        a, b = a.where(_whole_key(keys)), b.where(_whole_key(keys))
     side = lambda df, x, y: df.select(
         *keys, *[F.coalesce(df[c].cast("string"), F.lit("")).alias(c) for c in attributes],
         F.lit(x).alias("na"), F.lit(y).alias("nb"),

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import dates as D
 from ..functions import missing as M
 from ..functions.ratios import count_if, pct
-from ._shape import Section, value_counts
+from ._shape import Section, private_names, value_counts
 
 
 def _date(df: DataFrame, c: str) -> Column:
@@ -26,10 +26,11 @@ def string_date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def string_date_section(df: DataFrame, columns: Sequence[str]) -> Section:
     # the format is worked out once per cell, then only counted
-    cells = [D.date_format_of(df[c]).alias(f"formato_{i}") for i, c in enumerate(columns)]
+    formats = private_names(df, *[f"formato_{i}" for i in range(len(columns))])
+    cells = [D.date_format_of(df[c]).alias(f) for c, f in zip(columns, formats)]
     rows = []
     for i, c in enumerate(columns):
-        t, f = F.trim(df[c]), F.col(f"formato_{i}")
+        t, f = F.trim(df[c]), F.col(formats[i])
         dated = F.when(~t.isin("", "00000000"), df[c])
         rows.append({
             "coluna": F.lit(c),
@@ -77,10 +78,11 @@ def valid_date_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def valid_range_section(df: DataFrame, columns: Sequence[str]) -> Section:
-    cells = [D.compact_date(df[c]).alias(f"data_{i}") for i, c in enumerate(columns)]
+    names = private_names(df, *[f"data_{i}" for i in range(len(columns))])
+    cells = [D.compact_date(df[c]).alias(n) for c, n in zip(columns, names)]
     rows = []
     for i, c in enumerate(columns):
-        t, d = F.trim(df[c].cast("string")), F.col(f"data_{i}")
+        t, d = F.trim(df[c].cast("string")), F.col(names[i])
         empty = t.isNull() | t.isin("", "00000000")
         rows.append({
             "coluna": F.lit(c),
@@ -229,7 +231,7 @@ def date_order(df: DataFrame, rules: Mapping[str, tuple[str, str]]) -> DataFrame
 
 def date_order_section(df: DataFrame, rules: Mapping[str, tuple[str, str]]) -> Section:
     cols = list(dict.fromkeys(c for pair in rules.values() for c in pair))
-    name = {c: f"ordem_{i}" for i, c in enumerate(cols)}
+    name = dict(zip(cols, private_names(df, *[f"ordem_{i}" for i in range(len(cols))])))
     rows = []
     for rule, (a, b) in rules.items():
         x, y = F.col(name[a]), F.col(name[b])
@@ -312,7 +314,8 @@ def series_continuity(
     is walked by many tasks. The seam between two buckets needs only the last
     row of one and the first row of the next; those edge rows, one per bucket,
     are then compared along the series. ``order`` breaks ties between rows of
-    the same instant; ``bucket`` is any unit of ``date_trunc``.
+    the same instant; ``bucket`` is any unit of ``date_trunc``. Rows without a
+    readable date have no place in a series; they are counted, not compared.
     """
     dtype = df.schema[date].dataType
     stamp = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
@@ -327,8 +330,13 @@ def series_continuity(
         df[start].alias("ini"), df[end].alias("fim"),
     )
     ks = [f"k{i}" for i in range(len(keys))]
+    # undated rows belong to no series: they stay in groups of their own task, and nothing precedes them
+    dated = F.col("em").isNotNull()
+    rows = rows.withColumns({
+        **{k: F.when(dated, F.col(k)) for k in ks}, "parte": F.when(~dated, F.spark_partition_id()), "fim": F.when(dated, F.col("fim")),
+    })
     pos = F.struct("em", *ties)
-    inner = Window.partitionBy(*ks, "faixa").orderBy("em", *ties)
+    inner = Window.partitionBy(*ks, "faixa", "parte").orderBy("em", *ties)
     walked = rows.select(
         "*", F.lag("fim").over(inner).alias("fim_ant"), F.lag("dt").over(inner).alias("dt_ant")
     )
@@ -343,7 +351,8 @@ def series_continuity(
             F.max(gap).alias("maior_lacuna_dias"),
         ]
 
-    edges = walked.groupBy(*ks, "faixa").agg(
+    edges = walked.groupBy(*ks, "faixa", "parte").agg(
+        count_if(~dated).alias("sem_data"),
         *measures(F.col("fim_ant"), F.col("ini"), F.datediff("dt", "dt_ant")),
         F.min_by(F.struct("ini", "dt"), pos).alias("primeira"),
         F.max_by(F.struct("fim", "dt"), pos).alias("ultima"),
@@ -359,7 +368,7 @@ def series_continuity(
         (F.col("continuas") + as_int(moved & (diff <= tolerance))).alias("continuas"),
         (F.col("quebradas") + as_int(moved & (diff > tolerance))).alias("quebradas"),
         (F.col("com_lacuna_de_dias") + as_int(gap > 1)).alias("com_lacuna_de_dias"),
-        F.greatest("maior_lacuna_dias", gap).alias("maior_lacuna_dias"),
+        "sem_data", F.greatest("maior_lacuna_dias", gap).alias("maior_lacuna_dias"),
     )
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns[:-1]]
     return both.agg(*sums, F.max("maior_lacuna_dias").alias("maior_lacuna_dias"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import labels as L
 from ..functions.hashing import fingerprint
 from ..functions.ratios import count_if, pct, ratio
-from ._shape import join_names, semi_null_safe, stack_rows, unpivot_text
+from ._shape import join_names, quoted, semi_null_safe, stack_rows, unpivot_text
 
 
 def key_ids(keys: Sequence[Sequence[str]]) -> list[int]:
@@ -30,8 +30,8 @@ def key_histogram(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     cols = list(dict.fromkeys(c for k in keys for c in k))
     sets = list({frozenset(k): list(k) for k in keys}.values())
     groups = (
-        df.select(*cols)
-        .groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols])
+        df.select(*map(quoted, cols))
+        .groupingSets([[F.col(quoted(c)) for c in s] for s in sets], *[F.col(quoted(c)) for c in cols])
         .agg(F.grouping_id().alias("gid"), F.count("*").alias("qtd"))
     )
     return groups.groupBy("gid", "qtd").agg(F.count("*").alias("chaves"))
@@ -121,6 +121,8 @@ def varying_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
     by many tasks.
     """
     names = [c for c in (columns or df.columns) if c not in key]
+    if not names:  # the key is the whole row
+        return df.sparkSession.createDataFrame([], "coluna string, max_valores_distintos bigint, veredito string")
     dup = duplicate_rows(df.select(*dict.fromkeys([*key, *names])), key)
     ids = [f"id_{i}" for i in range(len(key))]
     cells = unpivot_text(dup, names, ids=key, hashed=True).where(F.col("valor").isNotNull()).distinct()

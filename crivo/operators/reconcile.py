@@ -1,12 +1,14 @@
 """Cell-level comparison of two extracts of the same data.
 
 Both extracts are brought to comparable cells (codes without leading zeros,
-dates as AAAAMMDD, trimmed text), stacked with a side mark and aggregated per
-key. One shuffle with map-side aggregation does the work of an outer join, and
-repeated keys cannot multiply rows. The smallest and the largest row of a key
-on a side are equal exactly when all its rows are identical, which separates
-identical duplicates from versions. Keys with versions on a side have no
-defined counterpart; they are reported as such and not paired.
+dates as AAAAMMDD, numbers, trimmed text), stacked with a side mark and counted
+per key and row content. Nothing is joined, so repeated keys cannot multiply
+rows. Contents of a key that occur on both sides are each other's counterpart,
+however often they repeat. If one content is left on each side, those two are
+compared cell by cell. Anything else that is left are versions without a defined
+counterpart; the key is reported as such.
+
+A cell that does not read as a number keeps its text, and is compared by it.
 """
 
 from __future__ import annotations
@@ -21,14 +23,13 @@ from pyspark.sql import types as T
 from ..functions import dates as D
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import stack_rows
+from ._shape import quoted, stack_rows
 
-# --- fixed values: states of a key and of a cell ---
+# States of a key.
 BOTH = "EM AMBAS"
 ONLY_A = "SOMENTE A"
 ONLY_B = "SOMENTE B"
 VERSIONS = "CHAVE COM VERSOES"
-# --- end of fixed values ---
 
 KINDS = ("code", "date", "double", "exact", "text")
 
@@ -39,7 +40,8 @@ class CompareSpec:
 
     ``kinds`` names the comparison of a column: ``code``, ``date``, ``double``
     (within ``tolerance``), ``exact`` or ``text``; the default comes from the
-    column type of the first extract.
+    column type of the first extract. ``exact`` keeps every decimal place of
+    both extracts; what is no number is compared as text.
     """
 
     keys: Sequence[str]
@@ -59,41 +61,69 @@ class CompareSpec:
         return "text" if isinstance(t, T.StringType) else "exact"
 
 
-def _cell(df: DataFrame, c: str, kind: str) -> Column:
-    x = df[c]
+def _exact_type(a: T.DataType, b: T.DataType) -> str:
+    """The type in which numbers of both types keep all their digits; decimals of a text may have 18."""
+    def digits(t: T.DataType) -> tuple[int, int]:
+        if isinstance(t, T.DecimalType):
+            return t.precision - t.scale, t.scale
+        return (20, 0) if isinstance(t, T.IntegralType) else (20, 18)
+
+    if any(isinstance(t, (T.DoubleType, T.FloatType)) for t in (a, b)):
+        return "double"
+    whole, places = (max(x) for x in zip(digits(a), digits(b)))
+    return f"decimal({min(38, whole + places)},{min(places, 38 - min(whole, 38))})"
+
+
+def _plain(c: Column, dtype: T.DataType) -> Column:
+    text = F.to_json(c) if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def _cell(df: DataFrame, c: str, kind: str, exact: str) -> Column:
+    """``v`` is what the cell says, ``t`` its text where it does not read as a number; both null for an empty one."""
+    x, dtype = df[quoted(c)], df.schema[c].dataType
+    text = _plain(x, dtype)
+    if kind in ("double", "exact"):
+        wanted = "double" if kind == "double" else exact
+        number = text.try_cast(wanted) if isinstance(dtype, T.StringType) else x.try_cast(wanted) if isinstance(dtype, T.NumericType) else F.lit(None).cast(wanted)
+        return F.struct(number.alias("v"), F.when(number.isNull(), text).alias("t"))
     if kind == "code":
-        return F.nullif(N.strip_zeros(x), F.lit(""))
-    if kind == "date":
-        return D.date_key(x, df.schema[c].dataType)
-    if kind == "double":
-        return x.try_cast("double")
-    if kind == "exact":
-        return x.try_cast("decimal(38,6)")
-    return F.nullif(F.trim(x.cast("string")), F.lit(""))
+        value = F.nullif(N.strip_zeros(x), F.lit(""))
+    else:
+        value = D.date_key(x, dtype) if kind == "date" else text
+    return F.struct(value.alias("v"), F.lit(None).cast("string").alias("t"))
 
 
 def _by_key(a: DataFrame, b: DataFrame, spec: CompareSpec) -> tuple[DataFrame, dict[str, str]]:
+    """Per key: rows of each side, contents found on both, and the one left on each side if there is just one.
+
+    ``ilegiveis_i`` counts the contents found on both whose i-th cell is no number.
+    """
     kinds = {c: spec.kind(a, c) for c in spec.columns}
     parts = []
-    for df, side in ((a, "a"), (b, "b")):
-        cells = [_cell(df, c, k).alias(f"c{i}") for i, (c, k) in enumerate(kinds.items())]
-        keys = [N.strip_zeros(df[k], spec.zero_mode).alias(k) for k in spec.keys]
-        parts.append(df.select(*keys, F.lit(side).alias("lado"), F.struct(*cells).alias("linha")))
-    on_a, on_b = F.col("lado") == "a", F.col("lado") == "b"
-    row = F.col("linha")
-    per = parts[0].unionByName(parts[1]).groupBy(*spec.keys).agg(
-        count_if(on_a).alias("linhas_a"), count_if(on_b).alias("linhas_b"),
-        F.min(F.when(on_a, row)).alias("a"), F.max(F.when(on_a, row)).alias("a_max"),
-        F.min(F.when(on_b, row)).alias("b"), F.max(F.when(on_b, row)).alias("b_max"),
+    for df, side in ((a, 0), (b, 1)):
+        cells = [
+            _cell(df, c, k, _exact_type(a.schema[c].dataType, b.schema[c].dataType)).alias(f"c{i}") for i, (c, k) in enumerate(kinds.items())
+        ]
+        keys = [N.strip_zeros(df[quoted(k)], spec.zero_mode).alias(k) for k in spec.keys]
+        parts.append(df.select(*keys, F.struct(*cells).alias("linha"), F.lit(1 - side).alias("na"), F.lit(side).alias("nb")))
+    contents = parts[0].unionByName(parts[1]).groupBy(*spec.keys, "linha").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    na, nb, row = F.col("na"), F.col("nb"), F.col("linha")
+    only_a, only_b, common = nb == 0, na == 0, (na > 0) & (nb > 0)
+    per = contents.groupBy(*spec.keys).agg(
+        F.sum("na").alias("linhas_a"), F.sum("nb").alias("linhas_b"), count_if(common).alias("iguais"),
+        count_if(only_a).alias("sobra_a"), count_if(only_b).alias("sobra_b"),
+        F.max(F.when(only_a, row)).alias("a"), F.max(F.when(only_b, row)).alias("b"),
+        *[count_if(common & F.col(f"linha.c{i}.t").isNotNull()).alias(f"ilegiveis_{i}") for i in range(len(kinds))],
     )
-    versions = ~F.col("a").eqNullSafe(F.col("a_max")) | ~F.col("b").eqNullSafe(F.col("b_max"))
+    one = (F.col("sobra_a") == 1) & (F.col("sobra_b") == 1)
     state = (
         F.when(F.col("linhas_b") == 0, ONLY_A)
         .when(F.col("linhas_a") == 0, ONLY_B)
-        .when(versions, VERSIONS)
-        .otherwise(BOTH)
+        .when(one | (F.col("sobra_a") + F.col("sobra_b") == 0), BOTH)
+        .otherwise(VERSIONS)
     )
-    return per.withColumn("situacao", state).drop("a_max", "b_max"), kinds
+    return per.withColumn("situacao", state).withColumn("par", one), kinds
 
 
 def reconcile_keys(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
@@ -110,30 +140,41 @@ def reconcile_keys(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     )
 
 
-def _differs(x: Column, y: Column, kind: str, tolerance: float) -> Column:
+def _judged(i: int, kind: str, tolerance: float) -> dict[str, Column]:
+    """How the i-th cells of the compared pair relate; exactly one of same, near, bad and the two one-sided ones holds."""
+    x, y = F.col(f"a.c{i}"), F.col(f"b.c{i}")
+    empty_x, empty_y = (c["v"].isNull() & c["t"].isNull() for c in (x, y))
+    same = x["v"].eqNullSafe(y["v"]) & x["t"].eqNullSafe(y["t"])
+    close = F.lit(False)
     if kind == "double":
         # the slack absorbs the binary representation of the two amounts
-        return F.coalesce(F.abs(x - y) > tolerance + 1e-9, ~x.eqNullSafe(y))
-    return ~x.eqNullSafe(y)
+        close = F.coalesce(F.abs(x["v"] - y["v"]) <= tolerance + 1e-9, F.lit(False))
+    near = ~same & close
+    return {
+        "same": same, "near": near, "bad": ~same & ~near & ~empty_x & ~empty_y, "only_b": empty_x & ~empty_y, "only_a": ~empty_x & empty_y,
+        "unread": x["t"].isNotNull() | y["t"].isNotNull(),
+        "text_a": F.coalesce(x["v"].cast("string"), x["t"]), "text_b": F.coalesce(y["v"].cast("string"), y["t"]),
+    }
 
 
 def reconcile_columns(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
-    """Per column: compared cells, equal, within tolerance, divergent, one-sided."""
+    """Per column: compared cells, equal, within tolerance, divergent, one-sided, not readable as numbers."""
     per, kinds = _by_key(a, b, spec)
-    rows = []
     both = per.where(F.col("situacao") == BOTH)
+    pair, equal = F.col("par"), F.coalesce(F.sum("iguais"), F.lit(0))
+    rows = []
     for i, (c, kind) in enumerate(kinds.items()):
-        x, y = F.col(f"a.c{i}"), F.col(f"b.c{i}")
-        bad = _differs(x, y, kind, spec.tolerance)
+        j = _judged(i, kind, spec.tolerance)
         rows.append({
             "coluna": F.lit(c),
             "regra": F.lit(kind),
-            "comparadas": F.count("*"),
-            "identicas": count_if(x.eqNullSafe(y)),
-            "dentro_da_tolerancia": count_if(~x.eqNullSafe(y) & ~bad),
-            "divergentes": count_if(bad & x.isNotNull() & y.isNotNull()),
-            "vazio_so_em_a": count_if(x.isNull() & y.isNotNull()),
-            "vazio_so_em_b": count_if(x.isNotNull() & y.isNull()),
+            "comparadas": equal + count_if(pair),
+            "identicas": equal + count_if(pair & j["same"]),
+            "dentro_da_tolerancia": count_if(pair & j["near"]),
+            "divergentes": count_if(pair & j["bad"]),
+            "vazio_so_em_a": count_if(pair & j["only_b"]),
+            "vazio_so_em_b": count_if(pair & j["only_a"]),
+            "ilegiveis": F.coalesce(F.sum(f"ilegiveis_{i}"), F.lit(0)) + count_if(pair & j["unread"]),
         })
     out = stack_rows(both, rows)
     same = F.col("identicas") + F.col("dentro_da_tolerancia")
@@ -143,16 +184,15 @@ def reconcile_columns(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFram
 def reconcile_cells(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Every divergent cell: key, column and the two values."""
     per, kinds = _by_key(a, b, spec)
-    both = per.where(F.col("situacao") == BOTH)
     cells = []
     for i, (c, kind) in enumerate(kinds.items()):
-        x, y = F.col(f"a.c{i}"), F.col(f"b.c{i}")
+        j = _judged(i, kind, spec.tolerance)
         cells.append(F.when(
-            _differs(x, y, kind, spec.tolerance),
-            F.struct(F.lit(c).alias("coluna"), x.cast("string").alias("valor_a"), y.cast("string").alias("valor_b")),
+            ~j["same"] & ~j["near"],
+            F.struct(F.lit(c).alias("coluna"), j["text_a"].alias("valor_a"), j["text_b"].alias("valor_b")),
         ))
     bad = F.filter(F.array(*cells), lambda s: s.isNotNull())
-    return both.select(*spec.keys, F.inline(bad))
+    return per.where(F.col("par") & (F.col("situacao") == BOTH)).select(*spec.keys, F.inline(bad))
 
 
 def reconcile_unmatched(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import hashed_counts, stack_rows, total_of
+from ._shape import hashed_counts, private_names, stack_rows, total_of
 
 
 def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> DataFrame:
@@ -120,10 +120,10 @@ def value_search(df: DataFrame, value: str, columns: Sequence[str] | None = None
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     # 0 exact, 1 zero-padded, 2 partial, null no hit: one test per cell
     kinds, rows = [], []
-    for i, c in enumerate(columns):
-        t, k = F.trim(df[c]), F.col(f"acerto_{i}")
+    for c, name in zip(columns, private_names(df, *[f"acerto_{i}" for i in range(len(columns))])):
+        t, k = F.trim(df[c]), F.col(name)
         hit = F.when(t == value, 0).when(N.strip_zeros(df[c]) == value, 1).otherwise(2)
-        kinds.append(F.when(df[c].contains(value), hit).alias(f"acerto_{i}"))
+        kinds.append(F.when(df[c].contains(value), hit).alias(name))
         rows.append({
             "coluna": F.lit(c),
             "correspondencias_exatas": count_if(k == 0),

@@ -3,8 +3,8 @@
 The lazy profiles read the table once per section. On a very large table that
 adds up, so this one makes the passes that sections have in common first:
 
-1. one aggregate row: fill, sketch cardinality, numbers, totals, text dates,
-   flags, declared rules and date order of all columns
+1. aggregates, one pass per batch of report rows: fill, sketch cardinality,
+   numbers, totals, text dates, flags, declared rules and date order
 2. value frequencies of categories, codes and native dates
 3. the key histogram of all candidate keys
 4. the version histogram of the declared key, which also gives the checksum
@@ -16,13 +16,14 @@ a lost executor repeats part of one pass, never an earlier one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import codes, columns, dates, keys, report, rules
-from ..operators._shape import Section, one_pass, section_report, type_name, value_counts
+from ..operators._shape import Section, section_report, shared_passes, type_name, value_counts
 from ..session import shared_dir
 from ..sources import metadata, scan, sink
 from ..spec import TableSpec
@@ -57,17 +58,18 @@ def fused(
 ) -> dict[str, DataFrame]:
     """Section name -> report. The shared passes run here; reports read their results."""
     base = scan.base_view(spec.apply(df), params or {})
-    folder = work_dir or shared_dir(df.sparkSession, "perfil")
+    # a folder of its own for each run: reports of an earlier one stay readable
+    folder = f"{work_dir.rstrip('/')}/perfil-{uuid.uuid4().hex}" if work_dir else shared_dir(df.sparkSession, "perfil")
     c = _typed(base, spec)
 
     def keep(name: str, x: DataFrame) -> DataFrame:
-        x.write.mode("overwrite").parquet(f"{folder}/{name}")
+        x.write.parquet(f"{folder}/{name}")
         return df.sparkSession.read.parquet(f"{folder}/{name}")
 
     sections = _sections(base, spec, c)
-    row = keep("linha", one_pass(base, sections))
+    passes = [keep(f"linha_{i}", p) for i, p in enumerate(shared_passes(base, sections))]
     out = {"metadata": metadata.describe_columns(base)}
-    out |= {name: section_report(row, name, s) for name, s in sections.items()}
+    out |= {name: section_report(passes, name, s) for name, s in sections.items()}
 
     listed = list(dict.fromkeys([*c["categories"], *c["codes"]]))
     days = [d for d in dict.fromkeys([*c["native_dates"], *([spec.ingest] if spec.ingest else [])])]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,12 +31,10 @@ def build_session(app: str = "crivo", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession, name: str) -> str:
     """New folder name for intermediate tables, under the cluster's shared folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting falls back to a temporary folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; without
+    it there is none that all executors are known to share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass work_dir")
-        root = tempfile.mkdtemp(prefix="crivo-")
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass work_dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -84,6 +84,6 @@ def save_table(
 
 
 def write_reports(reports: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Each report under its own folder of ``path``; reports are small, so one file each."""
+    """Each report under its own folder of ``path``, written by as many tasks as it has partitions."""
     for name, df in reports.items():
-        df.coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/{name}")
+        df.write.mode(mode).option("header", True).csv(f"{path}/{name}")

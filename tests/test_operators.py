@@ -195,7 +195,7 @@ def test_series_continuity_is_the_same_for_any_bucket(spark, bucket):
     data.append(("single", dt.date(2024, 5, 5), 1.0, 1.0))
     df = spark.createDataFrame(data, "k string, d date, i double, e double")
     r = rows(dates.series_continuity(df, ["k"], "d", "i", "e", bucket=bucket))[0]
-    assert tuple(r.values()) == _walk(data, 0.001)
+    assert (r["transicoes"], r["continuas"], r["quebradas"], r["com_lacuna_de_dias"], r["maior_lacuna_dias"], r["sem_data"]) == (*_walk(data, 0.001), 0)
 
 
 def test_snapshot_and_history(spark):
@@ -359,3 +359,79 @@ def test_top_k_is_pruned_before_the_shuffle(spark, sf):
     p = pedidos(spark, sf)
     plan = columns.domain(p, ["cod_cliente", "st_pedido"], k=8)._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and "WindowGroupLimit" in plan
+
+
+# --- reconciliation of hard cells, wide tables, odd names, large sums ------------
+
+
+def test_reconcile_reads_no_agreement_into_unreadable_cells(spark):
+    a = spark.createDataFrame([("1", "abc", "5,50"), ("2", "7", "n/d"), ("3", None, "x"), ("4", "1.5", "2")], "k string, v string, w string")
+    b = spark.createDataFrame([("1", "xyz", "9,99"), ("2", "7.004", "n/d"), ("3", "y", "x"), ("4", "1.5", "dois")], "k string, v string, w string")
+    spec = reconcile.CompareSpec(["k"], ["v", "w"], {"v": "double", "w": "double"})
+    c = by(reconcile.reconcile_columns(a, b, spec), "coluna")
+    assert [c["v"][x] for x in ("identicas", "dentro_da_tolerancia", "divergentes", "vazio_so_em_a", "ilegiveis")] == [1, 1, 1, 1, 2]
+    assert [c["w"][x] for x in ("identicas", "divergentes", "ilegiveis")] == [2, 2, 4]
+    cells = {(r["k"], r["coluna"], r["valor_a"], r["valor_b"]) for r in rows(reconcile.reconcile_cells(a, b, spec))}
+    assert ("1", "v", "abc", "xyz") in cells and ("4", "w", "2.0", "dois") in cells
+
+
+def test_reconcile_keeps_every_decimal_place_and_nan(spark):
+    a = spark.sql("SELECT '1' AS k, CAST(1.00000011 AS DECIMAL(18, 8)) AS e, double('NaN') AS d, array(1, 2) AS l")
+    b = spark.sql("SELECT '1' AS k, CAST(1.0000002200 AS DECIMAL(20, 10)) AS e, double('NaN') AS d, array(1, 3) AS l")
+    c = by(reconcile.reconcile_columns(a, b, reconcile.CompareSpec(["k"], ["e", "d", "l"], {"e": "exact"})), "coluna")
+    assert (c["e"]["divergentes"], c["d"]["identicas"], c["d"]["divergentes"], c["l"]["divergentes"]) == (1, 1, 0, 1)
+
+
+def test_reconcile_pairs_equal_versions(spark):
+    a = spark.createDataFrame([("1", 1.0), ("1", 2.0), ("2", 1.0), ("2", 2.0), ("3", 1.0), ("3", 2.0)], "k string, v double")
+    b = spark.createDataFrame([("1", 2.0), ("1", 1.0), ("1", 1.0), ("2", 1.0), ("2", 5.0), ("3", 8.0), ("3", 9.0)], "k string, v double")
+    spec = reconcile.CompareSpec(["k"], ["v"])
+    state = by(reconcile.reconcile_keys(a, b, spec), "situacao")
+    assert (state["EM AMBAS"]["chaves"], state["CHAVE COM VERSOES"]["chaves"]) == (2, 1)
+    c = rows(reconcile.reconcile_columns(a, b, spec))[0]
+    assert (c["comparadas"], c["identicas"], c["divergentes"]) == (4, 3, 1)
+    assert [(r["k"], r["valor_a"], r["valor_b"]) for r in rows(reconcile.reconcile_cells(a, b, spec))] == [("2", "2.0", "5.0")]
+
+
+def test_sums_beyond_the_range_of_bigint(spark):
+    df = spark.createDataFrame([(2**62,), (2**62,), (2**62,)], "n long")
+    assert rows(columns.totals(df))[0]["total_numerico"] == float(3 * 2**62)
+    assert rows(columns.totals(df, by=[F.lit(1).alias("g")]))[0]["soma_n"] == float(3 * 2**62)
+    assert rows(columns.totals(df, scopes={"t": F.lit(True)}))[0]["total_t"] == float(3 * 2**62)
+    assert rows(columns.numeric_profile(df, mode="sum"))[0]["soma"] == float(3 * 2**62)
+    assert rows(columns.dedup_total(df, ["n"], ["n"]))[0]["soma_ingenua"] == float(3 * 2**62)
+
+
+@pytest.mark.parametrize("width", [93, 300])
+def test_wide_tables_are_profiled_in_batches(spark, width):
+    df = spark.range(50).select(*[F.concat(F.lit("v"), F.col("id") % (i + 1)).alias(f"st_{i}") for i in range(width)])
+    got = by(columns.fill_scan(df), "coluna")
+    assert len(got) == width and all(r["uteis"] == 50 for r in got.values())
+    plan = columns.fill_scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == -(-width // S.BATCH_ROWS)
+
+
+def test_names_of_any_kind(spark):
+    df = spark.createDataFrame([("a", "1", "x"), ("b", None, "x")], "classe_0 string, `a.b` string, formato_0 string")
+    got = by(columns.fill_scan(df), "coluna")
+    assert set(got) == {"classe_0", "a.b", "formato_0"} and got["a.b"]["nulos"] == 1
+    assert rows(keys.grain(df, [["a.b"], ["classe_0"]]))[0]["linhas"] == 2
+    assert {r["coluna"] for r in rows(columns.cardinality(df, exact=True))} == {"classe_0", "a.b", "formato_0"}
+    dates.string_date_profile(df, ["classe_0", "formato_0"]).collect()
+
+
+def test_undated_rows_are_counted_apart(spark):
+    df = spark.createDataFrame([("k", "20240101", 0.0, 1.0), ("k", "20240102", 1.0, 2.0), ("k", None, 9.0, 9.0), ("k", "???", 9.0, 9.0)],
+                               "k string, d string, i double, f double")
+    r = rows(dates.series_continuity(df, ["k"], "d", "i", "f"))[0]
+    assert (r["transicoes"], r["continuas"], r["sem_data"]) == (1, 1, 2)
+
+
+def test_list_reports_start_no_job_before_they_are_read(spark):
+    table = spark.createDataFrame([("7", 1)], "c string, q int")
+    listed = spark.createDataFrame([("7", "7")], "o string, chave string")
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    coverage.coverage(listed, table, "c")
+    coverage.restrict_to_list(table, listed, "c")
+    coverage.coverage_summary(listed, table, "c", "q", {"u": "q"})
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == []

@@ -165,6 +165,17 @@ def test_shared_dir_follows_the_cluster_setting(tmp_path):
         return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
 
     assert shared_dir(session("spark://host:7077", str(tmp_path)), "x").startswith(f"{tmp_path}/x-")
-    assert "crivo-" in shared_dir(session("local[2]", None), "x")
-    with pytest.raises(ValueError):
-        shared_dir(session("spark://host:7077", None), "x")
+    for master in ("local[2]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None), "x")
+
+
+def test_reports_are_written_by_all_their_tasks(spark, tmp_path):
+    from crivo.operators import columns
+
+    big = spark.range(0, 1000, 1, 6)
+    sink.write_reports({"extracao": big}, str(tmp_path))
+    assert len([f for f in (tmp_path / "extracao").iterdir() if f.suffix == ".csv"]) == 6
+    first = plans.fused(big.toDF("num_x"), TableSpec("t", keys=[["num_x"]]), work_dir=str(tmp_path))
+    plans.fused(big.where("id < 10").toDF("num_x"), TableSpec("t", keys=[["num_x"]]), work_dir=str(tmp_path))
+    assert first["grain"].first().linhas == 1000 and first["fill"].count() == len(columns.fill_scan(big).collect())

@@ -549,7 +549,7 @@ def period_windows(spark, d):
         SELECT count(ant) AS transicoes, count(*) FILTER (WHERE abs(value - ant) <= 10) AS continuas,
             count(*) FILTER (WHERE abs(value - ant) > 10) AS quebradas,
             count(*) FILTER (WHERE date_diff('day', dt_ant, dt) > 1) AS com_lacuna_de_dias,
-            CAST(max(date_diff('day', dt_ant, dt)) AS INTEGER) AS maior_lacuna_dias FROM w"""
+            CAST(max(date_diff('day', dt_ant, dt)) AS INTEGER) AS maior_lacuna_dias, CAST(0 AS BIGINT) AS sem_data FROM w"""
 )
 def series_continuity(spark, d):
     return dates.series_continuity(

@@ -74,12 +74,13 @@ def contains(df: DataFrame, column: str, value: str) -> Column:
 
 
 def safe_base(
-    df: DataFrame, casts: Mapping[str, str] | None = None, dates: Mapping[str, str] | None = None
+    df: DataFrame, casts: Mapping[str, str] | None = None, dates: Mapping[str, str] | None = None,
+    stamps: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Same columns, unreadable values as null instead of a failed job.
 
-    ``casts`` maps a column to its type, ``dates`` a text column to its format;
-    blank and zero dates are null.
+    ``casts`` maps a column to its type, ``dates`` a text column to its format,
+    ``stamps`` one with date and time; blank and zero dates are null.
     """
     cols = []
     for c in df.columns:
@@ -89,6 +90,9 @@ def safe_base(
         elif dates and c in dates:
             t = N.text(df[c])
             cols.append(F.when(~t.isin("", *D.ZERO_DATES), F.try_to_date(t, dates[c])).alias(c))
+        elif stamps and c in stamps:
+            t = N.text(df[c])
+            cols.append(F.when(~t.isin("", *D.ZERO_DATES), F.try_to_timestamp(t, F.lit(stamps[c]))).alias(c))
         else:
             cols.append(df[c])
     return df.select(*cols)

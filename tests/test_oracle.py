@@ -17,17 +17,10 @@ def test_matches_sql(spark, con, sf, name):
     assert oracle.compare(spark, con, QUERIES[name], ORACLE[name], sf) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs_without_sql(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
-
-
 def test_entry_points(spark):
     assert entry.entry(spark).count() == 11
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_sketch_is_close_to_exact(spark, sf):
-    exact = {r.coluna: r.distintos for r in QUERIES["cardinality_exact"](spark, sf).collect()}
-    for r in QUERIES["cardinality_approx"](spark, sf).collect():
-        assert abs(r.distintos - exact[r.coluna]) <= max(2, 0.15 * exact[r.coluna])
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)

@@ -118,7 +118,9 @@ def missing_keys(spark, d):
 )
 def challenge_missing(spark, d):
     p = pedidos(spark, d)
-    gone = coverage.missing_keys(key_list(spark, d), p.where(p.st_pedido == "O"), "cod_cliente")
+    # codes of all but the open orders stand under another name in the table that is looked into first
+    renamed = p.withColumn("cod_cliente", F.when(p.st_pedido == "O", p.cod_cliente).otherwise(F.concat(F.lit("X"), p.cod_cliente)))
+    gone = coverage.missing_keys(key_list(spark, d), renamed, "cod_cliente")
     return coverage.challenge_missing(gone, "chave_original", p, "cod_cliente")
 
 
@@ -152,7 +154,7 @@ def orphan_codes(spark, d):
     return coverage.orphan_codes(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "supplier"), "s_suppkey")
 
 
-PRESENCE = """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'),
+PRESENCE = """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey * 2 AS k FROM customer),
     c AS (SELECT DISTINCT s_suppkey AS k FROM supplier), u AS (SELECT k FROM a UNION SELECT k FROM b UNION SELECT k FROM c),
     x AS (SELECT concat_ws(' ', CASE WHEN k IN (SELECT k FROM a) THEN 'PED' ELSE '--' END, CASE WHEN k IN (SELECT k FROM b) THEN 'CLI' ELSE '--' END,
         CASE WHEN k IN (SELECT k FROM c) THEN 'FOR' ELSE '--' END) AS presenca FROM u)"""
@@ -160,10 +162,9 @@ PRESENCE = """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELE
 
 @query(f"{PRESENCE} SELECT presenca, count(*) AS chaves, {pct_sql('count(*)', '(SELECT count(*) FROM x)')} AS pct FROM x GROUP BY 1")
 def presence_matrix(spark, d):
-    c = table(spark, d, "customer")
     return coverage.presence_matrix({
         "PED": table(spark, d, "orders").select(F.col("o_custkey").alias("k")),
-        "CLI": c.where(c.c_mktsegment == "BUILDING").select(F.col("c_custkey").alias("k")),
+        "CLI": table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("k")),
         "FOR": table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")),
     }, ["k"])
 

@@ -158,10 +158,21 @@ def cardinality_exact(spark, d):
     return columns.cardinality(table(spark, d, "lineitem"), exact=True)
 
 
-@query(None)
+LINE_COLS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS coluna, count(DISTINCT {c}) AS exatos, true AS estimativa_proxima FROM lineitem" for c in LINE_COLS)
+)
 def cardinality_approx(spark, d):
-    # sketch estimates have no SQL twin; the exact variant above is compared
-    return columns.cardinality(table(spark, d, "lineitem"))
+    # an estimate has no SQL twin; that it lies within three standard errors (5 % each) of the exact count has
+    li = table(spark, d, "lineitem").select(*LINE_COLS)
+    exact = columns.cardinality(li, exact=True).select("coluna", F.col("distintos").alias("exatos"))
+    near = F.abs(F.col("distintos") - F.col("exatos")) <= 0.15 * F.col("exatos")
+    return columns.cardinality(li).join(exact, "coluna").select("coluna", "exatos", near.alias("estimativa_proxima"))
 
 
 CODE_COLS = ("num_pedido", "cod_cliente", "tp_prioridade", "st_pedido", "ind_aberto", "cod_obsoleto")
@@ -285,10 +296,25 @@ def numeric_profile_sums(spark, d):
     )
 )
 def totals(spark, d):
-    # the unrounded double depends on the order of the additions, so it is left out here
+    # the unrounded double depends on the order of the additions, so it is left out here; totals_all_columns has it
     return columns.totals(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).drop("total_numerico")
 
 
+MONEY = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS coluna, CAST(sum({x}) AS DOUBLE) AS total_numerico, round(CAST(sum({x}) AS DOUBLE), 2) AS total_arredondado,
+            count({c}) AS linhas_preenchidas FROM lineitem"""
+        for c, x in [(c, f"CAST({c} AS HUGEINT)") for c in LINE_COLS[:4]] + [(c, f"CAST({c} AS DECIMAL(18, 2))") for c in MONEY]
+    )
+)
+def totals_all_columns(spark, d):
+    li = table(spark, d, "lineitem")
+    return columns.totals(li.withColumns({c: F.col(c).cast("decimal(18,2)") for c in MONEY}))
+
+
 @query(
     " UNION ALL ".join(
         f"""SELECT '{c}' AS coluna, round(sum({c}), 2) AS total_completo,

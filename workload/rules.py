@@ -303,11 +303,13 @@ def quantity_triple(spark, d):
 @query(
     """SELECT count(*) AS linhas, count(*) FILTER (WHERE c_acctbal = s_acctbal) AS moedas_iguais,
         count(*) FILTER (WHERE c_acctbal < 0) AS debito_negativo, count(*) FILTER (WHERE s_acctbal > 0) AS credito_positivo,
-        round(sum(c_acctbal), 2) AS soma_clientes FROM customer JOIN supplier ON c_custkey = s_suppkey"""
+        round(sum(c_acctbal), 2) AS soma_clientes FROM customer
+        LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS s_acctbal FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey"""
 )
 def sign_and_currency(spark, d):
+    # every customer beside the best balance among the suppliers of its country
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    x = c.join(s, c.c_custkey == s.s_suppkey)
+    x = c.join(s.groupBy("s_nationkey").agg(F.max("s_acctbal").alias("s_acctbal")), c.c_nationkey == F.col("s_nationkey"), "left")
     return rules.comparison_counts(x, {
         "moedas_iguais": F.col("c_acctbal") == F.col("s_acctbal"), "debito_negativo": F.col("c_acctbal") < 0,
         "credito_positivo": F.col("s_acctbal") > 0,
@@ -606,13 +608,24 @@ def price_profile(spark, d):
             count(*) FILTER (WHERE q IS NULL OR q = 0) AS divisor_zero_ou_nulo FROM x"""
 )
 def formula_profile(spark, d):
-    # the median of a continuous value is a sketch estimate, so it is not compared
+    # the median of a continuous value is a sketch estimate, so it is not compared here; formula_profile_median has it
     x = table(spark, d, "lineitem").select(
         F.try_divide("l_extendedprice", "l_quantity").alias("vl_preco_unitario"), "l_quantity"
     )
     return rules.formula_profile(x, "vl_preco_unitario", "l_quantity").drop("mediana")
 
 
+@query(
+    """WITH x AS (SELECT l_linenumber * 2 AS v, l_quantity AS q FROM lineitem)
+        SELECT count(*) AS linhas, count(*) - count(v) AS nulos, count(*) FILTER (WHERE v = 0) AS zerados, count(*) FILTER (WHERE v < 0) AS negativos,
+            CAST(min(v) AS DOUBLE) AS minimo, CAST(max(v) AS DOUBLE) AS maximo, round(avg(v), 4) AS media, CAST(quantile_disc(v, 0.5) AS DOUBLE) AS mediana,
+            count(*) FILTER (WHERE q IS NULL OR q = 0) AS divisor_zero_ou_nulo FROM x"""
+)
+def formula_profile_median(spark, d):
+    x = table(spark, d, "lineitem").select((F.col("l_linenumber") * 2).alias("v"), "l_quantity")
+    return rules.formula_profile(x, "v", "l_quantity")
+
+
 @query(
     """SELECT o_orderstatus, count(*) AS linhas, round(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END), 2) AS transporte,
         round(sum(CASE WHEN o_orderpriority BETWEEN '2-HIGH' AND '4-NOT SPECIFIED' THEN o_totalprice ELSE 0 END), 2) AS regulares,

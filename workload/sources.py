@@ -53,15 +53,27 @@ def safe_base(spark, d):
     return scan.safe_base(p, {"cod_cliente": "bigint", "tp_prioridade": "bigint"}, {"dt_pedido": "yyyyMMdd"})
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) END AS instante FROM events"""
+)
+def safe_base_stamps(spark, d):
+    e = table(spark, d, "events")
+    text = F.when(F.col("event_type") == "error", "??").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("instante")
+    return scan.safe_base(e.select("event_id", text), stamps={"instante": "yyyy-MM-dd HH:mm:ss"})
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20")
 def sample_ordered(spark, d):
     return scan.sample_first(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), 20, ["o_orderkey"])
 
 
-@query(None)
+@query("SELECT least(count(*), 10) AS linhas, least(count(*), 10) AS da_tabela FROM orders")
 def sample_random(spark, d):
-    # random rows have no SQL twin
-    return scan.sample_random(table(spark, d, "orders"), 10, seed=7)
+    # random rows have no SQL twin; how many there are, all different and all of the table, has
+    o = table(spark, d, "orders")
+    drawn = scan.sample_random(o, 10, seed=7)
+    return drawn.agg(F.count("*").alias("linhas")).crossJoin(
+        o.join(drawn.select("o_orderkey").distinct(), "o_orderkey", "left_semi").agg(F.count("*").alias("da_tabela")))
 
 
 @query(
@@ -105,12 +117,12 @@ def extract_scopes(spark, d):
     )
 
 
-@query(None)
+@query("SELECT CAST(1 AS BIGINT) AS arquivos, count(*) AS linhas FROM lineitem")
 def describe_detail(spark, d):
     # file sizes and times are facts of the storage, not of the data
-    return metadata.describe_detail(table(spark, d, "lineitem"))
+    return metadata.describe_detail(table(spark, d, "lineitem")).select("arquivos", "linhas")
 
 
-@query(None)
+@query("SELECT CAST(1 AS BIGINT) AS arquivos, count(*) AS linhas FROM orders")
 def write_history(spark, d):
-    return metadata.write_history(table(spark, d, "orders"))
+    return metadata.write_history(table(spark, d, "orders")).select("arquivos", "linhas")

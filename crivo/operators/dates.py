@@ -126,11 +126,15 @@ def native_date_profile_of(days: DataFrame, as_of: str | None = None) -> DataFra
 
 def timestamp_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls, range and distinct instants of timestamp columns."""
+    return timestamp_profile_of(value_counts(df, {c: F.unix_micros(df[c].cast("timestamp")) for c in columns}))
+
+
+def timestamp_profile_of(micros: DataFrame) -> DataFrame:
+    """``timestamp_profile`` from frequencies of microseconds already at hand."""
     v, n = F.col("valor"), F.col("linhas")
     shown = lambda x: F.date_format(F.timestamp_micros(x), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return (
-        value_counts(df, {c: F.unix_micros(df[c].cast("timestamp")) for c in columns})
-        .groupBy("coluna")
+        micros.groupBy("coluna")
         .agg(
             F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulos"),
             shown(F.min(v)).alias("minimo"),
@@ -143,11 +147,15 @@ def timestamp_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def time_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Time-of-day texts: blank, HHMMSS, HH:MM, distinct."""
+    return time_profile_of(value_counts(df, columns))
+
+
+def time_profile_of(freq: DataFrame) -> DataFrame:
+    """``time_profile`` from value frequencies already at hand."""
     v, n = F.col("valor"), F.col("linhas")
     t = F.trim(v)
     return (
-        value_counts(df, columns)
-        .groupBy("coluna")
+        freq.groupBy("coluna")
         .agg(
             F.sum(F.when(M.no_value(v), n).otherwise(0)).alias("vazios"),
             F.sum(F.when(t.rlike(D.TIME_COMPACT), n).otherwise(0)).alias("fmt_hhmmss"),
@@ -202,7 +210,11 @@ def freshness_as_of(df: DataFrame, as_of: str | None = None) -> DataFrame:
 
 def snapshot_or_history(df: DataFrame, column: str) -> DataFrame:
     """One load date means the table is replaced; several mean it accumulates."""
-    per = df.groupBy(df[column].cast("date").alias("d")).agg(F.count("*").alias("n"))
+    return snapshot_of(df.groupBy(df[column].cast("date").alias("d")).agg(F.count("*").alias("n")), column)
+
+
+def snapshot_of(per: DataFrame, column: str) -> DataFrame:
+    """``snapshot_or_history`` from the load days ``d`` already at hand."""
     out = per.agg(
         F.min("d").alias("primeira_carga"), F.max("d").alias("ultima_carga"),
         F.count("d").alias("cargas_distintas"),

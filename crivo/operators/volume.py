@@ -54,8 +54,14 @@ def scenario_candidates(
     aggs = [F.count("*").alias("linhas")]
     if entity is not None:
         aggs.append(F.countDistinct(entity).alias("entidades"))
+    return scenario_candidates_of(df.groupBy(key).agg(*aggs), column, low, high, k)
+
+
+def scenario_candidates_of(
+    groups: DataFrame, column: str, low: int = 10_000, high: int = 300_000, k: int | None = None
+) -> DataFrame:
+    """``scenario_candidates`` from the rows per value already at hand."""
     n = F.col("linhas")
-    groups = df.groupBy(key).agg(*aggs)
     out = (
         groups.withColumn("pct", pct(n, total_of(groups)))
         .withColumn("sugestao", F.when(n.between(low, high), L.SCENARIO_CANDIDATE).otherwise(""))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-
 
 def classes(rows: DataFrame, members: int, asks: int) -> DataFrame:
     """(value, class, ids, asks): a row for each value of ``rows`` (id, value).
@@ -41,17 +39,22 @@ def ranked(found: DataFrame, known: DataFrame, rows: DataFrame, k: int, asks: in
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), "a.vec_id", "a.score")
 
 
-def pairs(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each packed shard of ``index`` (kind, shard, …) with each packed block of ``queries`` (kind, block, …) of its kind."""
-    counts = index.groupBy("kind").agg(F.max("shard").alias("last"))
-    spread = queries.join(counts, "kind").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    return index.join(spread, ["kind", "shard"]).repartition("kind", "shard", "block")
-
-
-def dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """``rows`` (kind, class, …) with a part number under ``name``, so that parts have ``size`` rows on average."""
-    parts = rows.groupBy("kind").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-    return rows.join(F.broadcast(parts), "kind").withColumn(name, F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
-
-
-__all__ = ["classes", "common", "dealt", "pairs", "ranked"]
+def pairs(index: DataFrame, queries: DataFrame, by: str | None = None) -> DataFrame:
+    """Each packed shard of ``index`` (shard, …) with each packed block of ``queries`` (block, …), of the same ``by`` if given."""
+    if by is None:
+        spread = queries.withColumn("last", index.agg(F.max("shard")).scalar())
+    else:
+        spread = queries.join(index.groupBy(by).agg(F.max("shard").alias("last")), by)
+    keys = [by] if by else []
+    spread = spread.filter(F.col("last").isNotNull()).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    return index.join(spread, [*keys, "shard"]).repartition(*keys, "shard", "block")
+
+
+def dealt(rows: DataFrame, size: int, name: str, by: str | None = None) -> DataFrame:
+    """``rows`` (class, …) with a part number under ``name``, so that parts have ``size`` rows on average, apart by ``by`` if given."""
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int")
+    if by is None:
+        counted = rows.withColumn("parts", rows.agg(parts).scalar())
+    else:
+        counted = rows.join(rows.groupBy(by).agg(parts.alias("parts")), by)
+    return counted.withColumn(name, F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")

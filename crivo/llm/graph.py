@@ -145,7 +145,7 @@ def index(known: DataFrame) -> DataFrame:
         return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "shard": pdf["shard"].iloc[:1], "ids": [pdf["class"].to_numpy(np.int64).tobytes()],
                              "vectors": [vectors.tobytes()], "edges": [edges.tobytes()], "start": [start]})
 
-    shards = dealt(known.select(F.size("value").alias("kind"), "class", "value"), SHARD_ROWS, "shard")
+    shards = dealt(known.select(F.size("value").alias("kind"), "class", "value"), SHARD_ROWS, "shard", "kind")
     return shards.groupBy("kind", "shard").applyInPandas(pack, "kind int, shard int, ids binary, vectors binary, edges binary, start int")
 
 
@@ -155,7 +155,7 @@ def blocks(known: DataFrame) -> DataFrame:
         return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "block": pdf["block"].iloc[:1], "asking": [pdf["class"].to_numpy(np.int64).tobytes()],
                              "wanted": [np.array(pdf["value"].tolist(), np.float64).tobytes()]})
 
-    queries = dealt(known.filter("asks").select(F.size("value").alias("kind"), "class", "value"), BLOCK_ROWS, "block")
+    queries = dealt(known.filter("asks").select(F.size("value").alias("kind"), "class", "value"), BLOCK_ROWS, "block", "kind")
     return queries.groupBy("kind", "block").applyInPandas(pack, "kind int, block int, asking binary, wanted binary")
 
 
@@ -177,7 +177,7 @@ def search(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     out = out.sort_values(["asking", "score", "class"], ascending=[True, False, True])
                     yield out.groupby("asking", sort=False).head(k)
 
-    return pairs(shards, queries).mapInPandas(run, "asking long, class long, score double")
+    return pairs(shards, queries, "kind").mapInPandas(run, "asking long, class long, score double")
 
 
 def nearest(df: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", asks: int = 50) -> DataFrame:

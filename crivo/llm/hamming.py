@@ -101,22 +101,22 @@ class SegmentIndex:
 
 
 def index(known: DataFrame) -> DataFrame:
-    """A row for each shard: (kind, shard, ids, codes), packed; the tables follow from the codes in one pass."""
+    """A row for each shard: (shard, ids, codes), packed; the tables follow from the codes in one pass."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"kind": [0], "shard": pdf["shard"].iloc[:1], "ids": [pdf["class"].to_numpy(np.int64).tobytes()],
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "ids": [pdf["class"].to_numpy(np.int64).tobytes()],
                              "codes": [pdf["value"].to_numpy(np.int64).tobytes()]})
 
-    shards = dealt(known.select(F.lit(0).alias("kind"), "class", "value"), SHARD_ROWS, "shard")
-    return shards.groupBy("kind", "shard").applyInPandas(pack, "kind int, shard int, ids binary, codes binary")
+    shards = dealt(known.select("class", "value"), SHARD_ROWS, "shard")
+    return shards.groupBy("shard").applyInPandas(pack, "shard int, ids binary, codes binary")
 
 
 def blocks(known: DataFrame) -> DataFrame:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"kind": [0], "block": pdf["block"].iloc[:1], "asking": [pdf["class"].to_numpy(np.int64).tobytes()],
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "asking": [pdf["class"].to_numpy(np.int64).tobytes()],
                              "wanted": [pdf["value"].to_numpy(np.int64).tobytes()]})
 
-    queries = dealt(known.filter("asks").select(F.lit(0).alias("kind"), "class", "value"), BLOCK_ROWS, "block")
-    return queries.groupBy("kind", "block").applyInPandas(pack, "kind int, block int, asking binary, wanted binary")
+    queries = dealt(known.filter("asks").select("class", "value"), BLOCK_ROWS, "block")
+    return queries.groupBy("block").applyInPandas(pack, "block int, asking binary, wanted binary")
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -115,24 +115,14 @@ def hashed_counts(df: DataFrame, names: Sequence[str], classes: Mapping[str, Col
     return freq.select(names_of[F.col("i")].alias("coluna"), "h1", "h2", "classe", "linhas")
 
 
-def unpivot_text(
-    df: DataFrame, cols: Mapping[str, Column] | Sequence[str], ids: Sequence[str] = (), hashed: bool = False
-) -> DataFrame:
-    """(ids…, coluna, valor): one row per cell of the chosen columns.
-
-    ``hashed`` is for callers that only compare values and never show them.
-    """
+def unpivot_text(df: DataFrame, cols: Mapping[str, Column] | Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
+    """(ids…, coluna, valor): one row per cell of the chosen columns."""
     if not isinstance(cols, Mapping):
-        cols = {c: _pair_text(df, c) if hashed else as_text(df, c) for c in cols}
+        cols = {c: as_text(df, c) for c in cols}
     # ids get neutral names, so a column may be an id and a profiled one at once
     keys = {f"id_{i}": n for i, n in enumerate(ids)}
     wide = df.select(*[df[quoted(n)].alias(a) for a, n in keys.items()], *[c.alias(n) for n, c in cols.items()])
-    return wide.unpivot(list(keys), [F.col(f"`{n}`") for n in cols], "coluna", "valor")
-
-
-def _pair_text(df: DataFrame, name: str) -> Column:
-    one, two = hash_pair(df, name)
-    return F.concat(F.hex(one), F.lit(":"), F.hex(two))
+    return wide.unpivot(list(keys), [F.col(quoted(n)) for n in cols], "coluna", "valor")
 
 
 def value_counts(df: DataFrame, cols: Mapping[str, Column] | Sequence[str]) -> DataFrame:
@@ -186,6 +176,8 @@ def extremes(c: Column, dtype: T.DataType) -> list[Column]:
     """
     if isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
         return [F.min(c), F.max(c)]
+    if "map<" in dtype.simpleString():
+        c = c.cast("string")
     out = []
     for seed in (1, 2):
         h = F.when(c.isNotNull(), F.xxhash64(F.lit(seed), c))

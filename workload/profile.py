@@ -70,6 +70,28 @@ def fill_scan_lineitem(spark, d):
     return columns.fill_scan(table(spark, d, "lineitem"))
 
 
+# As many text columns as the widest profiled table has, derived from the line items.
+WIDE = 93
+
+
+def _wide_sql(i: int) -> str:
+    blank = "''" if i % 3 else "CAST(l_quantity AS BIGINT) % 3"
+    return f"CASE WHEN l_linenumber = {i % 7 + 1} THEN NULL WHEN l_partkey % {i + 2} = 0 THEN CAST({blank} AS VARCHAR) ELSE l_returnflag || CAST(l_suppkey % {i + 2} AS VARCHAR) END AS ds_{i:02d}"
+
+
+@query(
+    _fill_f1("largo", {f"ds_{i:02d}": "string" for i in range(WIDE)}).replace(
+        "WITH p AS", f"WITH largo AS (SELECT {', '.join(_wide_sql(i) for i in range(WIDE))} FROM lineitem), p AS", 1)
+)
+def fill_scan_wide(spark, d):
+    li = table(spark, d, "lineitem")
+    cell = lambda i: (
+        F.when(li.l_linenumber == i % 7 + 1, F.lit(None).cast("string"))
+        .when(li.l_partkey % (i + 2) == 0, F.lit("") if i % 3 else (li.l_quantity.cast("bigint") % 3).cast("string"))
+        .otherwise(F.concat(li.l_returnflag, (li.l_suppkey % (i + 2)).cast("string"))))
+    return columns.fill_scan(li.select(*[cell(i).alias(f"ds_{i:02d}") for i in range(WIDE)]))
+
+
 @query(_fill_f1("documents", DOCUMENT_COLS))
 def fill_scan_documents(spark, d):
     return columns.fill_scan(table(spark, d, "documents"))

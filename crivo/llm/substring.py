@@ -114,11 +114,11 @@ def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _anchor_rows(window: int):
-    """(h, c, k, at, known): hash of the anchor's words, of its surroundings, the document, the position.
+    """(h, c, k, tag): hash of the anchor's words, of its surroundings, the document; its position and two marks in one number.
 
-    known: 0 if only other tasks can tell, 1 if the anchor is repeated within these documents, 2 if its
+    The tag is 8 * position + 2 * known + dealt. known: 0 if only other tasks can tell, 1 if the anchor is repeated within these documents, 2 if its
     surroundings are as well. Rows of 2 that aren't the first of their surroundings get a hash of their own place instead.
-    Rows with position -1 only tell others that a hash is known to be repeated.
+    dealt: 1 if it's dealt by its surroundings. Rows with a negative tag only tell others that a hash is known to be repeated.
     """
     length = window - PERIOD + 1
 
@@ -141,7 +141,7 @@ def _anchor_rows(window: int):
         none = np.zeros(len(told), np.int64)
         return _batch({
             "h": _signed(np.append(h, told)), "c": _signed(np.append(c, told * np.uint64(BASES[0]) + np.uint64(len(h)) + own[:1].sum())),
-            "k": np.append(k, none), "at": np.append(at, none - 1).astype(np.int32), "known": np.append(known, np.ones(len(told), np.int8)), "dealt": np.append(common, np.zeros(len(told), bool))})
+            "k": np.append(k, none), "tag": np.append(8 * at + 2 * known + common, none - 6)})
 
     def run(batches):
         parts, held = [], 0
@@ -206,17 +206,20 @@ def covered(n: int, spans) -> np.ndarray:
 
 def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     """(k, sure, open): positions of repeated anchors of each document, with equal surroundings elsewhere and without."""
-    rows = docs.select("k", "text").mapInArrow(_anchor_rows(window), "h long, c long, k long, at int, known tinyint, dealt boolean")
+    rows = docs.select("k", "text").mapInArrow(_anchor_rows(window), "h long, c long, k long, tag long")
     by_surroundings, by_words = Window.partitionBy("h", "c"), Window.partitionBy("h")
     seen = rows.repartition("h").withColumns({
-        "cn": F.count("*").over(by_surroundings), "least": F.min(F.struct("k", "at")).over(by_surroundings),
-    }).withColumns({"hn": F.count("*").over(by_words), "alone": F.min(F.greatest(F.col("cn"), F.col("known"))).over(by_words)})
-    sure = (F.col("known") == 2) | (F.col("cn") > 1)
+        "cn": F.count("*").over(by_surroundings), "least": F.min(F.struct("k", "tag")).over(by_surroundings),
+    })
+    known = F.shiftright(F.col("tag"), 1).bitwiseAND(3)
+    seen = seen.withColumns({"hn": F.count("*").over(by_words), "alone": F.min(F.greatest(F.col("cn"), known)).over(by_words)})
+    sure = (known == 2) | (F.col("cn") > 1)
     # a window near the end of a passage may be equal to one in the midst of a longer one: where surroundings differ
     # behind equal words, one anchor of each surroundings has its windows compared, too
-    shows = (F.col("least") == F.struct("k", "at")) & (F.col("dealt") | (F.col("alone") < 2))
-    found = seen.filter((F.col("at") >= 0) & (sure | (F.col("known") == 1) | (F.col("hn") > 1))).select(
-        "k", "at", sure.alias("sure"), (~sure | shows).alias("open"))
+    dealt = F.col("tag").bitwiseAND(1) == 1
+    shows = (F.col("least") == F.struct("k", "tag")) & (dealt | (F.col("alone") < 2))
+    found = seen.filter((F.col("tag") >= 0) & (sure | (known == 1) | (F.col("hn") > 1))).select(
+        "k", F.shiftright(F.col("tag"), 3).cast("int").alias("at"), sure.alias("sure"), (~sure | shows).alias("open"))
     return found.groupBy("k").agg(
         F.collect_set(F.when(F.col("sure"), F.col("at"))).alias("sure"), F.collect_set(F.when(F.col("open"), F.col("at"))).alias("open"))
 
@@ -230,7 +233,9 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     if window < PERIOD:
         raise ValueError(f"windows of less than {PERIOD} words share no anchor")
     rows = keyed(docs, id, text)
-    touched = common.stored(rows.join(repeated_anchors(rows, window), "k"), "touched")
+    # equal rows stand once: all their windows are repeated, which their anchors have shown already
+    joined = rows.join(repeated_anchors(rows, window), "k").groupBy("k", "id").agg(*[F.first(c).alias(c) for c in ("text", "sure", "open")])
+    touched = common.stored(joined, "touched")
     windows = touched.filter(F.size("open") > 0).select("k", "text", "open").mapInArrow(
         _window_rows(window), "a long, b long, k long, at int, known boolean")
     again = F.count("*").over(Window.partitionBy("a", "b")) > 1
@@ -251,8 +256,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
                 pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(out["kept"], pa.string()),
             ], names=["k", "id", "n_words", "spans", "kept"])
 
-    one_each = touched.dropDuplicates(["k", "id"])  # equal rows lose the same words
-    cuts = one_each.join(found, "k", "left").select("k", "id", "text", "sure", "starts").mapInArrow(
+    cuts = touched.join(found, "k", "left").select("k", "id", "text", "sure", "starts").mapInArrow(
         cut, "k long, id long, n_words long, spans array<struct<start:int,stop:int>>, kept string")
     return cuts.filter(F.size("spans") > 0)
 

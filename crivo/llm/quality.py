@@ -34,7 +34,7 @@ def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text as columns; shares are of its characters, words or lines."""
     t = F.coalesce(text, F.lit(""))
     chars = F.length(t)
-    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "")
     lines = F.split(t, "\n")
     n = F.size(words)
     share = lambda pattern: F.when(chars > 0, 1 - F.length(F.regexp_replace(t, pattern, "")) / chars).otherwise(0.0)
@@ -79,14 +79,20 @@ class RuleEnsemble:
     def score(self, df: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
         """``df`` with the score (0 to 1) under ``name``."""
         stats = statistics(common.col(text))
-        taken = dict(zip(stats, common.private(df, *stats)))
+        used = [n for n in stats if any(n == b for rule, _ in self.rules for b, _, _ in rule.bounds)]
+        together, *names = common.private(df, "statistics_", *used)
+        taken = dict(zip(used, names))
         odds = F.lit(self.base)
         for rule, weight in self.rules:
             renamed = Rule(tuple((taken[n], low, high) for n, low, high in rule.bounds))
             odds = odds + F.when(renamed.column(), weight).otherwise(0.0)
-        used = {n for rule, _ in self.rules for n, _, _ in rule.bounds}
-        return df.select("*", *[stats[n].alias(taken[n]) for n in stats if n in used]).select(
-            *[common.col(c) for c in df.columns], (1 / (1 + F.exp(-odds))).alias(name))
+        if used:
+            # worked out once per text: a filter on the score must not be pushed to where it would work them out for every rule
+            df_stats = df.withColumn(together, F.struct(*[stats[n].alias(taken[n]) for n in used]))
+            scored = df_stats.select(*[common.col(c) for c in df.columns], F.inline(F.array(together)))
+        else:
+            scored = df
+        return scored.select(*[common.col(c) for c in df.columns], (1 / (1 + F.exp(-odds))).alias(name))
 
 
 def tree_rules(text: str, names: list[str]) -> list[Rule]:

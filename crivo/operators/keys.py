@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import labels as L
 from ..functions.hashing import fingerprint
 from ..functions.ratios import count_if, pct, ratio
-from ._shape import batches, extremes, hash_pair, join_names, quoted, semi_null_safe, stack_rows
+from ._shape import join_names, quoted, semi_null_safe, stack_rows, unpivot_text
 
 
 def key_ids(keys: Sequence[Sequence[str]]) -> list[int]:
@@ -118,49 +116,31 @@ def duplicate_rows(df: DataFrame, key: Sequence[str], null_keys: bool = True) ->
 def varying_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """What differs inside the repeated keys: worst distinct count per column.
 
-    The smallest and largest value of a column in a key tell first whether it
-    varies there at all; only the cells that do are looked at one by one. They
-    are made distinct by (key, column, value) before they are counted per key,
-    so a key holding very many rows is counted by many tasks.
+    The cells of the duplicate rows are made distinct by (key, column, value)
+    before they are counted per key, so a key holding very many rows is counted
+    by many tasks.
     """
     names = [c for c in (columns or df.columns) if c not in key]
     if not names:  # the key is the whole row
         return df.sparkSession.createDataFrame([], "coluna string, max_valores_distintos bigint, veredito string")
-    worst = reduce(DataFrame.unionByName, [_worst_counts(df, key, part) for part in batches(names)])
-    n = F.col("max_valores_distintos")
-    return worst.withColumn("veredito", F.when(n > 1, L.VARIES).otherwise(L.CONSTANT)).orderBy(
-        F.desc("max_valores_distintos"), "coluna")
-
-
-def _worst_counts(df: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """(coluna, max_valores_distintos) of some columns over the repeated keys."""
+    dup = duplicate_rows(df.select(*dict.fromkeys([*key, *names])), key)
     ids = [f"id_{i}" for i in range(len(key))]
-    cells = [f"c_{j}" for j in range(len(names))]
-    rows = df.select(*[df[quoted(k)].alias(i) for k, i in zip(key, ids)], *[df[quoted(c)].alias(a) for c, a in zip(names, cells)])
-    ends = [extremes(F.col(a), rows.schema[a].dataType) for a in cells]
-    per = rows.groupBy(*ids).agg(
-        F.count("*").alias("qtd"), *[x.alias(f"x_{j}_{m}") for j, xs in enumerate(ends) for m, x in enumerate(xs)]
-    ).where("qtd > 1")
-
-    def moves(j: int) -> Column:
-        pairs = [(F.col(f"x_{j}_{m}"), F.col(f"x_{j}_{m + 1}")) for m in range(0, len(ends[j]), 2)]
-        return F.coalesce(reduce(or_, [lo != hi for lo, hi in pairs]), F.lit(False))
-
-    flags = per.select(
-        *ids, F.array(*[moves(j) for j in range(len(names))]).alias("varia"),
-        F.array(*[F.col(f"x_{j}_0").isNotNull() for j in range(len(names))]).alias("tem"))
-    # of a column that varies nowhere: one value, or none
-    least = stack_rows(flags, [
-        {"j": F.lit(j), "coluna": F.lit(c), "n": F.coalesce(F.max(F.when(F.col("tem")[j], 1)), F.lit(0))} for j, c in enumerate(names)])
-    moving = flags.where(F.exists("varia", lambda v: v)).select(*[F.col(i).alias(f"k{i}") for i in ids], "varia")
-    joined = rows.join(moving, reduce(and_, [F.col(i).eqNullSafe(F.col(f"k{i}")) for i in ids]))
-    looked = F.filter(F.array(*[
-        F.when(F.col("varia")[j], F.struct(F.lit(j).alias("j"), *[h.alias(f"h{m}") for m, h in enumerate(hash_pair(rows, a))]))
-        for j, a in enumerate(cells)
-    ]), lambda x: x.isNotNull() & x["h0"].isNotNull())
-    values = joined.select(*ids, F.inline(looked)).distinct()
-    counts = values.groupBy(*ids, "j").agg(F.count("*").alias("n")).groupBy("j").agg(F.max("n").alias("mais"))
-    return least.join(counts, "j", "left").select("coluna", F.coalesce("mais", F.col("n").cast("bigint")).alias("max_valores_distintos"))
+    cells = unpivot_text(dup, names, ids=key, hashed=True).where(F.col("valor").isNotNull()).distinct()
+    per_key = cells.groupBy(*ids, "coluna").agg(F.count("*").alias("n"))
+    worst = per_key.groupBy("coluna").agg(F.max("n").alias("n"))
+    rows = [
+        {
+            "coluna": F.lit(c),
+            "max_valores_distintos": F.coalesce(F.max(F.when(F.col("coluna") == c, F.col("n"))), F.lit(0)),
+        }
+        for c in names
+    ]
+    n = F.col("max_valores_distintos")
+    return (
+        stack_rows(worst, rows)
+        .withColumn("veredito", F.when(n > 1, L.VARIES).otherwise(L.CONSTANT))
+        .orderBy(F.desc("max_valores_distintos"), "coluna")
+    )
 
 
 def version_histogram(

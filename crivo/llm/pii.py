@@ -59,7 +59,7 @@ PHONE = re.compile(
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4})(?!\w)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])")
-SECRET = re.compile(r"(?i)(?<![^\W_])(?:token|api[_-]?key|secret(?:[_-]?key)?|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}(?:\"([^\"\n]{6,200})\"|'([^'\n]{6,200})'|([\w+/.~-]{6,200}=*))")
+SECRET = re.compile(r"(?i)(?<![^\W_])(?:token|api[_-]?key|secret(?:[_-]?key)?|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([\w+/.~-]{6,}=*))")
 NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.? ([^\W\d_]+)(?: ([^\W\d_]+))?")
 
 

@@ -175,6 +175,17 @@ def test_what_is_private_and_what_is_not():
     assert pii.detect(None) == pii.detect("") == []
 
 
+@pytest.mark.parametrize("size", [201, 300, 5000])
+def test_secrets_of_any_length(spark, size):
+    r = random.Random(size)
+    secret = "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(size))
+    texts = [f"a token = {secret} b", f'a token = "{secret}" b', f"a token = '{secret}' b"]
+    assert all([(kind, norm) for _, _, kind, norm in pii.detect(t)] == [("secret", secret)] for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in pii.replace(df, b"key", count="n").collect():
+        assert x.n == 1 and len(x.text) == len(texts[x.doc_id]) and not any(secret[i:i + 20] in x.text for i in range(size - 19))
+
+
 def test_surrogates_of_names_keep_gender_and_script():
     for text, kinds in (("Mrs. Maria Keller met Dr. Paul Keller", ["given_f", "family", "given_m", "family"]), ("г-жа Ольга Петрова ушла", ["given_f", "family"])):
         found = pii.detect(text)

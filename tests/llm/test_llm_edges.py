@@ -314,3 +314,31 @@ def test_search_by_distance_is_exact(spark):
         want = sorted((bin(c ^ own).count("1"), i) for i, c in codes if i != q)[:10]
         assert [(d, i) for _, d, i in sorted(got[q])] == want
     assert hamming.nearest_codes(df.filter("vec_id = 100"), F.col("code")).collect() == []
+
+
+def repeated_ids():
+    r = np.random.default_rng(8)
+    v = r.normal(size=(40, 64))
+    rows = [(i, v[i]) for i in range(1, 40)] + [(0, v[0])] * 10  # a query row ten times
+    return rows + [(0, v[1]), (0, v[2]), (5, v[0]), (7, v[3]), (7, v[3])]  # its id with other vectors, its vector under another id, a candidate thrice
+
+
+def each_row_but_itself(rows, far, k):
+    want = []
+    for n, (q, own) in enumerate(rows):
+        if q == 0:
+            near = sorted((far(own, v), i) for m, (i, v) in enumerate(rows) if m != n)[:k]
+            want += [(q, rank, i, round(d, 9)) for rank, (d, i) in enumerate(near, 1)]
+    return sorted(want)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = repeated_ids()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    far = lambda a, b: -float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    got = graph.nearest(df, asks=50).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(-r.score, 9)) for r in got) == each_row_but_itself(rows, lambda a, b: round(far(a, b), 9), 5)
+    codes = [(i, int(np.packbits(v > 0, bitorder="little").view(np.int64)[0])) for i, v in rows]
+    df = spark.createDataFrame(codes, "vec_id long, code long").repartition(4)
+    got = hamming.nearest_codes(df, F.col("code")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == each_row_but_itself(codes, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count(), 10)

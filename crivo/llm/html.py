@@ -27,12 +27,15 @@ from pyspark.sql import types as T
 
 #: Comments, the text of elements that hold no text, other tags with their attributes in quotes, text.
 PARTS = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|math|title|textarea|iframe|object|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|annotation(?:-xml)?|title|textarea|iframe|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([A-Za-z][\w:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|(<?[^<]++|<)",
     re.DOTALL | re.IGNORECASE,
 )
 #: Tags that end a block, tags that hold blocks, and those among them that hold no main text.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math object output param q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | set(
+    "maction math menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split()
+)
 HOLDERS = set("article aside body button dialog div dl fieldset figure footer form header html li main menu nav ol section table td th tr ul".split())
 APART = set("aside button dialog fieldset footer form header menu nav".split())
 #: Words in class, id and role that mark such a part.
@@ -42,26 +45,37 @@ MARKS = set(
     "promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription tags toolbar widget contentinfo complementary".split()
 )
+#: What only says where a part stands, so that a layout around the article may be named after it; words that say whether a page has such a part.
+PLACES = set("banner footer header menu menubar nav navbar navigation sidebar toolbar".split())
+HAVING = set("has have no with without".split())
 CONTENT = set("article articlebody content entry maincontent post story main".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 
 NAMES = ["words", "links", "words_before", "links_before", "words_behind", "links_behind", "apart", "article", "heading"]
+#: How far a holder sets apart: not at all, as a layout up to an article, by a class up to the main element, for all it holds.
+OPEN, LAYOUT, MARKED, SHUT = range(4)
 
 
-def _told(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """What a holder says of its blocks: (apart, article)."""
-    apart, article = tag in APART and not (tag == "header" and inside_article), tag in ("article", "main")
+def _told(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
+    """What a holder says of its blocks: (how far they are apart, article)."""
+    apart, article = SHUT if tag in APART and not (tag == "header" and inside_article) else OPEN, tag in ("article", "main")
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                apart = True
+                apart = SHUT
             elif name in ("class", "id", "role"):
                 words = set(re.split(r"[^a-z]+", value))
-                marked = words & MARKS
+                marked, layout = set(), True
+                for token in value.split():
+                    parts = [w for w in re.split(r"[^a-z]+", token) if w]
+                    here = set() if HAVING & set(parts) else MARKS & set(parts)
+                    marked |= here
+                    layout &= not here or here <= PLACES and parts[0] not in MARKS
                 if inside_article and marked <= {"header", "byline", "tags"} or tag in ("body", "html"):
                     marked = set()
-                apart |= bool(marked)
+                if marked:
+                    apart = max(apart, LAYOUT if layout else MARKED)
                 article |= bool(words & CONTENT) and not marked and tag not in ("body", "html")
     return apart, article
 
@@ -69,7 +83,7 @@ def _told(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, the numbers of NAMES) of each block of a page, in order."""
     out: list[tuple[str, float, int, bool, bool, bool]] = []
-    holders: list[tuple[str, bool, bool]] = []  # tag, apart, article, with what stands around
+    holders: list[tuple[str, int, bool]] = []  # tag, apart, article, with what stands around
     texts: list[str] = []
     linked, in_link, heading = 0, False, False
 
@@ -77,8 +91,8 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(texts)).split())
         if text:
-            _, apart, article = holders[-1] if holders else ("", False, False)
-            out.append((text, min(1.0, linked / len(text)), len(text.split()), apart, article, heading))
+            _, apart, article = holders[-1] if holders else ("", OPEN, False)
+            out.append((text, min(1.0, linked / len(text)), len(text.split()), apart > OPEN, article, heading))
         texts.clear()
         linked = 0
 
@@ -102,10 +116,12 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                     if at is not None:
                         del holders[at:]
                 elif not m[4].rstrip().endswith("/"):
-                    _, apart, article = holders[-1] if holders else ("", False, False)
+                    _, apart, article = holders[-1] if holders else ("", OPEN, False)
+                    if apart <= {"article": LAYOUT, "main": MARKED}.get(tag, OPEN):
+                        apart = OPEN
                     more_apart, more_article = _told(tag, m[4], article)
-                    holders.append((tag, apart or more_apart, article or more_article))
-        elif m[1] is not None:
+                    holders.append((tag, max(apart, more_apart), article or more_article))
+        elif m[1] is not None and m[1].lower() not in INLINE:
             end()
     end()
     edge = (0, 1.0)
@@ -131,6 +147,9 @@ LABELLED = (
     "<p>One long line of text, with a <a>link</a> or two in the midst of it, is still text that people came here to read.</p>+<p>And one more long line of text to close the whole matter, with enough words to be sure of it.</p>+<p><a>Imprint</a> <a>Privacy</a></p>-",
     "<article><p><a>All of it is a link</a></p>+<p>Word</p>+<p>Word</p>+</article><p>This paragraph stands behind the article and outside of anything, yet it has the length and the looks of text.</p>+<p>Bye</p>-",
     "<ul><li><a>What happened in the north this week</a></li>-<li><a>Prices rise again in spring, say shops</a></li>-<li><a>Team wins the final of the year</a></li>-</ul><p>Beside those lists stands the text itself, a paragraph of many words without links, and that is what we want.</p>+<ul><li><a>An older story of some length</a></li>-<li><a>The oldest story that we have here</a></li>-</ul>",
+    "<div class=content-sidebar-wrap><main><h1>Wrapped</h1>+<p>The text of this page stands in a wrapper that is named after the part beside it.</p>+</main><div class=sidebar><p>Old posts of ours</p>-</div></div>",
+    "<div class='site no-sidebar with-nav'><nav><a>Home</a></nav>-<article><p>Short.</p>+<p>A page without a sidebar says so in the class of what holds it all.</p>+</article><div class=comments><article><p>What a reader had to say about it</p>-</article></div></div>",
+    "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> solves it.</p>+<object data=plan.svg><p>A drawing of the house</p>+</object><p>That was all.</p>+</article><p><a>Top</a></p>-",
     "<div class=main><h3>Part one</h3>+<p>It was.</p>+<p>It is.</p>+</div><div class=related><a>More like this one here</a>-<p>What you could read next if you liked this text</p>-</div>",
 )
 

@@ -273,6 +273,25 @@ def test_pages_of_all_kinds(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string"), tree).collect() == []
 
 
+def test_layouts_named_after_their_parts_hold_the_article(spark):
+    tree = html.fit(spark)
+    words = "This is the text of the page and it is long enough to be taken for what it is by anyone."
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-nav", "layout-sidebar-right"):
+        for tag in ("main", "article"):
+            page = f"<div class='{name}'><{tag}><h1>Title</h1><p>{words}</p></{tag}><div class=sidebar><article><p>{words}</p></article></div></div>"
+            assert html.main_text(page, tree) == f"Title\n{words}", (name, tag)
+    for name in ("sidebar", "comments", "comments-wrap", "related-posts", "ad", "sidebar-wrap"):
+        assert html.main_text(f"<main><p>{words}</p></main><div class={name}><article><p>{words}</p></article></div>", tree) == words, name
+    assert html.main_text(f"<div hidden><main><p>{words}</p></main></div>", tree) == ""
+
+
+def test_formulas_and_fallback_texts_stay(spark):
+    tree = html.fit(spark)
+    formula = "<math display=inline><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow><annotation encoding='application/x-tex'>x^2=4</annotation></semantics></math>"
+    assert html.main_text(f"<article><p>We know that {formula} has two answers.</p></article>", tree) == "We know that x2=4 has two answers."
+    assert html.main_text("<article><p>See <object data=a.pdf>the plan as a text</object> here.</p></article>", tree) == "See the plan as a text here."
+
+
 def vectors(spark, n=300, seed=1):
     r = np.random.default_rng(seed)
     rows = [(i, r.normal(size=64).tolist()) for i in range(n)]

@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Entities that draw again at most so often; after GENERATE draws names are made of syllables, longer with each draw.
+#: Entities that draw again at most so often; after GENERATE draws names are made of syllables, longer with each draw,
+#: and private addresses of a narrow range come from 10.x.x.x.
 MAX_DRAWS, GENERATE = 64, 4
 
 #: Titles before names, with the gender they tell, and common given names.
@@ -194,6 +195,8 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int) -> str:
     if kind == "ip":
         parts = norm.split(".")
         keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
+        if keep == 2 and attempt >= GENERATE:  # the range may be full
+            parts, keep = ["10"], 1
         new = [str(1 + draw.below(254)) for _ in range(4)]
         while not keep and (new[0] in ("10", "127", "172", "192") or int(new[0]) > 223):
             new[0] = str(1 + draw.below(223))

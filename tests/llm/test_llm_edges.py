@@ -205,6 +205,13 @@ def test_colliding_surrogates_draw_again(spark):
     assert len({r.new for r in got}) == len(names) and not {r.new for r in got} & {n for _, n in names}
 
 
+def test_more_private_addresses_than_their_range_has_room_for(spark):
+    # every address of 192.168.x.x: none of them is free as a surrogate
+    df = spark.range(65536).select(F.lit("ip").alias("kind"), F.concat(F.lit("192.168."), F.expr("id div 256"), F.lit("."), F.expr("id % 256")).alias("norm"))
+    got = pii.assigned(df, b"k").collect()
+    assert len({r.new for r in got}) == 65536 and all(r.new.startswith("10.") for r in got)
+
+
 def test_quality_with_few_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.fit(docs, none).score(docs).select("score").distinct().collect()[0][0] == 0.5

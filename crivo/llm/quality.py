@@ -8,7 +8,7 @@ bounded size is taken by a digest of the id.
 
 Null and empty texts have all statistics zero and get the score these earn. An
 id labelled more than once counts with its lowest label; null labels and ids
-count for nothing. With no labelled row the score is 0.5, with labels of one
+count for nothing; of several rows of a labelled id one is learnt from. With no labelled row the score is 0.5, with labels of one
 kind only it is their smoothed share. Rows repeat as they are.
 """
 
@@ -128,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rows = docs.select(common.col(id).alias("id_"), common.col(text).alias("text_")).join(F.broadcast(chosen), "id_")
     stats = statistics(F.col("text_"))
     names = list(stats)
-    rows = rows.select("id_", "label_", *[c.alias(n) for n, c in stats.items()])
+    # one row for each id, of the text with the smallest digest: an id that many rows share weighs as one
+    rows = rows.select("id_", "label_", F.struct(F.xxhash64("text_").alias("digest_"), *[c.alias(n) for n, c in stats.items()]).alias("row_"))
+    rows = rows.groupBy("id_", "label_").agg(F.min("row_").alias("row_")).select("id_", "label_", *[F.col(f"row_.{n}").alias(n) for n in names])
     # few rows of numbers: in a fixed order, so that the fit is the same each time
     rows = common.stored(rows.orderBy("id_", *names).coalesce(1), "statistics").cache()
     try:

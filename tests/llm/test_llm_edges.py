@@ -212,6 +212,17 @@ def test_more_private_addresses_than_their_range_has_room_for(spark):
     assert len({r.new for r in got}) == 65536 and all(r.new.startswith("10.") for r in got)
 
 
+def test_a_labelled_id_of_many_rows_is_learnt_from_once(spark, monkeypatch):
+    rows = [(1, f"one id of many rows {i}") for i in range(200)] + [(i, f"text {i} of its own!" * (i % 3 + 1)) for i in range(2, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
+    seen, store = [], quality.common.stored
+    monkeypatch.setattr(quality.common, "stored", lambda d, name: seen.append(store(d, name)) or seen[-1])
+    model = quality.fit(df, labels)
+    assert sorted(r.id_ for r in seen[0].collect()) == list(range(1, 12))
+    assert quality.fit(df.orderBy("text"), labels) == model
+
+
 def test_quality_with_few_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.fit(docs, none).score(docs).select("score").distinct().collect()[0][0] == 0.5

@@ -6,9 +6,10 @@
 Control strings inside a role or a text get one backslash more than they have:
 ``</turn>`` becomes ``<\\/turn>``, ``###`` becomes ``\\###``, and in a role ``: ``
 becomes ``:\\ ``; strings that already look so get one more, so that taking one
-away gives the source again. Each field is rendered as it is and read back
-first; only where that doesn't give the source is it escaped. What was rendered
-is then parsed as a whole, and the parsed turns are what the digests are made of.
+away gives the source again. A field is escaped if it holds a control string or
+if unescaping would change it: a fixed test that stands in for rendering,
+parsing and comparing. The digests are made of turns parsed from what was
+rendered; they aren't compared with the source here.
 
 Turns of a conversation stand by turn, then role, then text, nulls first; rows
 that repeat are turns that repeat. Null texts and roles are empty ones. Rows

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, graph, hamming, html, mixing, pii, quality, simhash, substring
+from . import bpe, chat, fim, graph, hamming, html, mixing, pii, quality, repair, simhash, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -142,6 +142,83 @@ ORACLE["op10_chat_format"] = r"""
     FROM shown GROUP BY conv_id"""
 
 
+@query
+def op11_fim_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = made.select("doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "output", F.col("form").alias("by"))
+    return fim.restore(made, form="by", digest_only=True).withColumnRenamed("text_sha256", "restored_sha256").drop("by")
+
+
+ORACLE["op11_fim_pieces"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                      sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    drawn AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) AS h1, CAST(('0x' || substr(h, 9, 8)) AS BIGINT) AS h2,
+                     CAST(('0x' || substr(h, 17, 8)) AS BIGINT) AS h3, CAST(('0x' || substr(h, 25, 8)) AS BIGINT) AS h4 FROM d),
+    cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+    parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut),
+    shown AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                             ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM parts),
+    back AS (SELECT *, string_split_regex(output, '<P>|<S>|<M>') AS x FROM shown)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(output) AS output_sha256,
+           sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN x[2] || x[4] || x[3] ELSE x[3] || x[4] || x[2] END) AS restored_sha256 FROM back"""
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.damaged(rows), rows)
+
+
+ORACLE["op12_turn_repair"] = r"""
+    WITH RECURSIVE given AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x,
+               xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ord(c)::BIGINT),
+                   lambda crc, c: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, c)), 4294967295::BIGINT),
+                   4294967295::BIGINT) % 20 AS kind FROM conversations),
+    rows AS (
+        SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE r END AS r, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x
+        FROM (SELECT *, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) FROM given WHERE kind <> 0)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS pos FROM rows),
+    fault AS (
+        SELECT *, left(r, 1) AS i, CASE WHEN NOT regexp_matches(x, '[^\x20\x09-\x0D]') THEN 'b'
+                                        WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY pos) > 1 THEN 'd'
+                                        WHEN NOT regexp_matches(x, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS f FROM placed),
+    pairs AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM fault),
+    counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank,
+               count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+               count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM pairs GROUP BY conv_id),
+    ins(s, t, more, edits, lines) AS (VALUES ('0', '0', 0, '', []::VARCHAR[]), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []), ('0', 'u', 5, 'I', ['user:']),
+        ('0', 'a', 10, 'II', ['user:', 'assistant:']), ('s', 'u', 5, 'I', ['user:']), ('s', 'a', 10, 'II', ['user:', 'assistant:']),
+        ('u', 'a', 5, 'I', ['assistant:']), ('a', 'u', 5, 'I', ['user:'])),
+    target(s, t) AS (VALUES ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+    walk AS (
+        SELECT conv_id, 0::BIGINT AS pos, '0' AS s, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM counted
+        UNION ALL
+        SELECT conv_id, pos, s, min({'cost': cost, 'audit': audit, 'lines': lines}) FROM (
+            SELECT w.conv_id, f.pos, unnest([
+                {'s': i.t, 'cost': w.best.cost + i.more + 2, 'audit': w.best.audit || i.edits || 'D', 'lines': w.best.lines || i.lines},
+                CASE WHEN f.f NOT IN ('b', 'd') AND ((f.i = 's' AND i.t = '0') OR (f.i = g.t))
+                     THEN {'s': f.i, 'cost': w.best.cost + i.more + CASE f.f WHEN 't' THEN 5 ELSE 0 END, 'audit': w.best.audit || i.edits || 'K',
+                           'lines': w.best.lines || i.lines || [f.r || ':' || f.x]} END,
+                CASE WHEN f.f NOT IN ('b', 'd')
+                     THEN {'s': g.t, 'cost': w.best.cost + i.more + 1 + CASE f.f WHEN 't' THEN 5 ELSE 0 END, 'audit': w.best.audit || i.edits || 'R',
+                           'lines': w.best.lines || i.lines || [CASE g.t WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.x]} END], recursive := true)
+            FROM walk w JOIN fault f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 JOIN ins i ON i.s = w.s JOIN target g ON g.s = i.t)
+        WHERE s IS NOT NULL GROUP BY conv_id, pos, s),
+    ended AS (
+        SELECT c.conv_id, min({'cost': w.best.cost + i.more, 'audit': w.best.audit || i.edits, 'lines': w.best.lines || i.lines}) AS best
+        FROM counted c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n JOIN ins i ON i.s = w.s AND i.t IN ('0', 'a') GROUP BY c.conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit,
+           sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+         LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

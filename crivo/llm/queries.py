@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, graph, hamming, html, mixing, pii, quality, repair, simhash, substring
+from . import bpe, chat, fim, graph, hamming, html, licenses, mixing, pii, quality, repair, simhash, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -219,6 +219,55 @@ ORACLE["op12_turn_repair"] = r"""
          LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
+@query
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = lambda n: F.array_join(F.col(name[n]), ",").alias(n)
+    return out.select("doc_id", *[F.col(name[n]).alias(n) for n in ("n_words", "n_base", "first_word", "last_word")],
+                      text("base_labels"), text("labels"), F.col(name["score"]).alias("score"))
+
+
+def _quoted(value) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def _values(rows) -> str:
+    return ",\n        ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows)
+
+
+ORACLE["op13_license_rules"] = rf"""
+    WITH RECURSIVE rules(rule, priority, label, keyword, pattern) AS (VALUES
+        {_values((i, *r) for i, r in enumerate(licenses.rules()))}),
+    phrases(phrase, label) AS (VALUES {_values(licenses.BASE)}),
+    scores(priority, score) AS (VALUES {_values(enumerate(licenses.SCORES))}),
+    d AS (SELECT row_number() OVER () AS rid, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT *, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, '  ') || ' ' ELSE '' END AS s FROM d),
+    spots AS (SELECT rid, p.label, i FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM t) x JOIN (SELECT *, string_split(phrase, ' ') AS ws FROM phrases) p
+           ON x.w[i:i + len(p.ws) - 1] = p.ws),
+    base AS (SELECT rid, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list(DISTINCT label)) AS labels FROM spots GROUP BY rid),
+    hit AS (SELECT rid, rule, priority, label, string_split(trim(regexp_replace(s, pattern, chr(32) || chr(1) || '\1' || chr(2) || chr(32), 'g'), ' '), '  ') AS m
+            FROM t JOIN rules ON contains(s, keyword) AND regexp_matches(s, pattern)),
+    places AS (SELECT rid, rule, priority, label, list_filter(range(len(m)), lambda i: starts_with(m[i + 1], chr(1))) AS a,
+                      list_filter(range(len(m)), lambda i: ends_with(m[i + 1], chr(2))) AS b FROM hit),
+    found AS (SELECT rid, rule, priority, label, unnest(a) AS start, unnest(b) + 1 AS stop FROM places),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start, stop DESC, priority, rule) AS n, count(*) OVER (PARTITION BY rid) AS all_of FROM found),
+    walk AS (
+        SELECT rid, n, all_of, start, stop, priority, label, [] :: STRUCT(p INTEGER, l VARCHAR)[] AS kept FROM ordered WHERE n = 1
+        UNION ALL
+        SELECT w.rid, o.n, o.all_of, CASE WHEN x.take THEN o.start ELSE w.start END, CASE WHEN x.take THEN o.stop ELSE w.stop END,
+               CASE WHEN x.take THEN o.priority ELSE w.priority END, CASE WHEN x.take THEN o.label ELSE w.label END,
+               CASE WHEN o.start >= w.stop THEN w.kept || [{{'p': w.priority, 'l': w.label}}] ELSE w.kept END
+        FROM walk w JOIN ordered o ON o.rid = w.rid AND o.n = w.n + 1,
+             LATERAL (SELECT o.start >= w.stop OR (o.stop > w.stop AND o.priority < w.priority) AS take) x),
+    ended AS (SELECT rid, unnest(kept || [{{'p': priority, 'l': label}}]) AS k FROM walk WHERE n = all_of),
+    own AS (SELECT rid, list(DISTINCT k.l) AS labels, max(score) AS score FROM ended JOIN scores ON scores.priority = k.p WHERE k.l <> '' GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word, b.last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(o.labels, []))), ','), '') AS labels,
+           CAST(greatest(CASE WHEN b.n > 0 THEN {licenses.BASE_SCORE} ELSE 0 END, coalesce(o.score, 0)) AS DOUBLE) AS score
+    FROM t LEFT JOIN base b USING (rid) LEFT JOIN own o USING (rid)"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

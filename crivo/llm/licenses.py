@@ -62,11 +62,11 @@ LICENSES = (
     ("gpl-2-or-later", "gnu", "gpl 2 0 or later", r"gnu general public licen[cs]e(?: version)? v?2(?: 0)? or (?:any )?later(?: version)?", r"licenses gpl 2 0 or later"),
     ("gpl-3", "gnu", "gpl 3 0", r"gnu general public licen[cs]e(?: version)? v?3(?: 0)?(?: only)?", r"licenses gpl 3 0"),
     ("gpl-3-or-later", "gnu", "gpl 3 0 or later", r"gnu general public licen[cs]e(?: version)? v?3(?: 0)? or (?:any )?later(?: version)?", r"licenses gpl 3 0 or later"),
-    ("gpl", "gnu", "gpl", r"(?:gnu )?general public licen[cs]e", r"licenses gpl"),
+    ("gpl", "general", "gpl", r"(?:gnu )?general public licen[cs]e", r"licenses gpl"),
     ("lgpl-2", "gnu", "lgpl 2 0", r"gnu library general public licen[cs]e(?: version)?(?: v?2(?: 0)?)?", r"licenses lgpl 2 0"),
     ("lgpl-2.1", "gnu", "lgpl 2 1", r"gnu lesser general public licen[cs]e(?: version)? v?2 1", r"licenses (?:old licenses )?lgpl 2 1"),
     ("lgpl-3", "gnu", "lgpl 3 0", r"gnu lesser general public licen[cs]e(?: version)? v?3(?: 0)?", r"licenses lgpl 3 0"),
-    ("lgpl", "gnu", "lgpl", r"(?:gnu )?lesser general public licen[cs]e", r"licenses lgpl"),
+    ("lgpl", "lesser", "lgpl", r"(?:gnu )?lesser general public licen[cs]e", r"licenses lgpl"),
     ("agpl-3", "gnu", "agpl 3 0", r"gnu affero general public licen[cs]e(?: version)?(?: v?3(?: 0)?)?", r"licenses agpl 3 0"),
     ("gfdl-1.3", "gnu", "gfdl 1 3", r"gnu free documentation licen[cs]e(?: version)?(?: v?1 [123])?", r"licenses fdl 1 3"),
     ("mpl-1.1", "mozilla", "mpl 1 1", r"mozilla public licen[cs]e(?: version)? v?1 1", r"mozilla org mpl 1 1"),
@@ -75,12 +75,12 @@ LICENSES = (
     ("epl-2", "eclipse", "epl 2 0", r"eclipse public licen[cs]e(?: version)?(?: v?2(?: 0)?)?", r"legal epl 2 0"),
     ("edl-1", "eclipse", "edl 1 0", r"eclipse distribution licen[cs]e(?: version)?(?: v?1(?: 0)?)?", r"documents edl v10"),
     ("cddl-1", "development", "cddl 1 0", r"common development and distribution licen[cs]e(?: version)?(?: v?1(?: 0)?)?", r"licenses cddl 1 0"),
-    ("cpl-1", "licen", "cpl 1 0", r"common public licen[cs]e(?: version)?(?: v?1(?: 0)?)?", r"licenses cpl 1 0"),
+    ("cpl-1", "common", "cpl 1 0", r"common public licen[cs]e(?: version)?(?: v?1(?: 0)?)?", r"licenses cpl 1 0"),
     ("eupl-1", "european", "eupl 1 [012]", r"european union public licen[cs]e(?: version)?(?: v?1 [012])?", r"software page eupl"),
     ("artistic-1", "artistic", "artistic 1 0", r"artistic licen[cs]e(?: version)? v?1(?: 0)?", r"licenses artistic license 1 0"),
     ("artistic-2", "artistic", "artistic 2 0", r"artistic licen[cs]e(?: version)? v?2(?: 0)?", r"licenses artistic license 2 0"),
     ("artistic", "artistic", "artistic", r"(?:perl )?artistic licen[cs]e", r"licenses artistic license"),
-    ("osl-3", "licen", "osl 3 0", r"open software licen[cs]e(?: version)?(?: v?3(?: 0)?)?", r"licenses osl 3 0"),
+    ("osl-3", "open", "osl 3 0", r"open software licen[cs]e(?: version)?(?: v?3(?: 0)?)?", r"licenses osl 3 0"),
     ("afl-3", "academic", "afl 3 0", r"academic free licen[cs]e(?: version)?(?: v?3(?: 0)?)?", r"licenses afl 3 0"),
     ("ms-pl", "microsoft", "ms pl", r"microsoft public licen[cs]e", r"licenses ms pl"),
     ("ms-rl", "microsoft", "ms rl", r"microsoft reciprocal licen[cs]e", r"licenses ms rl"),
@@ -89,7 +89,7 @@ LICENSES = (
     ("ruby", "ruby", "ruby", r"ruby(?: s)? licen[cs]e", r"ruby lang org license"),
     ("php-3", "php", "php 3 0?1?", r"php licen[cs]e(?: version)?(?: v?3 0?1?)?", r"php net license"),
     ("unlicense", "unlicense", "unlicense", r"the unlicense", r"unlicense org"),
-    ("wtfpl", "licen", "wtfpl", r"do what the f\w* you want to public licen[cs]e", r"wtfpl net"),
+    ("wtfpl", "want", "wtfpl", r"do what the f\w* you want to public licen[cs]e", r"wtfpl net"),
     ("cc0-1", "cc0", "cc0 1 0", r"cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", r"publicdomain zero 1 0"),
     ("cc-by", "creative", "cc by [1234] 0", r"creative commons attribution(?: [1234] 0)?(?: (?:international|unported|generic))?(?: public)? licen[cs]e", r"licenses by [1234] 0"),
     ("cc-by-sa", "creative", "cc by sa [1234] 0", r"creative commons attribution share ?alike(?: [1234] 0)?(?: (?:international|unported|generic))?(?: public)?(?: licen[cs]e)?", r"licenses by sa [1234] 0"),
@@ -99,8 +99,8 @@ LICENSES = (
     ("cc-by-nc-nd", "creative", "cc by nc nd [1234] 0", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1234] 0)?(?: (?:international|unported|generic))?(?: public)?(?: licen[cs]e)?", r"licenses by nc nd [1234] 0"),
     ("odbl-1", "database", "odbl 1 0", r"open (?:data commons open )?database licen[cs]e(?: v?1 0)?", r"opendatacommons org licenses odbl"),
     ("pddl-1", "dedication", "pddl 1 0", r"public domain dedication and licen[cs]e", r"opendatacommons org licenses pddl"),
-    ("odc-by-1", "licen", "odc by 1 0", r"open data commons attribution licen[cs]e(?: v?1 0)?", r"opendatacommons org licenses by"),
-    ("openrail", "rail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: [ms]+)?(?: licen[cs]e)?", r"licenses openrail"),
+    ("odc-by-1", "commons", "odc by 1 0", r"open data commons attribution licen[cs]e(?: v?1 0)?", r"opendatacommons org licenses by"),
+    ("openrail", "openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: [ms]+)?(?: licen[cs]e)?", r"licenses openrail"),
     ("sspl-1", "server", "sspl 1 0", r"server side public licen[cs]e(?: version)?(?: v?1)?", r"licensing server side public license"),
     ("busl-1.1", "business", "busl 1 1", r"business source licen[cs]e(?: version)?(?: v?1 1)?", r"mariadb com bsl11"),
     ("elastic-2", "elastic", "elastic 2 0", r"elastic licen[cs]e(?: version)?(?: v?2(?: 0)?)?", r"co licensing elastic license"),
@@ -108,10 +108,10 @@ LICENSES = (
 
 # Short forms, notices, remarks and senses that are none, by priority, label ("" suppresses only), keyword and pattern.
 PHRASES = (
-    (SHORT, "gpl-2", "gpl", r"gpl ?v?2(?: 0)?(?: only)?"), (SHORT, "gpl-2", "gplv2", r"gplv2(?: 0)?(?: only)?"),
-    (SHORT, "gpl-3", "gpl", r"gpl ?v?3(?: 0)?(?: only)?"), (SHORT, "gpl-3", "gplv3", r"gplv3(?: 0)?(?: only)?"),
-    (SHORT, "gpl-2-or-later", "gpl", r"gpl ?v?2(?: 0)? (?:or later|or any later version|plus)"), (SHORT, "gpl-2-or-later", "gplv2", r"gplv2 (?:or later|plus)"),
-    (SHORT, "gpl-3-or-later", "gpl", r"gpl ?v?3(?: 0)? (?:or later|or any later version|plus)"), (SHORT, "gpl-3-or-later", "gplv3", r"gplv3 (?:or later|plus)"),
+    (SHORT, "gpl-2", "gpl|gplv2|gplv3|gpl2|gpl3", r"gpl ?v?2(?: 0)?(?: only)?"), (SHORT, "gpl-2", "gplv2", r"gplv2(?: 0)?(?: only)?"),
+    (SHORT, "gpl-3", "gpl|gplv2|gplv3|gpl2|gpl3", r"gpl ?v?3(?: 0)?(?: only)?"), (SHORT, "gpl-3", "gplv3", r"gplv3(?: 0)?(?: only)?"),
+    (SHORT, "gpl-2-or-later", "gpl|gplv2|gplv3|gpl2|gpl3", r"gpl ?v?2(?: 0)? (?:or later|or any later version|plus)"), (SHORT, "gpl-2-or-later", "gplv2", r"gplv2 (?:or later|plus)"),
+    (SHORT, "gpl-3-or-later", "gpl|gplv2|gplv3|gpl2|gpl3", r"gpl ?v?3(?: 0)? (?:or later|or any later version|plus)"), (SHORT, "gpl-3-or-later", "gplv3", r"gplv3 (?:or later|plus)"),
     (SHORT, "gpl", "gpl", r"(?:gnu )?gpl(?: licen[cs]e)?"), (SHORT, "lgpl", "lgpl", r"(?:gnu )?lgpl(?: licen[cs]e)?"),
     (SHORT, "lgpl-2.1", "lgpl", r"lgpl v?2 1"), (SHORT, "lgpl-2.1", "lgplv2", r"lgplv2 1"), (SHORT, "lgpl-3", "lgpl", r"lgpl v?3(?: 0)?"),
     (SHORT, "lgpl-3", "lgplv3", r"lgplv3"), (SHORT, "agpl-3", "agpl", r"(?:gnu )?agpl(?: v?3(?: 0)?)?(?: licen[cs]e)?"), (SHORT, "agpl-3", "agplv3", r"agplv3"),
@@ -149,19 +149,19 @@ PHRASES = (
     (NOTICE, "cc0-1", "waived", r"(?:has|have) waived all copyright and related or neighbou?ring rights"),
     (NOTICE, "proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)(?: information)?"),
     (NOTICE, "proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use) of this (?:file|work|software|document)"),
-    (NOTICE, "proprietary", "prior", r"without (?:the )?(?:express |prior )+written (?:permission|consent)"),
+    (NOTICE, "proprietary", "written", r"without (?:the )?(?:express |prior )+written (?:permission|consent)"),
     (REMARK, "public-domain", "public", r"(?:in|into|to) the public domain"), (REMARK, "public-domain", "public", r"public domain (?:work|software|text|dedication)"),
     (REMARK, "all-rights-reserved", "rights", r"all rights reserved"), (REMARK, "some-rights-reserved", "rights", r"(?:some|certain) rights reserved"),
     (REMARK, "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?"), (REMARK, "copyright", "copyright", r"(?:c )?copyright (?:by|of|holders?)"),
-    (REMARK, "creative-commons", "creative", r"creative commons(?: public)?(?: licen[cs]e)?"), (REMARK, "dual-license", "dual", r"(?:dual|multi) licen[cs]ed"),
-    (REMARK, "freeware", "freeware", r"(?:is|as) freeware"), (REMARK, "shareware", "shareware", r"(?:is|as) shareware"), (REMARK, "open-source", "licen", r"(?:an )?open source licen[cs]e"),
-    (REMARK, "eula", "licen", r"end user licen[cs]e agreement"), (REMARK, "terms-of-use", "terms", r"subject to (?:the |these |our )?terms (?:of (?:use|service)|and conditions)"),
-    (TAG, "", "licen", r"not (?:be )?(?:licen[cs]ed|released|distributed|available|covered) (?:under|by) (?:the )?(?:\S+ ){1,6}?licen[cs]e"),
+    (REMARK, "creative-commons", "creative", r"creative commons(?: public)?(?: licen[cs]e)?"), (REMARK, "dual-license", "dual|multi", r"(?:dual|multi) licen[cs]ed"),
+    (REMARK, "freeware", "freeware", r"(?:is|as) freeware"), (REMARK, "shareware", "shareware", r"(?:is|as) shareware"), (REMARK, "open-source", "license|licence", r"(?:an )?open source licen[cs]e"),
+    (REMARK, "eula", "agreement", r"end user licen[cs]e agreement"), (REMARK, "terms-of-use", "terms", r"subject to (?:the |these |our )?terms (?:of (?:use|service)|and conditions)"),
+    (TAG, "", "license|licence", r"not (?:be )?(?:licen[cs]ed|released|distributed|available|covered) (?:under|by) (?:the )?(?:\S+ ){1,6}?licen[cs]e"),
     (TAG, "", "gpl", r"not (?:be )?(?:licen[cs]ed|released|distributed|available|covered) (?:under|by) (?:the )?(?:gnu )?gpl(?: v?[23])?"),
     (TAG, "", "lgpl", r"not (?:be )?(?:licen[cs]ed|released|distributed|available|covered) (?:under|by) (?:the )?(?:gnu )?lgpl(?: v?[23])?"),
     (TAG, "", "agpl", r"not (?:be )?(?:licen[cs]ed|released|distributed|available|covered) (?:under|by) (?:the )?(?:gnu )?agpl(?: v?3)?"),
-    (TAG, "", "compatible", r"(?:gpl|mit|apache|bsd)(?: licen[cs]e)? (?:in)?compatible"), (TAG, "", "compatible", r"(?:in)?compatible with the (?:\S+ ){1,6}?licen[cs]e"),
-    (TAG, "", "driver", r"driver s licen[cs]e"), (TAG, "", "driving", r"driving licen[cs]e"), (TAG, "", "poetic", r"(?:poetic|artistic) licen[cs]e (?:with|to|in|and) (?:the )?(?:facts|truth|history)"),
+    (TAG, "", "compatible|incompatible", r"(?:gpl|mit|apache|bsd)(?: licen[cs]e)? (?:in)?compatible"), (TAG, "", "compatible|incompatible", r"(?:in)?compatible with the (?:\S+ ){1,6}?licen[cs]e"),
+    (TAG, "", "driver", r"driver s licen[cs]e"), (TAG, "", "driving", r"driving licen[cs]e"), (TAG, "", "poetic|artistic", r"(?:poetic|artistic) licen[cs]e (?:with|to|in|and) (?:the )?(?:facts|truth|history)"),
 )
 
 #: The word forms that grant a licence.
@@ -176,33 +176,38 @@ def _pattern(words: str) -> str:
 
 @functools.cache
 def rules() -> tuple[tuple[int, str, str, str], ...]:
-    """(priority, label, keyword, pattern) of all rules, in order: four forms of each licence, then the phrases. Keywords begin a word."""
+    """(priority, label, keyword, pattern) of all rules, in order: four forms of each licence, then the phrases.
+
+    One of the words of its keyword, parted by ``|``, stands in every match.
+    """
     out = []
     for label, key, identifier, name, address in LICENSES:
+        words = [w for w in address.split() if w.isalpha() and w not in ("org", "com", "net")]
         out += [(TAG, label, identifier.split()[0], TAG_FORM + identifier + "(?: only)?"), (GRANT, label, key, GRANT_FORM + name),
-                (NAME, label, key, name), (ADDRESS, label, "licens" if "licens" in address else max(address.split(), key=len), address)]
+                (NAME, label, key, name), (ADDRESS, label, next((w for w in words if w.startswith("licen")), words[-1]), address)]
     out += PHRASES
-    return tuple((p, label, " " + key, _pattern(words)) for p, label, key, words in out)
+    return tuple((p, label, key, _pattern(words)) for p, label, key, words in out)
 
 
 def keywords() -> list[str]:
-    return sorted({key for _, _, key, _ in rules()})
+    return sorted({word for _, _, key, _ in rules() for word in key.split("|")})
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all other characters as they are."""
+    """A-Z in lower case. Other characters may change too, but stay beyond ASCII, which is all that words and rules tell apart."""
     upper = "".join(map(chr, range(65, 91)))
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+    # the only two characters whose lower case holds an ASCII letter
+    mixed = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    return F.when(mixed, F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
-def spaced_words(text: Column) -> Column:
-    """The words of a text, each between two spaces of its own; empty without words."""
-    core = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, "  "))
-    return F.when(core == "", "").otherwise(F.concat(F.lit(" "), core, F.lit(" ")))
+def words_apart(text: Column) -> Column:
+    """The words of a text with two spaces between them."""
+    return F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, "  "))
 
 
 def words_in(spaced: Column) -> Column:
-    return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
+    return F.regexp_count(spaced, F.lit("[^ ]+")).cast("long")
 
 
 def places(spaced: Column, pattern: Column) -> Column:
@@ -245,7 +250,7 @@ def _column(values) -> Column:
 def detections(spaced: Column, hits: Column) -> Column:
     """All matches of the rules whose keyword is among ``hits``."""
     priority, label, key, pattern = map(_column, zip(*rules()))
-    gated = F.filter(F.sequence(F.lit(0), F.lit(len(rules()) - 1)), lambda i: F.array_contains(hits, F.get(key, i)) & F.rlike(spaced, F.get(pattern, i)))
+    gated = F.filter(F.sequence(F.lit(0), F.lit(len(rules()) - 1)), lambda i: F.arrays_overlap(hits, F.split(F.get(key, i), r"\|")) & F.rlike(spaced, F.get(pattern, i)))
     return F.flatten(F.transform(gated, lambda i: F.transform(places(spaced, F.get(pattern, i)), lambda p: F.struct(
         p["start"].alias("start"), (-p["stop"]).alias("back"), F.get(priority, i).cast("int").alias("priority"), i.alias("rule"),
         p["stop"].alias("stop"), F.get(label, i).alias("label")))))
@@ -257,19 +262,22 @@ def scan(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     n_words, n_base, first_word, last_word, base_labels and labels (arrays), score.
     """
     wanted = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    spaced, base, hits, kept_, *out = common.private(df, "spaced_words_", "base_found_", "keywords_hit_", "kept_", *wanted)
+    spaced, words, base, hits, kept_, *out = common.private(df, "spaced_words_", "words_", "base_found_", "keywords_hit_", "kept_", *wanted)
     names, s = dict(zip(wanted, out)), F.col(spaced)
-    rows = df.withColumn(spaced, spaced_words(common.col(text)))
+    # in steps, so that what is used twice is worked out once
+    rows = df.withColumn(spaced, words_apart(common.col(text)))
+    rows = rows.withColumn(words, F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, "  ")))
+    rows = rows.withColumn(hits, F.array_intersect(words, _column(keywords()))).withColumn(spaced, F.concat(F.lit(" "), s, F.lit(" ")))
     phrases = [(" " + p.replace(" ", "  ") + " ", label) for p, label in BASE]
 
     def place(phrase: str, label: str) -> Column:
         n = (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(phrase), F.lit("")))) / len(phrase)
         first = words_in(F.substring_index(s, phrase, 1))
-        last = words_in(s) - words_in(F.substring_index(s, phrase, -1)) - phrase.count("  ") - 1
+        last = F.size(words) - words_in(F.substring_index(s, phrase, -1)) - phrase.count("  ") - 1
         return F.when(F.contains(s, F.lit(phrase)), F.struct(n.cast("long").alias("n"), first.alias("first"), last.alias("last"), F.lit(label).alias("label")))
 
-    rows = rows.withColumn(base, F.array_compact(F.array(*[place(*p) for p in phrases])))
-    rows = rows.withColumn(hits, F.filter(_column(keywords()), lambda k: F.contains(s, k)))
+    places_ = F.array_compact(F.array(*[place(*p) for p in phrases]))
+    rows = rows.withColumn(base, F.when(F.size(hits) > 0, places_).otherwise(F.array().cast("array<struct<n:bigint,first:bigint,last:bigint,label:string>>")))
     none = F.array().cast("array<struct<priority:int,label:string>>")
     rows = rows.withColumn(kept_, F.when(F.size(hits) > 0, kept(detections(s, F.col(hits)))).otherwise(none))
     scores = F.array(*map(F.lit, SCORES))
@@ -277,7 +285,7 @@ def scan(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     base_labels = F.array_sort(F.array_distinct(F.transform(base, lambda b: b["label"])))
     both = F.array_sort(F.array_union(base_labels, F.transform(kept_, lambda d: d["label"])))
     made = {
-        "n_words": words_in(s), "n_base": F.aggregate(F.transform(base, lambda b: b["n"]), F.lit(0).cast("long"), lambda a, n: a + n),
+        "n_words": F.size(words).cast("long"), "n_base": F.aggregate(F.transform(base, lambda b: b["n"]), F.lit(0).cast("long"), lambda a, n: a + n),
         "first_word": F.array_min(F.transform(base, lambda b: b["first"])), "last_word": F.array_max(F.transform(base, lambda b: b["last"])),
         "base_labels": base_labels, "labels": both, "score": best,
     }

@@ -247,7 +247,7 @@ ORACLE["op13_license_rules"] = rf"""
            ON x.w[i:i + len(p.ws) - 1] = p.ws),
     base AS (SELECT rid, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list(DISTINCT label)) AS labels FROM spots GROUP BY rid),
     hit AS (SELECT rid, rule, priority, label, string_split(trim(regexp_replace(s, pattern, chr(32) || chr(1) || '\1' || chr(2) || chr(32), 'g'), ' '), '  ') AS m
-            FROM t JOIN rules ON contains(s, keyword) AND regexp_matches(s, pattern)),
+            FROM t JOIN rules ON list_has_any(w, string_split(keyword, '|')) AND regexp_matches(s, pattern)),
     places AS (SELECT rid, rule, priority, label, list_filter(range(len(m)), lambda i: starts_with(m[i + 1], chr(1))) AS a,
                       list_filter(range(len(m)), lambda i: ends_with(m[i + 1], chr(2))) AS b FROM hit),
     found AS (SELECT rid, rule, priority, label, unnest(a) AS start, unnest(b) + 1 AS stop FROM places),

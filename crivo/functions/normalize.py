@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ DIGITS = "^[0-9]+$"
 LEADING_ZERO = "^0[0-9]"
 LEADING_ZEROS_KEEP_LAST = "^0+(?=[0-9])"
 DECIMAL_TAIL = r"\.0+$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]{1,9})?$"
 LIST_KEY = r"^[0-9]+(\.0+)?$"
 # --- end of fixed values ---
 
@@ -54,6 +57,56 @@ def numeric_code(c: Column) -> Column:
     return text(c).try_cast("bigint")
 
 
+#: Digits that a canonical number may have before or after its point; beyond, it keeps its digits and an exponent.
+PLAIN_DIGITS = 400
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def canonical_number(number: Column) -> Column:
+    """One text for each number: sign, whole digits, places without closing zeros; null for what is no number.
+
+    No type of fixed width is involved, so nothing is rounded: ``1.40``, ``+01.4`` and ``14e-1`` are ``1.4``, and
+    numbers that differ in any place differ. Zero has no sign.
+    """
+    def parts(t: Column) -> Column:
+        unsigned = F.ltrim(t, F.lit("+-"))
+        exponent = F.when(F.contains(t, F.lit("e")), F.substring_index(t, "e", -1).try_cast("int")).otherwise(0)
+        return F.struct(
+            F.when(F.startswith(t, F.lit("-")), "-").otherwise("").alias("sign"), F.substring_index(unsigned, "e", 1).alias("mantissa"), exponent.alias("exponent"))
+
+    def kept(p: Column) -> Column:
+        led = F.ltrim(F.replace(p["mantissa"], F.lit("."), F.lit("")), F.lit("0"))
+        # where the point stands, counted from the first digit that is no leading zero
+        places = F.when(F.contains(p["mantissa"], F.lit(".")), F.length(F.substring_index(p["mantissa"], ".", -1))).otherwise(0)
+        return F.struct(p["sign"].alias("sign"), F.rtrim(led, F.lit("0")).alias("digits"), (F.length(led) - places + p["exponent"]).alias("point"))
+
+    def written(k: Column) -> Column:
+        digits, point, size = k["digits"], k["point"], F.length(k["digits"])
+        zeros = lambda n: F.repeat(F.lit("0"), n)
+        magnitude = (
+            F.when((point > PLAIN_DIGITS) | (point < -PLAIN_DIGITS), F.concat(F.lit("0."), digits, F.lit("e"), point.cast("string")))
+            .when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits))
+            .when(point >= size, F.concat(digits, zeros(point - size)))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+        )
+        return F.when(digits == "", "0").otherwise(F.concat(k["sign"], magnitude))
+
+    return _let(F.lower(F.trim(number)), lambda t: F.when(t.rlike(NUMBER), _let(parts(t), lambda p: _let(kept(p), written))))
+
+
+def with_places(canonical: Column, places: int) -> Column:
+    """A canonical number shown with so many places at least."""
+    if places <= 0:
+        return canonical
+    whole, has = F.length(F.substring_index(canonical, ".", 1)), F.contains(canonical, F.lit("."))
+    dotted = F.when(has, canonical).otherwise(F.concat(canonical, F.lit(".")))
+    return F.rpad(dotted, F.greatest(F.length(dotted), whole + 1 + places), F.lit("0"))
+
+
 def mask(c: Column, length: int = 8) -> Column:
     """Short hash standing in for a personal value."""
     return F.substring(F.md5(c.cast("string")), 1, length)

@@ -2,11 +2,13 @@
 
 Both extracts are brought to comparable cells (codes without leading zeros,
 dates as AAAAMMDD, numbers, trimmed text), stacked with a side mark and counted
-per key and row content. Nothing is joined, so repeated keys cannot multiply
-rows. Contents of a key that occur on both sides are each other's counterpart,
-however often they repeat. If one content is left on each side, those two are
-compared cell by cell. Anything else that is left are versions without a defined
-counterpart; the key is reported as such.
+per key and row content, of which only two hashes are shuffled. Nothing is
+joined, so repeated keys cannot multiply rows. Contents of a key that occur on
+both sides are each other's counterpart, however often they repeat. If one
+content is left on each side, those two are compared cell by cell; the cells of
+contents that are left are read in a second pass. Anything else that is left are
+versions: the key is reported as such, and with ``versions`` in the spec they are
+paired at the least number of differing cells and compared like the others.
 
 A cell that does not read as a number keeps its text, and is compared by it.
 """
@@ -23,7 +25,9 @@ from pyspark.sql import types as T
 from ..functions import dates as D
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
+from ..session import stored
 from ._shape import quoted, stack_rows
+from .versions import pair_versions
 
 # States of a key.
 BOTH = "EM AMBAS"
@@ -41,7 +45,8 @@ class CompareSpec:
     ``kinds`` names the comparison of a column: ``code``, ``date``, ``double``
     (within ``tolerance``), ``exact`` or ``text``; the default comes from the
     column type of the first extract. ``exact`` keeps every decimal place of
-    both extracts; what is no number is compared as text.
+    both extracts, whatever their types; what is no number is compared as text.
+    ``versions`` compares what is left of keys with several versions too.
     """
 
     keys: Sequence[str]
@@ -49,6 +54,7 @@ class CompareSpec:
     kinds: Mapping[str, str] = field(default_factory=dict)
     tolerance: float = 0.005
     zero_mode: str = "all"
+    versions: bool = False
 
     def kind(self, df: DataFrame, c: str) -> str:
         if c in self.kinds:
@@ -61,17 +67,12 @@ class CompareSpec:
         return "text" if isinstance(t, T.StringType) else "exact"
 
 
-def _exact_type(a: T.DataType, b: T.DataType) -> str:
-    """The type in which numbers of both types keep all their digits; decimals of a text may have 18."""
-    def digits(t: T.DataType) -> tuple[int, int]:
-        if isinstance(t, T.DecimalType):
-            return t.precision - t.scale, t.scale
-        return (20, 0) if isinstance(t, T.IntegralType) else (20, 18)
-
-    if any(isinstance(t, (T.DoubleType, T.FloatType)) for t in (a, b)):
-        return "double"
-    whole, places = (max(x) for x in zip(digits(a), digits(b)))
-    return f"decimal({min(38, whole + places)},{min(places, 38 - min(whole, 38))})"
+def _places(a: T.DataType, b: T.DataType) -> int:
+    """Decimal places with which exact numbers of both types are shown; none where a text or a double leaves them open."""
+    types = (a, b)
+    if not all(isinstance(t, (T.DecimalType, T.IntegralType)) for t in types):
+        return 0
+    return max(t.scale if isinstance(t, T.DecimalType) else 0 for t in types)
 
 
 def _plain(c: Column, dtype: T.DataType) -> Column:
@@ -79,14 +80,16 @@ def _plain(c: Column, dtype: T.DataType) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-def _cell(df: DataFrame, c: str, kind: str, exact: str) -> Column:
+def _cell(df: DataFrame, c: str, kind: str) -> Column:
     """``v`` is what the cell says, ``t`` its text where it does not read as a number; both null for an empty one."""
     x, dtype = df[quoted(c)], df.schema[c].dataType
     text = _plain(x, dtype)
-    if kind in ("double", "exact"):
-        wanted = "double" if kind == "double" else exact
-        number = text.try_cast(wanted) if isinstance(dtype, T.StringType) else x.try_cast(wanted) if isinstance(dtype, T.NumericType) else F.lit(None).cast(wanted)
+    if kind == "exact":
+        number = text if isinstance(dtype, T.IntegralType) else N.canonical_number(text)
         return F.struct(number.alias("v"), F.when(number.isNull(), text).alias("t"))
+    if kind == "double":
+        number = text.try_cast("double") if isinstance(dtype, T.StringType) else x.try_cast("double") if isinstance(dtype, T.NumericType) else F.lit(None).cast("double")
+        return F.struct((number + F.lit(0.0)).alias("v"), F.when(number.isNull(), text).alias("t"))
     if kind == "code":
         value = F.nullif(N.strip_zeros(x), F.lit(""))
     else:
@@ -94,27 +97,41 @@ def _cell(df: DataFrame, c: str, kind: str, exact: str) -> Column:
     return F.struct(value.alias("v"), F.lit(None).cast("string").alias("t"))
 
 
-def _by_key(a: DataFrame, b: DataFrame, spec: CompareSpec) -> tuple[DataFrame, dict[str, str]]:
-    """Per key: rows of each side, contents found on both, and the one left on each side if there is just one.
+@dataclass(frozen=True)
+class _Sides:
+    """Both extracts stacked, and what is counted of their contents."""
+
+    rows: DataFrame
+    contents: DataFrame
+    per: DataFrame
+    kinds: Mapping[str, str]
+
+
+def _stacked(a: DataFrame, b: DataFrame, spec: CompareSpec) -> _Sides:
+    """Per key: rows of each side, contents found on both, contents left on each side, and the state.
 
     ``ilegiveis_i`` counts the contents found on both whose i-th cell is no number.
     """
     kinds = {c: spec.kind(a, c) for c in spec.columns}
+    numbers = [i for i, k in enumerate(kinds.values()) if k in ("double", "exact")]
     parts = []
     for df, side in ((a, 0), (b, 1)):
-        cells = [
-            _cell(df, c, k, _exact_type(a.schema[c].dataType, b.schema[c].dataType)).alias(f"c{i}") for i, (c, k) in enumerate(kinds.items())
-        ]
+        cells = [_cell(df, c, k).alias(f"c{i}") for i, (c, k) in enumerate(kinds.items())]
         keys = [N.strip_zeros(df[quoted(k)], spec.zero_mode).alias(k) for k in spec.keys]
-        parts.append(df.select(*keys, F.struct(*cells).alias("linha"), F.lit(1 - side).alias("na"), F.lit(side).alias("nb")))
-    contents = parts[0].unionByName(parts[1]).groupBy(*spec.keys, "linha").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    na, nb, row = F.col("na"), F.col("nb"), F.col("linha")
+        parts.append(df.select(*keys, F.struct(*cells).alias("linha"), F.lit(side).alias("lado")))
+    names = [quoted(k) for k in spec.keys]
+    key = F.md5(F.concat(*[F.coalesce(F.concat(F.lit("="), k, F.lit("\x1f")), F.lit("\x1f")) for k in names]))
+    unread = F.concat(F.lit(""), *[F.when(F.col(f"linha.c{i}.t").isNotNull(), "1").otherwise("0") for i in numbers])
+    rows = parts[0].unionByName(parts[1]).select("*", key.alias("chave"))
+    rows = rows.select("*", unread.alias("ilegivel"), *[F.xxhash64(F.lit(seed), "chave", "linha").alias(f"h{seed}") for seed in (1, 2)])
+    contents = rows.groupBy("chave", *names, "h1", "h2", "ilegivel").agg(
+        F.sum(1 - F.col("lado")).alias("na"), F.sum("lado").alias("nb"))
+    na, nb = F.col("na"), F.col("nb")
     only_a, only_b, common = nb == 0, na == 0, (na > 0) & (nb > 0)
-    per = contents.groupBy(*spec.keys).agg(
+    per = contents.groupBy("chave", *names).agg(
         F.sum("na").alias("linhas_a"), F.sum("nb").alias("linhas_b"), count_if(common).alias("iguais"),
         count_if(only_a).alias("sobra_a"), count_if(only_b).alias("sobra_b"),
-        F.max(F.when(only_a, row)).alias("a"), F.max(F.when(only_b, row)).alias("b"),
-        *[count_if(common & F.col(f"linha.c{i}.t").isNotNull()).alias(f"ilegiveis_{i}") for i in range(len(kinds))],
+        *[count_if(common & (F.substring("ilegivel", n + 1, 1) == "1")).alias(f"ilegiveis_{i}") for n, i in enumerate(numbers)],
     )
     one = (F.col("sobra_a") == 1) & (F.col("sobra_b") == 1)
     state = (
@@ -123,12 +140,48 @@ def _by_key(a: DataFrame, b: DataFrame, spec: CompareSpec) -> tuple[DataFrame, d
         .when(one | (F.col("sobra_a") + F.col("sobra_b") == 0), BOTH)
         .otherwise(VERSIONS)
     )
-    return per.withColumn("situacao", state).withColumn("par", one), kinds
+    return _Sides(rows, contents, per.withColumn("situacao", state), kinds)
+
+
+def _left_over(sides: _Sides, spec: CompareSpec, wanted: Column) -> DataFrame:
+    """(chave, keys…, lado, h1, h2, linha): contents without an equal on the other side, of the keys that are wanted."""
+    keys = sides.per.where(wanted).select("chave")
+    left = sides.contents.where("na = 0 OR nb = 0").join(keys, "chave").select("h1", "h2")
+    found = sides.rows.join(left, ["h1", "h2"], "left_semi")
+    return found.groupBy("chave", *[quoted(k) for k in spec.keys], "lado", "h1", "h2").agg(F.first("linha").alias("linha"))
+
+
+def _pairs(sides: _Sides, spec: CompareSpec) -> DataFrame:
+    """(keys…, a, b): the contents that are compared, each with its counterpart."""
+    names = [quoted(k) for k in spec.keys]
+    side = lambda n: F.max(F.when(F.col("lado") == n, F.col("linha")))
+    ones = _left_over(sides, spec, F.expr("sobra_a = 1 AND sobra_b = 1")).groupBy("chave", *names).agg(side(0).alias("a"), side(1).alias("b"))
+    out = ones.select(*names, "a", "b")
+    if not spec.versions:
+        return out
+    contents, pairs = _version_pairs(sides, spec)
+    cells = lambda n: contents.where(F.col("lado") == n).select(F.col("id").alias("ab"[n]), F.col("linha").alias(f"linha_{n}"), *(names if n == 0 else []))
+    paired = pairs.join(cells(0), "a").join(cells(1), "b")
+    return out.unionByName(paired.select(*names, F.col("linha_0").alias("a"), F.col("linha_1").alias("b")))
+
+
+def _cell_text(c: Column) -> Column:
+    return F.coalesce(c["v"].cast("string"), c["t"])
+
+
+def _version_pairs(sides: _Sides, spec: CompareSpec) -> tuple[DataFrame, DataFrame]:
+    """The contents left in keys with versions on both sides, with their ids, and their pairs."""
+    left = _left_over(sides, spec, F.expr(f"situacao = '{VERSIONS}' AND sobra_a > 0 AND sobra_b > 0"))
+    cells = [F.col(f"linha.c{i}") for i in range(len(sides.kinds))]
+    text = F.concat_ws("\x1f", *[F.coalesce(quoted(k), F.lit("")) for k in spec.keys], *[F.coalesce(_cell_text(c), F.lit("")) for c in cells])
+    hashes = F.array(*[F.xxhash64(F.lit(i), c["v"], c["t"]) for i, c in enumerate(cells)])
+    left = stored(left.select("*", F.md5(text).alias("id"), hashes.alias("celulas")), "versoes")
+    return left, pair_versions(left, len(cells))
 
 
 def reconcile_keys(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Keys and rows per state: both, only one side, several versions."""
-    per, _ = _by_key(a, b, spec)
+    per = _stacked(a, b, spec).per
     dup = lambda s: F.sum(F.when(F.col(s) > 1, F.col(s) - 1).otherwise(0))
     return (
         per.groupBy("situacao")
@@ -153,18 +206,20 @@ def _judged(i: int, kind: str, tolerance: float) -> dict[str, Column]:
     return {
         "same": same, "near": near, "bad": ~same & ~near & ~empty_x & ~empty_y, "only_b": empty_x & ~empty_y, "only_a": ~empty_x & empty_y,
         "unread": x["t"].isNotNull() | y["t"].isNotNull(),
-        "text_a": F.coalesce(x["v"].cast("string"), x["t"]), "text_b": F.coalesce(y["v"].cast("string"), y["t"]),
     }
 
 
 def reconcile_columns(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Per column: compared cells, equal, within tolerance, divergent, one-sided, not readable as numbers."""
-    per, kinds = _by_key(a, b, spec)
-    both = per.where(F.col("situacao") == BOTH)
-    pair, equal = F.col("par"), F.coalesce(F.sum("iguais"), F.lit(0))
+    sides = _stacked(a, b, spec)
+    states = [BOTH, VERSIONS] if spec.versions else [BOTH]
+    equal_rows = sides.per.where(F.col("situacao").isin(states)).drop("chave", "linhas_a", "linhas_b", "sobra_a", "sobra_b", "situacao")
+    both = equal_rows.unionByName(_pairs(sides, spec), allowMissingColumns=True)
+    pair, equal = F.col("a").isNotNull(), F.coalesce(F.sum("iguais"), F.lit(0))
     rows = []
-    for i, (c, kind) in enumerate(kinds.items()):
+    for i, (c, kind) in enumerate(sides.kinds.items()):
         j = _judged(i, kind, spec.tolerance)
+        unread = F.coalesce(F.sum(f"ilegiveis_{i}"), F.lit(0)) if kind in ("double", "exact") else F.lit(0)
         rows.append({
             "coluna": F.lit(c),
             "regra": F.lit(kind),
@@ -174,7 +229,7 @@ def reconcile_columns(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFram
             "divergentes": count_if(pair & j["bad"]),
             "vazio_so_em_a": count_if(pair & j["only_b"]),
             "vazio_so_em_b": count_if(pair & j["only_a"]),
-            "ilegiveis": F.coalesce(F.sum(f"ilegiveis_{i}"), F.lit(0)) + count_if(pair & j["unread"]),
+            "ilegiveis": unread + count_if(pair & j["unread"]),
         })
     out = stack_rows(both, rows)
     same = F.col("identicas") + F.col("dentro_da_tolerancia")
@@ -183,19 +238,38 @@ def reconcile_columns(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFram
 
 def reconcile_cells(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Every divergent cell: key, column and the two values."""
-    per, kinds = _by_key(a, b, spec)
+    sides = _stacked(a, b, spec)
     cells = []
-    for i, (c, kind) in enumerate(kinds.items()):
+    for i, (c, kind) in enumerate(sides.kinds.items()):
         j = _judged(i, kind, spec.tolerance)
+        places = _places(a.schema[c].dataType, b.schema[c].dataType) if kind == "exact" else 0
+        shown = [F.coalesce(N.with_places(x["v"].cast("string"), places), x["t"]) for x in (F.col(f"a.c{i}"), F.col(f"b.c{i}"))]
         cells.append(F.when(
-            ~j["same"] & ~j["near"],
-            F.struct(F.lit(c).alias("coluna"), j["text_a"].alias("valor_a"), j["text_b"].alias("valor_b")),
+            ~j["same"] & ~j["near"], F.struct(F.lit(c).alias("coluna"), shown[0].alias("valor_a"), shown[1].alias("valor_b")),
         ))
     bad = F.filter(F.array(*cells), lambda s: s.isNotNull())
-    return per.where(F.col("par") & (F.col("situacao") == BOTH)).select(*spec.keys, F.inline(bad))
+    return _pairs(sides, spec).select(*[quoted(k) for k in spec.keys], F.inline(bad))
+
+
+def reconcile_versions(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
+    """Contents left in keys with versions on both sides: each pair with what differs, and those without a counterpart.
+
+    ``conteudo_a`` and ``conteudo_b`` are digests of key and cells, null for what is missing.
+    """
+    sides = _stacked(a, b, spec)
+    names = [quoted(k) for k in spec.keys]
+    contents, pairs = _version_pairs(sides, spec)
+    mine = lambda n: contents.where(F.col("lado") == n).select(
+        F.col("id").alias("ab"[n]), F.col("celulas").alias(f"celulas_{n}"), *[F.col(k).alias(f"chave_{n}_{i}") for i, k in enumerate(names)])
+    out = mine(0).join(pairs, "a", "left").join(mine(1), "b", "full")
+    key = [F.coalesce(f"chave_0_{i}", f"chave_1_{i}").alias(k) for i, k in enumerate(spec.keys)]
+    columns = F.array(*map(F.lit, sides.kinds))
+    differing = F.filter(columns, lambda c, i: F.get("celulas_0", i) != F.get("celulas_1", i))
+    return out.select(*key, F.col("a").alias("conteudo_a"), F.col("b").alias("conteudo_b"), "diferentes",
+                      F.when(F.col("diferentes").isNotNull(), F.array_join(differing, ", ")).alias("colunas"))
 
 
 def reconcile_unmatched(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Keys without a counterpart, and keys with versions, with their row counts."""
-    per, _ = _by_key(a, b, spec)
+    per = _stacked(a, b, spec).per
     return per.where(F.col("situacao") != BOTH).select(*spec.keys, "situacao", "linhas_a", "linhas_b")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Timestamps compare with other engines in UTC; AQE coalesces small shuffles
 # and splits skewed join partitions at run time.
@@ -28,6 +29,19 @@ def build_session(app: str = "crivo", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back, so that a lost executor repeats nothing before it.
+
+    A local session without ``spark.checkpoint.dir``, as in tests, gets a temporary folder; any other is refused.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crivo-"))
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """New folder name for intermediate tables, under the cluster's shared folder.
 

@@ -410,3 +410,128 @@ def attribute_agreement_null_keys(spark, d):
 @query(_agreement_sql("IS NOT DISTINCT FROM"), ("pedidos",))
 def attribute_agreement_equal_nulls(spark, d):
     return _agreement(spark, d, "equal")
+
+
+# --- numbers of any width ---------------------------------------------------------------
+
+EXACT = reconcile.CompareSpec(
+    keys=["num"], columns=["inteiro", "fino", "longo", "expoente"], kinds=dict.fromkeys(["inteiro", "fino", "longo", "expoente"], "exact"))
+
+
+def _exact_sides(spark, d):
+    o = table(spark, d, "orders")
+    code, num = o.o_custkey.cast("string"), o.o_orderkey.cast("string")
+    urgent, high = o.o_orderpriority == "1-URGENT", o.o_orderpriority == "2-HIGH"
+    fine = lambda last: F.concat(F.lit("3."), F.lpad(num, 24, "0"), last, F.lit("00000")).cast("decimal(38,30)")
+    a = o.select(
+        num.alias("num"), o.o_custkey.cast("decimal(38,0)").alias("inteiro"), fine(F.lit("1")).alias("fino"),
+        F.concat(F.lit("9" * 45), num).alias("longo"), F.concat(code, F.lit("e-2")).alias("expoente"))
+    b = o.select(
+        num.alias("num"), F.concat(code, F.when(urgent, ".4").otherwise(".000")).alias("inteiro"),
+        fine(F.when(urgent, "2").otherwise("1")).alias("fino"),
+        F.concat(F.lit("+00" + "9" * 45), num, F.when(high, ".00000000000000000000001").otherwise(".0")).alias("longo"),
+        (o.o_custkey.cast("decimal(18,2)") / 100 + F.when(high, 0.01).otherwise(0).cast("decimal(4,2)")).cast("decimal(20,2)").alias("expoente"))
+    return a, b
+
+
+def _same_number(x: str, y: str) -> str:
+    plain = lambda v: f"rtrim(regexp_replace(regexp_replace({v}, '^[+]?0*([0-9])', '\\1'), '([.][0-9]*?)0+$', '\\1'), '.')"
+    return f"{plain(x)} = {plain(y)}"
+
+
+_EXACT_ROWS = {
+    "inteiro": _same_number("CAST(o_custkey AS VARCHAR)", "o_custkey || CASE WHEN o_orderpriority = '1-URGENT' THEN '.4' ELSE '.000' END"),
+    "fino": _same_number("'3.' || lpad(CAST(o_orderkey AS VARCHAR), 24, '0') || '100000'",
+                         "'3.' || lpad(CAST(o_orderkey AS VARCHAR), 24, '0') || CASE WHEN o_orderpriority = '1-URGENT' THEN '2' ELSE '1' END || '00000'"),
+    "longo": _same_number(f"'{'9' * 45}' || o_orderkey",
+                          f"'+00{'9' * 45}' || o_orderkey || CASE WHEN o_orderpriority = '2-HIGH' THEN '.00000000000000000000001' ELSE '.0' END"),
+    "expoente": "CAST(o_custkey || 'e-2' AS DOUBLE) = CAST(o_custkey AS DOUBLE) / 100 + CASE WHEN o_orderpriority = '2-HIGH' THEN 0.01 ELSE 0 END",
+}
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS coluna, 'exact' AS regra, count(*) AS comparadas, count(*) FILTER (WHERE {same}) AS identicas, CAST(0 AS BIGINT) AS dentro_da_tolerancia,
+        count(*) FILTER (WHERE NOT ({same})) AS divergentes, CAST(0 AS BIGINT) AS vazio_so_em_a, CAST(0 AS BIGINT) AS vazio_so_em_b, CAST(0 AS BIGINT) AS ilegiveis,
+        {pct_sql(f'count(*) FILTER (WHERE {same})', 'count(*)')} AS pct_conforme FROM orders""" for c, same in _EXACT_ROWS.items()))
+def reconcile_exact_digits(spark, d):
+    return reconcile.reconcile_columns(*_exact_sides(spark, d), EXACT)
+
+
+# --- several versions of a key ------------------------------------------------------------
+
+VERSIONED = reconcile.CompareSpec(
+    keys=["num", "grupo"], columns=["quantidade", "devolucao", "remessa", "fornecedor", "material"],
+    kinds={"quantidade": "exact", "devolucao": "text", "remessa": "date", "fornecedor": "code", "material": "code"}, versions=True)
+
+
+def _versioned_sides(spark, d):
+    i = table(spark, d, "lineitem")
+    odd, third = i.l_linenumber % 2 == 1, i.l_partkey % 3 == 0
+    base = [i.l_orderkey.cast("string").alias("num"), F.ceil(i.l_linenumber / 3).cast("string").alias("grupo")]
+    a = i.select(*base, i.l_quantity.alias("quantidade"), i.l_returnflag.alias("devolucao"), i.l_shipdate.cast("date").alias("remessa"),
+                 i.l_suppkey.alias("fornecedor"), F.lpad(i.l_partkey.cast("string"), 12, "0").alias("material"))
+    b = i.where(~((i.l_linenumber % 3 == 0) & (i.l_orderkey % 2 == 0))).select(
+        *base, (i.l_quantity.cast("int") + odd.cast("int")).cast("string").alias("quantidade"),
+        F.when(third, "?").otherwise(i.l_returnflag).alias("devolucao"), F.date_format("l_shipdate", "dd/MM/yyyy").alias("remessa"),
+        F.lpad((i.l_suppkey + F.when(third & odd, 1).otherwise(0)).cast("string"), 8, "0").alias("fornecedor"), i.l_partkey.alias("material"))
+    return a, b
+
+
+_VERSION_COLS = ("quantidade", "devolucao", "remessa", "fornecedor", "material")
+_VERSION_CELLS = ", ".join(f"coalesce({c}, '')" for c in _VERSION_COLS)
+
+
+def _code_sql(x: str) -> str:
+    return f"nullif(ltrim(CAST({x} AS VARCHAR), '0'), '')"
+
+
+VERSIONS_SQL = f"""WITH RECURSIVE i AS (
+        SELECT ltrim(CAST(l_orderkey AS VARCHAR), '0') AS num, CAST(CAST(ceil(l_linenumber / 3.0) AS INTEGER) AS VARCHAR) AS grupo, l_linenumber % 2 = 1 AS odd, l_partkey % 3 = 0 AS third, * FROM lineitem),
+    a AS (SELECT DISTINCT num, grupo, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantidade, l_returnflag AS devolucao, strftime(l_shipdate, '%Y%m%d') AS remessa,
+            {_code_sql('l_suppkey')} AS fornecedor, {_code_sql('l_partkey')} AS material FROM i),
+    b AS (SELECT DISTINCT num, grupo, CAST(CAST(l_quantity AS INTEGER) + CAST(odd AS INTEGER) AS VARCHAR) AS quantidade, CASE WHEN third THEN '?' ELSE l_returnflag END AS devolucao,
+            strftime(l_shipdate, '%Y%m%d') AS remessa, {_code_sql('l_suppkey + CASE WHEN third AND odd THEN 1 ELSE 0 END')} AS fornecedor, {_code_sql('l_partkey')} AS material
+          FROM i WHERE NOT (l_linenumber % 3 = 0 AND l_orderkey % 2 = 0)),
+    la AS (SELECT *, md5(concat_ws(chr(31), num, grupo, {_VERSION_CELLS})) AS id FROM (FROM a EXCEPT FROM b)),
+    lb AS (SELECT *, md5(concat_ws(chr(31), num, grupo, {_VERSION_CELLS})) AS id FROM (FROM b EXCEPT FROM a)),
+    ks AS (SELECT num, grupo FROM (SELECT num, grupo, count(*) AS na FROM la GROUP BY ALL) JOIN (SELECT num, grupo, count(*) AS nb FROM lb GROUP BY ALL) USING (num, grupo) WHERE na > 1 OR nb > 1),
+    p0 AS (SELECT num, grupo, la.id AS ia, lb.id AS ib, [{', '.join(f"la.{c} IS DISTINCT FROM lb.{c}" for c in _VERSION_COLS)}] AS d FROM ks JOIN la USING (num, grupo) JOIN lb USING (num, grupo)),
+    p AS (SELECT *, len(list_filter(d, lambda x: x)) AS n, row_number() OVER (PARTITION BY num, grupo ORDER BY len(list_filter(d, lambda x: x)), md5(ia || ib)) AS pos
+          FROM p0 WHERE len(list_filter(d, lambda x: x)) < {len(_VERSION_COLS)}),
+    walk AS (SELECT num, grupo, CAST(0 AS BIGINT) AS pos, [] :: VARCHAR[] AS used, [] :: VARCHAR[] AS taken FROM ks
+        UNION ALL
+        SELECT w.num, w.grupo, p.pos, CASE WHEN free THEN w.used || [p.ia, p.ib] ELSE w.used END, CASE WHEN free THEN w.taken || [p.ia || p.ib] ELSE w.taken END
+        FROM walk w JOIN p ON p.num = w.num AND p.grupo = w.grupo AND p.pos = w.pos + 1, LATERAL (SELECT NOT list_has_any(w.used, [p.ia, p.ib]) AS free)),
+    ends AS (SELECT num, grupo, max_by(taken, pos) AS taken FROM walk GROUP BY ALL),
+    pairs AS (SELECT p.* FROM p JOIN ends USING (num, grupo) WHERE list_contains(taken, ia || ib))"""
+
+
+@query(
+    f"""{VERSIONS_SQL}
+    SELECT num, grupo, ia AS conteudo_a, ib AS conteudo_b, CAST(n AS BIGINT) AS diferentes,
+        array_to_string(list_filter([{', '.join(f"CASE WHEN d[{i + 1}] THEN '{c}' END" for i, c in enumerate(_VERSION_COLS))}], lambda x: x IS NOT NULL), ', ') AS colunas FROM pairs
+    UNION ALL SELECT num, grupo, id, NULL, NULL, NULL FROM la JOIN ks USING (num, grupo) WHERE id NOT IN (SELECT ia FROM pairs)
+    UNION ALL SELECT num, grupo, NULL, id, NULL, NULL FROM lb JOIN ks USING (num, grupo) WHERE id NOT IN (SELECT ib FROM pairs)""")
+def reconcile_versions(spark, d):
+    return reconcile.reconcile_versions(*_versioned_sides(spark, d), VERSIONED)
+
+
+def _version_row(c: str, kind: str) -> str:
+    n = lambda p: f"count(*) FILTER (WHERE {p})"
+    same, x, y = f"{c}_a IS NOT DISTINCT FROM {c}_b", f"{c}_a IS NULL", f"{c}_b IS NULL"
+    return f"""SELECT '{c}' AS coluna, '{kind}' AS regra, count(*) AS comparadas, {n(same)} AS identicas, CAST(0 AS BIGINT) AS dentro_da_tolerancia, {n(f'{c}_a <> {c}_b')} AS divergentes,
+        {n(f'{x} AND NOT {y}')} AS vazio_so_em_a, {n(f'NOT {x} AND {y}')} AS vazio_so_em_b, CAST(0 AS BIGINT) AS ilegiveis, {pct_sql(n(same), 'count(*)')} AS pct_conforme FROM compared"""
+
+
+_BOTH_COLS = ", ".join(f"la.{c} AS {c}_a, lb.{c} AS {c}_b" for c in _VERSION_COLS)
+
+
+@query(
+    f"""{VERSIONS_SQL},
+    ones AS (SELECT num, grupo FROM (SELECT num, grupo, count(*) AS na FROM la GROUP BY ALL) JOIN (SELECT num, grupo, count(*) AS nb FROM lb GROUP BY ALL) USING (num, grupo) WHERE na = 1 AND nb = 1),
+    compared AS (SELECT {_BOTH_COLS} FROM ones JOIN la USING (num, grupo) JOIN lb USING (num, grupo)
+        UNION ALL SELECT {_BOTH_COLS} FROM pairs JOIN la ON la.id = ia JOIN lb ON lb.id = ib
+        UNION ALL SELECT {', '.join(f"{c}, {c}" for c in _VERSION_COLS)} FROM (FROM a INTERSECT FROM b))
+    """ + " UNION ALL ".join(_version_row(c, k) for c, k in VERSIONED.kinds.items()))
+def reconcile_columns_versions(spark, d):
+    return reconcile.reconcile_columns(*_versioned_sides(spark, d), VERSIONED)

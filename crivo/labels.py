@@ -76,7 +76,6 @@ PRECISION_OVERSIZED = "{} superdimensionado - {} casas bastariam"
 PRECISION_USED = "as casas extras tem uso real"
 
 COLLAPSE_YES = "CHAVE REAL inclui {}"
-COLLAPSE_NO = "chave pai suficiente"
 
 CHALLENGE_FOUND = "ENCONTRADA_NA_COMPARACAO_DIRETA"
 CHALLENGE_ABSENT = "AUSENTE_MESMO_NA_COMPARACAO_DIRETA"
@@ -84,3 +83,9 @@ CHALLENGE_ABSENT = "AUSENTE_MESMO_NA_COMPARACAO_DIRETA"
 BUCKET_BLANK = "(vazio)"
 UNCLASSIFIED = "sem classificacao"
 # --- end of fixed values ---
+
+COLLAPSE_NO = "chave pai suficiente"
+DEPENDENCY_HOLDS = "DETERMINA"
+DEPENDENCY_FAILS = "nao determina"
+REFERS = "REFERENCIA COMPLETA"
+REFERS_NOT = "ha orfaos"

@@ -104,7 +104,9 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     if "=" in text or ":" in text:
         for m in SECRET.finditer(text):
             # after a colon, a word without digits is prose
-            if m.lastindex < 3 or re.search(r"\d", m[3]) or "=" in m[0][:m.start(3) - m.start()]:
+            prose = m.lastindex >= 3 and not re.search(r"\d", m[3]) and "=" not in m[0][:m.start(3) - m.start()]
+            # a row of stars or dashes is masked already
+            if not prose and any(map(str.isalnum, m[m.lastindex])):
                 add(m, "secret", m[m.lastindex], m.lastindex)
     if digits:
         for m in IBAN.finditer(text):
@@ -130,11 +132,11 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             add(m, "family", last.lower(), 3)
         else:
             add(m, "family", first.lower(), 2)
-    kept, until = [], set()
+    kept, taken = [], bytearray(len(text))
     for s, e, kind, norm in found:
-        if not any(s < b and a < e for a, b in until):
+        if 1 not in taken[s:e]:
             kept.append((s, e, kind, norm))
-            until.add((s, e))
+            taken[s:e] = b"\1" * (e - s)
     return sorted(kept)
 
 
@@ -178,18 +180,23 @@ def redrawn(text: str, draw: _Draw, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
+def _wider(draw: _Draw, attempt: int) -> str:
+    """Letters that are added once many draws have collided, so that a form with few surrogates, or none, still gets one."""
+    return "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(attempt // GENERATE))
+
+
 def surrogate(kind: str, norm: str, key: bytes, attempt: int) -> str:
     """The normal form of a surrogate."""
     draw = _Draw(key, kind, norm, attempt)
     if kind == "mail":
         local, domain = norm.rsplit("@", 1)
         labels, top = domain.rsplit(".", 1)
-        return f"{redrawn(local, draw)}@{redrawn(labels, draw)}.{top}".lower()
+        return f"{redrawn(local, draw)}{_wider(draw, attempt)}@{redrawn(labels, draw)}.{top}".lower()
     if kind == "card":
         body = norm[0] + redrawn(norm[1:-1], draw)
         return body + (str((10 - luhn(body + "0")) % 10) if luhn(norm) == 0 else str(draw.below(10)))
     if kind == "phone":
-        return "23456789"[draw.below(8)] + redrawn(norm[1:], draw)
+        return "23456789"[draw.below(8)] + redrawn(norm[1:], draw) + "".join(str(draw.below(10)) for _ in range(attempt // GENERATE))
     if kind == "ssn":
         return f"{1 + draw.below(665):03d}-{1 + draw.below(99):02d}-{1 + draw.below(9999):04d}"
     if kind == "ip":
@@ -197,6 +204,8 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int) -> str:
         keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
         if keep == 2 and attempt >= GENERATE:  # the range may be full
             parts, keep = ["10"], 1
+        if attempt >= 2 * GENERATE:  # the reserved addresses from 240 on, which nobody has
+            return ".".join([str(240 + draw.below(15)), *(str(draw.below(256)) for _ in range(3))])
         new = [str(1 + draw.below(254)) for _ in range(4)]
         while not keep and (new[0] in ("10", "127", "172", "192") or int(new[0]) > 223):
             new[0] = str(1 + draw.below(223))
@@ -207,7 +216,7 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int) -> str:
     if kind == "access":
         return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in norm[4:])
     if kind == "secret":
-        return redrawn(norm, draw, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", norm) is not None)
+        return redrawn(norm, draw, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", norm) is not None) + _wider(draw, attempt)
     script = script_of(norm[0])
     if script is None:
         return redrawn(norm, draw) + redrawn(norm, draw) * (attempt // GENERATE)
@@ -231,9 +240,12 @@ def in_form(kind: str, new: str, old: str) -> str:
                 skip -= 1
             else:
                 out.append(next(chars, ""))
-        return "".join(out)
+        return "".join(out) + "".join(chars)
     if kind == "mail":
-        return "".join(n.upper() if o.isupper() else n for n, o in zip(new, old))
+        # what was added to the local part has no counterpart in the old text
+        at, more = old.index("@"), len(new) - len(old)
+        cased = lambda x, o: "".join(a.upper() if b.isupper() else a for a, b in zip(x, o))
+        return cased(new[:at], old[:at]) + new[at:at + more] + cased(new[at + more:], old[at:])
     if kind == "family" or kind.startswith("given"):
         return new.upper() if len(old) > 1 and old.isupper() else new.capitalize()
     return new

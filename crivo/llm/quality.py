@@ -135,13 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rows = common.stored(rows.orderBy("id_", *names).coalesce(1), "statistics").cache()
     try:
         n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label_"), F.lit(0.0))).first()
+        share = (positive + 1) / (n + 2)
+        alike = RuleEnsemble(float(math.log(share / (1 - share))), ())
         if not 0 < positive < n:
-            share = (positive + 1) / (n + 2)
-            return RuleEnsemble(float(math.log(share / (1 - share))), ())
+            return alike
         vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(rows).select("label_", *names, "vector")
         forest = RandomForestClassifier(labelCol="label_", featuresCol="vector", numTrees=TREES, maxDepth=DEPTH, bootstrap=False,
                                         featureSubsetStrategy="0.5", minInstancesPerNode=5, seed=seed).fit(vectors)
         rules = list(dict.fromkeys(r for tree in forest.trees for r in tree_rules(tree.toDebugString, names)))
+        if not rules:  # no statistic parts the labels: few rows, or rows that are all alike
+            return alike
         held = rows.select("label_", *[F.when(r.column(), 1.0).otherwise(0.0).alias(f"r{i}") for i, r in enumerate(rules)])
         held = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="vector").transform(held).select("label_", "vector")
         model = LogisticRegression(labelCol="label_", featuresCol="vector", elasticNetParam=1.0, regParam=LASSO, maxIter=50,

@@ -186,6 +186,33 @@ def test_secrets_of_any_length(spark, size):
         assert x.n == 1 and len(x.text) == len(texts[x.doc_id]) and not any(secret[i:i + 20] in x.text for i in range(size - 19))
 
 
+@pytest.mark.parametrize("text", ['password: "********"', "pwd=------ and token = ......", "secret: '¤¤¤¤¤¤¤¤'"])
+def test_masked_secrets_are_none(text):
+    assert pii.detect(text) == []
+
+
+def test_forms_with_few_or_no_surrogates_widen(spark):
+    """More mails of one letter than there are, and mails of signs alone: all get surrogates, distinct and unlike the originals."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.co" for a in letters for b in letters] + ["__@--.co", "_@-.co"]
+    docs = spark.createDataFrame([(i, f"write to {m} or {m.upper()} now") for i, m in enumerate(mails)], "doc_id long, text string")
+    rows = pii.replace(docs, b"k", count="n").orderBy("doc_id").collect()
+    assert [r.n for r in rows] == [2] * len(mails)
+    new = [r.text.split(" ")[2] for r in rows]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails)
+    assert all(r.text.split(" ")[4].lower() == n and r.text.endswith(" now") for r, n in zip(rows, new))
+
+
+def test_very_many_entities_in_one_text():
+    import time
+
+    text = " ".join(f"Mr Smith{i}x called +1 (212) 55{i % 10}-0{i % 1000:03d}" for i in range(50_000))
+    start = time.perf_counter()
+    found = pii.detect(text)
+    assert len(found) >= 50_000 and time.perf_counter() - start < 10
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
 def test_surrogates_of_names_keep_gender_and_script():
     for text, kinds in (("Mrs. Maria Keller met Dr. Paul Keller", ["given_f", "family", "given_m", "family"]), ("г-жа Ольга Петрова ушла", ["given_f", "family"])):
         found = pii.detect(text)
@@ -230,6 +257,15 @@ def test_quality_with_few_labels(spark, docs):
     assert quality.fit(docs, one).score(docs).agg(F.min("score"), F.max("score")).first() == (0.75, 0.75)
 
 
+def test_quality_where_nothing_parts_the_labels(spark):
+    """Equal texts under both labels: no split, no rule, every text gets the smoothed share."""
+    docs = spark.createDataFrame([(i, "the same text for all of them") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(40)], "doc_id long, quality boolean").withColumn("quality", F.col("quality").cast("int"))
+    model = quality.fit(docs, labels)
+    scores = {round(r.score, 6) for r in model.score(docs).collect()}
+    assert scores == {round(11 / 42, 6)}
+
+
 def test_rules_of_a_printed_tree():
     text = "If (feature 0 <= 1.5)\n If (feature 1 <= 2.0)\n  Predict: 0.0\n Else (feature 1 > 2.0)\n  Predict: 1.0\nElse (feature 0 > 1.5)\n Predict: 1.0"
     got = [r.bounds for r in quality.tree_rules(text, ["a", "b"])]

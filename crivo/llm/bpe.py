@@ -34,8 +34,12 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bounds of the tables that a Python worker keeps.
-MAX_ARCS, MAX_PIECES, MAX_PIECE_CHARS = 300_000, 300_000, 48
+#: Bounds of the tables that a Python worker keeps: of each a new one and the one before it, from which what is used again moves over.
+MAX_ARCS, MAX_PIECES, MAX_PIECE_CHARS = 120_000, 250_000, 48
+#: Bytes of text, or of four for each id, after which a batch of results is given out.
+BATCH_BYTES = 4 << 20
+#: The branch of a pattern that makes one piece of a space and the letters after it.
+SPACED_LETTERS = r" ?\p{L}+"
 #: Up to so many bytes after the first missing arc of a piece are walked without making arcs:
 #: what is rare leaves one arc, what comes again is compiled step by step.
 SHORT = 32
@@ -70,13 +74,17 @@ class Transducer:
         self.right_edge = functools.cache(lambda token: self._edge(token, 1))
         self.left_edge = functools.cache(lambda token: self._edge(token, 0))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
         self.states: dict[tuple, _State] = {}
         self.arcs: dict[int, tuple[_State, tuple]] = {}  # state and byte -> state, tokens emitted
+        self.made = 0
+        self.forget()
         self.start = self._state(-1, ((0, ()),))
 
+    def forget(self) -> None:
+        """States and arcs that aren't met again before the next time are gone then."""
+        self.older_states, self.older_arcs = self.states, self.arcs
+        self.states, self.arcs = {}, {}
+
     def merged(self, piece: bytes, down_to: int = 1) -> list[bytes]:
         """Merging by rank, step by step, until nothing merges or ``down_to`` parts are left: what defines the encoding."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
@@ -122,7 +130,10 @@ class Transducer:
     def _state(self, last: int, live: tuple) -> _State:
         key = (last, live)
         if (state := self.states.get(key)) is None:
-            state = self.states[key] = _State(len(self.states), last, live)
+            if (state := self.older_states.get(key)) is None:
+                state = _State(self.made, last, live)
+                self.made += 1
+            self.states[key] = state
         return state
 
     def _step(self, live, last: int, byte: int) -> list:
@@ -163,9 +174,11 @@ class Transducer:
         """Ids of one piece, as merging by rank gives them."""
         if len(self.arcs) > MAX_ARCS:
             self.forget()
-        state, ids, known = self.start, [], self.arcs.get
+        state, ids, known, older = self.start, [], self.arcs.get, self.older_arcs.get
         for i, byte in enumerate(piece, 1):
             arc = known(state.id | byte)
+            if arc is None and (arc := older(state.id | byte)) is not None:
+                self.arcs[state.id | byte] = arc
             if arc is None:
                 state, out = self._arc(state, byte)
                 ids += out
@@ -215,14 +228,27 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.wide_space = regex.compile(r"\s\s|^\s|\s$").search
         self.words_may_stand_alone = [" a", "\n", " b"] == self.split(" a\n b")
+        # with this branch and none before it that begins with a letter or a space, a space and letters are one piece
+        self.letters_are_one = self.words_may_stand_alone and SPACED_LETTERS in (branches := pattern.split("|")) and all(
+            b.startswith("'") for b in branches[:branches.index(SPACED_LETTERS)])
         self.pieces = _Known(self._piece)
-        self.words = _Known(lambda word: self._pieces(" " + word))
-        self.bytes_of = [self.transducer.bytes_of.get(i) for i in range(max(ranks.values()) + 1)]
+        self.words = _Known(self._word)
+        # all tokens one after the other, and where each begins and ends
+        parts = [self.transducer.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self.lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.joined = np.frombuffer(b"".join(parts), np.uint8)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a space and what stands up to the next one."""
+        if self.letters_are_one and word.isalpha():
+            return self._piece(" " + word)
+        return self._pieces(" " + word)
+
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
@@ -233,8 +259,13 @@ class Codec:
         words = text.split(" ")
         return self._pieces(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, gathered from the joined tokens at once."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[ids] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.joined[at].tobytes()
 
 
 class Utf8Stream:
@@ -289,9 +320,9 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return made
 
 
-def decode_stream(c: Codec, ids: Iterable[int], step: int = 65_536) -> Iterator[tuple[bytes, str]]:
+def decode_stream(c: Codec, ids: np.ndarray, step: int = 65_536) -> Iterator[tuple[bytes, str]]:
     """Bytes and text of ids, ``step`` ids at a time."""
-    stream, ids = Utf8Stream(), list(ids)
+    stream = Utf8Stream()
     for i in range(0, len(ids), step):
         data = c.decode_bytes(ids[i:i + step])
         yield data, stream.feed(data)
@@ -300,7 +331,7 @@ def decode_stream(c: Codec, ids: Iterable[int], step: int = 65_536) -> Iterator[
 
 
 def _with(df: DataFrame, text: str, fields: list[T.StructField], row) -> DataFrame:
-    """``df`` without its column ``text`` and with what ``row`` makes of each value of it."""
+    """``df`` without its column ``text`` and with what ``row`` makes of each value of it, in batches of bounded size."""
     keep = [f for f in df.schema.fields if f.name != text]
     names = common.private(df.select(*[common.col(f.name) for f in keep]), *[f.name for f in fields])
     schema = T.StructType(keep + [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, fields)])
@@ -309,14 +340,35 @@ def _with(df: DataFrame, text: str, fields: list[T.StructField], row) -> DataFra
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            rows = [row(x) for x in batch.column(at).to_pylist()]
-            made = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + made,
-                                             names=[n for n in batch.schema.names if n != text] + names)
+            values, begun, size, rows = batch.column(at), 0, 0, []
+            kept = [i for i in range(batch.num_columns) if i != at]
+            for i in range(batch.num_rows):
+                value = values[i]
+                size += _bytes_in(value)
+                rows.append(row(value))
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    made = [_column(c, t) for c, t in zip(zip(*rows), types)]
+                    yield pa.RecordBatch.from_arrays([batch.column(k).slice(begun, len(rows)) for k in kept] + made,
+                                                     names=[batch.schema.names[k] for k in kept] + names)
+                    begun, size, rows = i + 1, 0, []
 
     return df.mapInArrow(run, schema)
 
 
+def _bytes_in(value: pa.Scalar) -> int:
+    if not value.is_valid:
+        return 0
+    return 4 * len(value) if pa.types.is_list(value.type) else value.as_buffer().size
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Arrow column of what rows gave; lists of ids come packed, and are put into one buffer."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(values), "<i4"), kind.value_type)).cast(kind)
+
+
 def _arrow(schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -326,8 +378,7 @@ def _arrow(schema: T.StructType):
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
     """The column ``text`` replaced by ``ids`` (array of int)."""
     def row(value):
-        packed = codec(rank_file, pattern).encode(value or "")
-        return (np.frombuffer(packed, "<u4").astype(np.int32),)
+        return (codec(rank_file, pattern).encode(value.as_py() or ""),)
 
     return _with(df, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], row)
 
@@ -335,7 +386,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> D
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> DataFrame:
     """The column ``ids`` replaced by ``text``; null ids are no ids."""
     def row(value):
-        return ("".join(part for _, part in decode_stream(codec(rank_file, pattern), value or ())),)
+        known = np.asarray(value.as_py() or (), np.int64)
+        return ("".join(part for _, part in decode_stream(codec(rank_file, pattern), known)),)
 
     return _with(df, ids, [T.StructField("text", T.StringType())], row)
 
@@ -347,9 +399,9 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text")
     """
     def row(value):
         c = codec(rank_file, pattern)
-        packed = c.encode(value or "")
+        packed = c.encode(value.as_py() or "")
         back = hashlib.sha256()
-        for data, _ in decode_stream(c, np.frombuffer(packed, "<u4").tolist()):
+        for data, _ in decode_stream(c, np.frombuffer(packed, "<u4")):
             back.update(data)
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), back.hexdigest()
 

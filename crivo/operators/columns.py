@@ -160,14 +160,23 @@ def cardinality(
     names = _names(df, columns)
     if not exact:
         return cardinality_section(df, names, mode).report(df)
+    return cardinality_of(distinct_counts(df, names), mode)
+
+
+def distinct_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(coluna, distintos, total, tipo): exact distinct counts over the value frequencies."""
     per = (
         hashed_counts(df, names)
         .groupBy("coluna")
         .agg(F.count("h1").alias("distintos"), F.sum("linhas").alias("total"))
     )
     types = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(type_name(df, c)))])
-    out = per.withColumn("tipo", types[F.col("coluna")])
-    return _cardinality_f3(out) if mode == "f3" else _cardinality_f1(out)
+    return per.withColumn("tipo", types[F.col("coluna")])
+
+
+def cardinality_of(counts: DataFrame, mode: str = "f1") -> DataFrame:
+    """``cardinality`` from distinct counts already at hand."""
+    return _cardinality_f3(counts) if mode == "f3" else _cardinality_f1(counts)
 
 
 def cardinality_section(df: DataFrame, names: Sequence[str], mode: str = "f1") -> Section:

@@ -182,8 +182,13 @@ def repeated_versions(
     df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, mode: str = "pair"
 ) -> DataFrame:
     """The short form: repeated keys, identical repetitions, keys with versions."""
+    return repeated_versions_of(version_histogram(df, key, columns, mode))
+
+
+def repeated_versions_of(hist: DataFrame) -> DataFrame:
+    """``repeated_versions`` from a version histogram already at hand."""
     n, v, k = F.col("linhas"), F.col("versoes"), F.col("chaves")
-    return version_histogram(df, key, columns, mode).agg(
+    return hist.agg(
         _sum_where(n > 1, k).alias("chaves_repetidas"),
         _sum_where(n > 1, (n - v) * k).alias("repeticoes_identicas"),
         _sum_where(v > 1, k).alias("chaves_com_versoes"),

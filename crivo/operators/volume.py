@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import hashed_counts, private_names, stack_rows, total_of
+from ._shape import Section, hashed_counts, private_names, stack_rows, total_of
 
 
 def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> DataFrame:
@@ -34,7 +34,11 @@ def scenario_share(df: DataFrame, column: str, value) -> DataFrame:
 
     The table is reduced to its distinct filter values before anything else.
     """
-    per = df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n"))
+    return scenario_share_of(df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n")), value)
+
+
+def scenario_share_of(per: DataFrame, value) -> DataFrame:
+    """``scenario_share`` from the rows ``n`` per value ``v`` already at hand."""
     total, mine = F.sum("n"), F.coalesce(F.sum(F.when(F.col("v") == value, F.col("n"))), F.lit(0))
     return per.agg(
         total.alias("linhas_tabela_toda"), mine.alias("linhas_cenario"),
@@ -85,7 +89,11 @@ def known_scenarios(df: DataFrame, column: str, values: Sequence[str], zeros: bo
 
 def scenario_gate(df: DataFrame, column: str) -> DataFrame:
     """Control of a scenario: it must hold exactly one value of the filter column."""
-    per = df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n"))
+    return scenario_gate_of(df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n")))
+
+
+def scenario_gate_of(per: DataFrame) -> DataFrame:
+    """``scenario_gate`` from the rows ``n`` per value ``v`` already at hand."""
     return per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_linhas_cenario"),
         F.count("v").alias("valores_distintos"),
@@ -96,11 +104,16 @@ def scenario_gate(df: DataFrame, column: str) -> DataFrame:
 
 def filter_completeness(df: DataFrame, column: str, value: str) -> DataFrame:
     """Forms of the filter value; more than one row means `=` loses rows."""
-    c = df[column].cast("string")
+    return filter_completeness_of(df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n")), value)
+
+
+def filter_completeness_of(per: DataFrame, value: str) -> DataFrame:
+    """``filter_completeness`` from the rows ``n`` per value ``v`` already at hand."""
+    c = F.col("v").cast("string")
     return (
-        df.where((N.strip_zeros(df[column]) == value) | (F.trim(c) == value))
+        per.where((N.strip_zeros(F.col("v")) == value) | (F.trim(c) == value))
         .groupBy(c.alias("valor_bruto"))
-        .agg(F.count("*").alias("linhas"))
+        .agg(F.sum("n").alias("linhas"))
         .withColumn("comprimento", F.length("valor_bruto"))
         .orderBy(F.desc("linhas"), "valor_bruto")
     )
@@ -173,10 +186,12 @@ def funnel(
 
 def volume_check(df: DataFrame, expected: int) -> DataFrame:
     """Current rows against the volume measured earlier."""
-    return df.agg(
-        F.count("*").alias("linhas_atuais"),
-        F.lit(expected).cast("bigint").alias("linhas_esperadas"),
-    ).withColumn("diferenca", F.col("linhas_atuais") - F.col("linhas_esperadas"))
+    return volume_check_section(expected).report(df)
+
+
+def volume_check_section(expected: int) -> Section:
+    rows = [{"linhas_atuais": F.count("*"), "linhas_esperadas": F.lit(expected).cast("bigint")}]
+    return Section(rows, lambda out: out.withColumn("diferenca", F.col("linhas_atuais") - F.col("linhas_esperadas")))
 
 
 def group_metrics(

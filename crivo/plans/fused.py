@@ -1,54 +1,20 @@
-"""A whole profile from few scans.
+"""The exploratory profile from shared passes.
 
-The lazy profiles read the table once per section. On a very large table that
-adds up, so this one makes the passes that sections have in common first:
-
-1. aggregates, one pass per batch of report rows: fill, sketch cardinality,
-   numbers, totals, text dates, flags, declared rules and date order
-2. value frequencies of categories, codes, dimensions, times, dates and instants
-3. the key histogram of all candidate keys
-4. the version histogram of the declared key, which also gives the checksum
-5. what varies inside repeated keys (two reads: the keys, then their rows),
-   the repeated keys themselves, and the counts of personal columns
-
-Each pass is written to a shared folder and read back, which cuts the lineage:
-a lost executor repeats part of one pass, never an earlier one.
+The lazy profiles read the table once per section. On a very large table that adds
+up, so here the planner makes each pass that sections have in common once: aggregates
+(a pass for each batch of report rows), value frequencies, the key histogram, the
+version histogram, what varies inside repeated keys and these keys, and the counts
+of personal columns.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import missing as M
-from ..operators import codes, columns, dates, keys, report, rules, volume
-from ..operators._shape import Section, as_text, section_report, shared_passes, type_name, value_counts
-from ..session import shared_dir
-from ..sources import metadata, scan, sink
 from ..spec import TableSpec
-from .explore import _typed
-
-
-def _sections(df: DataFrame, spec: TableSpec, c: Mapping[str, list[str]]) -> dict[str, Section]:
-    out = {"fill": columns.fill_section(df, df.columns), "cardinality": columns.cardinality_section(df, df.columns)}
-    if c["numbers"]:
-        out["numeric_profile"] = columns.numeric_section(df, c["numbers"])
-        out["totals"] = columns.totals_section(df, c["numbers"])
-    if c["text_dates"]:
-        out["string_dates"] = dates.string_date_section(df, c["text_dates"])
-        out["valid_date_range"] = dates.valid_range_section(df, c["text_dates"])
-    if c["flags"]:
-        out["flags"] = columns.flag_section(df, c["flags"])
-    if spec.declared_empty:
-        out["declared_empty"] = columns.declared_empty_section(df, spec.declared_empty)
-    if spec.rules:
-        out["rules"] = rules.rule_section(spec.rules)
-    if spec.date_rules:
-        out["date_order"] = dates.date_order_section(df, spec.date_rules)
-    return out
+from .planner import explore_profile
 
 
 def fused(
@@ -59,71 +25,4 @@ def fused(
     as_of: str | None = None,
 ) -> dict[str, DataFrame]:
     """Section name -> report. The shared passes run here; reports read their results."""
-    base = scan.base_view(spec.apply(df), params or {})
-    # a folder of its own for each run: reports of an earlier one stay readable
-    folder = f"{work_dir.rstrip('/')}/perfil-{uuid.uuid4().hex}" if work_dir else shared_dir(df.sparkSession, "perfil")
-    c = _typed(base, spec)
-
-    def keep(name: str, x: DataFrame) -> DataFrame:
-        x.write.parquet(f"{folder}/{name}")
-        return df.sparkSession.read.parquet(f"{folder}/{name}")
-
-    sections = _sections(base, spec, c)
-    passes = [keep(f"linha_{i}", p) for i, p in enumerate(shared_passes(base, sections))]
-    out = {"metadata": metadata.describe_columns(base)}
-    out |= {name: section_report(passes, name, s) for name, s in sections.items()}
-
-    listed = list(dict.fromkeys([*c["categories"], *c["codes"], *c["text_times"], *spec.dimensions]))
-    stamps = [s for s in c["stamps"] if s not in listed]
-    days = [d for d in dict.fromkeys([*c["native_dates"], *([spec.ingest] if spec.ingest else [])])]
-    if listed or days or stamps:
-        # a column may be counted as text, as a day and as an instant, each under a name of its own
-        cells = {x: as_text(base, x) for x in listed}
-        cells |= {f"dia:{x}": F.unix_date(base[x].cast("date")).cast("string") for x in days}
-        cells |= {f"instante:{x}": F.unix_micros(base[x].cast("timestamp")).cast("string") for x in stamps}
-        freq = keep("frequencias", value_counts(base, cells))
-
-        def numbers(kind: str, names: list[str], dtype: str) -> DataFrame:
-            mine = freq.where(F.col("coluna").isin(*[f"{kind}:{x}" for x in names]))
-            return mine.withColumns({"coluna": F.substring("coluna", len(kind) + 2, 10_000), "valor": F.col("valor").cast(dtype)})
-
-        if c["text_times"]:
-            out["times"] = dates.time_profile_of(freq.where(F.col("coluna").isin(*c["text_times"])))
-        for d in spec.dimensions:
-            groups = freq.where(F.col("coluna") == d).groupBy(M.display_bucket(F.col("valor")).alias(d)).agg(F.sum("linhas").alias("linhas"))
-            out[f"distribution_{d}"] = volume.scenario_candidates_of(groups, d)
-        if stamps:
-            out["timestamps"] = dates.timestamp_profile_of(numbers("instante", stamps, "bigint"))
-        if c["categories"]:
-            mine = freq.where(F.col("coluna").isin(*c["categories"]))
-            out["domain"] = columns.domain_of(mine)
-        if c["codes"]:
-            mine = freq.where(F.col("coluna").isin(*c["codes"]))
-            out["codes"] = codes.code_format_of(mine, {x: type_name(base, x) for x in c["codes"]})
-        if days:
-            numbered = numbers("dia", days, "int")
-            if c["native_dates"]:
-                out["native_dates"] = dates.native_date_profile_of(
-                    numbered.where(F.col("coluna").isin(*c["native_dates"])), as_of
-                )
-            if spec.ingest:
-                loads = numbered.where(F.col("coluna") == spec.ingest)
-                out["freshness"] = dates.freshness_of(loads, as_of)
-                out["snapshot"] = dates.snapshot_of(loads.select(F.date_from_unix_date("valor").alias("d")), spec.ingest)
-
-    if spec.keys:
-        hist = keep("chaves", keys.key_histogram(base, spec.keys))
-        out["grain"] = keys.grain_of(hist, spec.keys)
-        out["duplicates"] = keys.duplicate_summary_of(hist, spec.keys)
-        out["summary"] = report.summary_of(hist, spec.keys, len(base.columns), spec.clustering)
-        versions = keep("versoes", keys.version_histogram(base, spec.key))
-        out["versions"] = keys.pure_vs_version_of(versions)
-        out["checksum"] = keys.row_checksum_of(versions)
-        safe = [x for x in base.columns if x not in spec.pii]
-        out["varying_columns"] = keep("variacao", keys.varying_columns(base, spec.key, safe))
-        out["duplicate_keys"] = keep("repetidas", keys.duplicate_keys(base, spec.key))
-    if spec.pii:
-        out["pii"] = keep("pessoais", rules.pii_aggregate(base, spec.pii))
-    out["sample"] = sink.extract(base, pii=spec.pii).limit(20)
-    out["random_sample"] = scan.sample_random(sink.extract(base, pii=spec.pii))
-    return out
+    return explore_profile(df, spec, params, as_of).run(work_dir)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import columns, coverage, keys, rules
+from ..session import stored
 from ..sources import keylist, sink
 
 
+def key_list_profile(lines: DataFrame, df: DataFrame, column: str, headers: Sequence[str] = ("chave",), **options) -> dict[str, DataFrame]:
+    """``validate_key_list`` over two stored passes: the parsed lines, and the rows of the table that the list asks for."""
+    kept = stored(lines, "linhas_da_lista")
+    return validate_key_list(kept, df, column, headers=headers, keep=lambda found: stored(found, "encontradas"), **options)
+
+
 def validate_key_list(
     lines: DataFrame,
     df: DataFrame,
@@ -19,10 +26,11 @@ def validate_key_list(
     latest: Mapping[str, str] | None = None,
     headers: Sequence[str] = ("chave",),
     pii: Sequence[str] = (),
+    keep: Callable[[DataFrame], DataFrame] = lambda found: found,
 ) -> dict[str, DataFrame]:
     """Section name -> lazy report, from the raw lines of the list to the exports."""
     accepted = keylist.accepted_keys(lines, headers)
-    found = coverage.restrict_to_list(df, accepted, column)
+    found = keep(coverage.restrict_to_list(df, accepted, column))
     missing = coverage.missing_keys(accepted, df, column)
     out = {
         "input_control": keylist.input_control(lines, headers),

@@ -187,3 +187,39 @@ def test_reports_are_written_by_all_their_tasks(spark, tmp_path):
     first = plans.fused(big.toDF("num_x"), TableSpec("t", keys=[["num_x"]]), work_dir=str(tmp_path))
     plans.fused(big.where("id < 10").toDF("num_x"), TableSpec("t", keys=[["num_x"]]), work_dir=str(tmp_path))
     assert first["grain"].first().linhas == 1000 and first["fill"].count() == len(columns.fill_scan(big).collect())
+
+
+@pytest.mark.parametrize("build", ["explore", "scenario", "canary"])
+def test_planned_profiles_make_few_passes(spark, sf, build):
+    """Passes over the table, counted in their plans: those of aggregates, and at most six besides."""
+    path = f"{sf}/orders.parquet"
+    df = pedidos(spark, sf)
+    spec = SPEC.with_scenario("st_pedido", "F") if build == "scenario" else SPEC
+    profile = getattr(plans, f"{build}_profile")(df, spec, as_of="2002-01-01")
+    passes = profile.passes()
+    scans = {n: p._jdf.queryExecution().optimizedPlan().toString().count("Relation ") for n, p in passes.items()}
+    rows = sum(len(s.rows) for s in profile.row_sections.values())
+    batches = [n for n in scans if n.startswith("linha_")]
+    assert len(batches) == -(-rows // 30) and all(scans[n] == 1 for n in batches), path
+    others = {n: k for n, k in scans.items() if n not in batches}
+    # what varies in repeated keys reads the keys and then their rows; all others read once
+    assert others.pop("variacao") == 2 and all(k == 1 for k in others.values())
+    extra = {"explore": {"pessoais"}, "scenario": {"pessoais", "valores_do_filtro", "chaves_normalizadas"}, "canary": {"pessoais", "entidades", "distintos", "codigos_numericos"}}
+    assert set(others) - extra[build] == {"frequencias", "chaves", "versoes", "repetidas"}
+
+
+def test_planned_profiles_agree_with_the_lazy_ones(spark, sf, tmp_path):
+    df = pedidos(spark, sf)
+    for build, spec in (("scenario", SPEC.with_scenario("st_pedido", "F")), ("canary", SPEC)):
+        lazy = getattr(plans, build)(df, spec, as_of="2002-01-01")
+        done = getattr(plans, f"{build}_profile")(df, spec, as_of="2002-01-01").run(str(tmp_path))
+        for name in sorted(set(lazy) & set(done) - {"sample", "random_sample", "extraction", "checksum", "distribution_st_pedido", "codes"}):
+            assert sorted(map(repr, lazy[name].collect())) == sorted(map(repr, done[name].collect())), name
+
+
+def test_long_report_of_all_sections(spark, sf):
+    out = plans.long_report(plans.canary_profile(pedidos(spark, sf), SPEC, as_of="2002-01-01").run())
+    assert out.columns == ["secao", "item", "medida", "valor", "veredito"]
+    rows = {(r.secao, r.item, r.medida): r.valor for r in out.collect()}
+    assert rows[("volume_check", "", "diferenca")] == "0" and rows[("grain", "num_pedido", "linhas_por_chave")] == "1.0000"
+    assert not [k for k in rows if k[0] in ("sample", "metadata")]

@@ -19,11 +19,13 @@ are; columns besides the text pass through untouched.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import gc
 import hashlib
-import struct
+import string
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,13 +37,13 @@ from pyspark.sql import types as T
 from . import common
 
 #: Bounds of the tables that a Python worker keeps: of each a new one and the one before it, from which what is used again moves over.
-MAX_ARCS, MAX_PIECES, MAX_PIECE_CHARS = 120_000, 250_000, 48
+MAX_ARCS, MAX_PIECES, MAX_PIECE_CHARS = 50_000, 200_000, 48
 #: Bytes of text, or of four for each id, after which a batch of results is given out.
 BATCH_BYTES = 4 << 20
 #: The branch of a pattern that makes one piece of a space and the letters after it.
 SPACED_LETTERS = r" ?\p{L}+"
-#: Up to so many bytes after the first missing arc of a piece are walked without making arcs:
-#: what is rare leaves one arc, what comes again is compiled step by step.
+#: Up to so many bytes from the first missing arc of a piece on are walked without making arcs:
+#: what comes once leaves a mark, what comes again is compiled step by step.
 SHORT = 32
 
 FOREVER = 1 << 62
@@ -84,6 +86,7 @@ class Transducer:
         """States and arcs that aren't met again before the next time are gone then."""
         self.older_states, self.older_arcs = self.states, self.arcs
         self.states, self.arcs = {}, {}
+        self.asked: set[int] = set()
 
     def merged(self, piece: bytes, down_to: int = 1) -> list[bytes]:
         """Merging by rank, step by step, until nothing merges or ``down_to`` parts are left: what defines the encoding."""
@@ -170,28 +173,53 @@ class Transducer:
         self.arcs[state.id | byte] = arc = after, out
         return arc
 
+    def _last(self, state: _State, rest: bytes) -> tuple:
+        """The tokens not yet emitted after ``rest``, walked through without making states."""
+        goto, token_at, pairs, inner = self.goto.get, self.token_at.get, self.pairs.get, self.inner
+        live, last, reached = state.live, state.last, ()
+        for byte in rest:
+            out, reached = [], None
+            for node, tail in live:
+                node = goto(node << 8 | byte)
+                if node is None:
+                    continue
+                if reached is None and (token := token_at(node)) is not None:
+                    before = tail[-1] if tail else last
+                    known = before < 0 or pairs((before, token))
+                    if known is None:
+                        known = self.side_by_side(before, token)
+                    if known:
+                        reached = (*tail, token)
+                if node in inner:
+                    out.append((node, tail))
+            out.append((0, reached))
+            live = out
+        return reached
+
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece, as merging by rank gives them."""
-        if len(self.arcs) > MAX_ARCS:
+        """Ids of one piece, as merging by rank gives them.
+
+        An arc is made when it is asked for the second time; the first time, a rest that is short is walked through,
+        so that what comes once leaves only its mark.
+        """
+        if len(self.arcs) > MAX_ARCS or len(self.asked) > 2 * MAX_ARCS:
             self.forget()
-        state, ids, known, older = self.start, [], self.arcs.get, self.older_arcs.get
-        for i, byte in enumerate(piece, 1):
-            arc = known(state.id | byte)
-            if arc is None and (arc := older(state.id | byte)) is not None:
-                self.arcs[state.id | byte] = arc
+        state, ids, known, older, asked = self.start, [], self.arcs.get, self.older_arcs.get, self.asked
+        for i, byte in enumerate(piece):
+            key = state.id | byte
+            arc = known(key)
             if arc is None:
-                state, out = self._arc(state, byte)
-                ids += out
-                if len(piece) - i <= SHORT:
-                    live = state.live
-                    for later in piece[i:]:
-                        live = self._step(live, state.last, later)
-                    ids += live[-1][1]
+                if (arc := older(key)) is not None:
+                    self.arcs[key] = arc
+                elif key not in asked and len(piece) - i <= SHORT:
+                    asked.add(key)
+                    ids += self._last(state, piece[i:])
                     return ids
-            else:
-                state = arc[0]
-                if arc[1]:
-                    ids += arc[1]
+                else:
+                    arc = self._arc(state, byte)
+            state = arc[0]
+            if arc[1]:
+                ids += arc[1]
         ids += state.live[-1][1]
         return ids
 
@@ -215,6 +243,13 @@ class _Known(dict):
         return packed
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Codec:
     """Whole texts to ids and back.
 
@@ -240,13 +275,17 @@ class Codec:
         self.joined = np.frombuffer(b"".join(parts), np.uint8)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.transducer.encode_piece(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.transducer.encode_piece(piece.encode()))
 
     def _word(self, word: str) -> bytes:
         """The ids of a space and what stands up to the next one."""
-        if self.letters_are_one and word.isalpha():
-            return self._piece(" " + word)
+        if self.letters_are_one:
+            if word.isalpha():
+                return self._piece(" " + word)
+            base, sign = word[:-1], word[-1:]
+            # letters and one sign are the piece of the letters, which is often known, and that of the sign
+            if sign in string.punctuation and base.isalpha():
+                return self.words[base] + self.pieces[sign]
         return self._pieces(" " + word)
 
     def _pieces(self, text: str) -> bytes:

@@ -226,3 +226,17 @@ def compare_tables(sources: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]
         for name, (df, metrics) in sources.items()
     ]
     return reduce(DataFrame.unionByName, parts).orderBy("fonte")
+
+
+def compare_bucketed(a: DataFrame, b: DataFrame, key: Sequence[str], column: str) -> DataFrame:
+    """Keys of two bucketed extractions, unique on each side: on both, on one, and with different values of ``column``.
+
+    Nulls in a key match nothing. Tables cut by the key into equally many buckets are joined as they lie.
+    """
+    left = a.select(*[F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(key)], F.col(quoted(column)).alias("x"), F.lit(True).alias("em_a"))
+    right = b.select(*[F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(key)], F.col(quoted(column)).alias("y"), F.lit(True).alias("em_b"))
+    j = left.join(right, [f"k{i}" for i in range(len(key))], "full")
+    both = F.col("em_a").isNotNull() & F.col("em_b").isNotNull()
+    return j.agg(
+        F.count("*").alias("chaves"), count_if(both).alias("em_ambas"), count_if(F.col("em_b").isNull()).alias("so_em_a"),
+        count_if(F.col("em_a").isNull()).alias("so_em_b"), count_if(both & ~F.col("x").eqNullSafe(F.col("y"))).alias("divergentes"))

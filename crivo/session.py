@@ -29,15 +29,17 @@ def build_session(app: str = "crivo", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back, so that a lost executor repeats nothing before it.
-
-    A local session without ``spark.checkpoint.dir``, as in tests, gets a temporary folder; any other is refused.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """``shared_dir``; a local session without ``spark.checkpoint.dir``, as in tests, gets a temporary folder, any other is refused."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crivo-"))
-    path = shared_dir(spark, name)
+    return shared_dir(spark, name)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back, so that a lost executor repeats nothing before it."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

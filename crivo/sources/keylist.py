@@ -24,22 +24,20 @@ def parse_text(spark: SparkSession, text: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file, numbered from 1 over the whole file.
+    """Lines of a text file, or of the files of a folder in the order of their names, numbered from 1 over all of them.
 
-    Each task numbers its own lines; only the line count per task is summed up
-    over the file, so no task sees all lines.
+    Each block of a file is read in order by one task, which numbers its lines; only the line counts per block are
+    summed up, in the order of file and block start. Tasks take blocks by size, so their own numbers follow no file.
     """
     raw = spark.read.text(path).select(
-        F.spark_partition_id().alias("parte"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"),
-        "value",
-    )
-    # one row per task of the scan
-    sizes = raw.groupBy("parte").agg((F.max("n") + 1).alias("linhas"))
-    before = Window.orderBy("parte").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("parte", F.coalesce(F.sum("linhas").over(before), F.lit(0)).alias("antes"))
-    return raw.join(F.broadcast(offsets), "parte").select(
-        (F.col("n") + F.col("antes") + 1).alias("numero_linha"),
+        F.col("_metadata.file_path").alias("arquivo"), F.col("_metadata.file_block_start").alias("bloco"),
+        F.monotonically_increasing_id().alias("n"), "value")
+    # one row per block of the scan
+    sizes = raw.groupBy("arquivo", "bloco").agg(F.min("n").alias("primeira"), F.count("*").alias("linhas"))
+    before = Window.orderBy("arquivo", "bloco").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("arquivo", "bloco", "primeira", F.coalesce(F.sum("linhas").over(before), F.lit(0)).alias("antes"))
+    return raw.join(offsets, ["arquivo", "bloco"]).select(
+        (F.col("n") - F.col("primeira") + F.col("antes") + 1).alias("numero_linha"),
         F.trim(F.regexp_replace("value", "\r", "")).alias("valor_original"),
     )
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators._shape import quoted
 from ..spec import role_of
 
 
@@ -52,6 +55,39 @@ def describe_detail(df: DataFrame) -> DataFrame:
     )
 
 
+#: Settings under which Spark answers counts and extremes of unfiltered Parquet files from their footers.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footer_volumes(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """(coluna, linhas, preenchidos, minimo, maximo) of whole Parquet files, from their footers: no data page is read.
+
+    ``columns`` are numbers, dates and booleans, for which footers hold exact extremes; an empty list gives the rows
+    alone, under the column ``*``. The answer is worked out at once, as the settings it needs are put back after it.
+    """
+    before = {k: spark.conf.get(k, None) for k in FOOTERS}
+    try:
+        for k, v in FOOTERS.items():
+            spark.conf.set(k, v)
+        row = footer_query(spark, path, columns).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    rows = [("*", row["n"], row["n"], None, None)]
+    for i, c in enumerate(columns):
+        low, high = (None if row[f"{x}{i}"] is None else str(row[f"{x}{i}"]) for x in ("a", "b"))
+        rows.append((c, row["n"], row[f"n{i}"], low, high))
+    return spark.createDataFrame(rows, "coluna string, linhas bigint, preenchidos bigint, minimo string, maximo string")
+
+
+def footer_query(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The aggregate that ``footer_volumes`` asks for."""
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(columns):
+        aggs += [F.count(quoted(c)).alias(f"n{i}"), F.min(quoted(c)).alias(f"a{i}"), F.max(quoted(c)).alias(f"b{i}")]
+    return spark.read.parquet(path).agg(*aggs)
+
+
 def write_history(df: DataFrame, n: int = 20) -> DataFrame:
     """Latest writes seen through the file times; the freshness fallback."""
     return (

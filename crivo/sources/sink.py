@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..operators._shape import quoted
+from ..session import new_folder
 
 
 def extract(
@@ -83,6 +85,18 @@ def save_table(
     w.saveAsTable(name)
 
 
+def save_bucketed(df: DataFrame, name: str, key: Sequence[str], buckets: int, mode: str = "errorifexists") -> DataFrame:
+    """An extraction kept in the shared folder, cut and sorted by its key, under a table name.
+
+    Two that are cut by keys of the same types into equally many buckets join on them without a shuffle, as often as
+    they are compared. Each bucket is one file, since rows are brought together by bucket before they are written.
+    """
+    together = df.repartition(buckets, *[quoted(k) for k in key])
+    path = new_folder(df.sparkSession, name)
+    together.write.mode(mode).format("parquet").option("path", path).bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_reports(reports: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
     """Each report under its own folder of ``path``, written by as many tasks as it has partitions."""
     for name, df in reports.items():

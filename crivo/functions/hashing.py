@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import quoted
+
 
 def row_hash(cols: Sequence[str], mode: str = "json") -> Column:
     """Fingerprint of a whole row.
@@ -17,11 +19,11 @@ def row_hash(cols: Sequence[str], mode: str = "json") -> Column:
     ``sha256`` sha-256 of the joined texts with a visible null
     """
     if mode == "json":
-        return F.md5(F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}))
+        return F.md5(F.to_json(F.struct(*[F.col(quoted(c)) for c in cols]), {"ignoreNullFields": "false"}))
     if mode == "concat":
-        return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+        return F.md5(F.concat_ws("|", *[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in cols]))
     if mode == "sha256":
-        parts = [F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in cols]
+        parts = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("<NULL>")) for c in cols]
         return F.sha2(F.concat_ws("§", *parts), 256)
     raise ValueError(f"unknown hash mode {mode!r}")
 
@@ -39,8 +41,8 @@ def fingerprint(df: DataFrame, cols: Sequence[str], mode: str = "pair") -> Colum
     nested = (T.ArrayType, T.StructType, T.MapType)
     parts: list[Column] = []
     for c in cols:
-        x = df[c]
+        x = df[quoted(c)]
         if isinstance(df.schema[c].dataType, nested):
             x = F.to_json(F.struct(x), {"ignoreNullFields": "false"})
-        parts += [df[c].isNull(), x]
+        parts += [df[quoted(c)].isNull(), x]
     return F.struct(*[F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)])

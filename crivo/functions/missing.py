@@ -65,6 +65,23 @@ def value_class(c: Column, dtype: T.DataType, tokens=BLANK_TOKENS_8) -> Column:
     return out.otherwise(F.lit(USEFUL)).cast("tinyint")
 
 
+def text_class_of(c: Column, dtype: T.DataType, tokens=BLANK_TOKENS_6) -> Column:
+    """``text_class`` by the type where that tells the class without making a text."""
+    out = F.when(c.isNull(), F.lit(NULL))
+    if isinstance(dtype, T.IntegralType) and "0" not in tokens:
+        return out.when(c == 0, F.lit(ZERO)).otherwise(F.lit(USEFUL)).cast("tinyint")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)) and "nan" in tokens:
+        return out.when(F.isnan(c), F.lit(NULL)).when(c == 0, F.lit(ZERO)).otherwise(F.lit(USEFUL)).cast("tinyint")
+    if isinstance(dtype, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return out.otherwise(F.lit(USEFUL)).cast("tinyint")
+    if isinstance(dtype, T.StringType):
+        t = F.trim(c)
+        # the size test spares long texts the comparisons with short words
+        short = F.octet_length(t) <= max(map(len, (*tokens, *ZERO_LITERALS)))
+        return out.when(short & F.lower(t).isin(*tokens), F.lit(NULL)).when(short & t.isin(*ZERO_LITERALS), F.lit(ZERO)).otherwise(F.lit(USEFUL)).cast("tinyint")
+    return text_class(c, tokens)
+
+
 def text_class(c: Column, tokens=BLANK_TOKENS_6) -> Column:
     """Same classes, every type read through its text; null counts as blank too.
 

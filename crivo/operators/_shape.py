@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
 
 # Report rows whose aggregates share one pass. More would outgrow what the JVM
 # compiles as one method; on a columnar table each batch reads its own columns.
@@ -85,9 +86,8 @@ def private_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def quoted(name: str) -> str:
-    """Column name as Spark reads it whatever it holds, dots too."""
-    return "`" + name.replace("`", "``") + "`"
+#: Stands for a null among hashes that are hashed together.
+NULL_HASH = -7046029254386353131
 
 
 def hash_pair(df: DataFrame, name: str) -> list[Column]:
@@ -150,8 +150,8 @@ def value_counts(df: DataFrame, cols: Mapping[str, Column] | Sequence[str]) -> D
 def semi_null_safe(df: DataFrame, keys_df: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is (or is not) in ``keys_df``; null equals null."""
     alias = {k: f"chave_{i}" for i, k in enumerate(keys)}
-    right = keys_df.select(*[F.col(k).alias(a) for k, a in alias.items()])
-    cond = reduce(and_, [df[k].eqNullSafe(right[a]) for k, a in alias.items()])
+    right = keys_df.select(*[F.col(quoted(k)).alias(a) for k, a in alias.items()])
+    cond = reduce(and_, [df[quoted(k)].eqNullSafe(right[a]) for k, a in alias.items()])
     return df.join(right, cond, how)
 
 

@@ -11,7 +11,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if
-from ._shape import stack_rows, type_name, value_counts
+from ._shape import quoted, stack_rows, type_name, value_counts
 
 # --- fixed values: number-as-text formats ---
 NUMBER_DOT = "^-?[0-9]+([.][0-9]+)?$"
@@ -98,8 +98,8 @@ def cast_loss(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def code_length(df: DataFrame, column: str, blanks: bool = False) -> DataFrame:
     """Rows and distinct values per code length."""
-    t = N.text(df[column])
-    freq = df.groupBy(df[column].alias("valor"), F.length(t).alias("comprimento")).agg(F.count("*").alias("n"))
+    t = N.text(df[quoted(column)])
+    freq = df.groupBy(df[quoted(column)].alias("valor"), F.length(t).alias("comprimento")).agg(F.count("*").alias("n"))
     if not blanks:
         freq = freq.where(F.col("comprimento") > 0)
     return (
@@ -111,7 +111,7 @@ def code_length(df: DataFrame, column: str, blanks: bool = False) -> DataFrame:
 
 def literal_lengths(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     """Every literal as stored, its length and its rows."""
-    c = df[column].cast("string")
+    c = df[quoted(column)].cast("string")
     out = (
         df.groupBy(c.alias("valor"))
         .agg(F.count("*").alias("linhas"))
@@ -129,7 +129,7 @@ def normalized_keys(
     ``flags`` adds ``'S'``/``'N'`` columns, for example whether the row would
     also show in the narrower scope of a screen.
     """
-    keys = [N.strip_zeros(df[c], mode).alias(f"{c}_norm") for c in columns]
+    keys = [N.strip_zeros(df[quoted(c)], mode).alias(f"{c}_norm") for c in columns]
     marks = [F.when(p, "S").otherwise("N").alias(n) for n, p in (flags or {}).items()]
     return df.select(*keys, *marks).distinct()
 
@@ -138,8 +138,8 @@ def numeric_string_format(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Numbers kept as text: blank, decimal point, decimal comma, anything else."""
     rows = []
     for c in columns:
-        t = F.trim(df[c])
-        kind = F.when(M.no_value(df[c]), 0).when(t.rlike(NUMBER_DOT), 1).when(t.rlike(NUMBER_COMMA), 2).otherwise(3)
+        t = F.trim(df[quoted(c)])
+        kind = F.when(M.no_value(df[quoted(c)]), 0).when(t.rlike(NUMBER_DOT), 1).when(t.rlike(NUMBER_COMMA), 2).otherwise(3)
         rows.append((c, kind))
     kinds = df.select(*[k.alias(f"k{i}") for i, (_, k) in enumerate(rows)])
     return stack_rows(kinds, [

@@ -109,7 +109,7 @@ def _fill_simple(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def _fill_dev2(df: DataFrame, names: Sequence[str], tokens) -> DataFrame:
     # the exact distinct count needs the value frequencies anyway, so the
     # classes are counted from them instead of from a second pass over the rows
-    freq = hashed_counts(df, names, {c: M.text_class(as_text(df, c), tokens) for c in names})
+    freq = hashed_counts(df, names, {c: M.text_class_of(df[quoted(c)], df.schema[c].dataType, tokens) for c in names})
     k, n = F.col("classe"), F.col("linhas")
     per = freq.groupBy("coluna").agg(
         F.sum(n).alias("total"),
@@ -353,8 +353,8 @@ def dedup_total(df: DataFrame, key: Sequence[str], columns: Sequence[str], place
     A header value repeated on every child row inflates the plain sum. Both
     sums come from the same pass: the plain one adds up the per-key sums.
     """
-    per_key = df.groupBy(*key).agg(
-        *[x for i, c in enumerate(columns) for x in (wide_sum(df[quoted(c)], df.schema[c].dataType).alias(f"s{i}"), F.max(c).alias(f"m{i}"))]
+    per_key = df.groupBy(*map(quoted, key)).agg(
+        *[x for i, c in enumerate(columns) for x in (wide_sum(df[quoted(c)], df.schema[c].dataType).alias(f"s{i}"), F.max(quoted(c)).alias(f"m{i}"))]
     )
     rows = [
         {
@@ -388,5 +388,5 @@ def distribution(
     aggs = [a.alias(n) for n, a in (metrics or {}).items()]
     out = df.groupBy(*keys).agg(F.count("*").alias("linhas"), *aggs)
     out = out.withColumn("pct", pct(F.col("linhas"), total_of(out)))
-    out = out.orderBy(F.desc("linhas"), *dims)
+    out = out.orderBy(F.desc("linhas"), *map(quoted, dims))
     return out if k is None else out.limit(k)

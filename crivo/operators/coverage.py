@@ -37,7 +37,7 @@ def restrict_to_list(
     """
     code, = private_names(df, list_key)
     keys = key_list.select(F.col(list_key).alias(code)).distinct()
-    return df.withColumn(code, N.strip_zeros(df[column], mode)).join(keys, code, "left_semi").select(*map(quoted, df.columns), code)
+    return df.withColumn(code, N.strip_zeros(df[quoted(column)], mode)).join(keys, code, "left_semi").select(*map(quoted, df.columns), code)
 
 
 def _list_match(
@@ -49,7 +49,7 @@ def _list_match(
     holds a large part of the table is one row by then.
     """
     code, = private_names(df, "codigo_da_lista")
-    per_key = df.withColumn(code, N.strip_zeros(df[column], mode)).groupBy(code).agg(
+    per_key = df.withColumn(code, N.strip_zeros(df[quoted(column)], mode)).groupBy(code).agg(
         F.count("*").alias("qtd_linhas"), *[a.alias(n) for n, a in extra.items()]
     )
     return key_list.join(per_key.withColumnRenamed(code, list_key), list_key, "left")
@@ -103,20 +103,20 @@ def missing_keys(
     key_list: DataFrame, df: DataFrame, column: str, list_key: str = "chave", mode: str = "list"
 ) -> DataFrame:
     """List entries with no row in the table."""
-    have = df.select(N.strip_zeros(df[column], mode).alias(list_key)).distinct()
+    have = df.select(N.strip_zeros(df[quoted(column)], mode).alias(list_key)).distinct()
     return key_list.join(have, list_key, "left_anti")
 
 
 def challenge_missing(missing: DataFrame, original: str, df: DataFrame, column: str) -> DataFrame:
     """Second opinion on the missing keys: compare the raw texts directly."""
-    raw = df.select(N.text(df[column]).alias("valor_tabela")).where(F.col("valor_tabela").isNotNull()).distinct()
+    raw = df.select(N.text(df[quoted(column)]).alias("valor_tabela")).where(F.col("valor_tabela").isNotNull()).distinct()
     joined = missing.join(raw, F.trim(missing[original]) == raw["valor_tabela"], "left")
     verdict = F.when(F.col("valor_tabela").isNull(), L.CHALLENGE_ABSENT).otherwise(L.CHALLENGE_FOUND)
     return joined.select(missing[original], "valor_tabela", verdict.alias("resultado_teste_direto"))
 
 
 def _codes(df: DataFrame, column: str, mode: str) -> DataFrame:
-    return df.where(M.has_value(df[column])).select(N.strip_zeros(df[column], mode).alias("codigo"))
+    return df.where(M.has_value(df[quoted(column)])).select(N.strip_zeros(df[quoted(column)], mode).alias("codigo"))
 
 
 def referential_integrity(
@@ -193,7 +193,7 @@ def attribute_agreement(
     if null_keys == "unmatched":
         a, b = a.where(_whole_key(keys)), b.where(_whole_key(keys))
     side = lambda df, x, y: df.select(
-        *keys, *[F.coalesce(df[c].cast("string"), F.lit("")).alias(c) for c in attributes],
+        *keys, *[F.coalesce(df[quoted(c)].cast("string"), F.lit("")).alias(c) for c in attributes],
         F.lit(x).alias("na"), F.lit(y).alias("nb"),
     )
     tuples = (

@@ -12,11 +12,11 @@ from .. import labels as L
 from ..functions import dates as D
 from ..functions import missing as M
 from ..functions.ratios import count_if, pct
-from ._shape import Section, private_names, value_counts
+from ._shape import Section, private_names, quoted, value_counts
 
 
 def _date(df: DataFrame, c: str) -> Column:
-    return D.parse_date(df[c], df.schema[c].dataType)
+    return D.parse_date(df[quoted(c)], df.schema[c].dataType)
 
 
 def string_date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -27,11 +27,11 @@ def string_date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def string_date_section(df: DataFrame, columns: Sequence[str]) -> Section:
     # the format is worked out once per cell, then only counted
     formats = private_names(df, *[f"formato_{i}" for i in range(len(columns))])
-    cells = [D.date_format_of(df[c]).alias(f) for c, f in zip(columns, formats)]
+    cells = [D.date_format_of(df[quoted(c)]).alias(f) for c, f in zip(columns, formats)]
     rows = []
     for i, c in enumerate(columns):
-        t, f = F.trim(df[c]), F.col(formats[i])
-        dated = F.when(~t.isin("", "00000000"), df[c])
+        t, f = F.trim(df[quoted(c)]), F.col(formats[i])
+        dated = F.when(~t.isin("", "00000000"), df[quoted(c)])
         rows.append({
             "coluna": F.lit(c),
             "total": F.count("*"),
@@ -64,7 +64,7 @@ def date_format_classes(df: DataFrame, column: str) -> DataFrame:
         .otherwise(L.DATE_CLASS_OTHER)
     )
     # the formats are tested once per distinct literal
-    freq = df.groupBy(df[column].cast("string").alias("valor")).agg(F.count("*").alias("n"))
+    freq = df.groupBy(df[quoted(column)].cast("string").alias("valor")).agg(F.count("*").alias("n"))
     return (
         freq.groupBy(kind.alias("formato"))
         .agg(F.sum("n").alias("linhas"), F.min(v).alias("exemplo_min"), F.max(v).alias("exemplo_max"))
@@ -79,10 +79,10 @@ def valid_date_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def valid_range_section(df: DataFrame, columns: Sequence[str]) -> Section:
     names = private_names(df, *[f"data_{i}" for i in range(len(columns))])
-    cells = [D.compact_date(df[c]).alias(n) for c, n in zip(columns, names)]
+    cells = [D.compact_date(df[quoted(c)]).alias(n) for c, n in zip(columns, names)]
     rows = []
     for i, c in enumerate(columns):
-        t, d = F.trim(df[c].cast("string")), F.col(names[i])
+        t, d = F.trim(df[quoted(c)].cast("string")), F.col(names[i])
         empty = t.isNull() | t.isin("", "00000000")
         rows.append({
             "coluna": F.lit(c),
@@ -96,7 +96,7 @@ def valid_range_section(df: DataFrame, columns: Sequence[str]) -> Section:
 
 def _day_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Frequencies of days, as day numbers: their extremes stay in a hash aggregate."""
-    return value_counts(df, {c: F.unix_date(df[c].cast("date")) for c in columns})
+    return value_counts(df, {c: F.unix_date(df[quoted(c)].cast("date")) for c in columns})
 
 
 def native_date_profile(df: DataFrame, columns: Sequence[str], as_of: str | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def native_date_profile_of(days: DataFrame, as_of: str | None = None) -> DataFra
 
 def timestamp_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls, range and distinct instants of timestamp columns."""
-    return timestamp_profile_of(value_counts(df, {c: F.unix_micros(df[c].cast("timestamp")) for c in columns}))
+    return timestamp_profile_of(value_counts(df, {c: F.unix_micros(df[quoted(c)].cast("timestamp")) for c in columns}))
 
 
 def timestamp_profile_of(micros: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def freshness_by_day(
     """Rows per load day, latest first."""
     aggs = [a.alias(n) for n, a in (metrics or {}).items()]
     out = (
-        df.groupBy(df[column].cast("date").alias("data_carga"))
+        df.groupBy(df[quoted(column)].cast("date").alias("data_carga"))
         .agg(F.count("*").alias("linhas"), *aggs)
         .orderBy(F.desc("data_carga"))
     )
@@ -210,7 +210,7 @@ def freshness_as_of(df: DataFrame, as_of: str | None = None) -> DataFrame:
 
 def snapshot_or_history(df: DataFrame, column: str) -> DataFrame:
     """One load date means the table is replaced; several mean it accumulates."""
-    return snapshot_of(df.groupBy(df[column].cast("date").alias("d")).agg(F.count("*").alias("n")), column)
+    return snapshot_of(df.groupBy(df[quoted(column)].cast("date").alias("d")).agg(F.count("*").alias("n")), column)
 
 
 def snapshot_of(per: DataFrame, column: str) -> DataFrame:
@@ -335,7 +335,7 @@ def series_continuity(
     unit = bucket or ("hour" if stamp else "month")
     ties = [f"o{i}" for i in range(len(order))]
     rows = df.select(
-        *[df[k].alias(f"k{i}") for i, k in enumerate(keys)],
+        *[df[quoted(k)].alias(f"k{i}") for i, k in enumerate(keys)],
         *[df[o].alias(a) for o, a in zip(order, ties)],
         when.alias("em"), when.cast("date").alias("dt"),
         F.date_trunc(unit, when).alias("faixa"),

@@ -19,12 +19,10 @@ from pyspark.sql import types as T
 from .. import labels as L
 from ..functions import normalize as N
 from ..functions.ratios import pct
-from ._shape import batches, hash_pair, join_names, quoted
+from ._shape import NULL_HASH, batches, hash_pair, join_names, quoted
 
 #: Column sets counted in one pass, and the share of all values (one in so many) that is looked at first.
 SETS_PER_PASS, SLICES = 24, 64
-#: Hash of a null.
-NULL = -7046029254386353131
 
 
 def _hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -32,7 +30,7 @@ def _hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = []
     for i, c in enumerate(columns):
         for name, h in zip("xy", hash_pair(df, c)):
-            out.append(F.coalesce(h, F.lit(NULL)).alias(f"{name}{i}"))
+            out.append(F.coalesce(h, F.lit(NULL_HASH)).alias(f"{name}{i}"))
     return df.select(*out)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import labels as L
 from ..functions.hashing import fingerprint
 from ..functions.ratios import count_if, pct, ratio
-from ._shape import join_names, quoted, semi_null_safe, stack_rows, unpivot_text
+from ._shape import NULL_HASH, hash_pair, join_names, quoted, semi_null_safe, stack_rows
 
 
 def key_ids(keys: Sequence[Sequence[str]]) -> list[int]:
@@ -97,7 +97,7 @@ def duplicate_summary_of(hist: DataFrame, keys: Sequence[Sequence[str]]) -> Data
 def duplicate_keys(df: DataFrame, key: Sequence[str], k: int | None = None) -> DataFrame:
     """Most repeated combinations of one key."""
     out = (
-        df.groupBy(*key).agg(F.count("*").alias("qtd")).where("qtd > 1").orderBy(F.desc("qtd"), *key)
+        df.groupBy(*map(quoted, key)).agg(F.count("*").alias("qtd")).where("qtd > 1").orderBy(F.desc("qtd"), *map(quoted, key))
     )
     return out if k is None else out.limit(k)
 
@@ -107,7 +107,7 @@ def duplicate_rows(df: DataFrame, key: Sequence[str], null_keys: bool = True) ->
 
     ``null_keys=False`` drops keys with a null, as an inner join USING does.
     """
-    dup = df.groupBy(*key).agg(F.count("*").alias("qtd")).where("qtd > 1").select(*key)
+    dup = df.groupBy(*map(quoted, key)).agg(F.count("*").alias("qtd")).where("qtd > 1").select(*map(quoted, key))
     if null_keys:
         return semi_null_safe(df, dup, key)
     return df.join(dup, list(key), "left_semi")
@@ -116,24 +116,26 @@ def duplicate_rows(df: DataFrame, key: Sequence[str], null_keys: bool = True) ->
 def varying_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """What differs inside the repeated keys: worst distinct count per column.
 
-    The cells of the duplicate rows are made distinct by (key, column, value)
-    before they are counted per key, so a key holding very many rows is counted
-    by many tasks.
+    The cells of the duplicate rows are made distinct by (key, column, value), all
+    of fixed width as hashes, before they are counted per key, so a key holding
+    very many rows is counted by many tasks.
     """
     names = [c for c in (columns or df.columns) if c not in key]
     if not names:  # the key is the whole row
         return df.sparkSession.createDataFrame([], "coluna string, max_valores_distintos bigint, veredito string")
-    dup = duplicate_rows(df.select(*dict.fromkeys([*key, *names])), key)
-    ids = [f"id_{i}" for i in range(len(key))]
-    cells = unpivot_text(dup, names, ids=key, hashed=True).where(F.col("valor").isNotNull()).distinct()
-    per_key = cells.groupBy(*ids, "coluna").agg(F.count("*").alias("n"))
-    worst = per_key.groupBy("coluna").agg(F.max("n").alias("n"))
+    dup = duplicate_rows(df.select(*map(quoted, dict.fromkeys([*key, *names]))), key)
+    parts = [[F.coalesce(h, F.lit(NULL_HASH)) for h in hash_pair(dup, k)] for k in key]
+    ids = [F.xxhash64(F.lit(seed), *[p[seed] for p in parts]).alias(f"k{seed}") for seed in (0, 1)]
+    each = [F.struct(F.lit(i).alias("i"), *[h.alias(f"h{j}") for j, h in enumerate(hash_pair(dup, c))]) for i, c in enumerate(names)]
+    cells = dup.select(*ids, F.inline(F.array(*each))).where(F.col("h0").isNotNull()).distinct()
+    per_key = cells.groupBy("k0", "k1", "i").agg(F.count("*").alias("n"))
+    worst = per_key.groupBy("i").agg(F.max("n").alias("n"))
     rows = [
         {
             "coluna": F.lit(c),
-            "max_valores_distintos": F.coalesce(F.max(F.when(F.col("coluna") == c, F.col("n"))), F.lit(0)),
+            "max_valores_distintos": F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)),
         }
-        for c in names
+        for i, c in enumerate(names)
     ]
     n = F.col("max_valores_distintos")
     return (
@@ -151,9 +153,9 @@ def version_histogram(
     Rows are counted per (key, content) first, so a hot key spreads over tasks
     by its contents before its versions are counted.
     """
-    h = df.select(*key, fingerprint(df, columns or df.columns, mode).alias("hash_linha"))
-    content = h.groupBy(*key, "hash_linha").agg(F.count("*").alias("n"))
-    per_key = content.groupBy(*key).agg(F.sum("n").alias("linhas"), F.count("*").alias("versoes"))
+    h = df.select(*map(quoted, key), fingerprint(df, columns or df.columns, mode).alias("hash_linha"))
+    content = h.groupBy(*map(quoted, key), "hash_linha").agg(F.count("*").alias("n"))
+    per_key = content.groupBy(*map(quoted, key)).agg(F.sum("n").alias("linhas"), F.count("*").alias("versoes"))
     return per_key.groupBy("linhas", "versoes").agg(F.count("*").alias("chaves"))
 
 
@@ -217,8 +219,8 @@ def _checksum(totals: DataFrame) -> DataFrame:
 
 def content_hash_check(df: DataFrame, column: str) -> DataFrame:
     """A stored content hash: rows, distinct, null, repeated."""
-    per = df.groupBy(column).agg(F.count("*").alias("n"))
-    c, n = F.col(column), F.col("n")
+    per = df.groupBy(quoted(column)).agg(F.count("*").alias("n"))
+    c, n = F.col(quoted(column)), F.col("n")
     return per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"),
         F.count(c).alias("hashes_distintos"),
@@ -231,9 +233,9 @@ def items_per_parent(
     df: DataFrame, parent: Sequence[str], child: str | None = None, k: int | None = None
 ) -> DataFrame:
     """Histogram of children per parent (rows, or distinct children)."""
-    size = F.count("*") if child is None else F.countDistinct(child)
+    size = F.count("*") if child is None else F.countDistinct(quoted(child))
     out = (
-        df.groupBy(*parent)
+        df.groupBy(*map(quoted, parent))
         .agg(size.alias("itens"), F.count("*").alias("linhas"))
         .groupBy("itens")
         .agg(F.count("*").alias("pais"), F.sum(F.col("linhas") - 1).alias("linhas_excedentes"))
@@ -258,38 +260,38 @@ def collapse_members(
     Every member is a row, whatever its parent's size; ``as_list`` gives one
     sorted text per parent instead, meant for categories.
     """
-    pairs = df.select(*parent, child).distinct()
-    sizes = pairs.groupBy(*parent).agg(F.count(child).alias("itens")).where("itens > 1")
-    sizes = sizes.orderBy(F.desc("itens"), *parent)
+    pairs = df.select(*map(quoted, parent), quoted(child)).distinct()
+    sizes = pairs.groupBy(*map(quoted, parent)).agg(F.count(quoted(child)).alias("itens")).where("itens > 1")
+    sizes = sizes.orderBy(F.desc("itens"), *map(quoted, parent))
     if k is not None:
         sizes = sizes.limit(k)
     members = semi_null_safe(pairs, sizes, parent)
     if not as_list:
-        return members.where(F.col(child).isNotNull()).orderBy(*parent, child)
+        return members.where(F.col(quoted(child)).isNotNull()).orderBy(*map(quoted, parent), quoted(child))
     return (
-        members.groupBy(*parent)
+        members.groupBy(*map(quoted, parent))
         .agg(
-            F.count(child).alias("itens"),
-            F.concat_ws(", ", F.sort_array(F.collect_set(F.col(child).cast("string")))).alias("tipos"),
+            F.count(quoted(child)).alias("itens"),
+            F.concat_ws(", ", F.sort_array(F.collect_set(F.col(quoted(child)).cast("string")))).alias("tipos"),
         )
-        .orderBy(F.desc("itens"), *parent)
+        .orderBy(F.desc("itens"), *map(quoted, parent))
     )
 
 
 def repeated_child(df: DataFrame, parent: Sequence[str], child: str, item: str, k: int | None = None) -> DataFrame:
     """The same child more than once inside one parent."""
     out = (
-        df.groupBy(*parent, child)
-        .agg(F.countDistinct(item).alias("itens"))
+        df.groupBy(*map(quoted, parent), quoted(child))
+        .agg(F.countDistinct(quoted(item)).alias("itens"))
         .where("itens > 1")
-        .orderBy(F.desc("itens"), *parent, child)
+        .orderBy(F.desc("itens"), *map(quoted, parent), quoted(child))
     )
     return out if k is None else out.limit(k)
 
 
 def multiplicity(df: DataFrame, key: Sequence[str], buckets: Sequence[int] = (1, 2, 5, 10)) -> DataFrame:
     """How often keys repeat: keys, repeated keys, rows in them, worst, size bands."""
-    per = df.groupBy(*key).agg(F.count("*").alias("n"))
+    per = df.groupBy(*map(quoted, key)).agg(F.count("*").alias("n"))
     n = F.col("n")
     bands = []
     for lo, hi in zip(buckets, [*buckets[1:], None]):
@@ -308,8 +310,8 @@ def multiplicity(df: DataFrame, key: Sequence[str], buckets: Sequence[int] = (1,
 
 def attribute_versions(df: DataFrame, entity: Sequence[str], attributes: Sequence[str]) -> DataFrame:
     """Entities that carry more than one set of attribute values."""
-    pairs = df.select(*entity, *attributes).distinct()
-    per = pairs.groupBy(*entity).agg(F.count("*").alias("versoes"))
+    pairs = df.select(*map(quoted, entity), *map(quoted, attributes)).distinct()
+    per = pairs.groupBy(*map(quoted, entity)).agg(F.count("*").alias("versoes"))
     v = F.col("versoes")
     return per.agg(
         F.count("*").alias("entidades"),
@@ -324,12 +326,12 @@ def split_dimensions(df: DataFrame, key: Sequence[str], dims: Sequence[str], k:
 
     Rows are counted per (key, dimensions) before they meet per key.
     """
-    combos = df.groupBy(*key, *dims).agg(F.count("*").alias("n"))
+    combos = df.groupBy(*map(quoted, key), *map(quoted, dims)).agg(F.count("*").alias("n"))
     out = (
-        combos.groupBy(*key)
-        .agg(F.sum("n").alias("linhas"), *[F.countDistinct(d).alias(f"distintos_{d}") for d in dims])
+        combos.groupBy(*map(quoted, key))
+        .agg(F.sum("n").alias("linhas"), *[F.countDistinct(quoted(d)).alias(f"distintos_{d}") for d in dims])
         .where("linhas > 1")
-        .orderBy(F.desc("linhas"), *key)
+        .orderBy(F.desc("linhas"), *map(quoted, key))
     )
     return out if k is None else out.limit(k)
 
@@ -357,5 +359,5 @@ def legacy_concat_distinct(df: DataFrame, columns: Sequence[str], sep: str = "|"
     """
     parts: list[Column] = []
     for c in columns:
-        parts += [df[c].cast("string"), F.lit(sep)]
+        parts += [df[quoted(c)].cast("string"), F.lit(sep)]
     return F.countDistinct(F.concat(*parts[:-1]))

@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import Section, extremes, semi_null_safe, stack_rows, total_of, type_name
+from ._shape import Section, extremes, semi_null_safe, stack_rows, total_of, type_name, quoted
 
 
 def rule_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -39,7 +39,7 @@ def comparison_counts(
     return df.agg(
         F.count("*").alias("linhas"),
         *[count_if(p).alias(n) for n, p in checks.items()],
-        *[F.round(F.sum(df[c]).cast("double"), places).alias(n) for n, c in (sums or {}).items()],
+        *[F.round(F.sum(df[quoted(c)]).cast("double"), places).alias(n) for n, c in (sums or {}).items()],
     )
 
 
@@ -55,7 +55,7 @@ def equation_check(
     """Does ``expr`` give ``target`` on every row, within a tolerance?"""
     x = df.select(
         _difference(df, expr, target).alias("dif"),
-        F.greatest(F.lit(False), *[df[c].isNull() for c in inputs]).alias("falta")
+        F.greatest(F.lit(False), *[df[quoted(c)].isNull() for c in inputs]).alias("falta")
         if inputs else F.lit(False).alias("falta"),
     )
     bad = count_if(F.col("dif") > tolerance)
@@ -136,11 +136,11 @@ def declared_constant(
     """Columns documented as never carrying information: is that so?"""
     rows = []
     for c in all_null:
-        rows.append((c, df[c].isNull(), L.DECLARED_ALL_NULL))
+        rows.append((c, df[quoted(c)].isNull(), L.DECLARED_ALL_NULL))
     for c in blank_or_zero:
-        rows.append((c, F.trim(F.coalesce(df[c].cast("string"), F.lit(""))).isin("", "0"), L.DECLARED_ALL_BLANK))
+        rows.append((c, F.trim(F.coalesce(df[quoted(c)].cast("string"), F.lit(""))).isin("", "0"), L.DECLARED_ALL_BLANK))
     if null_together:
-        n = sum((F.when(df[c].isNull(), 1).otherwise(0) for c in null_together), F.lit(0))
+        n = sum((F.when(df[quoted(c)].isNull(), 1).otherwise(0) for c in null_together), F.lit(0))
         rows.append((" + ".join(null_together), n.isin(0, len(null_together)), L.DECLARED_ALL_NULL))
     return (
         stack_rows(df, [
@@ -161,7 +161,7 @@ def declared_domain(
     df: DataFrame, column: str, allowed: Sequence[str] | None = None, pattern: str | None = None
 ) -> DataFrame:
     """Values of a column with a verdict: in the declared set, or of the declared form."""
-    bucket = M.display_bucket(df[column])
+    bucket = M.display_bucket(df[quoted(column)])
     freq = df.groupBy(bucket.alias(column)).agg(F.count("*").alias("linhas"))
     v = F.col(column)
     inside = v.isin(*allowed) if allowed is not None else v.rlike(pattern)
@@ -234,7 +234,7 @@ def key_projection(
         count_if(F.length(t) != length).alias("chave_com_tamanho_diferente"),
     ]
     for c, (pos, n) in parts.items():
-        cut, own = N.strip_zeros(F.substring(t, pos, n)), N.text(df[c])
+        cut, own = N.strip_zeros(F.substring(t, pos, n)), N.text(df[quoted(c)])
         aggs += [count_if(cut == own).alias(f"{c}_ok"), count_if(cut != own).alias(f"{c}_divergente")]
     return df.agg(*aggs)
 
@@ -248,8 +248,8 @@ def key_projection_examples(
     cols = [df[composite], F.length(t).alias("tamanho")]
     for c, (pos, n) in parts.items():
         raw = F.substring(t, pos, n)
-        bad = bad | (N.strip_zeros(raw) != N.text(df[c]))
-        cols += [raw.alias(f"{c}_bruto"), N.strip_zeros(raw).alias(f"{c}_sem_zeros"), df[c]]
+        bad = bad | (N.strip_zeros(raw) != N.text(df[quoted(c)]))
+        cols += [raw.alias(f"{c}_bruto"), N.strip_zeros(raw).alias(f"{c}_sem_zeros"), df[quoted(c)]]
     out = df.where(bad).select(*cols).orderBy(composite, *parts)
     return out if k is None else out.limit(k)
 
@@ -273,7 +273,7 @@ def link_completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with and without each link column."""
     rows = []
     for c in columns:
-        gone = count_if(M.no_value(df[c]))
+        gone = count_if(M.no_value(df[quoted(c)]))
         rows.append({
             "vinculo": F.lit(c), "sem_vinculo": gone, "com_vinculo": F.count("*") - gone,
             "pct_sem_vinculo": pct(gone, F.count("*")),
@@ -319,7 +319,7 @@ def header_replication(df: DataFrame, parent: str, fields: Sequence[str]) -> Dat
     per = df.groupBy(parent).agg(*[
         x.alias(f"f{i}_{j}")
         for i, c in enumerate(fields)
-        for j, x in enumerate(extremes(F.when(M.has_value(df[c]), df[c]), df.schema[c].dataType))
+        for j, x in enumerate(extremes(F.when(M.has_value(df[quoted(c)]), df[quoted(c)]), df.schema[c].dataType))
     ])
     rows = []
     for i, c in enumerate(fields):
@@ -340,7 +340,7 @@ def orphan_items(df: DataFrame, header: Sequence[str], parent: str, also: str |
     """Items whose header fields are all null."""
     bare = F.lit(True)
     for c in header:
-        bare = bare & df[c].isNull()
+        bare = bare & df[quoted(c)].isNull()
     gone = count_if(bare)
     aggs = [
         F.count("*").alias("linhas"), gone.alias("sem_cabecalho"), pct(gone, F.count("*")).alias("pct_sem_cabecalho"),
@@ -353,7 +353,7 @@ def orphan_items(df: DataFrame, header: Sequence[str], parent: str, also: str |
 
 def filter_impact(df: DataFrame, column: str, value: str) -> DataFrame:
     """Rows a filter loses because its column is blank."""
-    blank, mine, t = M.no_value(df[column]), df[column] == value, F.count("*")
+    blank, mine, t = M.no_value(df[quoted(column)]), df[quoted(column)] == value, F.count("*")
     return df.agg(
         t.alias("total_tabela"),
         count_if(blank).alias("sem_valor"),
@@ -369,11 +369,11 @@ def filter_impact_profile(
 ) -> DataFrame:
     """What the rows with a blank filter column have in common."""
     out = (
-        df.where(M.no_value(df[column]))
+        df.where(M.no_value(df[quoted(column)]))
         .groupBy(M.display_bucket(df[dim]).alias(dim))
         .agg(
             F.count("*").alias("linhas_sem_valor"),
-            *[count_if(M.has_value(df[c])).alias(f"com_{c}") for c in filled],
+            *[count_if(M.has_value(df[quoted(c)])).alias(f"com_{c}") for c in filled],
         )
         .orderBy(F.desc("linhas_sem_valor"), dim)
     )
@@ -400,7 +400,7 @@ def fulfilment(df: DataFrame, by: Sequence[str], done: str, asked: str) -> DataF
     """Fulfilment of quantities by status."""
     d, a = df[done], df[asked]
     return (
-        df.groupBy(*[M.display_bucket(df[c]).alias(c) for c in by])
+        df.groupBy(*[M.display_bucket(df[quoted(c)]).alias(c) for c in by])
         .agg(
             F.count("*").alias("linhas"),
             count_if(d == 0).alias("nada_retirado"),
@@ -415,7 +415,7 @@ def fulfilment(df: DataFrame, by: Sequence[str], done: str, asked: str) -> DataF
 def classify_first_match(df: DataFrame, classes: Mapping[str, str | Column]) -> DataFrame:
     """Class of each row by the first column (or predicate) that applies."""
     first = F.coalesce(*[
-        F.when(M.has_value(df[c]) if isinstance(c, str) else c, F.lit(name)) for name, c in classes.items()
+        F.when(M.has_value(df[quoted(c)]) if isinstance(c, str) else c, F.lit(name)) for name, c in classes.items()
     ], F.lit(L.UNCLASSIFIED))
     groups = df.groupBy(first.alias("classificacao")).agg(F.count("*").alias("linhas"))
     return groups.withColumn("pct", pct(F.col("linhas"), total_of(groups))).orderBy(F.desc("linhas"), "classificacao")
@@ -429,7 +429,7 @@ def status_matrix(df: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 def decimal_precision_use(df: DataFrame, column: str, places: int = 2, shown: int = 6) -> DataFrame:
     """Would fewer decimal places have held every value?"""
-    x = df[column]
+    x = df[quoted(column)]
     fits = x == F.round(x, places)
     out = df.agg(
         F.count("*").alias("linhas"),
@@ -446,7 +446,7 @@ def decimal_precision_use(df: DataFrame, column: str, places: int = 2, shown: in
 
 def sign_share(df: DataFrame, column: str, places: int = 3) -> DataFrame:
     """Zero, positive, negative and null shares of a balance."""
-    x, t = df[column], F.count("*")
+    x, t = df[quoted(column)], F.count("*")
     aggs = [t.alias("linhas")]
     for name, p in {"zero": x == 0, "positivo": x > 0, "negativo": x < 0, "nulo": x.isNull()}.items():
         aggs += [count_if(p).alias(name), pct(count_if(p), t).alias(f"pct_{name}")]
@@ -470,7 +470,7 @@ def pii_aggregate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Personal columns as counts only: distinct and missing."""
     aggs = []
     for c in columns:
-        aggs += [F.countDistinct(df[c]).alias(f"{c}_distintos"), count_if(M.no_value(df[c])).alias(f"sem_{c}")]
+        aggs += [F.countDistinct(df[quoted(c)]).alias(f"{c}_distintos"), count_if(M.no_value(df[quoted(c)])).alias(f"sem_{c}")]
     return df.agg(*aggs)
 
 
@@ -480,7 +480,7 @@ def masked_distribution(df: DataFrame, column: str, k: int | None = None) -> Dat
     Grouping is by the person, not by the hash, so two people whose short
     hashes agree stay two rows.
     """
-    groups = df.groupBy(df[column].alias("pessoa")).agg(F.count("*").alias("linhas"))
+    groups = df.groupBy(df[quoted(column)].alias("pessoa")).agg(F.count("*").alias("linhas"))
     share = pct(F.col("linhas"), total_of(groups)).alias("pct")
     out = groups.select(N.mask(F.col("pessoa")).alias(f"{column}_hash"), "linhas", share)
     out = out.orderBy(F.desc("linhas"), f"{column}_hash")
@@ -489,7 +489,7 @@ def masked_distribution(df: DataFrame, column: str, k: int | None = None) -> Dat
 
 def rows_per_person(df: DataFrame, column: str, places: int = 2) -> DataFrame:
     """People and mean rows per person, nothing that identifies one."""
-    per = df.groupBy(df[column].alias("p")).agg(F.count("*").alias("n"))
+    per = df.groupBy(df[quoted(column)].alias("p")).agg(F.count("*").alias("n"))
     p, n = F.col("p"), F.col("n")
     return per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"),
@@ -550,7 +550,7 @@ def null_share_by(df: DataFrame, by: str, columns: Sequence[str], places: int =
     """Null count and share of columns per group (inbound against outbound)."""
     aggs = [F.count("*").alias("linhas")]
     for c in columns:
-        gone = count_if(df[c].isNull())
+        gone = count_if(df[quoted(c)].isNull())
         aggs += [gone.alias(f"sem_{c}"), pct(gone, F.count("*"), places).alias(f"pct_sem_{c}")]
     return df.groupBy(by).agg(*aggs).orderBy(F.desc("linhas"), by)
 
@@ -576,7 +576,7 @@ def required_keys(
 ) -> DataFrame:
     """Rows missing a required key, and rows whose text breaks its format."""
     aggs = [F.count("*").alias("linhas")]
-    aggs += [count_if(M.no_value(df[c])).alias(f"{c}_ausente") for c in required]
+    aggs += [count_if(M.no_value(df[quoted(c)])).alias(f"{c}_ausente") for c in required]
     for c, p in (patterns or {}).items():
-        aggs.append(count_if(M.has_value(df[c]) & ~N.text(df[c]).rlike(p)).alias(f"{c}_formato_invalido"))
+        aggs.append(count_if(M.has_value(df[quoted(c)]) & ~N.text(df[quoted(c)]).rlike(p)).alias(f"{c}_formato_invalido"))
     return df.agg(*aggs)

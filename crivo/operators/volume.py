@@ -12,7 +12,7 @@ from .. import labels as L
 from ..functions import missing as M
 from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
-from ._shape import Section, hashed_counts, private_names, stack_rows, total_of
+from ._shape import Section, hashed_counts, private_names, quoted, stack_rows, total_of
 
 
 def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> DataFrame:
@@ -34,7 +34,7 @@ def scenario_share(df: DataFrame, column: str, value) -> DataFrame:
 
     The table is reduced to its distinct filter values before anything else.
     """
-    return scenario_share_of(df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n")), value)
+    return scenario_share_of(df.groupBy(df[quoted(column)].alias("v")).agg(F.count("*").alias("n")), value)
 
 
 def scenario_share_of(per: DataFrame, value) -> DataFrame:
@@ -54,7 +54,7 @@ def scenario_candidates(
 
     ``k`` keeps the largest candidates and drops the values that are none.
     """
-    key = M.display_bucket(df[column]).alias(column)
+    key = M.display_bucket(df[quoted(column)]).alias(column)
     aggs = [F.count("*").alias("linhas")]
     if entity is not None:
         aggs.append(F.countDistinct(entity).alias("entidades"))
@@ -69,18 +69,18 @@ def scenario_candidates_of(
     out = (
         groups.withColumn("pct", pct(n, total_of(groups)))
         .withColumn("sugestao", F.when(n.between(low, high), L.SCENARIO_CANDIDATE).otherwise(""))
-        .orderBy(F.desc("linhas"), column)
+        .orderBy(F.desc("linhas"), quoted(column))
     )
     return out if k is None else out.where(n.between(low, high)).limit(k)
 
 
 def known_scenarios(df: DataFrame, column: str, values: Sequence[str], zeros: bool = False) -> DataFrame:
     """Literal form, length and rows of the values other checks already use."""
-    t = N.text(df[column])
-    wanted = N.strip_zeros(df[column]).isin(*values) if zeros else t.isin(*values)
+    t = N.text(df[quoted(column)])
+    wanted = N.strip_zeros(df[quoted(column)]).isin(*values) if zeros else t.isin(*values)
     return (
         df.where(wanted)
-        .groupBy(df[column].cast("string").alias("literal"))
+        .groupBy(df[quoted(column)].cast("string").alias("literal"))
         .agg(F.count("*").alias("linhas"))
         .withColumn("tamanho", F.length(F.trim("literal")))
         .orderBy("literal")
@@ -89,7 +89,7 @@ def known_scenarios(df: DataFrame, column: str, values: Sequence[str], zeros: bo
 
 def scenario_gate(df: DataFrame, column: str) -> DataFrame:
     """Control of a scenario: it must hold exactly one value of the filter column."""
-    return scenario_gate_of(df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n")))
+    return scenario_gate_of(df.groupBy(df[quoted(column)].alias("v")).agg(F.count("*").alias("n")))
 
 
 def scenario_gate_of(per: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def scenario_gate_of(per: DataFrame) -> DataFrame:
 
 def filter_completeness(df: DataFrame, column: str, value: str) -> DataFrame:
     """Forms of the filter value; more than one row means `=` loses rows."""
-    return filter_completeness_of(df.groupBy(df[column].alias("v")).agg(F.count("*").alias("n")), value)
+    return filter_completeness_of(df.groupBy(df[quoted(column)].alias("v")).agg(F.count("*").alias("n")), value)
 
 
 def filter_completeness_of(per: DataFrame, value: str) -> DataFrame:
@@ -121,11 +121,11 @@ def filter_completeness_of(per: DataFrame, value: str) -> DataFrame:
 
 def filter_column_discovery(df: DataFrame, column: str, value: str, k: int | None = None) -> DataFrame:
     """Values of a column related to ``value``: equal, prefixed, or containing it."""
-    t = N.text(df[column])
+    t = N.text(df[quoted(column)])
     kind = F.when(t == value, "exato").when(t.startswith(value), "prefixo").otherwise("contem")
     out = (
         df.where(t.contains(value))
-        .groupBy(df[column].cast("string").alias("valor"), kind.alias("relacao"))
+        .groupBy(df[quoted(column)].cast("string").alias("valor"), kind.alias("relacao"))
         .agg(F.count("*").alias("linhas"))
         .withColumn("comprimento", F.length("valor"))
         .orderBy(F.desc("linhas"), "valor")

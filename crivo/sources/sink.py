@@ -32,16 +32,16 @@ def extract(
     cols = []
     for c in columns if columns is not None else df.columns:
         if c not in pii:
-            cols.append(df[c])
+            cols.append(df[quoted(c)])
         elif not drop_pii:
-            cols.append(N.mask(df[c]).alias(f"{c}_hash"))
+            cols.append(N.mask(df[quoted(c)]).alias(f"{c}_hash"))
     out = df.select(*cols)
     if not order:
         return out
     # map columns cannot be hashed; without one of the others there is nothing to cut by
     types = dict(out.dtypes)
     rest = [c for c in out.columns if c not in order and "map<" not in types[c]]
-    return out.orderBy(*order, F.xxhash64(*rest)) if rest else out.orderBy(*order)
+    return out.orderBy(*map(quoted, order), F.xxhash64(*map(quoted, rest))) if rest else out.orderBy(*map(quoted, order))
 
 
 def extract_renamed(df: DataFrame, names: Mapping[str, str], trim: bool = True) -> DataFrame:

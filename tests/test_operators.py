@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -435,3 +436,42 @@ def test_list_reports_start_no_job_before_they_are_read(spark):
     coverage.restrict_to_list(table, listed, "c")
     coverage.coverage_summary(listed, table, "c", "q", {"u": "q"})
     assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == []
+
+
+NAMES = ["a.b", "classe_0", "chave"]
+
+
+def _named(spark):
+    rows = [("001", "x", 1.0), ("001", "x", 1.0), ("2", None, 3.5), (None, "y", None), ("1", "y", 0.0), (None, "y", 2.0)]
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip(NAMES, ("string", "string", "double"))))
+
+
+def test_names_of_any_kind(spark):
+    """Columns with a dot, and with names that operators use themselves, in every operator that takes names."""
+    from crivo import TableSpec, plans
+    from crivo.operators import codes, columns, coverage, keys, volume
+    from crivo.sources import sink
+
+    df, plain = _named(spark), _named(spark).toDF("c1", "c2", "c3")
+    back = dict(zip(("c1", "c2", "c3"), NAMES))
+    listed = spark.createDataFrame([("1",), ("2",)], "chave string")
+    calls = {
+        "duplicate_keys": lambda d, k: keys.duplicate_keys(d, k[:1]), "duplicate_rows": lambda d, k: keys.duplicate_rows(d, k[:1]),
+        "duplicate_rows_using": lambda d, k: keys.duplicate_rows(d, k[:1], null_keys=False),
+        "varying": lambda d, k: keys.varying_columns(d, k[:1]), "distribution": lambda d, k: columns.distribution(d, k[:2]),
+        "checksum": lambda d, k: keys.row_checksum(d), "checksum_json": lambda d, k: keys.row_checksum(d, mode="json"), "versions": lambda d, k: keys.pure_vs_version(d, k[:2]),
+        "grain": lambda d, k: keys.grain(d, [k[:1], k]), "multiplicity": lambda d, k: keys.multiplicity(d, k[:2]), "attributes": lambda d, k: keys.attribute_versions(d, k[:1], k[1:]),
+        "split": lambda d, k: keys.split_dimensions(d, k[:1], k[1:2]), "items": lambda d, k: keys.items_per_parent(d, k[:1], k[1]),
+        "members": lambda d, k: keys.collapse_members(d, k[:1], k[1]), "repeated": lambda d, k: keys.repeated_child(d, k[:1], k[1], k[2]), "dedup": lambda d, k: columns.dedup_total(d, k[:1], k[2:]),
+        "restrict": lambda d, k: coverage.restrict_to_list(d, listed, k[0]).select(F.col("`" + k[1] + "`")), "covered": lambda d, k: coverage.coverage(listed, d, k[0]),
+        "candidates": lambda d, k: volume.scenario_candidates(d, k[1]), "gate": lambda d, k: volume.scenario_gate(d, k[1]), "share": lambda d, k: volume.scenario_share(d, k[1], "x"),
+        "extract": lambda d, k: sink.extract(d, order=k[:1], pii=k[1:2]), "fill": lambda d, k: columns.fill_scan(d, mode="dev2"), "normalized": lambda d, k: codes.normalized_keys(d, k[:1]),
+    }
+    for name, call in calls.items():
+        mine, theirs = call(df, NAMES).collect(), call(plain, list(back)).collect()
+        renamed = [re.sub("c[123]", lambda m: back[m[0]], repr(tuple(r))) for r in theirs]
+        assert sorted(map(repr, map(tuple, mine))) == sorted(renamed), name
+    spec = TableSpec("t", keys=[NAMES[:1], NAMES[:2]], dimensions=["classe_0"], roles={"a.b": "code", "classe_0": "category", "chave": "measure"}, pii=[])
+    for name, report in plans.explore(df, spec).items():
+        report.collect()
+    assert plans.long_report(plans.explore_profile(df, spec).run()).count() > 50

@@ -3,13 +3,14 @@
     conversation := turn*
     turn         := "### " role ": " text "</turn>\\n"
 
-Control strings inside a role or a text get one backslash more than they have:
-``</turn>`` becomes ``<\\/turn>``, ``###`` becomes ``\\###``, and in a role ``: ``
-becomes ``:\\ ``; strings that already look so get one more, so that taking one
-away gives the source again. A field is escaped if it holds a control string or
-if unescaping would change it: a fixed test that stands in for rendering,
-parsing and comparing. The digests are made of turns parsed from what was
-rendered; they aren't compared with the source here.
+No field may hold ``</turn>`` or a ``###`` without a backslash before it, and no role
+``: ``. A field is rendered as it is and read back by that grammar; where the reading
+differs from the field, or there is none, its control strings get one backslash more
+than they have: ``</turn>`` becomes ``<\\/turn>``, ``###`` becomes ``\\###``, and in a
+role ``: `` becomes ``:\\ ``; strings that already look so get one more, so that taking
+one away gives the source again. The escaped field is read back, too, and must be the
+field. A conversation is the turns one after the other, and as each ends at the first
+end of its own, its reading is the turns that were read.
 
 Turns of a conversation stand by turn, then role, then text, nulls first; rows
 that repeat are turns that repeat. Null texts and roles are empty ones. Rows
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 END, MARK, AFTER_ROLE = "</turn>\n", "### ", ": "
+#: A mark with backslashes before it, the only one that a field may hold.
+ESCAPED_MARK = r"\\+###"
 
 
 def _escape(s: Column, role: bool) -> Column:
@@ -40,13 +43,32 @@ def _unescape(s: Column, role: bool = False) -> Column:
     return F.regexp_replace(s, r"<\\(\\*)/turn>", r"<$1/turn>")
 
 
+def _bare_mark(rendered: Column) -> Column:
+    return F.contains(F.regexp_replace(rendered, ESCAPED_MARK, " "), F.lit("###"))
+
+
+def read_text(rendered: Column) -> Column:
+    """The text that the grammar reads from what stands between a turn's head and its end; null where it can't be read."""
+    closed = F.concat(rendered, F.lit(END))
+    # it ends at the first end, and what is left must be nothing
+    one = F.locate(END, closed) == F.length(rendered) + 1
+    legal = one & ~F.contains(rendered, F.lit("</turn>")) & ~_bare_mark(rendered)
+    return F.when(legal, _unescape(rendered))
+
+
+def read_role(rendered: Column) -> Column:
+    """The role that the grammar reads from a turn's head; null where it can't be read."""
+    head = F.concat(rendered, F.lit(AFTER_ROLE))
+    legal = (F.locate(AFTER_ROLE, head) == F.length(rendered) + 1) & ~F.contains(rendered, F.lit("</turn>")) & ~_bare_mark(rendered)
+    return F.when(legal, _unescape(rendered, True))
+
+
 def render_field(s: Column, role: bool = False) -> Column:
-    """The field as it is if it holds no control string and reads back as itself, else escaped."""
+    """The field as it is if that is read back as the field, else escaped if that is; one of both always is."""
     s = F.coalesce(s, F.lit(""))
-    clean = ~F.contains(s, F.lit("</turn>")) & ~F.contains(s, F.lit("###")) & (_unescape(s, role) == s)
-    if role:
-        clean = clean & ~F.contains(s, F.lit(AFTER_ROLE))
-    return F.when(clean, s).otherwise(_escape(s, role))
+    read, escaped = read_role if role else read_text, _escape(s, role)
+    return F.when(read(s).eqNullSafe(s), s).when(read(escaped).eqNullSafe(s), escaped).otherwise(
+        F.raise_error(F.lit("a field is not read back from its escaped form")).cast("string"))
 
 
 def parse(formatted: Column) -> Column:

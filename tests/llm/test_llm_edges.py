@@ -318,6 +318,19 @@ def test_conversations_read_back(spark):
     assert chat.format_conversations(df.filter("false")).collect() == []
 
 
+def test_fields_are_read_back_and_escaped_only_where_that_differs(spark):
+    texts = ["plain", "a: b", "</turn>", "</turn>\n", "x </turn> y", "###", "\\###", "a\\\\### b", "#### x", "<\\/turn>", "<\\\\/turn>", "end </turn", "\n", "", ":\\ x", "# #"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", chat.read_text(F.col("t")).alias("first"), chat.render_field(F.col("t")).alias("shown"),
+        chat.read_role(F.col("t")).alias("first_role"), chat.render_field(F.col("t"), True).alias("role"))
+    got = {r.t: r for r in rows.withColumn("again", chat.read_text(F.col("shown"))).withColumn("role_again", chat.read_role(F.col("role"))).collect()}
+    for t, r in got.items():
+        assert r.again == t and r.role_again == t
+        assert (r.shown == t) == (r.first == t) and (r.role == t) == (r.first_role == t)
+    assert {t for t, r in got.items() if r.shown != t} == {"</turn>", "</turn>\n", "x </turn> y", "###", "\\###", "a\\\\### b", "#### x", "<\\/turn>", "<\\\\/turn>"}
+    assert got["</turn>\n"].first is None and got["\\###"].first == "###" and got["a: b"].first_role is None
+
+
 def test_pages_of_all_kinds(spark):
     tree = html.fit(spark)
     pages = [(1, None), (2, ""), (3, "<p>no end"), (4, "<article>a &lt;b&gt;<br>c  d<nav>x</nav></article>"), (4, "<article>a</article>"),

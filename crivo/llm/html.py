@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -26,11 +27,16 @@ from pyspark.sql import types as T
 
 
 #: Comments, the text of elements that hold no text, other tags with their attributes in quotes, text.
-PARTS = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|annotation(?:-xml)?|title|textarea|iframe|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][\w:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|(<?[^<]++|<)",
-    re.DOTALL | re.IGNORECASE,
+_CLOSED = r"<!\[CDATA\[.*?\]\]>|"
+_PARTS = (
+    r"<!--(?:.*?-->|.*\Z)|" + _CLOSED + r"<(script|style|noscript|template|svg|annotation(?:-xml)?|title|textarea|iframe|select)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([A-Za-z][\w:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|(<?[^<]++|<)"
 )
+PARTS = re.compile(_PARTS, re.DOTALL | re.IGNORECASE)
+#: The parts behind the last end of marked data: what opens there is a tag.
+LATER = re.compile(_PARTS.replace(_CLOSED, ""), re.DOTALL | re.IGNORECASE)
+#: The parts behind the last tag: text.
+REST = re.compile(r"()()()()(.+)", re.DOTALL)
 #: Tags that end a block, tags that hold blocks, and those among them that hold no main text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math object output param q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | set(
     "maction math menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
@@ -80,12 +86,29 @@ def _told(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
     return apart, article
 
 
+def _parts(page: str):
+    """Matches of the parts of a page, in time that goes with its length however it is broken.
+
+    What never closes is not looked for again from every place where it opens: the last ends are looked up once.
+    """
+    at = 0
+    for pattern, until in ((PARTS, page.rfind("]]>")), (LATER, page.rfind(">"))):
+        for m in pattern.finditer(page, at):
+            if m.start() > until:
+                break
+            yield m
+            at = m.end()
+    if rest := page[at:].split("<!--", 1)[0]:
+        yield REST.match(rest)
+
+
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, the numbers of NAMES) of each block of a page, in order."""
     out: list[tuple[str, float, int, bool, bool, bool]] = []
     holders: list[tuple[str, int, bool]] = []  # tag, apart, article, with what stands around
     texts: list[str] = []
     linked, in_link, heading = 0, False, False
+    held: Counter = Counter()  # how many holders of each tag are open
 
     def end():
         nonlocal linked
@@ -96,7 +119,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         texts.clear()
         linked = 0
 
-    for m in PARTS.finditer(page or ""):
+    for m in _parts(page or ""):
         if m[5] is not None:
             texts.append(m[5])
             if in_link:
@@ -112,14 +135,17 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             heading = not closing and re.fullmatch(r"h[1-6]", tag) is not None
             if tag in HOLDERS:
                 if closing:
-                    at = next((i for i in range(len(holders) - 1, -1, -1) if holders[i][0] == tag), None)
-                    if at is not None:
-                        del holders[at:]
+                    while held[tag]:
+                        gone = holders.pop()[0]
+                        held[gone] -= 1
+                        if gone == tag:
+                            break
                 elif not m[4].rstrip().endswith("/"):
                     _, apart, article = holders[-1] if holders else ("", OPEN, False)
                     if apart <= {"article": LAYOUT, "main": MARKED}.get(tag, OPEN):
                         apart = OPEN
                     more_apart, more_article = _told(tag, m[4], article)
+                    held[tag] += 1
                     holders.append((tag, max(apart, more_apart), article or more_article))
         elif m[1] is not None and m[1].lower() not in INLINE:
             end()

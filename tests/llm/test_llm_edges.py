@@ -340,6 +340,27 @@ def test_pages_of_all_kinds(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string"), tree).collect() == []
 
 
+@pytest.mark.parametrize("page", [
+    "<p>Text <![CDATA[ open " * 40_000, "<div>" * 40_000 + "</ul>" * 40_000, "<!x " * 100_000, "<script " * 60_000, "<a x='" * 60_000,
+    "<p>a</p>" + "<!-- never closed " * 50_000, "<ul><li>" * 30_000 + "</li></ul>" * 30_000, "&amp;" * 200_000, "<![CDATA[ x ]]><b>" * 40_000, "<" * 300_000,
+])
+def test_broken_pages_take_time_with_their_length(page):
+    import time
+
+    start = time.perf_counter()
+    html.blocks(page)
+    assert time.perf_counter() - start < 4
+
+
+def test_parts_of_broken_pages(spark):
+    words = lambda page: [b[0] for b in html.blocks(page)]
+    assert words("<p>one <![CDATA[ hidden ]]> two</p><p>three <![CDATA[ four</p>") == ["one two", "three"]
+    assert words("<p>one</p> two < three") == ["one", "two < three"]
+    assert words("<p>one</p> two <!-- three") == ["one", "two"]
+    assert words("<div><p>a</ul>b</div>c") == ["a", "b", "c"]
+    assert words("a <b") == ["a <b"]
+
+
 def test_layouts_named_after_their_parts_hold_the_article(spark):
     tree = html.fit(spark)
     words = "This is the text of the page and it is long enough to be taken for what it is by anyone."

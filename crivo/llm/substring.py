@@ -14,7 +14,7 @@ anchor of each of the surroundings that its words have elsewhere.
 Hashes are of 128 bits where they decide. In front of each comparison a task
 keeps one row of each hash it has seen more than once, and marks the others as
 known to be repeated, so a passage in any share of all documents doesn't meet in
-one task. Texts are shuffled once, and only those with a repeated anchor go on.
+one task. Texts are shuffled once, compressed, and only those with a repeated anchor go on.
 
 A null text has no words. Documents shorter than a window lose nothing. Equal
 rows, and rows of one id, are separate documents, and repeat each other; so does
@@ -28,6 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +44,24 @@ BLOCK_WORDS = 1_500_000
 LOCALLY_COMMON = 4
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """The words of a text, or of one that ``packed`` has packed."""
+    if isinstance(text, bytes):
+        return zstandard.ZstdDecompressor().decompress(text).split()
     return (text or "").encode().split()
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` (k, id, text) with the texts compressed, as they go through the shuffle that brings anchors to them."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([None if x is None else pack(x.encode()) for x in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["k", "id", "text"])
+
+    return rows.mapInArrow(run, "k long, id long, text binary")
+
+
 class Rolling:
     """Hash of any run of words of one document, from prefix sums modulo 2**64."""
 
@@ -234,7 +249,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
         raise ValueError(f"windows of less than {PERIOD} words share no anchor")
     rows = keyed(docs, id, text)
     # equal rows stand once: all their windows are repeated, which their anchors have shown already
-    joined = rows.join(repeated_anchors(rows, window), "k").groupBy("k", "id").agg(*[F.first(c).alias(c) for c in ("text", "sure", "open")])
+    joined = packed(rows).join(repeated_anchors(rows, window), "k").groupBy("k", "id").agg(*[F.first(c).alias(c) for c in ("text", "sure", "open")])
     touched = common.stored(joined, "touched")
     windows = touched.filter(F.size("open") > 0).select("k", "text", "open").mapInArrow(
         _window_rows(window), "a long, b long, k long, at int, known boolean")

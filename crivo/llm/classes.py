@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Partitions for each part, so that few parts meet in one.
+SPREAD = 4
+
+
 def classes(rows: DataFrame, members: int, asks: int) -> DataFrame:
     """(value, class, ids, asks): a row for each value of ``rows`` (id, value), to be stored before it is used.
 
@@ -53,7 +57,13 @@ def pairs(index: DataFrame, queries: DataFrame, by: str | None = None) -> DataFr
         spread = queries.join(index.groupBy(by).agg(F.max("shard").alias("last")), by)
     keys = [by] if by else []
     spread = spread.filter(F.col("last").isNotNull()).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    return index.join(spread, [*keys, "shard"]).repartition(*keys, "shard", "block")
+    # a number of its own, which is not joined to fewer however small the rows are: the work is in the tasks
+    return index.join(spread, [*keys, "shard"]).repartition(SPREAD * max(1, index.count()), *keys, "shard", "block")
+
+
+def grouped(parts: DataFrame, rows: int, size: int, *keys: str):
+    """``parts`` of about ``size`` of ``rows`` rows each, grouped by their keys for one task a part, nearly."""
+    return parts.repartition(SPREAD * max(1, -(-rows // size)), *keys).groupBy(*keys)
 
 
 def dealt(rows: DataFrame, size: int, name: str, by: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .classes import classes, dealt, pairs, ranked
+from .classes import classes, dealt, grouped, pairs, ranked
 
 #: Edges of a vector, width of the beam while building and while searching, how far pruning is relaxed.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 128, 1.2
@@ -146,7 +146,7 @@ def index(known: DataFrame) -> DataFrame:
                              "vectors": [vectors.tobytes()], "edges": [edges.tobytes()], "start": [start]})
 
     shards = dealt(known.select(F.size("value").alias("kind"), "class", "value"), SHARD_ROWS, "shard", "kind")
-    return shards.groupBy("kind", "shard").applyInPandas(pack, "kind int, shard int, ids binary, vectors binary, edges binary, start int")
+    return grouped(shards, known.count(), SHARD_ROWS, "kind", "shard").applyInPandas(pack, "kind int, shard int, ids binary, vectors binary, edges binary, start int")
 
 
 def blocks(known: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .classes import classes, dealt, pairs, ranked
+from .classes import classes, dealt, grouped, pairs, ranked
 
 SEGMENTS, BITS = 4, 16
 SHARD_ROWS, BLOCK_ROWS = 32_768, 2048
@@ -107,7 +107,7 @@ def index(known: DataFrame) -> DataFrame:
                              "codes": [pdf["value"].to_numpy(np.int64).tobytes()]})
 
     shards = dealt(known.select("class", "value"), SHARD_ROWS, "shard")
-    return shards.groupBy("shard").applyInPandas(pack, "shard int, ids binary, codes binary")
+    return grouped(shards, known.count(), SHARD_ROWS, "shard").applyInPandas(pack, "shard int, ids binary, codes binary")
 
 
 def blocks(known: DataFrame) -> DataFrame:

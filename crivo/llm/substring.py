@@ -55,9 +55,11 @@ def packed(rows: DataFrame) -> DataFrame:
     """``rows`` (k, id, text) with the texts compressed, as they go through the shuffle that brings anchors to them."""
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            texts = pa.array([None if x is None else pack(x.encode()) for x in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["k", "id", "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # few texts at a time are held twice
+                batch = whole.slice(at, 256)
+                texts = pa.array([pack(memoryview(x.as_buffer())) if x.is_valid else None for x in batch.column(2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["k", "id", "text"])
 
     return rows.mapInArrow(run, "k long, id long, text binary")
 

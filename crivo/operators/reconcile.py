@@ -86,6 +86,9 @@ def _cell(df: DataFrame, c: str, kind: str) -> Column:
     text = _plain(x, dtype)
     if kind == "exact":
         number = text if isinstance(dtype, T.IntegralType) else N.canonical_number(text)
+        if isinstance(dtype, T.DecimalType):  # plain digits but for the smallest ones: only closing zeros may go
+            short = F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+            number = F.when(F.contains(text, F.lit("E")), number).otherwise(short)
         return F.struct(number.alias("v"), F.when(number.isNull(), text).alias("t"))
     if kind == "double":
         number = text.try_cast("double") if isinstance(dtype, T.StringType) else x.try_cast("double") if isinstance(dtype, T.NumericType) else F.lit(None).cast("double")

@@ -10,7 +10,9 @@ holds names and counts of column sets, never rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,12 @@ from ._shape import NULL_HASH, batches, hash_pair, join_names, quoted
 #: Column sets counted in one pass, and the share of all values (one in so many) that is looked at first.
 SETS_PER_PASS, SLICES = 24, 64
 
+#: Values of column sets that a task keeps at once where rows are dealt by a column.
+ENTRIES_PER_TASK = 2_000_000
+
+#: Types that are shuffled as they are; any other value is wider, or may be, than two hashes.
+PLAIN = (T.IntegralType, T.DoubleType, T.FloatType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def _hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One pair of columns ``x{i}``, ``y{i}`` for each column."""
@@ -38,15 +46,12 @@ def _set_hash(members: Sequence[int], seed: str) -> Column:
     return F.xxhash64(F.lit(ord(seed)), *[F.col(f"{seed}{i}") for i in members])
 
 
-def _repeated(cells: DataFrame, sets: Sequence[tuple[int, ...]], slices: int) -> dict[tuple[int, ...], tuple[int, int]]:
-    """Distinct values and largest group of each set; with ``slices`` of the values alone that fall into the first one."""
+def _repeated(cells: DataFrame, sets: Sequence[tuple[int, ...]]) -> dict[tuple[int, ...], tuple[int, int]]:
+    """Distinct values and largest group of each set."""
     found = {}
     for part in batches(sets, SETS_PER_PASS):
         each = F.array(*[F.struct(F.lit(n).alias("n"), _set_hash(s, "x").alias("x"), _set_hash(s, "y").alias("y")) for n, s in enumerate(part)])
-        rows = cells.select(F.inline(each))
-        if slices > 1:
-            rows = rows.where(F.pmod("y", F.lit(slices)) == 0)
-        groups = rows.groupBy("n", "x", "y").agg(F.count("*").alias("linhas"))
+        groups = cells.select(F.inline(each)).groupBy("n", "x", "y").agg(F.count("*").alias("linhas"))
         for r in groups.groupBy("n").agg(F.count("*").alias("d"), F.max("linhas").alias("m")).collect():
             found[part[r.n]] = (r.d, r.m)
         for s in part:
@@ -54,26 +59,84 @@ def _repeated(cells: DataFrame, sets: Sequence[tuple[int, ...]], slices: int) ->
     return found
 
 
+def _slice_repeats(cells: DataFrame, sets: Mapping[tuple[int, ...], int]) -> set[tuple[int, ...]]:
+    """Those of ``sets`` that repeat among the rows whose value in their anchor, a column of theirs, falls into one slice of ``SLICES``.
+
+    Rows of no slice are left out before anything else is hashed. Nulls are in no slice, so that a mostly empty column gives no large one.
+    """
+    found = set()
+    for part in batches(sorted(sets, key=lambda s: (sets[s], s)), SETS_PER_PASS):
+        within = {a: (F.col(f"y{a}") != NULL_HASH) & (F.pmod(f"y{a}", F.lit(SLICES)) == 0) for a in {sets[s] for s in part}}
+        each = [F.when(within[sets[s]], F.struct(F.lit(n).alias("n"), _set_hash(s, "x").alias("x"), _set_hash(s, "y").alias("y"))) for n, s in enumerate(part)]
+        rows = cells.where(reduce(or_, within.values())).select(F.inline(F.array_compact(F.array(*each))))
+        groups = rows.groupBy("n", "x", "y").agg(F.count("*").alias("linhas")).where("linhas > 1")
+        found |= {part[r.n] for r in groups.select("n").distinct().collect()}
+    return found
+
+
+def _repeats(
+    df: DataFrame, names: Sequence[str], cells: DataFrame, sets: Mapping[tuple[int, ...], int], largest: Mapping[int, int], total: int
+) -> set[tuple[int, ...]]:
+    """Those of ``sets`` that repeat anywhere. Rows are dealt by an anchor, once for all of its sets, which are counted where the rows lie.
+
+    An anchor with a value that fills a share of the table would load one task; its sets are shuffled by their own values.
+    """
+    even = {a for a in sets.values() if largest[a] * SLICES <= max(total, ENTRIES_PER_TASK)}
+    found = {s for s, (_, m) in _repeated(cells, [s for s in sets if sets[s] not in even]).items() if m > 1}
+    for a in sorted(even):
+        for part in batches([s for s in sets if sets[s] == a], SETS_PER_PASS):
+            dealt = _dealt(df, names, a, {c for s in part for c in s}, 1 + total * len(part) // ENTRIES_PER_TASK)
+            each = F.array(*[F.struct(F.lit(n).alias("n"), _set_hash(s, "x").alias("x"), _set_hash(s, "y").alias("y")) for n, s in enumerate(part)])
+            place = [c for c in dealt.columns if c.startswith("p")]
+            groups = dealt.select(*place, F.inline(each)).groupBy(*place, "n", "x", "y").agg(F.count("*").alias("linhas")).where("linhas > 1")
+            found |= {part[r.n] for r in groups.select("n").distinct().collect()}
+    return found
+
+
+def _dealt(df: DataFrame, names: Sequence[str], anchor: int, wanted: set[int], tasks: int) -> DataFrame:
+    """The cells of the wanted columns, as in ``_hashed``, dealt to so many tasks by the anchor, whose value is ``p{i}``.
+
+    Numbers and dates are shuffled as they are, anything else as its two hashes.
+    """
+    sent: dict[int, list[Column]] = {}
+    for i in wanted:
+        c, dtype = df[quoted(names[i])], df.schema[names[i]].dataType
+        if isinstance(dtype, (T.DoubleType, T.FloatType)):
+            c = c + F.lit(0.0)
+        sent[i] = [c.alias(f"v{i}")] if isinstance(dtype, PLAIN) else [h.alias(f"{n}{i}") for n, h in zip("vw", hash_pair(df, names[i]))]
+    by = [f"{n}{anchor}" for n, _ in zip("vw", sent[anchor])]
+    there = df.select(*[c for columns in sent.values() for c in columns]).repartition(tasks, *by)
+    out = [F.col(n).alias(f"p{j}") for j, n in enumerate(by)]
+    for i, columns in sent.items():
+        pair = hash_pair(there, f"v{i}") if len(columns) == 1 else [F.col(f"v{i}"), F.col(f"w{i}")]
+        out += [F.coalesce(h, F.lit(NULL_HASH)).alias(f"{n}{i}") for n, h in zip("xy", pair)]
+    return there.select(*out)
+
+
 def minimal_keys(df: DataFrame, columns: Sequence[str] | None = None, most: int = 3) -> DataFrame:
     """(chave, colunas, linhas): every set of up to ``most`` columns that is unique and has no unique part.
 
     Sets are gone through by size. Out go those that hold a key, and those whose distinct counts multiply to less than
-    the rows. What is left is first counted on a slice of its values, one in ``SLICES``, whose groups are whole: a
-    repetition there disproves the key. Only sets without one are counted over all rows. An empty table has no keys.
+    the rows. Each set that is left is anchored at its column of most values. It is first looked at in a slice of that
+    column's values, one in ``SLICES``, whose groups are whole: a repetition there disproves the key. Only sets without
+    one are looked for over all rows. An empty table has no keys.
     """
     names = list(columns or df.columns)
     cells = _hashed(df, names)
     total = cells.count()
     keys: list[tuple[int, ...]] = []
     if total:
-        singles = _repeated(cells, [(i,) for i in range(len(names))], 1)
+        singles = _repeated(cells, [(i,) for i in range(len(names))])
         distinct = {s[0]: d for s, (d, _) in singles.items()}
+        largest = {s[0]: m for s, (_, m) in singles.items()}
         keys += [s for s, (d, _) in singles.items() if d == total]
         for size in range(2, most + 1):
             open_ = [s for s in combinations(range(len(names)), size) if not any(set(k) <= set(s) for k in keys) and _enough(s, distinct, total)]
-            sliced = _repeated(cells, open_, SLICES) if len(open_) > 1 else {s: (0, 1) for s in open_}
-            hopeful = [s for s in open_ if sliced[s][1] <= 1]
-            keys += [s for s, (_, m) in _repeated(cells, hopeful, 1).items() if m == 1]
+            anchors = {s: max(s, key=lambda c: (distinct[c], -c)) for s in open_}
+            sliced = _slice_repeats(cells, anchors) if len(open_) > 1 else set()
+            hopeful = {s: anchors[s] for s in open_ if s not in sliced}
+            repeated = _repeats(df, names, cells, hopeful, largest, total)
+            keys += [s for s in hopeful if s not in repeated]
     rows = [(join_names([names[i] for i in k]), len(k), total) for k in keys]
     return df.sparkSession.createDataFrame(rows, "chave string, colunas bigint, linhas bigint").orderBy("colunas", "chave")
 

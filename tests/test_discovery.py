@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from crivo.operators import discovery
 
 
@@ -67,3 +69,19 @@ def test_references_and_orphans(spark):
     plain = {(r.coluna, r.em): r.em_comum for r in discovery.inclusions({"l": left, "r": right}).collect()}
     assert plain[("l.cod", "r.a.b")] == 1
     assert discovery.inclusions({"l": left.where("false")}).collect() == []
+
+
+def test_sets_of_one_anchor_share_a_shuffle_of_rows(spark, monkeypatch):
+    """Every set of columns that may be a key is counted, of all types, with values that repeat within one task only."""
+    monkeypatch.setattr(discovery, "ENTRIES_PER_TASK", 300)
+    df = spark.range(600).select(
+        (F.col("id") % 300).alias("a"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("t"), F.col("id") % 4)).alias("b"), (F.col("id") >= 300).alias("c"),
+        F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("d"), (F.col("id") % 200).cast("decimal(20,1)").alias("e"))
+    dealt = []
+    deal = discovery._dealt
+    monkeypatch.setattr(discovery, "_dealt", lambda *x: dealt.append(x) or deal(*x))
+    rows = [tuple(r) for r in df.collect()]
+    unique = [s for k in range(1, 5) for s in combinations(range(5), k) if len({tuple(r[i] for i in s) for r in rows}) == 600]
+    want = {" + ".join("abcde"[i] for i in s) for s in unique if not any(set(u) < set(s) for u in unique)}
+    assert {r.chave for r in discovery.minimal_keys(df, most=4).collect()} == want and dealt
+    assert all(x[4] > 1 for x in dealt)

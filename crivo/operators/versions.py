@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -32,9 +32,10 @@ BLOCK_PAIRS, SLICE = 4096, 1024
 def pair_versions(contents: DataFrame, columns: int) -> DataFrame:
     """(a, b, diferentes): the pairs of ``contents`` (chave, lado, id, celulas), by id, with the number of differing cells.
 
-    ``lado`` is 0 or 1, ``id`` tells a content of a key and side from all others, ``celulas`` holds a hash of each cell.
+    ``lado`` is 0 or 1, ``id``, an md5 in lower-case hex, tells a content of a key and side from all others, ``celulas``
+    holds a hash of each cell. Within, ids are bytes, and what can be worked out again from a pair isn't kept beside it.
     """
-    left, found = stored(contents.select("chave", "lado", "id", "celulas"), "sobras"), []
+    left, found = stored(contents.select("chave", "lado", F.unhex("id").alias("id"), "celulas"), "sobras"), []
     while True:
         pairs, large = _candidates(left, columns)
         pairs = stored(_weighed(pairs, left), "candidatos")
@@ -53,14 +54,19 @@ def pair_versions(contents: DataFrame, columns: int) -> DataFrame:
         gone = reduce(DataFrame.unionByName, taken)
         left = stored(left.join(gone.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti"), "sobras")
     if not found:
-        return pairs.select("a", "b", "diferentes").where("false")
-    return reduce(DataFrame.unionByName, found).select("a", "b", "diferentes")
+        found = [pairs.where("false")]
+    return reduce(DataFrame.unionByName, found).select(_text("a").alias("a"), _text("b").alias("b"), F.col("diferentes").cast("long"))
+
+
+def _text(name: str) -> Column:
+    """An id as it was given."""
+    return F.lower(F.hex(name))
 
 
 def _candidates(left: DataFrame, columns: int) -> tuple[DataFrame, bool]:
     """(a, b): pairs that share a block, and whether blocks were too large to give all of theirs."""
-    cells = left.select("chave", "lado", "id", "celulas", F.posexplode("celulas").alias("coluna", "celula"))
-    blocks = cells.select("lado", "id", "celulas", "coluna", F.xxhash64("chave", "coluna", "celula").alias("bloco"))
+    cells = left.select("chave", "lado", "id", F.posexplode("celulas").alias("coluna", "celula"))
+    blocks = cells.select("lado", "id", "coluna", F.xxhash64("chave", "coluna", "celula").alias("bloco"))
     out, large = [], False
     for step in range(1, columns + 1):
         sizes = blocks.groupBy("bloco").agg(F.sum(1 - F.col("lado")).alias("na"), F.sum("lado").alias("nb")).where("na > 0 AND nb > 0")
@@ -76,7 +82,7 @@ def _candidates(left: DataFrame, columns: int) -> tuple[DataFrame, bool]:
             out.append(_by_rank(rest))
             break
         # the ranks of a block that parts into one-sided ones only are what its contents have for each other
-        blocks = rest.select("lado", "id", "celulas", "coluna", F.xxhash64(
+        blocks = rest.join(left.select("id", "celulas"), "id").select("lado", "id", "coluna", F.xxhash64(
             "bloco", F.get("celulas", F.pmod(F.col("coluna") + step, F.lit(columns)).cast("int"))).alias("bloco"))
         if step == 1:
             out.append(_by_rank(rest))
@@ -92,22 +98,22 @@ def _sides(rows: DataFrame, on: list[str]) -> DataFrame:
 def _by_rank(rows: DataFrame) -> DataFrame:
     """Contents of a block and slice, each side ranked by id, with those of their own rank."""
     slices = F.ceil(F.greatest("na", "nb") / SLICE).cast("int")
-    cut = rows.withColumn("fatia", F.pmod(F.xxhash64("id"), slices))
+    cut = rows.withColumn("fatia", F.pmod(F.xxhash64(_text("id")), slices))
     rank = F.row_number().over(Window.partitionBy("bloco", "fatia", "lado").orderBy("id"))
     return _sides(cut.withColumn("posto", rank), ["bloco", "fatia", "posto"])
 
 
 def _weighed(pairs: DataFrame, left: DataFrame) -> DataFrame:
-    """(a, b, diferentes, ordem) of the pairs."""
+    """(a, b, diferentes) of the pairs."""
     a = left.where("lado = 0").select(F.col("id").alias("a"), F.col("celulas").alias("ca"))
     b = left.where("lado = 1").select(F.col("id").alias("b"), F.col("celulas").alias("cb"))
     differing = F.size(F.filter(F.zip_with("ca", "cb", lambda x, y: x != y), lambda d: d))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", differing.cast("long").alias("diferentes"), F.md5(F.concat("a", "b")).alias("ordem"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", differing.alias("diferentes"))
 
 
 def _mutual(pairs: DataFrame) -> DataFrame:
     """Pairs that are the best of both their contents."""
-    best = F.struct("diferentes", "ordem", "a", "b")
+    best = F.struct("diferentes", F.unhex(F.md5(F.concat(_text("a"), _text("b")))).alias("ordem"), "a", "b")
     of_a = pairs.groupBy("a").agg(F.min(best).alias("p")).select("p.*")
     of_b = pairs.groupBy("b").agg(F.min(best).alias("p")).select("p.a", "p.b")
     return of_a.join(of_b, ["a", "b"]).select("a", "b", "diferentes")

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from crivo.functions import normalize as N
-from crivo.operators import reconcile
+from crivo.operators import reconcile, versions
 from crivo.operators.versions import pair_versions
 
 
@@ -91,3 +91,12 @@ def test_exact_cells_of_different_types(spark):
     r = reconcile.reconcile_columns(a, b, spec).first()
     assert (r.comparadas, r.identicas, r.divergentes) == (2, 1, 1)
     assert [tuple(x) for x in reconcile.reconcile_cells(a, b, spec).collect()] == [("k", "x", "1", "1.4")]
+
+
+def test_pairs_are_kept_without_what_can_be_worked_out_again(spark, monkeypatch):
+    kept = {}
+    store = versions.stored
+    monkeypatch.setattr(versions, "stored", lambda df, name: kept.setdefault(name, df.dtypes) and store(df, name))
+    _, df = frame(spark, [("k", 0, (1, 2, 3)), ("k", 0, (1, 5, 3)), ("k", 1, (1, 2, 4)), ("k", 1, (7, 5, 3))])
+    assert pair_versions(df, 3).count() == 2
+    assert kept["candidatos"] == [("a", "binary"), ("b", "binary"), ("diferentes", "int")]

@@ -74,6 +74,11 @@ def _slice_repeats(cells: DataFrame, sets: Mapping[tuple[int, ...], int]) -> set
     return found
 
 
+def _even(anchors: set[int], largest: Mapping[int, int], total: int) -> set[int]:
+    """Columns by which rows may be dealt to tasks: no value of theirs fills a share of the table."""
+    return {a for a in anchors if largest[a] * SLICES <= max(total, ENTRIES_PER_TASK)}
+
+
 def _repeats(
     df: DataFrame, names: Sequence[str], cells: DataFrame, sets: Mapping[tuple[int, ...], int], largest: Mapping[int, int], total: int
 ) -> set[tuple[int, ...]]:
@@ -81,7 +86,7 @@ def _repeats(
 
     An anchor with a value that fills a share of the table would load one task; its sets are shuffled by their own values.
     """
-    even = {a for a in sets.values() if largest[a] * SLICES <= max(total, ENTRIES_PER_TASK)}
+    even = _even(set(sets.values()), largest, total)
     found = {s for s, (_, m) in _repeated(cells, [s for s in sets if sets[s] not in even]).items() if m > 1}
     for a in sorted(even):
         for part in batches([s for s in sets if sets[s] == a], SETS_PER_PASS):
@@ -155,22 +160,34 @@ def dependencies(df: DataFrame, columns: Sequence[str] | None = None, most: int
     that would have to change for the dependency to hold. A left side is left out where a part of it determines the
     right column already, or another column of itself. ``most_error`` is the largest share that is reported.
 
-    The groups of a set of columns are refined from one count: those of {a, b, c} give the errors of ab -> c, ac -> b and
-    bc -> a; groups of one row can't err and are stripped before that.
+    Rows are dealt by the column of a left side that has most values, once for all left sides with that one, and errors
+    are counted where the rows lie. Where that column has a value that fills a share of the table, the groups of a set of
+    columns are refined from one count: those of {a, b, c} give the errors of ab -> c, ac -> b and bc -> a. Groups of
+    one row can't err and are stripped.
     """
     names = list(columns or df.columns)
     cells = _hashed(df, names)
     total = cells.count()
+    singles = _repeated(cells, [(i,) for i in range(len(names))]) if total else {}
+    distinct, largest = ({s[0]: dm[k] for s, dm in singles.items()} for k in (0, 1))
+    even = _even(set(distinct), largest, total)
     errors: dict[tuple[tuple[int, ...], int], int] = {}
     for size in range(1, most + 1):
         wanted: dict[tuple[int, ...], list[int]] = {}
+        dealt: dict[int, list[tuple[tuple[int, ...], int]]] = {}
         for left in combinations(range(len(names)), size):
             if any(errors.get((part, c)) == 0 for k in range(1, size) for part in combinations(left, k) for c in left if c not in part):
                 continue
             for right in range(len(names)):
                 if right not in left and not any(errors.get((part, right)) == 0 for k in range(1, size) for part in combinations(left, k)):
-                    wanted.setdefault(tuple(sorted((*left, right))), []).append(right)
+                    anchor = max(left, key=lambda c: (distinct.get(c, 0), -c))
+                    if anchor in even:
+                        dealt.setdefault(anchor, []).append((left, right))
+                    else:
+                        wanted.setdefault(tuple(sorted((*left, right))), []).append(right)
         errors.update(_errors(cells, wanted))
+        for anchor, pairs in dealt.items():
+            errors.update(_errors_dealt(df, names, anchor, pairs, total))
     rows = [(join_names([names[i] for i in left]), names[right], total, e) for (left, right), e in errors.items() if e <= most_error * total]
     out = df.sparkSession.createDataFrame(rows, "esquerda string, direita string, linhas bigint, erro bigint")
     verdict = F.when(F.col("erro") == 0, L.DEPENDENCY_HOLDS).otherwise(L.DEPENDENCY_FAILS)
@@ -203,6 +220,25 @@ def _errors(cells: DataFrame, wanted: Mapping[tuple[int, ...], Sequence[int]]) -
     return {(tuple(c for c in s if c != s[j]), s[j]): e for (s, j), e in found.items()}
 
 
+def _errors_dealt(
+    df: DataFrame, names: Sequence[str], anchor: int, pairs: Sequence[tuple[tuple[int, ...], int]], total: int
+) -> dict[tuple[tuple[int, ...], int], int]:
+    """Error of each (left, right), all with the anchor on the left, from rows that are dealt by it."""
+    found = {}
+    for part in batches(pairs, SETS_PER_PASS):
+        rows = _dealt(df, names, anchor, {c for left, right in part for c in (*left, right)}, 1 + 2 * total * len(part) // ENTRIES_PER_TASK)
+        each = F.array(*[
+            F.struct(F.lit(n).alias("n"), _set_hash(left, "x").alias("x"), _set_hash(left, "y").alias("y"), F.col(f"x{right}").alias("rx"), F.col(f"y{right}").alias("ry"))
+            for n, (left, right) in enumerate(part)])
+        by_left = [*(c for c in rows.columns if c.startswith("p")), "n", "x", "y"]
+        groups = rows.select(*by_left[:-3], F.inline(each)).groupBy(*by_left, "rx", "ry").agg(F.count("*").alias("linhas"))
+        sides = groups.groupBy(*by_left).agg(F.sum("linhas").alias("linhas"), F.max("linhas").alias("maior")).where("linhas > 1")
+        found.update(dict.fromkeys(part, 0))
+        for r in sides.groupBy("n").agg(F.sum(F.col("linhas") - F.col("maior")).alias("e")).collect():
+            found[part[r.n]] = r.e
+    return found
+
+
 #: Columns of these types may refer to others; amounts are no references.
 REFERRING = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 

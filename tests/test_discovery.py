@@ -85,3 +85,20 @@ def test_sets_of_one_anchor_share_a_shuffle_of_rows(spark, monkeypatch):
     want = {" + ".join("abcde"[i] for i in s) for s in unique if not any(set(u) < set(s) for u in unique)}
     assert {r.chave for r in discovery.minimal_keys(df, most=4).collect()} == want and dealt
     assert all(x[4] > 1 for x in dealt)
+
+
+def test_errors_are_counted_where_the_rows_lie(spark, monkeypatch):
+    """Left sides with a column of many values are dealt by it; none of theirs is shuffled set by set."""
+    df = spark.range(90).select((F.col("id") % 45).alias("a"), F.concat(F.lit("t"), F.col("id") % 4).alias("b"), (F.col("id") % 7).alias("c"))
+    shuffled = []
+    errors = discovery._errors
+    monkeypatch.setattr(discovery, "_errors", lambda cells, wanted: shuffled.extend(wanted) or errors(cells, wanted))
+    rows = [tuple(r) for r in df.collect()]
+    got = {(r.esquerda, r.direita): r.erro for r in discovery.dependencies(df, most=1).collect()}
+    want = {}
+    for left in range(3):
+        for right in range(3):
+            if left != right:
+                n = Counter((r[left], r[right]) for r in rows)
+                want["abc"[left], "abc"[right]] = len(rows) - sum(max(k for (x, _), k in n.items() if x == v) for v in {r[left] for r in rows})
+    assert got == want and not shuffled

@@ -412,6 +412,17 @@ def test_wide_tables_are_profiled_in_batches(spark, width):
     assert plan.count("Aggregate") == -(-width // S.BATCH_ROWS)
 
 
+def test_wide_tables_are_profiled_in_compiled_code(spark, capsys):
+    cell = lambda i: F.when(F.col("id") % 7 == i % 7, None).when(F.col("id") % (i + 2) == 0, "").otherwise(F.concat(F.lit("v"), F.col("id") % (i + 1)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows the code before the plan has run
+    try:
+        columns.fill_scan(spark.range(50).select(*[cell(i).alias(f"st_{i}") for i in range(32)])).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000  # longer methods are interpreted
+
+
 def test_names_of_any_kind(spark):
     df = spark.createDataFrame([("a", "1", "x"), ("b", None, "x")], "classe_0 string, `a.b` string, formato_0 string")
     got = by(columns.fill_scan(df), "coluna")

@@ -89,7 +89,9 @@ def _cell(df: DataFrame, c: str, kind: str) -> Column:
         if isinstance(dtype, T.DecimalType):  # plain digits but for the smallest ones: only closing zeros may go
             short = F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
             number = F.when(F.contains(text, F.lit("E")), number).otherwise(short)
-        return F.struct(number.alias("v"), F.when(number.isNull(), text).alias("t"))
+        # what a number is made of need not be worked out again to see whether there is one
+        rest = F.lit(None).cast("string") if isinstance(dtype, (T.DecimalType, T.IntegralType)) else F.when(~N.is_number(text), text)
+        return F.struct(number.alias("v"), rest.alias("t"))
     if kind == "double":
         number = text.try_cast("double") if isinstance(dtype, T.StringType) else x.try_cast("double") if isinstance(dtype, T.NumericType) else F.lit(None).cast("double")
         return F.struct((number + F.lit(0.0)).alias("v"), F.when(number.isNull(), text).alias("t"))
@@ -133,7 +135,8 @@ def _stacked(a: DataFrame, b: DataFrame, spec: CompareSpec) -> _Sides:
     only_a, only_b, common = nb == 0, na == 0, (na > 0) & (nb > 0)
     per = contents.groupBy("chave", *names).agg(
         F.sum("na").alias("linhas_a"), F.sum("nb").alias("linhas_b"), count_if(common).alias("iguais"),
-        count_if(only_a).alias("sobra_a"), count_if(only_b).alias("sobra_b"),
+        # in the order of na and nb: otherwise Spark turns them round below and shuffles the contents once more
+        count_if(only_b).alias("sobra_b"), count_if(only_a).alias("sobra_a"),
         *[count_if(common & (F.substring("ilegivel", n + 1, 1) == "1")).alias(f"ilegiveis_{i}") for n, i in enumerate(numbers)],
     )
     one = (F.col("sobra_a") == 1) & (F.col("sobra_b") == 1)

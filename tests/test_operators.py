@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from crivo.functions import normalize as N
 from crivo.operators import codes, columns, coverage, dates, keys, reconcile, rules, volume
 from crivo.operators import _shape as S
 from crivo.sources import keylist
@@ -412,6 +413,22 @@ def test_wide_tables_are_profiled_in_batches(spark, width):
     assert plan.count("Aggregate") == -(-width // S.BATCH_ROWS)
 
 
+def test_contents_of_two_extracts_are_counted_once(spark):
+    side = lambda n: spark.range(300).select(F.col("id").cast("string").alias("k"), (F.col("id") % n).cast("string").alias("v"))
+    spec = reconcile.CompareSpec(["k"], ["v"], {"v": "exact"})
+    for report in (reconcile.reconcile_columns, reconcile.reconcile_cells):
+        df = report(side(7), side(8), spec)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("Range (") <= 4, report.__name__  # each side for the contents, and for the cells that are left
+
+
+@pytest.mark.parametrize("n", ["0", "-0", "+0.0", ".5", "5.", "-.50", "007", "-007.0700", "100", "100.", "0.10", "00.00", "1" * 300 + ".0", " 12.50 ", "-0.000"])
+def test_plain_numbers_read_as_those_with_an_exponent(spark, n):
+    short, long = spark.range(1).select(*[N.canonical_number(F.lit(x)) for x in (n, n.strip() + "e0")]).first()
+    assert short == long is not None
+
+
 def test_wide_tables_are_profiled_in_compiled_code(spark, capsys):
     cell = lambda i: F.when(F.col("id") % 7 == i % 7, None).when(F.col("id") % (i + 2) == 0, "").otherwise(F.concat(F.lit("v"), F.col("id") % (i + 1)))
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows the code before the plan has run

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,27 @@ def test_null_outside_and_inside_grouping_set(spark):
     assert [g[c]["combinacoes_distintas"] for c in ("k", "j", "k + j", "j + k")] == [2, 2, 3, 3]
 
 
+def test_only_hot_values_go_through_grouping_sets(spark, monkeypatch):
+    """Candidates with a common column are counted where its values lie; a value with many rows is not dealt to one task."""
+    data = [(k, i % m, i) for k, n, m in ((None, 40, 7), ("a", 5, 2), ("b", 3, 3), ("c", 1, 1)) for i in range(n)] + [("b", None, None)] * 2
+    df = spark.createDataFrame(data, "qtd string, gid int, v int")
+    cands = [["qtd"], ["qtd", "gid"], ["v", "qtd"], ["qtd", "gid", "v"]]
+    seen, plain = [], keys._grouping_sets
+    monkeypatch.setattr(keys, "_grouping_sets", lambda r, sets: seen.append(r.count()) or plain(r, sets))
+    found = []
+    for most in (10, 1000, 0):
+        monkeypatch.setattr(keys, "HOT_ROWS", most)
+        found.append(sorted(map(tuple, keys.key_histogram(df, cands).collect())))
+    assert seen == [40, 0, 51]
+    gids = dict(zip(keys.key_ids(cands), cands))
+    cols = ["qtd", "gid", "v"]
+    expect = []
+    for gid, key in gids.items():
+        sizes = Counter(Counter(tuple(r[cols.index(c)] for c in key) for r in data).values())
+        expect += [(gid, q, n) for q, n in sizes.items()]
+    assert found == [sorted(expect)] * 3
+
+
 def test_empty_table_still_reports_every_candidate(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert [r["linhas"] for r in rows(keys.grain(df, [["a"], ["a", "b"]]))] == [0, 0]

@@ -61,6 +61,18 @@ def test_only_hot_values_go_through_grouping_sets(spark, monkeypatch):
     assert found == [sorted(expect)] * 3
 
 
+def test_attributes_agree_one_by_one(spark):
+    a = spark.createDataFrame([(1, "x", "p"), (1, "y", "p"), (1, "y", "p"), (2, None, "q"), (None, "x", "q"), (3, "x", "q")], "k int, na string, coluna string")
+    b = spark.createDataFrame([(1, "x", "q"), (1, "x", "p"), (2, "", "q"), (None, "x", "r"), (4, "x", "q")], "k int, na string, coluna string")
+    got = coverage.attribute_agreement(a, b, ["k"], ["na", "coluna"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand " not in plan
+    assert [tuple(r) for r in got.collect()] == [("A x B", "coluna", 5, 2), ("A x B", "na", 5, 2)]
+    equal = coverage.attribute_agreement(a, b, ["k"], ["na", "coluna"], null_keys="equal")
+    assert [tuple(r) for r in equal.collect()] == [("A x B", "coluna", 6, 3), ("A x B", "na", 6, 2)]
+    assert coverage.attribute_agreement(a.where("false"), b.where("false"), ["k"], ["na"]).count() == 0
+
+
 def test_empty_table_still_reports_every_candidate(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert [r["linhas"] for r in rows(keys.grain(df, [["a"], ["a", "b"]]))] == [0, 0]

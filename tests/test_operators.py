@@ -61,6 +61,20 @@ def test_only_hot_values_go_through_grouping_sets(spark, monkeypatch):
     assert found == [sorted(expect)] * 3
 
 
+def expands(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Expand ")
+
+
+def test_dimensions_are_counted_per_value_without_expanding_rows(spark):
+    data = [(1, "a", 1.0), (1, "b", -0.0), (1, None, 0.0), (2, "a", 1.0), (None, None, None), (None, None, 2.0)]
+    df = spark.createDataFrame(data, "n string, linhas string, i double").withColumnRenamed("n", "k0")
+    got = keys.split_dimensions(df, ["k0"], ["linhas", "i"])
+    assert expands(got) == 0
+    assert [tuple(r) for r in got.collect()] == [("1", 3, 2, 2), (None, 2, 0, 1)]
+    assert got.columns == ["k0", "linhas", "distintos_linhas", "distintos_i"]
+    assert [tuple(r) for r in keys.split_dimensions(df, ["k0"], []).collect()] == [("1", 3), (None, 2)]
+
+
 def test_attributes_agree_one_by_one(spark):
     a = spark.createDataFrame([(1, "x", "p"), (1, "y", "p"), (1, "y", "p"), (2, None, "q"), (None, "x", "q"), (3, "x", "q")], "k int, na string, coluna string")
     b = spark.createDataFrame([(1, "x", "q"), (1, "x", "p"), (2, "", "q"), (None, "x", "r"), (4, "x", "q")], "k int, na string, coluna string")

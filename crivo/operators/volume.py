@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,20 @@ from ._shape import Section, hashed_counts, private_names, quoted, stack_rows, t
 def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> DataFrame:
     """Rows and distinct values of each entity; an entity may span columns.
 
-    Distinct tuples are counted as structs, so a null part still counts.
+    A null is no value, but a tuple with a null part counts. Each entity is made
+    distinct in a pass over its own columns, so a task keeps the values of one
+    entity and not those of all.
     """
-    aggs = []
-    for name, cols in entities.items():
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(-1).alias("i"), "n")]
+    for i, cols in enumerate(entities.values()):
         if isinstance(cols, str):
-            aggs.append(F.countDistinct(df[cols]).alias(name))
+            values = df.select(df[cols].alias("c0")).where("c0 IS NOT NULL")
         else:
-            aggs.append(F.countDistinct(F.struct(*[df[c] for c in cols])).alias(name))
-    return df.agg(F.count("*").alias("linhas"), *aggs)
+            values = df.select(*[df[c].alias(f"c{j}") for j, c in enumerate(cols)])
+        parts.append(values.distinct().agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n"))
+    size = lambda i: F.max(F.when(F.col("i") == i, F.col("n")))
+    return reduce(DataFrame.unionByName, parts).agg(
+        size(-1).alias("linhas"), *[size(i).alias(name) for i, name in enumerate(entities)])
 
 
 def scenario_share(df: DataFrame, column: str, value) -> DataFrame:

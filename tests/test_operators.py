@@ -75,6 +75,17 @@ def test_dimensions_are_counted_per_value_without_expanding_rows(spark):
     assert [tuple(r) for r in keys.split_dimensions(df, ["k0"], []).collect()] == [("1", 3), (None, 2)]
 
 
+def test_entities_are_counted_apart(spark):
+    data = [("a", None, 0.0), ("a", "x", -0.0), (None, "x", 1.0), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(data, "n string, i string, v double")
+    entities = {"linhas_n": "n", "pares": ["n", "i"], "um": ["n"], "valores": "v"}
+    got = volume.volumetry(df, entities)
+    assert expands(got) == 0
+    assert rows(got) == [{"linhas": 5, "linhas_n": 1, "pares": 4, "um": 2, "valores": 2}]
+    assert rows(volume.volumetry(df.where("false"), entities)) == [dict.fromkeys(["linhas", *entities], 0)]
+    assert rows(volume.volumetry(df, {})) == [{"linhas": 5}]
+
+
 def test_attributes_agree_one_by_one(spark):
     a = spark.createDataFrame([(1, "x", "p"), (1, "y", "p"), (1, "y", "p"), (2, None, "q"), (None, "x", "q"), (3, "x", "q")], "k int, na string, coluna string")
     b = spark.createDataFrame([(1, "x", "q"), (1, "x", "p"), (2, "", "q"), (None, "x", "r"), (4, "x", "q")], "k int, na string, coluna string")

@@ -98,6 +98,20 @@ def test_attributes_agree_one_by_one(spark):
     assert coverage.attribute_agreement(a.where("false"), b.where("false"), ["k"], ["na"]).count() == 0
 
 
+def test_long_lists_meet_the_table_without_sorting_its_rows(spark):
+    entries = spark.createDataFrame([("1",), ("1",), ("2",), (None,), ("9",)], "chave string")
+    df = spark.createDataFrame([("001", 1), ("1", 2), (None, 3), (None, 4), ("2", 5), ("5", 6)], "c string, v int")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    got = coverage.coverage(entries, df, "c")
+    assert "Join" not in plan(got)
+    assert [tuple(r) for r in got.collect()] == [(5, 3, 2, 5, 2, 2, 60.0)]
+    assert [tuple(r) for r in coverage.coverage(entries.where("false"), df, "c").collect()] == [(0, 0, 0, 0, 0, 0, None)]
+    assert [tuple(r) for r in coverage.coverage(entries, df.where("false"), "c").collect()] == [(5, 0, 5, 0, 0, 0, 0.0)]
+    many = coverage.restrict_to_list(df, entries, "c", many=True)
+    assert "ShuffledHashJoin" in plan(many) and "SortMergeJoin" not in plan(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, coverage.restrict_to_list(df, entries, "c").collect()))
+
+
 def test_empty_table_still_reports_every_candidate(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert [r["linhas"] for r in rows(keys.grain(df, [["a"], ["a", "b"]]))] == [0, 0]

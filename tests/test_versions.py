@@ -100,3 +100,41 @@ def test_pairs_are_kept_without_what_can_be_worked_out_again(spark, monkeypatch)
     _, df = frame(spark, [("k", 0, (1, 2, 3)), ("k", 0, (1, 5, 3)), ("k", 1, (1, 2, 4)), ("k", 1, (7, 5, 3))])
     assert pair_versions(df, 3).count() == 2
     assert kept["candidatos"] == [("a", "binary"), ("b", "binary"), ("diferentes", "int")]
+
+
+def cheapest(rows, columns):
+    """The pairs of (key, side, id, cells), by a walk over all of them."""
+    want = set()
+    for key in {x[0] for x in rows}:
+        pairs = sorted(
+            (sum(x != y for x, y in zip(a[3], b[3])), hashlib.md5((a[2] + b[2]).encode()).hexdigest(), a[2], b[2])
+            for a in rows if a[0] == key and a[1] == 0 for b in rows if b[0] == key and b[1] == 1)
+        used = set()
+        for n, _, a, b in pairs:
+            if n < columns and not {a, b} & used:
+                used |= {a, b}
+                want.add((a, b, n))
+    return want
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_large_blocks_give_all_their_pairs(spark, monkeypatch, sliced):
+    """100 contents against 90 that share a cell, and a smaller key; sliced: few pairs at once, blocks in several parts."""
+    if sliced:
+        monkeypatch.setattr(versions, "SLICE", 16)
+        monkeypatch.setattr(versions, "PER_CONTENT", 2)
+        monkeypatch.setattr(versions, "FEW_PAIRS", 1)
+    r = random.Random(4)
+    contents = {("large", s, (7, r.randrange(30), 1000 * s + r.randrange(300), r.randrange(40))) for s, n in ((0, 100), (1, 90)) for _ in range(n)}
+    contents |= {("small", s, (r.randrange(3), r.randrange(3), s, r.randrange(3))) for s in (0, 1) for _ in range(12)}
+    rows, df = frame(spark, sorted(contents))
+    assert {tuple(x) for x in pair_versions(df, 4).select("a", "b", "diferentes").collect()} == cheapest(rows, 4)
+
+
+def test_pairs_in_place_are_the_cheapest(spark):
+    r = random.Random(5)
+    contents = {(f"k{k}", s, (r.randrange(3), s if k % 2 else 0, r.randrange(4))) for k in range(30) for s in (0, 1) for _ in range(r.randrange(7))}
+    rows, df = frame(spark, sorted(contents))
+    keys = df.groupBy("chave").agg(F.collect_list(F.struct("lado", "id", "celulas")).alias("c")).select("c", versions.pairs_in_place(F.col("c"), F.lit(3)).alias("p"))
+    got = {(x.c[p.a].id, x.c[p.b].id, p.diferentes) for x in keys.collect() for p in x.p}
+    assert got == cheapest(rows, 3)

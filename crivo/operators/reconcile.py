@@ -8,7 +8,10 @@ both sides are each other's counterpart, however often they repeat. If one
 content is left on each side, those two are compared cell by cell; the cells of
 contents that are left are read in a second pass. Anything else that is left are
 versions: the key is reported as such, and with ``versions`` in the spec they are
-paired at the least number of differing cells and compared like the others.
+paired at the least number of differing cells and compared like the others. For
+these, rows meet by key, once and whole, and a key's versions are paired on the
+spot. Rows are counted in buckets of keys before, and those of buckets too large for
+that go the way of the others, by hashes; so do the versions of keys with many pairs.
 
 A cell that does not read as a number keeps its text, and is compared by it.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,7 @@ from ..functions import normalize as N
 from ..functions.ratios import count_if, pct
 from ..session import stored
 from ._shape import quoted, stack_rows
-from .versions import pair_versions
+from .versions import pair_versions, pairs_in_place
 
 # States of a key.
 BOTH = "EM AMBAS"
@@ -37,6 +41,10 @@ VERSIONS = "CHAVE COM VERSOES"
 
 KINDS = ("code", "date", "double", "exact", "text")
 
+#: Buckets of keys in which rows are counted, the rows of one up to which its keys' contents are gathered by key, and the
+#: pairs of a key up to which they are walked one by one.
+BUCKETS, BUCKET_ROWS, KEY_PAIRS = 65_536, 65_536, 1024
+
 
 @dataclass(frozen=True)
 class CompareSpec:
@@ -102,6 +110,32 @@ def _cell(df: DataFrame, c: str, kind: str) -> Column:
     return F.struct(value.alias("v"), F.lit(None).cast("string").alias("t"))
 
 
+@dataclass(frozen=True)
+class _Rows:
+    """Both extracts stacked: keys, the side and the cells."""
+
+    rows: DataFrame
+    kinds: Mapping[str, str]
+
+    @property
+    def numbers(self) -> list[int]:
+        return [i for i, k in enumerate(self.kinds.values()) if k in ("double", "exact")]
+
+
+def _rows(a: DataFrame, b: DataFrame, spec: CompareSpec) -> _Rows:
+    kinds = {c: spec.kind(a, c) for c in spec.columns}
+    parts = []
+    for df, side in ((a, 0), (b, 1)):
+        cells = [_cell(df, c, k).alias(f"c{i}") for i, (c, k) in enumerate(kinds.items())]
+        keys = [N.strip_zeros(df[quoted(k)], spec.zero_mode).alias(k) for k in spec.keys]
+        parts.append(df.select(*keys, F.struct(*cells).alias("linha"), F.lit(side).alias("lado")))
+    return _Rows(parts[0].unionByName(parts[1]), kinds)
+
+
+def _key(spec: CompareSpec) -> Column:
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.lit("="), quoted(k), F.lit("\x1f")), F.lit("\x1f")) for k in spec.keys]))
+
+
 @dataclass(frozen=True)
 class _Sides:
     """Both extracts stacked, and what is counted of their contents."""
@@ -112,22 +146,15 @@ class _Sides:
     kinds: Mapping[str, str]
 
 
-def _stacked(a: DataFrame, b: DataFrame, spec: CompareSpec) -> _Sides:
+def _stacked(stack: _Rows, spec: CompareSpec) -> _Sides:
     """Per key: rows of each side, contents found on both, contents left on each side, and the state.
 
     ``ilegiveis_i`` counts the contents found on both whose i-th cell is no number.
     """
-    kinds = {c: spec.kind(a, c) for c in spec.columns}
-    numbers = [i for i, k in enumerate(kinds.values()) if k in ("double", "exact")]
-    parts = []
-    for df, side in ((a, 0), (b, 1)):
-        cells = [_cell(df, c, k).alias(f"c{i}") for i, (c, k) in enumerate(kinds.items())]
-        keys = [N.strip_zeros(df[quoted(k)], spec.zero_mode).alias(k) for k in spec.keys]
-        parts.append(df.select(*keys, F.struct(*cells).alias("linha"), F.lit(side).alias("lado")))
+    kinds, numbers = stack.kinds, stack.numbers
     names = [quoted(k) for k in spec.keys]
-    key = F.md5(F.concat(*[F.coalesce(F.concat(F.lit("="), k, F.lit("\x1f")), F.lit("\x1f")) for k in names]))
     unread = F.concat(F.lit(""), *[F.when(F.col(f"linha.c{i}.t").isNotNull(), "1").otherwise("0") for i in numbers])
-    rows = parts[0].unionByName(parts[1]).select("*", key.alias("chave"))
+    rows = stack.rows.select("*", _key(spec).alias("chave"))
     rows = rows.select("*", unread.alias("ilegivel"), *[F.xxhash64(F.lit(seed), "chave", "linha").alias(f"h{seed}") for seed in (1, 2)])
     contents = rows.groupBy("chave", *names, "h1", "h2", "ilegivel").agg(
         F.sum(1 - F.col("lado")).alias("na"), F.sum("lado").alias("nb"))
@@ -157,37 +184,124 @@ def _left_over(sides: _Sides, spec: CompareSpec, wanted: Column) -> DataFrame:
     return found.groupBy("chave", *[quoted(k) for k in spec.keys], "lado", "h1", "h2").agg(F.first("linha").alias("linha"))
 
 
-def _pairs(sides: _Sides, spec: CompareSpec) -> DataFrame:
-    """(keys…, a, b): the contents that are compared, each with its counterpart."""
+def _ones(sides: _Sides, spec: CompareSpec) -> DataFrame:
+    """(keys…, a, b): the two contents that are left, of keys with one on each side."""
     names = [quoted(k) for k in spec.keys]
     side = lambda n: F.max(F.when(F.col("lado") == n, F.col("linha")))
     ones = _left_over(sides, spec, F.expr("sobra_a = 1 AND sobra_b = 1")).groupBy("chave", *names).agg(side(0).alias("a"), side(1).alias("b"))
-    out = ones.select(*names, "a", "b")
+    return ones.select(*names, "a", "b")
+
+
+def _compared(a: DataFrame, b: DataFrame, spec: CompareSpec) -> tuple[Mapping[str, str], DataFrame, DataFrame]:
+    """Kinds; (iguais, ilegiveis_i…) of the keys that are compared; (keys…, a, b), the contents with their counterparts."""
+    stack = _rows(a, b, spec)
     if not spec.versions:
-        return out
-    contents, pairs = _version_pairs(sides, spec)
-    cells = lambda n: contents.where(F.col("lado") == n).select(F.col("id").alias("ab"[n]), F.col("linha").alias(f"linha_{n}"), *(names if n == 0 else []))
-    paired = pairs.join(cells(0), "a").join(cells(1), "b")
-    return out.unionByName(paired.select(*names, F.col("linha_0").alias("a"), F.col("linha_1").alias("b")))
+        sides = _stacked(stack, spec)
+        return stack.kinds, _equal(sides.per.where(F.col("situacao") == BOTH), stack), _ones(sides, spec)
+    found = _versions(stack, spec)
+    names = [quoted(k) for k in spec.keys]
+    place = lambda p, n: F.get("sobras", p["ab"[n]])["linha"].alias("ab"[n])
+    pairs = found.near.select(*names, F.inline(F.transform("pares", lambda p: F.struct(place(p, 0), place(p, 1)))))
+    equal = _equal(found.near, stack)
+    if found.far:
+        equal = equal.unionByName(_equal(found.far.per.where(F.col("situacao").isin(BOTH, VERSIONS)), stack))
+        pairs = pairs.unionByName(_ones(found.far, spec))
+    if found.contents:
+        cells = lambda n: found.contents.where(F.col("lado") == n).select(F.col("id").alias("ab"[n]), F.col("linha").alias(f"linha_{n}"), *(names if n == 0 else []))
+        paired = found.pairs.join(cells(0), "a").join(cells(1), "b")
+        pairs = pairs.unionByName(paired.select(*names, F.col("linha_0").alias("a"), F.col("linha_1").alias("b")))
+    return stack.kinds, equal, pairs
+
+
+def _equal(per: DataFrame, stack: _Rows) -> DataFrame:
+    return per.select("iguais", *[f"ilegiveis_{i}" for i in stack.numbers])
 
 
 def _cell_text(c: Column) -> Column:
     return F.coalesce(c["v"].cast("string"), c["t"])
 
 
-def _version_pairs(sides: _Sides, spec: CompareSpec) -> tuple[DataFrame, DataFrame]:
-    """The contents left in keys with versions on both sides, with their ids, and their pairs."""
-    left = _left_over(sides, spec, F.expr(f"situacao = '{VERSIONS}' AND sobra_a > 0 AND sobra_b > 0"))
-    cells = [F.col(f"linha.c{i}") for i in range(len(sides.kinds))]
-    text = F.concat_ws("\x1f", *[F.coalesce(quoted(k), F.lit("")) for k in spec.keys], *[F.coalesce(_cell_text(c), F.lit("")) for c in cells])
-    hashes = F.array(*[F.xxhash64(F.lit(i), c["v"], c["t"]) for i, c in enumerate(cells)])
-    left = stored(left.select("*", F.md5(text).alias("id"), hashes.alias("celulas")), "versoes")
-    return left, pair_versions(left, len(cells))
+def _id(linha: Column, kinds: Mapping[str, str], spec: CompareSpec) -> Column:
+    """Digest of a content, with its key."""
+    cells = [_cell_text(linha[f"c{i}"]) for i in range(len(kinds))]
+    return F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in [*[F.col(quoted(k)) for k in spec.keys], *cells]]))
+
+
+def _cell_hashes(linha: Column, kinds: Mapping[str, str]) -> Column:
+    return F.array(*[F.xxhash64(F.lit(i), linha[f"c{i}"]["v"], linha[f"c{i}"]["t"]) for i in range(len(kinds))])
+
+
+@dataclass(frozen=True)
+class _Versions:
+    """What is left of keys with rows on both sides.
+
+    ``near``: keys whose rows met, with the contents that are left and their pairs by place, those of one content on each
+    side included; no pairs (null) if there are too many. ``far``: the keys of large buckets, if any. ``contents`` and
+    ``pairs``: the versions of both that are not paired in ``near``, if any.
+    """
+
+    near: DataFrame
+    far: _Sides | None
+    contents: DataFrame | None
+    pairs: DataFrame | None
+
+
+def _versions(stack: _Rows, spec: CompareSpec) -> _Versions:
+    names, kinds = [quoted(k) for k in spec.keys], stack.kinds
+    bucket = F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int")
+    counts = stack.rows.groupBy(bucket.alias("balde")).count().where(F.col("count") > BUCKET_ROWS)
+    large = [r.balde for r in counts.select("balde").collect()]
+    rows = stack.rows.where(~bucket.isin(large)) if large else stack.rows
+    near = stored(_near(_Rows(rows, kinds), spec), "chaves")
+    # lists of contents aside: only to see whether there are such keys
+    many = [near.where("pares IS NULL").select(*names, F.inline("sobras"))] if not near.where("pares IS NULL").select("pares").isEmpty() else []
+    far = None
+    if large:
+        far = _stacked(_Rows(stack.rows.where(bucket.isin(large)), kinds), spec)
+        left = _left_over(far, spec, F.expr(f"situacao = '{VERSIONS}' AND sobra_a > 0 AND sobra_b > 0"))
+        many.append(left.select(*names, "lado", "linha"))
+    if not many:
+        return _Versions(near, far, None, None)
+    linha = F.col("linha")
+    contents = reduce(DataFrame.unionByName, many).select(
+        *names, "lado", "linha", _key(spec).alias("chave"), _id(linha, kinds, spec).alias("id"), _cell_hashes(linha, kinds).alias("celulas"))
+    contents = stored(contents, "versoes")
+    return _Versions(near, far, contents, pair_versions(contents, len(kinds)))
+
+
+def _near(stack: _Rows, spec: CompareSpec) -> DataFrame:
+    """``_Versions.near``: (keys…, iguais, ilegiveis_i…, sobras, pares), in one shuffle of rows by key."""
+    names, kinds, numbers = [quoted(k) for k in spec.keys], stack.kinds, stack.numbers
+    # cells go one by one, without the texts that only numbers have: less to shuffle than structs
+    cells = {f"linha_{x}{i}": F.col(f"linha.c{i}.{x}") for i in range(len(kinds)) for x in ("vt" if i in numbers else "v")}
+    rows = stack.rows.select(*names, F.col("lado").cast("byte").alias("lado"), *[c.alias(n) for n, c in cells.items()]).repartition(*names)
+    contents = rows.groupBy(*names, *cells).agg(F.sum(1 - F.col("lado")).alias("na"), F.sum("lado").alias("nb"))
+    text = lambda i: F.col(f"linha_t{i}") if i in numbers else F.lit(None).cast("string")
+    linha = F.struct(*[F.struct(F.col(f"linha_v{i}").alias("v"), text(i).alias("t")).alias(f"c{i}") for i in range(len(kinds))])
+    contents = contents.select(*names, "na", "nb", linha.alias("linha"))
+    na, nb, row = F.col("na"), F.col("nb"), F.col("linha")
+    common = (na > 0) & (nb > 0)
+    content = F.struct(F.when(nb > 0, 1).otherwise(0).alias("lado"), _id(row, kinds, spec).alias("id"), _cell_hashes(row, kinds).alias("celulas"), "linha")
+    keys = contents.groupBy(*names).agg(
+        F.sum("na").alias("linhas_a"), F.sum("nb").alias("linhas_b"), count_if(common).alias("iguais"),
+        *[count_if(common & F.col(f"linha.c{i}.t").isNotNull()).alias(f"ilegiveis_{i}") for i in numbers],
+        F.collect_list(F.when(~common, content)).alias("achados"),
+    ).where("linhas_a > 0 AND linhas_b > 0")
+    of = lambda n: F.size(F.filter("achados", lambda c: c["lado"] == n))
+    both, total = of(0).cast("long") * of(1), F.size("achados")
+    # two that are left are each other's counterpart even if they share no cell
+    limit = F.when(total == 2, len(kinds) + 1).otherwise(len(kinds))
+    some = F.when(both > 0, F.col("achados")).otherwise(F.slice("achados", 1, 0))
+    none = F.array().cast("array<struct<a:int,b:int,diferentes:int>>")
+    pairs = F.when(both == 0, none).when(both <= KEY_PAIRS, pairs_in_place(F.col("achados"), limit))
+    return keys.select(
+        *names, "iguais", *[f"ilegiveis_{i}" for i in numbers],
+        F.transform(some, lambda c: F.struct(c["lado"].alias("lado"), c["linha"].alias("linha"))).alias("sobras"), pairs.alias("pares"))
 
 
 def reconcile_keys(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Keys and rows per state: both, only one side, several versions."""
-    per = _stacked(a, b, spec).per
+    per = _stacked(_rows(a, b, spec), spec).per
     dup = lambda s: F.sum(F.when(F.col(s) > 1, F.col(s) - 1).otherwise(0))
     return (
         per.groupBy("situacao")
@@ -217,13 +331,11 @@ def _judged(i: int, kind: str, tolerance: float) -> dict[str, Column]:
 
 def reconcile_columns(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Per column: compared cells, equal, within tolerance, divergent, one-sided, not readable as numbers."""
-    sides = _stacked(a, b, spec)
-    states = [BOTH, VERSIONS] if spec.versions else [BOTH]
-    equal_rows = sides.per.where(F.col("situacao").isin(states)).drop("chave", "linhas_a", "linhas_b", "sobra_a", "sobra_b", "situacao")
-    both = equal_rows.unionByName(_pairs(sides, spec), allowMissingColumns=True)
+    kinds, equal_rows, pairs = _compared(a, b, spec)
+    both = equal_rows.unionByName(pairs.select("a", "b"), allowMissingColumns=True)
     pair, equal = F.col("a").isNotNull(), F.coalesce(F.sum("iguais"), F.lit(0))
     rows = []
-    for i, (c, kind) in enumerate(sides.kinds.items()):
+    for i, (c, kind) in enumerate(kinds.items()):
         j = _judged(i, kind, spec.tolerance)
         unread = F.coalesce(F.sum(f"ilegiveis_{i}"), F.lit(0)) if kind in ("double", "exact") else F.lit(0)
         rows.append({
@@ -244,9 +356,9 @@ def reconcile_columns(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFram
 
 def reconcile_cells(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Every divergent cell: key, column and the two values."""
-    sides = _stacked(a, b, spec)
+    kinds, _, pairs = _compared(a, b, spec)
     cells = []
-    for i, (c, kind) in enumerate(sides.kinds.items()):
+    for i, (c, kind) in enumerate(kinds.items()):
         j = _judged(i, kind, spec.tolerance)
         places = _places(a.schema[c].dataType, b.schema[c].dataType) if kind == "exact" else 0
         shown = [F.coalesce(N.with_places(x["v"].cast("string"), places), x["t"]) for x in (F.col(f"a.c{i}"), F.col(f"b.c{i}"))]
@@ -254,7 +366,7 @@ def reconcile_cells(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
             ~j["same"] & ~j["near"], F.struct(F.lit(c).alias("coluna"), shown[0].alias("valor_a"), shown[1].alias("valor_b")),
         ))
     bad = F.filter(F.array(*cells), lambda s: s.isNotNull())
-    return _pairs(sides, spec).select(*[quoted(k) for k in spec.keys], F.inline(bad))
+    return pairs.select(*[quoted(k) for k in spec.keys], F.inline(bad))
 
 
 def reconcile_versions(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
@@ -262,20 +374,28 @@ def reconcile_versions(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFra
 
     ``conteudo_a`` and ``conteudo_b`` are digests of key and cells, null for what is missing.
     """
-    sides = _stacked(a, b, spec)
-    names = [quoted(k) for k in spec.keys]
-    contents, pairs = _version_pairs(sides, spec)
-    mine = lambda n: contents.where(F.col("lado") == n).select(
-        F.col("id").alias("ab"[n]), F.col("celulas").alias(f"celulas_{n}"), *[F.col(k).alias(f"chave_{n}_{i}") for i, k in enumerate(names)])
-    out = mine(0).join(pairs, "a", "left").join(mine(1), "b", "full")
-    key = [F.coalesce(f"chave_0_{i}", f"chave_1_{i}").alias(k) for i, k in enumerate(spec.keys)]
-    columns = F.array(*map(F.lit, sides.kinds))
-    differing = F.filter(columns, lambda c, i: F.get("celulas_0", i) != F.get("celulas_1", i))
-    return out.select(*key, F.col("a").alias("conteudo_a"), F.col("b").alias("conteudo_b"), "diferentes",
-                      F.when(F.col("diferentes").isNotNull(), F.array_join(differing, ", ")).alias("colunas"))
+    stack = _rows(a, b, spec)
+    found, names = _versions(stack, spec), [quoted(k) for k in spec.keys]
+    place = lambda p, n: F.get("sobras", p["ab"[n]])["linha"].alias("ab"[n])
+    none = F.lit(None).cast(found.near.schema["sobras"].dataType.elementType["linha"].dataType)
+    alone = lambda n: F.transform(
+        F.filter("sobras", lambda c, i: (c["lado"] == n) & ~F.exists("pares", lambda p: p["ab"[n]] == i)),
+        lambda c: F.struct((c["linha"] if n == 0 else none).alias("a"), (c["linha"] if n == 1 else none).alias("b"), F.lit(None).cast("int").alias("diferentes")))
+    paired = F.transform("pares", lambda p: F.struct(place(p, 0), place(p, 1), p["diferentes"].alias("diferentes")))
+    out = found.near.where("size(sobras) > 2 AND pares IS NOT NULL").select(*names, F.inline(F.concat(paired, alone(0), alone(1))))
+    if found.contents:
+        mine = lambda n: found.contents.where(F.col("lado") == n).select(
+            F.col("id").alias("ab"[n]), F.col("linha").alias(f"linha_{n}"), *[F.col(k).alias(f"chave_{n}_{i}") for i, k in enumerate(names)])
+        rest = mine(0).join(found.pairs, "a", "left").join(mine(1), "b", "full")
+        key = [F.coalesce(f"chave_0_{i}", f"chave_1_{i}").alias(k) for i, k in enumerate(spec.keys)]
+        out = out.unionByName(rest.select(*key, F.col("linha_0").alias("a"), F.col("linha_1").alias("b"), F.col("diferentes").cast("int")))
+    digest = lambda x: F.when(F.col(x).isNotNull(), _id(F.col(x), stack.kinds, spec))
+    differing = [F.when(~F.col(f"a.c{i}").eqNullSafe(F.col(f"b.c{i}")), c) for i, c in enumerate(stack.kinds)]
+    return out.select(*names, digest("a").alias("conteudo_a"), digest("b").alias("conteudo_b"), F.col("diferentes").cast("long"),
+                      F.when(F.col("diferentes").isNotNull(), F.concat_ws(", ", *differing)).alias("colunas"))
 
 
 def reconcile_unmatched(a: DataFrame, b: DataFrame, spec: CompareSpec) -> DataFrame:
     """Keys without a counterpart, and keys with versions, with their row counts."""
-    per = _stacked(a, b, spec).per
+    per = _stacked(_rows(a, b, spec), spec).per
     return per.where(F.col("situacao") != BOTH).select(*spec.keys, "situacao", "linhas_a", "linhas_b")

@@ -138,3 +138,19 @@ def test_pairs_in_place_are_the_cheapest(spark):
     keys = df.groupBy("chave").agg(F.collect_list(F.struct("lado", "id", "celulas")).alias("c")).select("c", versions.pairs_in_place(F.col("c"), F.lit(3)).alias("p"))
     got = {(x.c[p.a].id, x.c[p.b].id, p.diferentes) for x in keys.collect() for p in x.p}
     assert got == cheapest(rows, 3)
+
+
+def test_versions_are_compared_alike_however_keys_meet(spark, monkeypatch):
+    """Pairs found where a key's rows meet, by blocks, and in keys of large buckets; with repeated rows and null keys."""
+    r = random.Random(6)
+    side = lambda s: [
+        (None if k == 0 else f"00{k}", f"{r.randrange(4)}{'.0' if s else ''}", r.choice(["x", "y", " x ", None]), r.choice([1.0, 1.001, 2.5, None]), s if k % 3 else 0)
+        for k in range(12) for _ in range(1 if k == 5 else r.randrange(6)) for _ in range(1 + r.randrange(2))]
+    a, b = (spark.createDataFrame(side(s), "k string, e string, t string, d double, u int") for s in (0, 1))
+    spec = reconcile.CompareSpec(["k"], ["e", "t", "d", "u"], {"e": "exact"}, versions=True)
+    found = lambda: [sorted(map(repr, f(a, b, spec).collect())) for f in (reconcile.reconcile_versions, reconcile.reconcile_columns)]
+    want = found()
+    assert all(want)
+    monkeypatch.setattr(reconcile, "KEY_PAIRS", 1)
+    monkeypatch.setattr(reconcile, "BUCKET_ROWS", 8)
+    assert found() == want

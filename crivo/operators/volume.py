@@ -23,13 +23,19 @@ def volumetry(df: DataFrame, entities: Mapping[str, Sequence[str] | str]) -> Dat
     distinct in a pass over its own columns, so a task keeps the values of one
     entity and not those of all.
     """
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(-1).alias("i"), "n")]
+    parts = []
     for i, cols in enumerate(entities.values()):
-        if isinstance(cols, str):
-            values = df.select(df[cols].alias("c0")).where("c0 IS NOT NULL")
+        one = isinstance(cols, str)
+        values = df.select(*[df[c].alias(f"c{j}") for j, c in enumerate([cols] if one else cols)])
+        if i == 0:  # its groups tell the rows too
+            groups = values.groupBy(*values.columns).agg(F.count("*").alias("n"))
+            sizes = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"), (F.count("c0") if one else F.count("*")).alias("valores"))
+            parts.append(sizes.select(F.inline(F.array(*[F.struct(F.lit(k).alias("i"), F.col(c).alias("n")) for k, c in ((-1, "linhas"), (0, "valores"))]))))
         else:
-            values = df.select(*[df[c].alias(f"c{j}") for j, c in enumerate(cols)])
-        parts.append(values.distinct().agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n"))
+            distinct = (values.where("c0 IS NOT NULL") if one else values).distinct()
+            parts.append(distinct.agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n"))
+    if not parts:
+        parts = [df.agg(F.count("*").alias("n")).select(F.lit(-1).alias("i"), "n")]
     size = lambda i: F.max(F.when(F.col("i") == i, F.col("n")))
     return reduce(DataFrame.unionByName, parts).agg(
         size(-1).alias("linhas"), *[size(i).alias(name) for i, name in enumerate(entities)])
